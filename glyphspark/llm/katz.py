@@ -227,6 +227,8 @@ class _Block:
 def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(part, kind="stable")
     at = np.flatnonzero(np.diff(part[order], prepend=-1))
+    if not len(at):
+        return
     for i, j in zip(at, [*at[1:], len(order)], strict=True):
         yield int(part[order[i]]), order[i:j]
 
@@ -302,15 +304,15 @@ def _count_ngrams(level: int, order: int, parts: int):
             word.append(np.cumsum(x[2].astype(np.int64)))
             at += len(x[0])
         ctx, word = np.concatenate(ctx), np.concatenate(word)
-        order = np.lexsort((ctx, word))
-        new = np.concatenate([[True], (np.diff(ctx[order]) != 0) | (np.diff(word[order]) != 0)])[: len(order)]
-        of = np.empty(len(order), np.int64)
-        of[order] = np.cumsum(new) - 1
+        by_word = np.lexsort((ctx, word))
+        new = np.concatenate([[True], (np.diff(ctx[by_word]) != 0) | (np.diff(word[by_word]) != 0)])[: len(by_word)]
+        of = np.empty(len(by_word), np.int64)
+        of[by_word] = np.cumsum(new) - 1
         n = int(new.sum())
         count = np.bincount(of, np.concatenate([x[3] for x in chunks]).astype(float), n).astype(np.int64)
         lower = np.zeros(n)
         np.maximum.at(lower, of, np.concatenate([x[4] for x in chunks]).astype(float))
-        ctx, word = ctx[order][new], word[order][new]
+        ctx, word = ctx[by_word][new], word[by_word][new]
         seen = count > 0
         ids = (np.cumsum(seen) - 1) * parts + part
         sums = np.zeros((len(contexts), CUTOFF + 2))
