@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import bucket, table
+from .common import table
 
 
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,5 +15,54 @@ def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_katz": op1_katz}
-ORACLES: dict[str, str] = {}
+def op2_trie_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .trie_tokens import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, max(page_id) AS first_page FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_page <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN first_page <> page_id THEN first_page END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents")).drop("cluster")
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats
+
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_katz, op2_trie_tokens, op7_warc, op8_mixing, op9_packing, op10_chat)
+}
+
+
+def _oracles() -> dict[str, str]:
+    from .chat import ORACLE
+
+    return {"op7_warc": OP7_SQL, "op10_chat": ORACLE}
+
+
+ORACLES: dict[str, str] = _oracles()
