@@ -17,6 +17,6 @@ def spark():
         .config("spark.driver.memory", "6g")
         .getOrCreate()
     )
-    session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()
