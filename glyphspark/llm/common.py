@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import pickle
+import time
 import uuid
 
 import numpy as np
@@ -51,24 +52,39 @@ class Scratch:
 
 def release(spark: SparkSession) -> None:
     """Shuffle files go when the driver's garbage collection finds their plans unused."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first round frees lets go of more
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value; integers take the narrowest type that holds them."""
-    narrow = []
+    """Arrays as one compressed value.
+
+    Integers take the narrowest type that holds them and are stored byte plane by byte plane (all
+    low bytes, then all next ones), which compresses well; floats, whose values repeat, stay whole.
+    """
+    out = []
     for a in arrays:
         if a.dtype.kind in "iu" and a.size:
             lo, hi = int(a.min()), int(a.max())
             kind = np.min_scalar_type(hi) if lo >= 0 else np.promote_types(np.min_scalar_type(lo), np.min_scalar_type(hi))
             a = a.astype(kind) if kind.kind in "iu" else a
-        narrow.append(np.ascontiguousarray(a))
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(narrow, protocol=5))
+        flat = np.ascontiguousarray(a).reshape(-1)
+        out.append((a.dtype.str, a.shape, flat.tobytes() if a.dtype.kind == "f" else flat.view(np.uint8).reshape(a.size, a.itemsize).T.tobytes()))
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(out, protocol=5))
 
 
 def unpack(value: bytes) -> list[np.ndarray]:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(value))
+    out = []
+    for kind, shape, planes in pickle.loads(zstandard.ZstdDecompressor().decompress(value)):
+        dtype = np.dtype(kind)
+        if dtype.kind == "f":
+            out.append(np.frombuffer(planes, dtype).reshape(shape))
+            continue
+        flat = np.frombuffer(planes, np.uint8).reshape(dtype.itemsize, -1).T
+        out.append(np.ascontiguousarray(flat).reshape(-1).view(dtype).reshape(shape))
+    return out
 
 
 def bucket(column: Column, modulus: int) -> Column:

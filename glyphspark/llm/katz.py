@@ -48,7 +48,7 @@ START, END = 0, 1
 #: No word holds a space, so these name the two ends.
 ENDS = (b" start", b" end")
 
-BLOCKS = "block string, tokens long, words binary, seq binary, docs binary"
+BLOCKS = "block string, tokens long, words binary, place binary, seq binary, docs binary"
 ASKED = "part int, block string, payload binary"
 ANSWER = "level int, part int, block string, payload binary, ngrams long, total long, ones array<long>"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -64,7 +64,7 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-_BLOCK_SCHEMA = pa.schema([("block", pa.string()), ("tokens", pa.int64()), ("words", pa.binary()), ("seq", pa.binary()), ("docs", pa.binary())])
+_BLOCK_SCHEMA = pa.schema([("block", pa.string()), ("tokens", pa.int64()), ("words", pa.binary()), ("place", pa.binary()), ("seq", pa.binary()), ("docs", pa.binary())])
 _ASK_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.string()), ("payload", pa.binary())])
 _ANSWER_SCHEMA = pa.schema([("level", pa.int32()), ("part", pa.int32()), ("block", pa.string()), ("payload", pa.binary()), ("ngrams", pa.int64()), ("total", pa.int64()), ("ones", pa.list_(pa.int64()))])
 
@@ -93,7 +93,8 @@ def _encode(block_tokens: int):
             keys = np.fromiter((xxhash.xxh64_intdigest(w, 0) for w in words), np.uint64, len(words))[order]
             ids, train, null = (np.array(x) for x in zip(*docs, strict=True))
             name = f"{where.stageId()}-{where.partitionId()}-{made}"
-            return _batch(_BLOCK_SCHEMA, [(name, n, pack(keys), pack(place[seq]), pack(ids, train, null))])
+            by_key = np.argsort(keys)
+            return _batch(_BLOCK_SCHEMA, [(name, n, pack(np.diff(keys[by_key], prepend=np.uint64(0))), pack(by_key), pack(place[seq]), pack(ids, train, null))])
 
         for batch in batches:
             ids, train, texts = (batch.column(i).to_pylist() for i in range(3))
@@ -118,8 +119,8 @@ def _encode(block_tokens: int):
 class _Block:
     """One block's arrays, rebuilt from its row and the answers to earlier levels."""
 
-    def __init__(self, words: bytes, seq: bytes, docs: bytes) -> None:
-        self.keys = unpack(words)[0].astype(np.uint64)
+    def __init__(self, place: bytes, seq: bytes, docs: bytes) -> None:
+        self.by_key = unpack(place)[0].astype(np.int64)
         self.seq = unpack(seq)[0].astype(np.int64)
         self.doc_ids, self.train, self.null = unpack(docs)
         ends = np.flatnonzero(self.seq == END)
@@ -128,17 +129,16 @@ class _Block:
         self.starts = self.seq == START
 
     # level 1 -----------------------------------------------------------------
-    def ask_words(self, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-        counts = np.bincount(self.seq[self.is_train], minlength=len(self.keys))
-        part = (mix64(self.keys, 1) % np.uint64(parts)).astype(np.int64)
-        for p, at in _by_part(part):
-            yield p, (self.keys[at], counts[at], (at == START).astype(np.int8))
-
-    def take_words(self, parts: int, answers: dict[int, list[np.ndarray]], model: dict) -> None:
-        part = (mix64(self.keys, 1) % np.uint64(parts)).astype(np.int64)
-        count, ids = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), np.int64)
-        for p, at in _by_part(part):
-            count[at], ids[at] = answers[p]
+    def ask_words(self, parts: int, words: bytes) -> Iterator[tuple[int, tuple]]:
+        keys = np.cumsum(unpack(words)[0].astype(np.uint64))
+        counts = np.bincount(self.seq[self.is_train], minlength=len(keys))[self.by_key]
+        # a part is a range of keys, so that the answers by part are in order of key
+        for p, at in _by_part(((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)):
+            yield p, (np.diff(keys[at], prepend=np.uint64(0)), counts[at], (self.by_key[at] == START).astype(np.int8))
+
+    def take_words(self, answers: dict[int, list[np.ndarray]], model: dict) -> None:
+        count, ids = np.zeros(len(self.by_key), np.int64), np.zeros(len(self.by_key), np.int64)
+        count[self.by_key], ids[self.by_key] = (np.concatenate([answers[p][i] for p in sorted(answers)]) for i in range(2))
         self.word_count, self.word_id = count, ids
         p = np.where(count > 0, model["d"][np.minimum(count, CUTOFF + 1)] * count / max(model["N"], 1), model["unknown"]) if model["discounted"] else (count + 0.5) / (model["N"] + 0.5 * (model["V"] + 1))
         self.logp = np.log10(p)[self.seq]
@@ -151,10 +151,10 @@ class _Block:
         context = np.concatenate([[-1], self.gram[:-1]])
         place = np.flatnonzero((context >= 0) & ~self.starts)
         place = place[self.gram_count[context[place]] > 0]  # an unseen context backs off with weight one
-        pair = context[place] * len(self.keys) + self.seq[place]
+        pair = context[place] * len(self.by_key) + self.seq[place]
         pair, first, of = np.unique(pair, return_index=True, return_inverse=True)
         self.place, self.of = place, of
-        self.ctx, self.word = np.divmod(pair, len(self.keys))
+        self.ctx, self.word = np.divmod(pair, len(self.by_key))
         self.lower = 10.0 ** self.logp[place[first]]
         self.count = np.bincount(of[self.is_train[place]], minlength=len(pair))
         self.contexts = np.unique(self.ctx)
@@ -191,8 +191,8 @@ class _Block:
         ids = np.zeros(len(self.ctx), np.int64)
         sums = np.zeros((len(self.gram_count), CUTOFF + 2))
         for p, c, g in self._chunks(parts, share):
-            total[g], ids[g], of_context = answers[p]
-            np.add.at(sums, c, of_context)
+            total[g], ids[g], of_context, below = answers[p]
+            np.add.at(sums, c, np.column_stack([of_context, below]))
         c = self.gram_count.astype(float)
         with np.errstate(divide="ignore", invalid="ignore"):
             kept = (sums[:, : CUTOFF] * (d[1 : CUTOFF + 1] * np.arange(1, CUTOFF + 1))).sum(1) + sums[:, CUTOFF]
@@ -235,11 +235,11 @@ def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def _rebuilt(row: dict, answers: list[dict], models: list[dict], parts: int) -> _Block:
     """The block as it stands after the levels of models."""
-    b = _Block(row["words"], row["seq"], row["docs"])
+    b = _Block(row["place"], row["seq"], row["docs"])
     for level, model in enumerate(models, 1):
         got = {a["part"]: unpack(a["payload"]) for a in answers if a["level"] == level}
         if level == 1:
-            b.take_words(parts, got, model)
+            b.take_words(got, model)
         else:
             b.ngrams()
             b.take_ngrams(parts, model["share"], got, model["d"])
@@ -250,8 +250,8 @@ def _ask_words(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = _Block(row["words"], row["seq"], row["docs"])
-                yield _batch(_ASK_SCHEMA, [(p, row["block"], pack(*x)) for p, x in b.ask_words(parts)])
+                b = _Block(row["place"], row["seq"], row["docs"])
+                yield _batch(_ASK_SCHEMA, [(p, row["block"], pack(*x)) for p, x in b.ask_words(parts, row["words"])])
 
     return run
 
@@ -262,7 +262,7 @@ def _count_words(parts: int):
     def run(key: tuple, asked: pa.Table) -> pa.Table:
         part, names = key[0].as_py(), asked.column("block").to_pylist()
         chunks = [unpack(x) for x in asked.column("payload").to_pylist()]
-        keys = np.concatenate([x[0].astype(np.uint64) for x in chunks])
+        keys = np.concatenate([np.cumsum(x[0].astype(np.uint64)) for x in chunks])
         words, of = np.unique(keys, return_inverse=True)
         count = np.bincount(of, np.concatenate([x[1] for x in chunks]).astype(float), len(words)).astype(np.int64)
         start = np.bincount(of, np.concatenate([x[2] for x in chunks]), len(words)) > 0
@@ -274,7 +274,7 @@ def _count_words(parts: int):
             at += len(x[0])
             rows.append((1, part, name, pack(count[own], ids[own]), 0, 0, None))
         seen = count > 0
-        rows.append((1, part, None, pack(words[seen], ids[seen], count[seen]), int((real > 0).sum()), int(real.sum()), np.bincount(np.minimum(real, CUTOFF + 2), minlength=CUTOFF + 2)[1 : CUTOFF + 2].tolist()))
+        rows.append((1, part, None, pack(np.diff(words[seen], prepend=np.uint64(0)), ids[seen], count[seen]), int((real > 0).sum()), int(real.sum()), np.bincount(np.minimum(real, CUTOFF + 2), minlength=CUTOFF + 2)[1 : CUTOFF + 2].tolist()))
         return pa.Table.from_batches([_batch(_ANSWER_SCHEMA, rows)])
 
     return run
@@ -315,19 +315,20 @@ def _count_ngrams(level: int, order: int, parts: int):
         ctx, word = ctx[by_word][new], word[by_word][new]
         seen = count > 0
         ids = (np.cumsum(seen) - 1) * parts + part
-        sums = np.zeros((len(contexts), CUTOFF + 2))
+        # of each context: followers with count 1, 2, ... CUTOFF, the other followers' counts, and P(w | h') over all
+        sums = np.zeros((len(contexts), CUTOFF + 1), np.int64)
         for r in range(1, CUTOFF + 1):
             sums[:, r - 1] = np.bincount(ctx[count == r], minlength=len(contexts))
         sums[:, CUTOFF] = np.bincount(ctx[count > CUTOFF], count[count > CUTOFF], len(contexts))
-        sums[:, CUTOFF + 1] = np.bincount(ctx[seen], lower[seen], len(contexts))
+        below = np.bincount(ctx[seen], lower[seen], len(contexts))
         rows, at, c = [], 0, 0
         for name, x in zip(names, chunks, strict=True):
             own, asked_for = of[at : at + len(x[1])], of_context[c : c + len(x[0])]
             at, c = at + len(x[1]), c + len(x[0])
             next_ids = ids[own] if level < order else np.zeros(len(own), np.uint8)  # for the next level alone
-            rows.append((level, part, name, pack(count[own], next_ids, sums[asked_for]), 0, 0, None))
+            rows.append((level, part, name, pack(count[own], next_ids, sums[asked_for], below[asked_for]), 0, 0, None))
         ones = np.bincount(np.minimum(count, CUTOFF + 2), minlength=CUTOFF + 2)[1 : CUTOFF + 2].tolist()
-        rows.append((level, part, None, pack(contexts[ctx[seen]], np.diff(word[seen], prepend=0), count[seen]), int(seen.sum()), int(count.sum()), ones))
+        rows.append((level, part, None, pack(contexts, ctx[seen], np.diff(word[seen], prepend=0), count[seen]), int(seen.sum()), int(count.sum()), ones))
         return pa.Table.from_batches([_batch(_ANSWER_SCHEMA, rows)])
 
     return run
@@ -375,7 +376,7 @@ def katz_scores(docs: DataFrame, train=None, order: int = ORDER, block_tokens: i
 
     train defaults to crc32(doc_id as text) mod 5 <> 1. Returns SCORES; score is the log10
     probability of the text's words and its end. The count tables stay in the shared folder,
-    partitioned by level and part: packed (word, id, count) and (context, word, count) arrays.
+    partitioned by level and part: packed (word, id, count) and (contexts, context, word, count) arrays.
     """
     spark = docs.sparkSession
     train = F.coalesce(bucket(F.col("doc_id"), 5) != 1, F.lit(True)) if train is None else train
@@ -394,9 +395,10 @@ def katz_scores(docs: DataFrame, train=None, order: int = ORDER, block_tokens: i
         if level == 1:
             asked, count = blocks.mapInArrow(_ask_words(parts), ASKED), _count_words(parts)
         else:
-            asked = blocks.groupBy("block").cogroup(_for_blocks(answers).groupBy("block")).applyInArrow(_ask_ngrams(parts, models, share), ASKED)
+            asked = blocks.drop("words").groupBy("block").cogroup(_for_blocks(answers).groupBy("block")).applyInArrow(_ask_ngrams(parts, models, share), ASKED)
             count = _count_ngrams(level, order, parts)
         answers.append(scratch.keep(asked.groupBy("part").applyInArrow(count, ANSWER), f"level{level}", "none"))
+        del asked  # its shuffle files can go
         release(spark)
         types, total, ones = _stats(answers[-1])
         d = discounts(ones)
@@ -406,7 +408,7 @@ def katz_scores(docs: DataFrame, train=None, order: int = ORDER, block_tokens: i
             unknown = sum(small) / max(total, 1)
             model |= {"N": total, "V": types, "unknown": unknown, "discounted": 1e-12 < unknown < 1}
         models.append(model)
-    return blocks.groupBy("block").cogroup(_for_blocks(answers).groupBy("block")).applyInArrow(_score(models, parts), SCORES)
+    return blocks.drop("words").groupBy("block").cogroup(_for_blocks(answers).groupBy("block")).applyInArrow(_score(models, parts), SCORES)
 
 
 def _for_blocks(answers: list[DataFrame]) -> DataFrame:
