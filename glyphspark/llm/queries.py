@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -21,6 +22,33 @@ def op2_trie_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ball_tree import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+
+def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cross_polytope import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -55,14 +83,14 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_katz, op2_trie_tokens, op7_warc, op8_mixing, op9_packing, op10_chat)
+    f.__name__: f for f in (op1_katz, op2_trie_tokens, op3_ball_tree, op5_cross_polytope, op6_simhash, op7_warc, op8_mixing, op9_packing, op10_chat)
 }
 
 
 def _oracles() -> dict[str, str]:
     from .chat import ORACLE
 
-    return {"op7_warc": OP7_SQL, "op10_chat": ORACLE}
+    return {"op3_ball_tree": OP3_SQL, "op7_warc": OP7_SQL, "op10_chat": ORACLE}
 
 
 ORACLES: dict[str, str] = _oracles()
