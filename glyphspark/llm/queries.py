@@ -37,6 +37,13 @@ SELECT * FROM r WHERE rank <= 20
 """
 
 
+def op4_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .cross_polytope import nearest
 
@@ -83,7 +90,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_katz, op2_trie_tokens, op3_ball_tree, op5_cross_polytope, op6_simhash, op7_warc, op8_mixing, op9_packing, op10_chat)
+    f.__name__: f for f in (op1_katz, op2_trie_tokens, op3_ball_tree, op4_quality_mil, op5_cross_polytope, op6_simhash, op7_warc, op8_mixing, op9_packing, op10_chat)
 }
 
 
