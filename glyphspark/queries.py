@@ -1,10 +1,653 @@
-"""Queries over the test tables, one or more for each operator, and the SQL that says the same."""
+"""Queries over the test tables, at least one for each operator, and SQL that says the same.
+
+The tables hold no recognition results, so pairs are made of part names: the reading of a name is
+the name with a change that depends on its key, and a second change stands for correction.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import distance, sequences, text
+from .operators import audit, calibration, correction, dataset, detection, images, profile, recognition, uncertainty, vocab
+from .plans import synthetic
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# inputs -----------------------------------------------------------------------
+def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, name = F.col("p_partkey"), F.col("p_name")
+    hyp = F.when(k % 7 == 0, F.substring(name, 2, 1000)).when(k % 7 == 1, F.concat(F.lit("x"), name)).when(k % 7 == 2, F.replace(name, F.lit("a"), F.lit("e"))).when(k % 7 == 3, F.concat(name, F.lit("zz"))).when(k % 7 == 4, F.lit("")).otherwise(name)
+    r = F.col("row_id")
+    after = F.when(r % 5 == 0, F.col("ref")).when(r % 5 == 1, F.concat("hyp", F.lit("q"))).when(r % 5 == 2, F.reverse("hyp")).otherwise(F.col("hyp"))
+    return table(spark, sf_dir, "part").select(k.alias("row_id"), name.alias("ref"), hyp.alias("hyp"), (k % 11 / 10).alias("conf")).withColumn("after", after)
+
+
+TRIPLES = """
+WITH p0 AS (SELECT p_partkey AS row_id, p_name AS ref, (p_partkey % 11) / 10.0::DOUBLE AS conf,
+    CASE p_partkey % 7 WHEN 0 THEN substr(p_name, 2) WHEN 1 THEN 'x' || p_name WHEN 2 THEN replace(p_name, 'a', 'e')
+        WHEN 3 THEN p_name || 'zz' WHEN 4 THEN '' ELSE p_name END AS hyp FROM part),
+triples AS (SELECT *, CASE row_id % 5 WHEN 0 THEN ref WHEN 1 THEN hyp || 'q' WHEN 2 THEN reverse(hyp) ELSE hyp END AS after FROM p0),
+m AS (SELECT *, levenshtein(ref, hyp) AS dist, length(ref) AS ref_n, length(hyp) AS hyp_n, ref = hyp AS exact,
+    levenshtein(ref, hyp) / length(ref)::DOUBLE AS aer, levenshtein(ref, after) AS after_dist, ref = after AS after_exact,
+    levenshtein(ref, after) / length(ref)::DOUBLE AS after_aer FROM triples)
+"""
+
+
+def by_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select((F.col("l_discount") * 10).alias("conf"), (F.col("l_returnflag") != "R").cast("int").alias("correct"))
+
+
+DISCOUNT = "WITH d AS (SELECT l_discount * 10 AS conf, (l_returnflag <> 'R')::INT AS correct FROM lineitem)"
+
+
+def by_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), F.least(F.col("value") / 500, F.lit(1.0)).alias("conf"), (F.col("event_type") != "error").cast("int").alias("correct"))
+
+
+EVENTS = "WITH d AS (SELECT event_id AS row_id, least(value / 500, 1.0) AS conf, (event_type <> 'error')::INT AS correct FROM events)"
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # scores of few distinct values, so that ties count
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.floor(F.col("n_chars") / 100) / 100).alias("score"))
+    return table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y")).join(docs, "doc_id")
+
+
+SCORED = "WITH d AS (SELECT doc_id, quality AS y, floor(n_chars / 100) / 100 AS score FROM labels JOIN documents USING (doc_id))"
+
+
+# text algebra -----------------------------------------------------------------
+@query("SELECT doc_id, length(replace(trim(text, E' \\t\\n\\r\\v\\f'), chr(10), ''))::INT AS n_aksharas, 0::DOUBLE AS ratio, false AS any_devanagari, false AS is_devanagari FROM documents")
+def akshara_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", text.akshara_count(t).alias("n_aksharas"), text.devanagari_ratio(t).alias("ratio"), text.is_devanagari(t, "any").alias("any_devanagari"), text.is_devanagari(t).alias("is_devanagari"))
+
+
+# a word with a conjunct, a precomposed nukta letter, a digit and a danda; and what its normal form ends in
+WORD, QA, QA_FOLDED = "\u0938\u094D\u0924\u094D\u0930\u0940", "\u0958\u0967\u0964", "\u0915\u093C\u0967\u0964"
+BOOK = "\u0915\u093F\u0924\u093E\u092C"
+
+
+def _mixed(name: Column, key: Column) -> Column:
+    """Names with Devanagari of several kinds, by key."""
+    return F.when(key % 4 == 0, F.concat(F.lit(f"{BOOK} "), name)).when(key % 4 == 1, F.lit(f"\u00A0{WORD}{QA} ")).when(key % 4 == 2, F.lit(" \u3000 ")).otherwise(name)
+
+
+INSIDE = "[^\\x{0900}-\\x{097F}]"
+UNIT = "(?:[\\x{0915}-\\x{0939}]\\x{093C}?\\x{094D})*[\\x{0915}-\\x{0939}]\\x{093C}?[\\x{093E}-\\x{094C}]*[\\x{0900}-\\x{0903}]*\\x{094D}?|."
+
+
+@query(f"""
+WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '{BOOK} ' || p_name WHEN 1 THEN '{WORD}{QA}' WHEN 2 THEN '' ELSE p_name END AS t FROM part), n AS (SELECT *, replace(t, '{QA}', '{QA_FOLDED}') AS normal FROM t)
+SELECT p_partkey, normal, regexp_extract_all(normal, '{UNIT}') AS units, length(regexp_replace(t, '{INSIDE}', '', 'g')) > 0 AS any_devanagari,
+    CASE WHEN t = '' THEN false ELSE length(regexp_replace(t, '{INSIDE}', '', 'g')) / length(replace(t, ' ', ''))::DOUBLE >= 0.5 END AS is_devanagari
+FROM n
+""")
+def aksharas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("t")
+    rows = table(spark, sf_dir, "part").select("p_partkey", _mixed(F.col("p_name"), F.col("p_partkey")).alias("t"))
+    return rows.select("p_partkey", text.normalize(t).alias("normal"), text.aksharas(t).alias("units"), text.is_devanagari(t, "any").alias("any_devanagari"), text.is_devanagari(t).alias("is_devanagari"))
+
+
+@query("SELECT p_partkey, list_transform(list_slice(regexp_extract_all(p_name, '.'), 1, 6), lambda c: 'U+' || lpad(upper(to_hex(unicode(c))), 4, '0')) AS codepoints FROM part")
+def codepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", text.codepoints(F.col("p_name"), 6).alias("codepoints"))
+
+
+@query(TRIPLES + "SELECT row_id, dist, aer, exact, CASE WHEN dist <= 2 THEN dist ELSE -1 END AS within_two FROM m")
+def edit_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = recognition.measured(triples(spark, sf_dir))
+    return m.select("row_id", "dist", "aer", "exact", distance.within(F.col("ref_a"), F.col("hyp_a"), 2).alias("within_two"))
+
+
+# recognition ------------------------------------------------------------------
+@query(TRIPLES + "SELECT count(*) AS n, sum(dist) / greatest(sum(ref_n), 1)::DOUBLE AS aer_corpus, avg(aer) AS aer_mean_per_word, avg(exact::INT) AS word_accuracy, 1 - avg(exact::INT) AS wer FROM m")
+def recognition_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognition.recognition_metrics(triples(spark, sf_dir))
+
+
+@query(TRIPLES + "SELECT row_id % 3 AS part, count(*) AS n, sum(dist) / greatest(sum(ref_n), 1)::DOUBLE AS aer_corpus, avg(aer) AS aer_mean_per_word, avg(exact::INT) AS word_accuracy, 1 - avg(exact::INT) AS wer FROM m GROUP BY 1")
+def recognition_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognition.recognition_metrics(triples(spark, sf_dir).withColumn("part", F.col("row_id") % 3), by=["part"])
+
+
+@query(TRIPLES + "SELECT avg(aer) AS aer, avg((ref <> hyp)::INT) AS wer, 1 - avg((ref <> hyp)::INT) AS word_accuracy FROM m")
+def training_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognition.training_metrics(triples(spark, sf_dir))
+
+
+@query(TRIPLES + "SELECT count(*) AS n, count(*) FILTER (exact) AS n_exact, count(*) FILTER (ref = hyp) AS n_raw_exact FROM m")
+def exact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognition.exact_counts(triples(spark, sf_dir))
+
+
+@query(TRIPLES + ", r AS (SELECT row_number() OVER w AS seen, sum(exact::INT) OVER w AS ok, sum(aer) OVER w AS e FROM m WINDOW w AS (ORDER BY row_id ROWS UNBOUNDED PRECEDING)) SELECT seen, ok / seen::DOUBLE AS accuracy, e / seen AS mean_aer FROM r WHERE seen % 500 = 0")
+def running_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognition.running_metrics(triples(spark, sf_dir)).select(F.col("seen").cast("long"), "accuracy", "mean_aer")
+
+
+@query(TRIPLES + "SELECT t.row_id, ref, CASE WHEN row_id % 9 = 0 THEN '' ELSE hyp END AS hyp FROM triples t")
+def joined_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = triples(spark, sf_dir)
+    return recognition.join_pairs(t.select("row_id", "ref"), t.where("row_id % 9 <> 0").select("row_id", "hyp"))
+
+
+# calibration ------------------------------------------------------------------
+@query(DISCOUNT + ", b AS (SELECT CASE WHEN conf >= 0.9::DOUBLE THEN 9 ELSE (SELECT max(i) FROM range(9) r(i) WHERE conf >= i * 0.1::DOUBLE) END AS bin, * FROM d), g AS (SELECT bin, count(*) AS n, avg(conf) AS c, avg(correct) AS a FROM b GROUP BY bin) SELECT sum(n * abs(c - a)) / sum(n) AS ece FROM g")
+def expected_calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibration.expected_calibration_error(by_discount(spark, sf_dir))
+
+
+@query(DISCOUNT + "SELECT avg((conf - correct) * (conf - correct)) AS brier FROM d")
+def brier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibration.brier(by_discount(spark, sf_dir))
+
+
+@query(DISCOUNT + ", e AS (SELECT i::INT AS bin, i * 0.1::DOUBLE AS lo, CASE WHEN i = 9 THEN 1.0::DOUBLE ELSE (i + 1) * 0.1::DOUBLE END AS hi FROM range(10) r(i)) SELECT bin, lo, hi, count(*) AS n, avg(conf) AS mean_confidence, avg(correct) AS actual_accuracy FROM d JOIN e ON conf > lo AND conf <= hi GROUP BY bin, lo, hi")
+def reliability_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibration.reliability_bins(by_discount(spark, sf_dir))
+
+
+@query(DISCOUNT + "SELECT avg(conf) AS mean_confidence, avg(correct) AS actual_accuracy, avg(conf) - avg(correct) AS overconfidence_gap FROM d")
+def calibration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibration.calibration_summary(by_discount(spark, sf_dir))
+
+
+CURVE = EVENTS + ", c AS (SELECT row_id, row_number() OVER w AS rank, row_number() OVER w / count(*) OVER ()::DOUBLE AS coverage, sum(1 - correct) OVER w / row_number() OVER w::DOUBLE AS risk FROM d WINDOW w AS (ORDER BY conf DESC, row_id ROWS UNBOUNDED PRECEDING))"
+
+
+@query(CURVE + "SELECT row_id, rank, coverage, risk FROM c")
+def risk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibration.risk_coverage(by_event(spark, sf_dir))
+
+
+@query(CURVE + "SELECT " + ", ".join(f"(SELECT risk FROM c ORDER BY abs(coverage - {v}), rank LIMIT 1) AS risk_{round(v * 100)}" for v in (0.5, 0.7, 0.9, 1.0)))
+def risk_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibration.risk_at(calibration.risk_coverage(by_event(spark, sf_dir)))
+
+
+@query()
+def calibration_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibration.calibration_metrics(by_event(spark, sf_dir))
+
+
+# detection --------------------------------------------------------------------
+@query(SCORED + """, c AS (SELECT count(*) FILTER (score >= 0.1 AND y = 1) AS tp, count(*) FILTER (score >= 0.1 AND y <> 1) AS fp, count(*) FILTER (score < 0.1 AND y = 1) AS fn, count(*) FILTER (score < 0.1 AND y <> 1) AS tn FROM d),
+r AS (SELECT *, tp / greatest(tp + fp, 1)::DOUBLE AS precision, tp / greatest(tp + fn, 1)::DOUBLE AS recall FROM c)
+SELECT *, 2 * precision * recall / greatest(precision + recall, 1e-12) AS f1, 5 * precision * recall / greatest(4 * precision + recall, 1e-12) AS f2 FROM r""")
+def detection_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detection.detection_metrics(scored(spark, sf_dir), 0.1)
+
+
+@query(SCORED + ", r AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS r FROM d) SELECT (sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0::DOUBLE) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)) AS roc_auc FROM r")
+def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detection.roc_auc(scored(spark, sf_dir))
+
+
+@query(SCORED + ", s AS (SELECT score, count(*) FILTER (y = 1) AS pos, count(*) AS n FROM d GROUP BY score), c AS (SELECT pos, sum(pos) OVER w AS cp, sum(n) OVER w AS cn, sum(pos) OVER () AS p FROM s WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) SELECT sum(pos * (cp / cn::DOUBLE)) / max(p) AS pr_auc FROM c")
+def pr_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detection.pr_auc(scored(spark, sf_dir))
+
+
+# correction audit -------------------------------------------------------------
+CATEGORY = TRIPLES + """, a AS (SELECT *, CASE WHEN hyp = after THEN 'unchanged' WHEN NOT exact AND after_exact THEN 'fixed' WHEN exact AND NOT after_exact THEN 'damaged'
+    WHEN after_dist < dist THEN 'improved' WHEN after_dist > dist THEN 'worsened' ELSE 'changed_equal' END AS category FROM m)
+"""
+
+
+@query(CATEGORY + """, c AS (SELECT count(*) AS n, count(*) FILTER (category = 'unchanged') AS unchanged, count(*) FILTER (category = 'fixed') AS fixed, count(*) FILTER (category = 'damaged') AS damaged,
+    count(*) FILTER (category = 'improved') AS improved_not_fixed, count(*) FILTER (category = 'worsened') AS worsened_still_wrong, count(*) FILTER (category = 'changed_equal') AS changed_equal,
+    avg(exact::INT) AS word_accuracy_before, avg(after_exact::INT) AS word_accuracy_after, avg(aer) AS aer_before, avg(after_aer) AS aer_after FROM a)
+SELECT *, word_accuracy_after - word_accuracy_before AS net_change, n - unchanged AS n_changed, fixed / greatest(n - unchanged, 1)::DOUBLE AS precision_of_changes, fixed / greatest(damaged, 1)::DOUBLE AS fix_damage_ratio FROM c""")
+def correction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.correction_audit(triples(spark, sf_dir))
+
+
+@query(CATEGORY + ", r AS (SELECT category, row_number() OVER (PARTITION BY category ORDER BY row_id)::INT AS rank, row_id, ref AS truth, hyp AS before, after FROM a WHERE category IN ('fixed', 'damaged')) SELECT * FROM r WHERE rank <= 10")
+def correction_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.correction_examples(triples(spark, sf_dir))
+
+
+@query(TRIPLES + ", c AS (SELECT substr(ref, i::INT, 1) AS expected, substr(hyp, i::INT, 1) AS read_as FROM m, range(1, 40) r(i) WHERE i <= least(ref_n, hyp_n)) SELECT expected, read_as, count(*) AS n FROM c WHERE expected <> read_as GROUP BY ALL")
+def akshara_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.akshara_confusions(triples(spark, sf_dir))
+
+
+@query(TRIPLES + ", c AS (SELECT substr(ref, i::INT, 1) AS expected, substr(hyp, i::INT, 1) AS read_as FROM m, range(1, 40) r(i) WHERE i <= least(ref_n, hyp_n)) SELECT expected, read_as, count(*) AS n FROM c WHERE expected <> read_as GROUP BY ALL ORDER BY n DESC, expected, read_as LIMIT 25")
+def top_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.akshara_confusions(triples(spark, sf_dir), 25)
+
+
+@query(TRIPLES + "SELECT dist, count(*) AS n FROM m WHERE NOT exact GROUP BY dist")
+def distance_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.distance_histogram(triples(spark, sf_dir))
+
+
+@query(TRIPLES + "SELECT ref_n, hyp_n, count(*) AS n FROM m WHERE NOT exact GROUP BY ALL")
+def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.length_histogram(triples(spark, sf_dir)).select(F.col("ref_n").cast("long"), F.col("hyp_n").cast("long"), "n")
+
+
+@query(TRIPLES + "SELECT row_id, ref AS truth, hyp AS prediction, regexp_extract_all(ref, '.') AS truth_aksharas, regexp_extract_all(hyp, '.') AS prediction_aksharas, dist AS distance, ref_n AS truth_length, hyp_n AS prediction_length FROM m WHERE NOT exact")
+def error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.error_rows(triples(spark, sf_dir), ("row_id",))
+
+
+@query(TRIPLES + "SELECT row_id, hyp AS hyp_a, after AS hyp_b FROM triples WHERE hyp <> after")
+def changed_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = triples(spark, sf_dir)
+    return audit.changed_readings(t, t.select("row_id", F.col("after").alias("hyp")))
+
+
+@query()
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = triples(spark, sf_dir).withColumn("score", 1 - F.col("conf"))
+    return audit.build_report(rows, 0.5, True).select(F.to_json(F.struct("*")).alias("report"))
+
+
+# vocabulary and lexicon -------------------------------------------------------
+CHARS = "c AS (SELECT unnest(regexp_extract_all(p_name, '.')) AS token FROM part WHERE {0}), counts AS (SELECT token, count(*) AS n FROM c GROUP BY token)"
+VOCAB = "WITH " + CHARS.format("p_partkey % 3 <> 0") + ", v AS (SELECT token, (row_number() OVER (ORDER BY token) + 3)::INT AS id FROM counts WHERE n >= 2 UNION ALL VALUES ('<pad>', 0), ('<s>', 1), ('</s>', 2), ('<unk>', 3))"
+
+
+def _names(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    return table(spark, sf_dir, "part").where(where).select("p_partkey", F.col("p_name").alias("text"))
+
+
+def _vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.build_vocab(_names(spark, sf_dir, "p_partkey % 3 <> 0"), min_freq=2)
+
+
+@query("WITH " + CHARS.format("true") + "SELECT token, n FROM counts")
+def char_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.char_counts(_names(spark, sf_dir))
+
+
+@query(VOCAB + "SELECT token, id FROM v")
+def build_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vocab(spark, sf_dir)
+
+
+@query(VOCAB + ", x AS (SELECT p_partkey, i, coalesce(v.id, 3) AS id FROM part, range(1, 9) r(i) LEFT JOIN v ON v.token = substr(p_name, i::INT, 1) WHERE i <= length(p_name)) SELECT p_partkey, [1] || list(id ORDER BY i) || [2] AS ids FROM x GROUP BY p_partkey")
+def encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = vocab.map_literal(vocab.as_map(_vocab(spark, sf_dir)))
+    return _names(spark, sf_dir).select("p_partkey", vocab.encode(F.col("text"), known, 10).alias("ids"))
+
+
+@query(VOCAB + "SELECT p_partkey, trim(substr(p_name, 1, 8)) AS decoded FROM part")
+def decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vocab(spark, sf_dir)
+    ids = _names(spark, sf_dir).select("p_partkey", vocab.encode(F.col("text"), vocab.map_literal(vocab.as_map(v)), 10).alias("ids"))
+    return ids.crossJoin(F.broadcast(vocab.itos_of(v))).select("p_partkey", vocab.decode(F.col("ids"), F.col("itos")).alias("decoded"))
+
+
+@query("WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(p_name, '.')) AS token FROM part), c AS (SELECT unnest(regexp_extract_all(c_name, '.')) AS token FROM customer) SELECT token, count(*) AS n FROM c WHERE token NOT IN (SELECT token FROM v) GROUP BY token")
+def out_of_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.out_of_vocab(table(spark, sf_dir, "customer").select(F.col("c_name").alias("text")), vocab.build_vocab(_names(spark, sf_dir)))
+
+
+WORDS = "w AS (SELECT unnest(string_split(p_name, ' ')) AS word FROM part UNION ALL SELECT p_type FROM part)"
+
+
+def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    return vocab.lexicon(part.select(F.explode(F.split("p_name", " ")).alias("word")), part.select(F.col("p_type").alias("word")), mode="none")
+
+
+@query(f"WITH {WORDS} SELECT word, count(*) AS freq FROM w WHERE word <> '' GROUP BY word")
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lexicon(spark, sf_dir)
+
+
+@query("SELECT DISTINCT p_name AS label FROM part")
+def unique_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.unique_labels(_names(spark, sf_dir))
+
+
+@query("WITH l AS (SELECT length(p_name)::BIGINT AS l FROM part) SELECT count(*) AS n, min(l)::INT AS min, max(l)::INT AS max, avg(l) AS mean, list_sort(list(l))[floor(0.99 * count(*))::INT + 1]::INT AS p99 FROM l")
+def length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.length_stats(_names(spark, sf_dir))
+
+
+@query("WITH " + CHARS.format("true") + "SELECT token, n FROM counts ORDER BY n DESC, token LIMIT 20")
+def most_common_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.most_common(vocab.char_counts(_names(spark, sf_dir)), 20, "token")
+
+
+# dataset preparation ----------------------------------------------------------
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    rel = F.concat(F.lit("img/"), k.cast("string"), F.when(k % 3 == 0, ".PNG").otherwise(".jpg"))
+    line = F.when(k % 8 == 0, F.lit("")).when(k % 8 == 1, rel).when(k % 8 == 2, F.concat(rel, F.lit(" latin label"))).when(k % 8 == 3, F.concat(F.lit("\uFEFF"), rel, F.lit(" कल"))).otherwise(F.concat(F.lit("  "), rel, F.lit("\t कल "), (k % 5).cast("string"), F.lit(" घर ")))
+    return table(spark, sf_dir, "pages").select("page_id", line.alias("value"), F.lit("/ann").alias("ann_dir"), F.concat(F.when(k % 4 == 0, "train").when(k % 4 == 1, "evaluation").when(k % 4 == 2, "TEST_set").otherwise("other"), F.lit(".txt")).alias("name"))
+
+
+LINES = """
+WITH rel AS (SELECT page_id, 'img/' || page_id || CASE WHEN page_id % 3 = 0 THEN '.PNG' ELSE '.jpg' END AS r FROM pages),
+parsed AS (SELECT page_id, CASE WHEN page_id % 8 < 2 THEN '' ELSE r END AS rel,
+    CASE WHEN page_id % 8 < 2 THEN '' WHEN page_id % 8 = 2 THEN 'latin label' WHEN page_id % 8 = 3 THEN 'कल' ELSE 'कल ' || page_id % 5 || ' घर' END AS text,
+    CASE page_id % 8 WHEN 0 THEN 'blank' WHEN 1 THEN 'fields' WHEN 2 THEN 'script' END AS reason FROM rel)
+"""
+
+
+@query(LINES + "SELECT page_id, rel, text, reason FROM parsed")
+def parse_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.parse_annotations(_lines(spark, sf_dir)).select("page_id", "rel", "text", "reason")
+
+
+@query(LINES + "SELECT count(*) FILTER (reason IS NULL) AS kept, count(*) FILTER (reason = 'fields') AS skipped_fields, 0::BIGINT AS skipped_label, count(*) FILTER (reason = 'script') AS skipped_script, 0::BIGINT AS skipped_image FROM parsed")
+def skip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.skip_counts(dataset.parse_annotations(_lines(spark, sf_dir)))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'val' WHEN 2 THEN 'test' ELSE 'unknown' END AS split FROM pages")
+def split_of_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("page_id", dataset.split_of_name(F.col("name")).alias("split"))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of some pages, at each of the places that are tried."""
+    k = F.col("page_id")
+    name = F.concat(k.cast("string"), F.when(k % 3 == 0, ".PNG").otherwise(".jpg"))
+    where = F.when(k % 5 == 0, "/ann/img/").when(k % 5 == 1, "/raw/img/").when(k % 5 == 2, "/raw/").when(k % 5 == 3, "/raw/deep/er/")
+    found = table(spark, sf_dir, "pages").where(k % 5 != 4).select(F.concat(where, name).alias("path"))
+    return found.unionByName(found.where("path like '/raw/img/%'").select(F.concat(F.lit("/raw/"), F.substring_index("path", "/", -1)).alias("path")))
+
+
+FILES = "f AS (SELECT page_id, page_id || CASE WHEN page_id % 3 = 0 THEN '.PNG' ELSE '.jpg' END AS name, CASE page_id % 5 WHEN 0 THEN '/ann/img/' WHEN 1 THEN '/raw/img/' WHEN 2 THEN '/raw/' WHEN 3 THEN '/raw/deep/er/' END AS dir FROM pages WHERE page_id % 5 <> 4)"
+
+
+@query(LINES + f", {FILES} SELECT p.page_id, dir || name AS image FROM parsed p LEFT JOIN f USING (page_id) WHERE reason IS NULL")
+def resolve_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dataset.parse_annotations(_lines(spark, sf_dir)).where("reason is null")
+    return dataset.resolve_images(rows, _files(spark, sf_dir), "/raw").select("page_id", "image")
+
+
+@query(f"WITH {FILES} SELECT name, CASE WHEN page_id % 5 = 1 THEN '/raw/' || name ELSE dir || name END AS path FROM f")
+def image_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.image_index(_files(spark, sf_dir))
+
+
+@query(LINES + f", {FILES}, h AS (SELECT * FROM parsed WHERE reason IS NULL ORDER BY page_id LIMIT 200) SELECT count(*) AS n, count(*) FILTER (page_id IN (SELECT page_id FROM f)) AS found FROM h")
+def resolve_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dataset.parse_annotations(_lines(spark, sf_dir)).where("reason is null")
+    return dataset.resolve_rate(rows, _files(spark, sf_dir), "page_id")
+
+
+@query(f"WITH {FILES}, a AS (SELECT rtrim(dir, '/') AS directory FROM f UNION ALL SELECT '/raw' FROM f WHERE page_id % 5 = 1) SELECT directory, count(*) AS images FROM a GROUP BY directory")
+def directory_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.directory_counts(_files(spark, sf_dir))
+
+
+SPLIT = "l AS (SELECT DISTINCT c_mktsegment || '-' || c_custkey % 200 AS text FROM customer), o AS (SELECT text, row_number() OVER (ORDER BY md5('42:' || text), text) - 1 AS i, count(*) OVER () AS n FROM l), s AS (SELECT text, CASE WHEN i < floor(0.8 * n) THEN 'train' WHEN i < floor(0.9 * n) THEN 'val' ELSE 'test' END AS split FROM o)"
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_mktsegment", F.lit("-"), (F.col("c_custkey") % 200).cast("string")).alias("text"))
+
+
+@query(f"WITH {SPLIT} SELECT c_custkey, s.text, split FROM customer JOIN s ON s.text = c_mktsegment || '-' || c_custkey % 200")
+def split_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.split_by_label(_labelled(spark, sf_dir))
+
+
+@query(f"WITH {SPLIT} SELECT split, count(*) AS n FROM customer JOIN s ON s.text = c_mktsegment || '-' || c_custkey % 200 GROUP BY split")
+def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.split_counts(dataset.split_by_label(_labelled(spark, sf_dir)))
+
+
+@query()
+def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.dataset_stats(dataset.split_by_label(_labelled(spark, sf_dir))).select(F.to_json(F.struct("*")).alias("stats"))
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 1000")
+def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.sample_rows(table(spark, sf_dir, "orders").select("o_orderkey"), 1000, "o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 300")
+def head_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.head(table(spark, sf_dir, "orders").select("o_orderkey"), 300, "o_orderkey")
+
+
+@query("SELECT p_name AS text, list_sort(list(p_partkey)) AS rows, count(*) AS n FROM part GROUP BY p_name")
+def group_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.group_labels(_names(spark, sf_dir), value="p_partkey")
+
+
+@query("WITH h AS (SELECT c_name || ' ' || repeat(c_mktsegment || chr(9), c_nationkey % 4) AS v FROM customer ORDER BY c_custkey LIMIT 500) SELECT len(list_filter(regexp_split_to_array(v, '\\s+'), lambda x: x <> ''))::INT AS fields, count(*) AS n FROM h GROUP BY 1")
+def field_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit(" "), F.expr("repeat(concat(c_mktsegment, '\\t'), c_nationkey % 4)")).alias("value"))
+    return dataset.field_histogram(lines, "c_custkey")
+
+
+@query("SELECT p_partkey, list_transform(list_slice(regexp_extract_all(p_name, '.'), 1, 6), lambda c: 'U+' || lpad(upper(to_hex(unicode(c))), 4, '0')) AS first_codepoints, 0::DOUBLE AS devanagari_ratio FROM part")
+def label_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.label_inspection(_names(spark, sf_dir)).drop("text")
+
+
+@query("SELECT c_name AS image, c_mktsegment AS text, 0 AS part FROM customer UNION ALL SELECT s_name, s_name, 1 FROM supplier")
+def training_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.training_union(table(spark, sf_dir, "customer").select(F.col("c_name").alias("image"), F.col("c_mktsegment").alias("text")), table(spark, sf_dir, "supplier").select(F.col("s_name").alias("image"), F.col("s_name").alias("text")))
+
+
+# uncertainty ------------------------------------------------------------------
+@query("""
+WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings), m AS (SELECT vec_id, e, list_max(e) AS top FROM x),
+s AS (SELECT vec_id, e, top, list_transform(e, lambda v: exp(v - top)) AS x FROM m), p AS (SELECT vec_id, e, top, list_transform(x, lambda v: v / list_sum(x)) AS p FROM s)
+SELECT vec_id, (list_position(e, top) - 1)::INT AS token, list_max(p) AS prob, -list_sum(list_transform(p, lambda v: v * ln(v))) / ln(len(p)) AS entropy, list_sort(p, 'DESC')[1] - list_sort(p, 'DESC')[2] AS margin FROM p
+""")
+def token_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uncertainty.token_statistics(table(spark, sf_dir, "embeddings"), "embedding").select("vec_id", "token", "prob", "entropy", "margin")
+
+
+def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as predictions: absolute components are probabilities, and some rows are empty."""
+    e = F.when(F.col("vec_id") % 10 == 0, F.array().cast("array<double>")).otherwise(F.transform("embedding", lambda v: F.abs(v.cast("double"))))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", e.alias("token_probs"))
+    return rows.select("vec_id", F.lit("word").alias("text"), "token_probs", F.transform("token_probs", lambda v: v / 2).alias("token_entropies"), F.transform("token_probs", lambda v: 1 - v).alias("token_margins"), F.when(F.col("vec_id") % 3 == 0, F.array(F.lit("word"), F.lit("ward"))).otherwise(F.array().cast("array<string>")).alias("mc_variants"))
+
+
+@query("""
+WITH p AS (SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN []::DOUBLE[] ELSE list_transform(embedding, lambda v: abs(v::DOUBLE)) END AS p FROM embeddings)
+SELECT vec_id, CASE WHEN len(p) = 0 THEN 0 ELSE list_sum(p) / len(p) END AS mean_prob, coalesce(list_min(p), 0) AS min_prob,
+    CASE WHEN len(p) = 0 THEN -20 ELSE list_sum(list_transform(p, lambda v: ln(greatest(least(v, 1), 1e-12::DOUBLE)))) / len(p) END AS norm_logprob,
+    CASE WHEN len(p) = 0 THEN 0 ELSE list_sum(list_transform(p, lambda v: v / 2)) / len(p) END AS mean_entropy, coalesce(list_max(p) / 2, 0) AS max_entropy,
+    coalesce(list_min(list_transform(p, lambda v: 1 - v)), 0) AS min_margin, CASE WHEN vec_id % 3 = 0 THEN 0.5::DOUBLE ELSE 0 END AS mc_disagreement, len(p)::INT AS n_tokens,
+    CASE WHEN len(p) = 0 THEN -1 ELSE list_position(p, list_min(p)) - 1 END::INT AS weakest FROM p
+""")
+def sequence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uncertainty.sequence_features(_predictions(spark, sf_dir)).drop("text", "token_probs", "token_entropies", "token_margins", "mc_variants")
+
+
+@query("""
+WITH p AS (SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN []::DOUBLE[] ELSE list_transform(embedding, lambda v: abs(v::DOUBLE)) END AS p FROM embeddings),
+m AS (SELECT *, CASE WHEN len(p) = 0 THEN 0 ELSE list_sum(p) / len(p) END AS confidence FROM p)
+SELECT vec_id, confidence, confidence < 0.1 AS flagged, coalesce(p[1], 0) AS p1, coalesce(p[4], 0) AS p4, CASE WHEN vec_id % 2 = 0 THEN 1 / 5.0::DOUBLE END AS error_rate, 4 AS character_count FROM m
+""")
+def word_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = uncertainty.sequence_features(_predictions(spark, sf_dir)).withColumn("reference", F.when(F.col("vec_id") % 2 == 0, "words"))
+    r = uncertainty.word_results(p, 0.1)
+    return r.select("vec_id", "confidence", "flagged", F.get("char_probs", F.lit(0))["prob"].alias("p1"), F.get("char_probs", F.lit(3))["prob"].alias("p4"), "error_rate", "character_count")
+
+
+@query("""
+WITH w AS (SELECT user_id % 40 AS page_id, value < 10 AS flagged, event_type AS raw, CASE WHEN event_id % 6 = 0 THEN 'x' ELSE event_type END AS final, least(value / 500, 1.0) AS confidence FROM events)
+SELECT page_id, count(*) AS n_words, count(*) FILTER (flagged) AS n_flagged, count(*) FILTER (raw <> final) AS n_corrected, sum(confidence) / count(*) AS mean_accuracy FROM w GROUP BY page_id
+""")
+def response_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("page_id"), (F.col("value") < 10).alias("flagged"), F.col("event_type").alias("raw"), F.when(F.col("event_id") % 6 == 0, "x").otherwise(F.col("event_type")).alias("final"), F.least(F.col("value") / 500, F.lit(1.0)).alias("confidence"))
+    return uncertainty.response_statistics(w)
+
+
+@query(TRIPLES + ", t AS (SELECT quantile_cont(conf, 0.8) AS t FROM triples) SELECT row_id, CASE WHEN conf < t THEN after ELSE hyp END AS after FROM triples, t")
+def conditional_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = triples(spark, sf_dir).withColumnRenamed("after", "corrected")
+    return uncertainty.correct_below(t, uncertainty.low_confidence_threshold(t)).select("row_id", "after")
+
+
+@query("SELECT vec_id, [v for v in embedding[:5]] || list_transform(range(3), lambda i: -100::FLOAT) AS padded, embedding[2:5] AS shifted, list_transform(embedding[:3], lambda v: CASE WHEN v < 0 THEN 0::FLOAT ELSE v END) AS unmasked FROM embeddings")
+def padded_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    five = F.slice("embedding", 1, 5)
+    padded = F.concat(five, F.array_repeat(F.lit(float(sequences.IGNORED)).cast("float"), 3))
+    return table(spark, sf_dir, "embeddings").select("vec_id", padded.alias("padded"), sequences.shift_left(five).alias("shifted"), sequences.unmask(F.slice("embedding", 1, 3)).alias("unmasked"))
+
+
+@query()
+def model_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An injected model, here one that reads a vector's largest components."""
+
+    def load():
+        def model(rows: list[dict], passes: int) -> list[dict]:
+            out = []
+            for r in rows:
+                v = sorted((abs(float(x)) for x in r["embedding"]), reverse=True)[:4]
+                out.append({"text": f"v{len(v)}", "tokens": list(range(4)), "token_probs": v, "token_entropies": [0.0] * 4, "token_margins": [a - b for a, b in zip(v, [*v[1:], 0.0], strict=True)], "mc_variants": [f"v{i}" for i in range(passes)]})
+            return out
+
+        return model
+
+    return uncertainty.predict(table(spark, sf_dir, "embeddings"), load, "largest", "vec_id long", mc_passes=2)
+
+
+# profiles ---------------------------------------------------------------------
+def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each tenth of users in order of time, as ink: small values are blank."""
+    from pyspark.sql import Window
+
+    at = F.row_number().over(Window.partitionBy("profile_id").orderBy("ts", "event_id")) - 1
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("profile_id"), "ts", "event_id", F.when(F.col("value") >= 60, F.col("value")).otherwise(0.0).alias("v"))
+    return rows.select("profile_id", at.alias("i"), "v")
+
+
+INK = "WITH p AS (SELECT user_id % 50 AS profile_id, (row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) - 1)::INT AS i, CASE WHEN value >= 60 THEN value ELSE 0 END AS v FROM events)"
+
+
+@query(INK + ", k AS (SELECT *, max(v) OVER (PARTITION BY profile_id) AS peak FROM p), o AS (SELECT profile_id, i, i - row_number() OVER (PARTITION BY profile_id ORDER BY i) AS g FROM k WHERE v > 0.08 * peak) SELECT profile_id, min(i) AS start, max(i) + 1 AS \"end\" FROM o GROUP BY profile_id, g HAVING count(*) >= 3")
+def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.bands(_profile(spark, sf_dir), least=3)
+
+
+GAPS = INK + ", ink AS (SELECT profile_id, i, lag(i) OVER (PARTITION BY profile_id ORDER BY i) AS b FROM p WHERE v > 0), gaps AS (SELECT profile_id, b + 1 AS start, i AS \"end\", i - b - 1 AS gap FROM ink WHERE i - b > 1)"
+
+
+@query(GAPS + "SELECT profile_id, start, \"end\", gap FROM gaps")
+def interior_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.interior_gaps(_profile(spark, sf_dir))
+
+
+LIMITS = GAPS + """, u AS (SELECT DISTINCT profile_id, gap FROM gaps), n AS (SELECT profile_id, gap, lead(gap) OVER (PARTITION BY profile_id ORDER BY gap) AS b FROM u),
+j AS (SELECT profile_id, sqrt(gap * b) AS cut, b / greatest(gap, 1)::DOUBLE AS ratio, row_number() OVER (PARTITION BY profile_id ORDER BY b / greatest(gap, 1)::DOUBLE DESC, gap) AS r FROM n WHERE b IS NOT NULL),
+md AS (SELECT profile_id, median(gap) AS md FROM gaps GROUP BY profile_id), h AS (SELECT DISTINCT profile_id, profile_id % 30 AS height FROM p),
+lim AS (SELECT h.profile_id, CASE WHEN j.ratio >= 1.6 THEN cut WHEN md >= 0.3 * height THEN md * 0.6::DOUBLE ELSE 'inf'::DOUBLE END AS threshold FROM h LEFT JOIN j ON j.profile_id = h.profile_id AND r = 1 LEFT JOIN md ON md.profile_id = h.profile_id)"""
+
+
+def _heights(p: DataFrame) -> DataFrame:
+    return p.select("profile_id").distinct().withColumn("height", F.col("profile_id") % 30)
+
+
+@query(LIMITS + "SELECT profile_id, threshold FROM lim")
+def gap_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _profile(spark, sf_dir)
+    return profile.gap_threshold(profile.interior_gaps(p), _heights(p))
+
+
+@query(LIMITS + """, z AS (SELECT profile_id, max(i) + 1 AS size FROM p GROUP BY profile_id), t AS (SELECT profile_id, greatest(threshold, 3.0) AS t, size FROM lim JOIN z USING (profile_id)),
+o AS (SELECT ink.*, t, size, sum(CASE WHEN b IS NULL OR i - b - 1 >= t THEN 1 ELSE 0 END) OVER (PARTITION BY ink.profile_id ORDER BY i) AS w FROM ink JOIN t USING (profile_id)),
+s AS (SELECT profile_id, w, any_value(t) AS t, any_value(size) AS size, min(i) AS start, max(i) + 1 AS e FROM o GROUP BY profile_id, w),
+x AS (SELECT *, w = max(w) OVER (PARTITION BY profile_id) AND size - e < t AS open FROM s)
+SELECT profile_id, row_number() OVER (PARTITION BY profile_id ORDER BY start)::INT AS word_no, start, CASE WHEN open THEN size ELSE e END AS "end" FROM x WHERE open OR e - start >= 3""")
+def profile_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _profile(spark, sf_dir)
+    return profile.words(p, _heights(p), 3)
+
+
+@query("SELECT o_custkey % 100 AS profile_id, greatest(count(*) FILTER (o_totalprice > 0.18 * 200000), 1) AS n_words FROM orders GROUP BY 1")
+def meaningful_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.meaningful_words(table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("profile_id"), F.col("o_totalprice").alias("w"), F.lit(200000).alias("image_width")))
+
+
+# correction -------------------------------------------------------------------
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triples(spark, sf_dir).select(F.explode(F.split("hyp", " ")).alias("word")).where("word <> ''").distinct()
+
+
+@query(TRIPLES + f", {WORDS}, lex AS (SELECT word AS candidate, count(*) AS freq FROM w WHERE word <> '' GROUP BY word), q AS (SELECT DISTINCT unnest(string_split(hyp, ' ')) AS word FROM triples), n AS (SELECT word, candidate, levenshtein(word, candidate) AS distance, freq FROM q, lex WHERE word <> '' AND levenshtein(word, candidate) <= 2), r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, freq DESC, candidate)::INT AS rank FROM n) SELECT * FROM r WHERE rank <= 12")
+def nearest_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correction.nearest(_asked(spark, sf_dir), _lexicon(spark, sf_dir))
+
+
+@query("WITH s AS (SELECT DISTINCT p_name AS s FROM part), u AS (SELECT ['<w>'] || string_split(s, ' ') || ['</w>'] AS p FROM s), g AS (SELECT p[i] AS unit, p[i - 1] AS context FROM u, range(2, 10) r(i) WHERE i <= len(p)) SELECT 1 AS n, '' AS context, unit, count(*) AS c FROM g GROUP BY unit UNION ALL SELECT 2, context, unit, count(*) FROM g GROUP BY context, unit")
+def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "part").select("p_name").distinct()
+    return correction.ngram_counts(s.select(F.split("p_name", " ").alias("units")), 2)
+
+
+@query()
+def corrected_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lex = _lexicon(spark, sf_dir)
+    return correction.correct_words(_asked(spark, sf_dir), lex, correction.akshara_model(lex))
+
+
+# plans ------------------------------------------------------------------------
+def _values(items: list[str]) -> str:
+    return "(VALUES " + ", ".join(f"('{x}')" for x in items) + ")"
+
+
+UNITS = f"""c(u) AS {_values(list(synthetic.CONSONANTS))}, v(u) AS {_values(list(synthetic.VOWELS))}, j(u) AS {_values([p[0] + chr(0x94D) + p[1] for p in synthetic.CONJUNCT_PARTS])},
+m(s) AS {_values(synthetic.MATRAS)}, few(s) AS {_values(synthetic.MATRAS[: synthetic.CONJUNCT_MATRAS])},
+units AS (SELECT u AS unit FROM c UNION SELECT u FROM v UNION SELECT u FROM j UNION SELECT u || s FROM c, m UNION SELECT u || s FROM j, few)"""
+
+
+@query(f"WITH {UNITS} SELECT unit FROM units")
+def synthetic_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.units(spark)
+
+
+@query(f"""WITH {UNITS}, fonts AS (SELECT list_sort(list(DISTINCT s_name)) AS f FROM supplier WHERE s_suppkey < 12)
+SELECT unit AS item, k::INT AS repeat, f[(('0x' || substr(md5('11:' || unit || ':' || k), 1, 8))::BIGINT % len(f)) + 1] AS font FROM units, fonts, range(5) r(k)""")
+def render_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fonts = table(spark, sf_dir, "supplier").where("s_suppkey < 12").select(F.col("s_name").alias("font"))
+    return synthetic.render_plan(synthetic.units(spark), fonts, 5)
+
+
+# image rules ------------------------------------------------------------------
+METRIC_SQL = "SELECT l_orderkey * 10 + l_linenumber AS id, (l_quantity * 2)::INT AS ink_pixels, l_quantity / 10 AS aspect, l_extendedprice / 500 AS contrast, l_tax * 400 AS sharpness, l_discount * 400 AS shadow, l_tax * 5 AS margin FROM lineitem"
+
+
+@query(f"""WITH m AS ({METRIC_SQL}), e AS (SELECT *, CASE WHEN ink_pixels < 40 THEN ['no ink'] ELSE list_filter([CASE WHEN aspect < 1.25 THEN 'not a word' END, CASE WHEN contrast < 60 THEN 'low contrast' END, CASE WHEN sharpness < 12 THEN 'blurred' END], lambda x: x IS NOT NULL) END AS errors,
+    CASE WHEN ink_pixels < 40 THEN []::VARCHAR[] ELSE list_filter([CASE WHEN shadow > 25 THEN 'shadow' END, CASE WHEN margin > 0.28 THEN 'wide margin' END], lambda x: x IS NOT NULL) END AS warnings FROM m)
+SELECT id, array_to_string(errors, ';') AS errors, array_to_string(warnings, ';') AS warnings, len(errors) = 0 AS ok, count(*) AS n FROM e GROUP BY ALL""")
+def preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_quantity") * 2).cast("int").alias("ink_pixels"), (F.col("l_quantity") / 10).alias("aspect"), (F.col("l_extendedprice") / 500).alias("contrast"), (F.col("l_tax") * 400).alias("sharpness"), (F.col("l_discount") * 400).alias("shadow"), (F.col("l_tax") * 5).alias("margin"))
+    p = images.preflight(m)
+    return p.groupBy("id", F.array_join("errors", ";").alias("errors"), F.array_join("warnings", ";").alias("warnings"), "ok").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, greatest(o_custkey % 90 - 4, 0) AS x, greatest(o_orderkey % 70 - 4, 0) AS y, least(o_custkey % 90 + 30 + 4, 100) - greatest(o_custkey % 90 - 4, 0) AS w, least(o_orderkey % 70 + 20 + 4, 80) - greatest(o_orderkey % 70 - 4, 0) AS h FROM orders")
+def crop_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    box = profile.crop_box(F.col("o_custkey") % 90, F.col("o_orderkey") % 70, F.lit(30), F.lit(20), F.lit(100), F.lit(80), 4)
+    return o.select("o_orderkey", box.alias("b")).select("o_orderkey", "b.*")
