@@ -52,7 +52,8 @@ def argmin(values: Column) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    # least and greatest pass over nulls
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def safe_divide(x: Column, y: Column, floor: float = 1.0) -> Column:
