@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, mix64, pack, unpack
-from .vectors import matrix, merged, queries_of, valid
+from .vectors import QUERY_STEP, matrix, merged, queries_of, valid
 
 K = 20
 TABLES = 24
@@ -45,6 +45,8 @@ HOT = 65_536
 SMALL = 256
 #: Candidate pairs scored at a time.
 PAIRS = 250_000
+#: Queries in a task that finds probes.
+QUERIES = 256
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -95,6 +97,8 @@ class Hashes:
         """(rows, tables, probes) buckets, nearest first; -1 where there are no more."""
         full = (2 * self.width) ** self.hashes
         m = min(self.probes, full)
+        # of two falling lists' sums, the m largest lie at places (i, j) with (i + 1) (j + 1) <= m
+        first, second = np.nonzero(np.multiply.outer(np.arange(1, m + 1), np.arange(1, 2 * self.width + 1)) <= m)
         out = np.full((len(x), self.tables, m), -1, np.int64)
         for t in range(self.tables):
             keys, near = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
@@ -102,10 +106,12 @@ class Hashes:
                 r = self._turned(x, t, i)
                 both = np.stack([r, -r], 2).reshape(len(x), -1)  # axis a, sign s at 2 a + s
                 best = np.argsort(-both, axis=1)[:, :m]
-                total = near[:, :, None] + np.take_along_axis(both, best, 1)[:, None, :]
-                joined = keys[:, :, None] * (2 * self.width) + best[:, None, :]
-                keep = np.argsort(-total.reshape(len(x), -1), axis=1, kind="stable")[:, :m]
-                near, keys = (np.take_along_axis(a.reshape(len(x), -1), keep, 1) for a in (total, joined))
+                some = (first < near.shape[1]) & (second < best.shape[1])
+                a, b = first[some], second[some]
+                total = near[:, a] + np.take_along_axis(both, best, 1)[:, b]
+                joined = keys[:, a] * (2 * self.width) + best[:, b]
+                keep = np.argsort(-total, axis=1, kind="stable")[:, :m]
+                near, keys = np.take_along_axis(total, keep, 1), np.take_along_axis(joined, keep, 1)
             out[:, t, : keys.shape[1]] = keys
         return out
 
@@ -267,7 +273,9 @@ def nearest(rows: DataFrame, k: int = K, tables: int = TABLES, probes: int = PRO
     hot = {(r.table, r.bucket): min(parts, -(-r.n // large)) for r in counts.orderBy(F.desc("n"), "table", "bucket").limit(HOT).collect()}
     where = Parts(parts, hot)
     members = data.mapInArrow(_table_rows(h, where), "part int, payload binary")
-    asked = queries_of(data).mapInArrow(_probe_rows(h, where), "part int, payload binary")
+    # few bytes but much work: small partitions, which Spark must not join
+    asked = queries_of(data)
+    asked = asked.repartition(max(1, -(-n // (QUERY_STEP * QUERIES))), "vec_id").mapInArrow(_probe_rows(h, where), "part int, payload binary")
     found = members.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_scored(k), FOUND)
     # a pair met in several tables is one
     return merged(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
