@@ -143,11 +143,14 @@ def _vectors(column: pa.Array, dims: int) -> np.ndarray:
     return matrix(column.to_pylist(), dims)
 
 
-def _entries(hashes: Hashes):
+def _hashed(hashes: Hashes):
+    """Vectors with their bucket in each table."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b = hashes.buckets(hashes.lifted(_vectors(batch.column(1), hashes.dims), False))
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(hashes.tables, dtype=np.int32), len(b))), pa.array(b.ravel())], names=["table", "bucket"])
+            each = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * hashes.tables), pa.array(b.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), each], names=["vec_id", "vec", "buckets"])
 
     return run
 
@@ -165,8 +168,8 @@ def _table_rows(hashes: Hashes, parts: Parts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, ids = _vectors(batch.column(1), hashes.dims), batch.column(0).to_numpy()
-            b = hashes.buckets(hashes.lifted(x, False))
-            key = parts.key(np.broadcast_to(np.arange(hashes.tables), b.shape).ravel(), b.ravel())
+            b = batch.column(2).flatten().to_numpy()
+            key = parts.key(np.tile(np.arange(hashes.tables), len(x)), b)
             row = np.repeat(np.arange(len(x)), hashes.tables)
             part = parts.part(key, (mix64(ids[row], 3) % parts.split(key).astype(np.uint64)).astype(np.int64))
             small = x.astype(np.float32)
@@ -269,10 +272,11 @@ def nearest(rows: DataFrame, k: int = K, tables: int = TABLES, probes: int = PRO
     h = Hashes(dims, tables, hashes, each, seed, 1.0 * largest if uneven else 0.0)
     parts = max(1, -(-n * tables // PART_ROWS))
     large = max(1, min(PART_ROWS, n * tables // parts) // 8)
-    counts = data.mapInArrow(_entries(h), "table int, bucket long").groupBy("table", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > large)
+    hashed = scratch.keep(data.mapInArrow(_hashed(h), "vec_id long, vec array<double>, buckets array<long>"), "buckets")
+    counts = hashed.select(F.posexplode("buckets").alias("table", "bucket")).groupBy("table", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > large)
     hot = {(r.table, r.bucket): min(parts, -(-r.n // large)) for r in counts.orderBy(F.desc("n"), "table", "bucket").limit(HOT).collect()}
     where = Parts(parts, hot)
-    members = data.mapInArrow(_table_rows(h, where), "part int, payload binary")
+    members = hashed.mapInArrow(_table_rows(h, where), "part int, payload binary")
     # few bytes but much work: small partitions, which Spark must not join
     asked = queries_of(data)
     asked = asked.repartition(max(1, -(-n // (QUERY_STEP * QUERIES))), "vec_id").mapInArrow(_probe_rows(h, where), "part int, payload binary")
