@@ -2,33 +2,41 @@
 
 Fingerprint. Words are `[^\\x20\\x09-\\x0D]+` of the whole text, A-Z lower-cased; shingles are runs
 of `shingle` words, repeats included (fewer words: the whole sequence). A bit is 1 if set in over
-half of the shingles' XXH64 values. More than one 64-bit word of fingerprint takes further seeds.
+half of the shingles' XXH64 values. Longer fingerprints go on with mixes of the same values.
 
-Search. A fingerprint is cut into `segments` of equal width. Two fingerprints that differ in at
-most `radius` bits differ in at most floor(radius / segments) bits in one segment, so each segment
-has a table by its value, and every fingerprint enumerates the Hamming ball of that size around
-its own value in each table; complete distances are verified on each match. Of two values that
-differ, one bit of the difference is 0 in exactly one of them at each place, so a flip is probed
-from the side that has the 0s first: half of the ball is enough to meet every neighbour.
+Search. A fingerprint is cut into segments. Each segment has a table by its value; every fingerprint
+enumerates the Hamming ball of `size` bits around its own value in each table, and complete
+distances are verified on each match. Two fingerprints that differ in at most `radius` bits differ
+in at most floor(radius / segments) bits in one segment, so with that size none is missed. Of two
+values that differ, the lowest bit of the difference is 0 in exactly one, so half of the ball,
+probed from that side, is enough to meet every neighbour.
+
+near_duplicates() is complete: 3-word shingles, 64 bits, radius 3, two segments, balls of one bit.
+
+similar_groups() also joins texts whose 5-word shingles are alike to 0.8 (Jaccard) or more, as a
+256-bit fingerprint of these estimates it, to within one standard deviation. So many bits differ then
+(about 15 %) that no pigeonhole search is small; candidates come from SEGMENTS_INDEX segments of 24
+bits of a second fingerprint, of 2-word shingles, which edits change less, with balls of one bit.
+For single-word edits at similarity 0.8 a pair is met with probability 0.95, at 0.9 with 0.998.
 
 Links, not pairs, leave a bucket: within one table entry the verified links join members by
 union-find, and only a spanning forest is emitted, so a group of n near copies gives n - 1 links.
 Where two members are joined already, no further link between them is looked for; groups are the
-same. Components of the links come from alternating large-star and small-star steps over the
-distinct fingerprints; nothing about fingerprints, links or components reaches the driver but
-counts.
+same. Components of the links come from alternating large-star and small-star steps; nothing about
+fingerprints, links or components reaches the driver but counts.
 
 Scale. Exact copies share a fingerprint and take part once. Tables are dealt by (segment, value);
 a value shared by more than BUCKET fingerprints is compared block against block within its task.
 
 Edge cases: null, empty and white-space texts have fingerprint zero and are linked like any other;
 repeated doc_ids are rows of their own in the output and one document in components; a null doc_id
-gets its fingerprint's component, and never names one unless alone; an empty table gives no rows;
-columns other than doc_id and text are ignored.
+gets its fingerprint's component, and never names one unless alone (then null); an empty table gives
+no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -38,47 +46,67 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, release
+from .common import Scratch, mix64, release
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 3
-SEGMENTS = 2
+WIDTH, SIZE = 32, 1
 #: Members of one table entry compared at a time.
 BUCKET = 2_048
+#: Shingles whose bits are added up at a time.
+CHUNK = 65_536
+
+# similar_groups: shingles and similarity, bits that decide, and the candidates' index.
+SIMILAR_SHINGLE, SIMILARITY, SIMILAR_WORDS = 5, 0.8, 4
+SHINGLE_INDEX, WORDS_INDEX, WIDTH_INDEX, SEGMENTS_INDEX = 2, 3, 24, 7
+
+
+def _hashes(words: list[bytes], flat: bytes, ends: list[int], shingle: int) -> np.ndarray:
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(flat, SEED)], np.uint64)
+    of = xxhash.xxh64_intdigest
+    starts = [0, *ends]
+    n = len(words) - shingle + 1
+    return np.fromiter((of(flat[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)), np.uint64, n)
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """64-bit SimHash of a text as signed-free int."""
+def fingerprints_of(text: bytes | None, kinds: tuple[tuple[int, int], ...] = ((SHINGLE, 1),)) -> list[np.ndarray]:
+    """For each (shingle, words) a fingerprint of so many 64-bit words."""
     words = text.lower().split() if text else []
     if not words:
-        return 0
-    if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), seed)]
-    else:
-        flat = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1).tolist()
-        starts = [0, *ends[:-1]]
-        of = xxhash.xxh64_intdigest
-        hashes = [of(flat[a : b - 1], seed) for a, b in zip(starts, ends[shingle - 1 :], strict=False)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return int(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(hashes), bitorder="little").view("<u8")[0])
+        return [np.zeros(w, np.uint64) for _, w in kinds]
+    flat = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1).tolist()
+    out = []
+    for shingle, width in kinds:
+        hashes = _hashes(words, flat, ends, shingle)
+        prints = np.zeros(width, np.uint64)
+        for w in range(width):
+            ones = np.zeros(64, np.int64)
+            for at in range(0, len(hashes), CHUNK):
+                h = hashes[at : at + CHUNK] if not w else mix64(hashes[at : at + CHUNK], w)
+                ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            prints[w] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
+        out.append(prints)
+    return out
 
 
-def _fingerprints(shingle: int, seeds: tuple[int, ...]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = b"".join(fingerprint(t, shingle, s).to_bytes(8, "big") for t in batch.column(1).to_pylist() for s in seeds)
-            width = 8 * len(seeds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([prints[i : i + width] for i in range(0, len(prints), width)], pa.binary())], names=["doc_id", "fp"])
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of a text, unsigned."""
+    return int(fingerprints_of(text, ((shingle, 1),))[0][0])
 
-    return run
 
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id and fp (the 64 bits as a signed long) for each row of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """doc_id and fp, the fingerprint's bytes, for each row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprints(shingle, seeds), "doc_id long, fp binary")
+    return rows.mapInArrow(run, "doc_id long, fp long")
 
 
 def ball(width: int, size: int) -> np.ndarray:
@@ -86,33 +114,31 @@ def ball(width: int, size: int) -> np.ndarray:
     return np.array([sum(1 << b for b in bits) for n in range(size + 1) for bits in combinations(range(width), n)], np.uint64)
 
 
-def _segments(words: np.ndarray, segments: int) -> tuple[np.ndarray, int]:
-    """Values of equal segments of fingerprints (n, words of 64 bits); segments of at most 64 bits."""
+def _segments(words: np.ndarray, width: int, count: int) -> np.ndarray:
+    """Values of the first `count` segments of `width` bits of fingerprints (n, words of 64 bits)."""
     bits = np.unpackbits(words.astype(">u8").view(np.uint8).reshape(len(words), -1), axis=1)
-    width = bits.shape[1] // segments
-    if width * segments != bits.shape[1] or width > 64:
-        raise ValueError("segments must cut the fingerprint into equal parts of at most 64 bits")
-    padded = np.zeros((len(words), segments, 64), np.uint8)
-    padded[:, :, 64 - width :] = bits.reshape(len(words), segments, width)
-    return np.packbits(padded, axis=2).view(">u8")[:, :, 0].astype(np.uint64), width
+    padded = np.zeros((len(words), count, 64), np.uint8)
+    padded[:, :, 64 - width :] = bits[:, : width * count].reshape(len(words), count, width)
+    return np.packbits(padded, axis=2).view(">u8")[:, :, 0].astype(np.uint64)
 
 
-def _tables(segments: int, size: int):
-    """Each fingerprint's entry in each table, and its probes around it."""
+def _tables(width: int, count: int, size: int):
+    """Rows (id, index, verify): an entry in each table, and probes around it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks = ball(width, size)
+        low = masks & (~masks + np.uint64(1))
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                prints = batch.column(0).slice(at, 4096).to_pylist()
-                words = np.frombuffer(b"".join(prints), ">u8").reshape(len(prints), -1)
-                values, width = _segments(words, segments)
-                masks = ball(width, size)
-                # the lowest bit of the difference is 0 in the prober: each pair meets once
-                low = masks & (~masks + np.uint64(1))
-                for s in range(segments):
+                part = batch.slice(at, 4096)
+                words = np.frombuffer(b"".join(part.column(1).to_pylist()), ">u8").reshape(part.num_rows, -1)
+                values = _segments(words, width, count)
+                for s in range(count):
+                    # the lowest bit of the difference is 0 in the prober: each pair meets once
                     row, m = np.nonzero((values[:, s, None] & low[None, :]) == 0)
                     keys = values[row, s] ^ masks[m]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), s, np.int32)), pa.array(keys.view(np.int64)), pa.array(m > 0), batch.column(0).slice(at, 4096).take(pa.array(row))], names=["segment", "value", "probe", "fp"])
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), s, np.int32)), pa.array(keys.view(np.int64)), pa.array(m > 0), part.column(0).take(take), part.column(2).take(take)], names=["segment", "value", "probe", "id", "fp"])
 
     return run
 
@@ -153,45 +179,46 @@ def forest(prints: np.ndarray, probe: np.ndarray, radius: int) -> list[tuple[int
 def _links(radius: int):
     """Verified links of each table entry; rows come sorted by (segment, value)."""
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         held: list[tuple] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_pylist()))
-            seg, val, probe, fps = (np.concatenate([h[i] for h in held]) if i < 3 else [x for h in held for x in h[3]] for i in range(4))
+            words = np.frombuffer(b"".join(batch.column(4).to_pylist()), ">u8").reshape(batch.num_rows, -1).astype(np.uint64)
+            held.append((*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)), words))
+            seg, val, probe, ids, words = (np.concatenate([h[i] for h in held]) for i in range(5))
             cut = np.flatnonzero((np.diff(seg) != 0) | (np.diff(val) != 0)) + 1
-            if len(cut):
-                last = cut[-1]
-                yield cut[:-1], probe[:last], fps[:last]
-                held = [(seg[last:], val[last:], probe[last:], fps[last:])]
-            else:
-                held = [(seg, val, probe, fps)]
+            last = cut[-1] if len(cut) else 0
+            if last:
+                yield cut[:-1], probe[:last], ids[:last], words[:last]
+            held = [(seg[last:], val[last:], probe[last:], ids[last:], words[last:])]
         if held:
-            yield np.zeros(0, np.int64), held[0][2], held[0][3]
+            yield np.zeros(0, np.int64), held[0][2], held[0][3], held[0][4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cut, probe, fps in groups(batches):
-            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(fps)]])
+        for cut, probe, ids, words in groups(batches):
+            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(ids)]])
             # an entry needs a member and another row
             useful = (ends - starts > 1) & (np.add.reduceat(~probe, starts) > 0)
             a, b = [], []
             for s, e in zip(starts[useful], ends[useful], strict=True):
-                own = fps[s:e]
-                words = np.frombuffer(b"".join(own), ">u8").reshape(e - s, -1).astype(np.uint64)
-                for i, j in forest(words, probe[s:e], radius):
-                    a.append(min(own[i], own[j]))
-                    b.append(max(own[i], own[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                for i, j in forest(words[s:e], probe[s:e], radius):
+                    a.append(min(ids[s + i], ids[s + j]))
+                    b.append(max(ids[s + i], ids[s + j]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def links(prints: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
-    """Links a < b over distinct fingerprints (column fp) whose closure is that of all near pairs."""
-    rows = prints.select("fp").mapInArrow(_tables(segments, radius // segments), "segment int, value long, probe boolean, fp binary")
+def links(prints: DataFrame, radius: int = RADIUS, width: int = WIDTH, count: int = 64 // WIDTH, size: int = SIZE) -> DataFrame:
+    """Links a < b of ids over distinct prints(id, index, verify: fingerprints' bytes).
+
+    Their closure is that of all pairs within radius that share an entry: all pairs within radius
+    if these are one fingerprint and radius < count * (size + 1).
+    """
+    rows = prints.select("id", "index", "verify").mapInArrow(_tables(width, count, size), "segment int, value long, probe boolean, id long, fp binary")
     dealt = rows.repartition("segment", "value").sortWithinPartitions("segment", "value", "probe")
-    return dealt.mapInArrow(_links(radius), "a binary, b binary").distinct()
+    return dealt.mapInArrow(_links(radius), "a long, b long").where("a <> b").distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
@@ -223,19 +250,70 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, segments: int = SEGMENTS, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """doc_id, fp (bytes) and component_id for each row of docs(doc_id, text).
+def _bytes(fp: str = "fp"):
+    return F.unhex(F.lpad(F.hex(fp), 16, "0"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, width: int = WIDTH, size: int = SIZE) -> DataFrame:
+    """doc_id, fp (64 bits as a signed long) and component_id for each row of docs(doc_id, text).
 
     component_id is the smallest doc_id of the documents linked to it, directly or through others.
     """
+    if radius >= 64 // width * (size + 1):
+        raise ValueError("these segments and balls could miss pairs within radius")
     scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.keep(fingerprints(docs, shingle, seeds), "fingerprints")
+    prints = scratch.keep(fingerprints(docs, shingle), "fingerprints")
     # one row a fingerprint, copies folded before the shuffle
     one = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    found = scratch.keep(links(one, radius, segments), "links")
+    found = scratch.keep(links(one.select(F.col("fp").alias("id"), _bytes().alias("index"), _bytes().alias("verify")), radius, width, 64 // width, size), "links")
     release(docs.sparkSession)
     roots = components(found, scratch)
     placed = one.join(roots, one["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = scratch.keep(placed.join(named, "root").select(F.col("fp").alias("f"), "component_id"), "components")
     return prints.join(by_print, prints["fp"] == by_print["f"]).select("doc_id", "fp", "component_id")
+
+
+def similar_radius(similarity: float, bits: int) -> int:
+    """Bits in which fingerprints of sets with that Jaccard similarity differ, and one standard deviation."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * p + math.sqrt(bits * p * (1 - p)))
+
+
+def _all_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = ((SHINGLE, 1), (SHINGLE_INDEX, WORDS_INDEX), (SIMILAR_SHINGLE, SIMILAR_WORDS))
+    for batch in batches:
+        fps, index, verify = [], [], []
+        for t in batch.column(1).to_pylist():
+            a, b, c = fingerprints_of(t, kinds)
+            fps.append(a[0])
+            index.append(b.astype(">u8").tobytes())
+            verify.append(c.astype(">u8").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(index, pa.binary()), pa.array(verify, pa.binary())], names=["doc_id", "fp", "index", "verify"])
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """id, first (smallest doc_id) and component_id for each distinct fingerprint of docs(doc_id, text).
+
+    Groups join texts linked by near_duplicates' fingerprints, and texts similar to `similarity`.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "similar")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    prints = scratch.keep(rows.mapInArrow(_all_prints, "doc_id long, fp long, index binary, verify binary"), "fingerprints")
+    whole = prints.groupBy("fp", "index", "verify").agg(F.min("doc_id").alias("first"))
+    # a node is a distinct fingerprint, named by its first document; documents without an id by a hash
+    nodes = scratch.keep(whole.withColumn("id", F.coalesce("first", -1 - F.abs(F.xxhash64("fp", "index", "verify") % F.lit(2**62)))), "nodes")
+    by_fp = scratch.keep(nodes.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    exact = links(by_fp.select(F.col("fp").alias("id"), _bytes().alias("index"), _bytes().alias("verify")))
+    one, two = (by_fp.select(F.col("fp").alias(f"fp_{x}"), F.col("least").alias(f"id_{x}")) for x in "ab")
+    near = exact.join(one, F.col("a") == F.col("fp_a")).join(two, F.col("b") == F.col("fp_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    same = nodes.join(by_fp, "fp").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    found = scratch.keep(near.unionByName(same), "links")
+    release(spark)
+    alike = scratch.keep(links(nodes, similar_radius(similarity, 64 * SIMILAR_WORDS), WIDTH_INDEX, SEGMENTS_INDEX, 1), "similar")
+    release(spark)
+    roots = scratch.keep(components(found.unionByName(alike), scratch), "roots")
+    placed = nodes.select("id", "first").join(roots, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("root", "id").alias("root"))
+    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    return placed.join(named, "root").select("id", "first", "component_id")

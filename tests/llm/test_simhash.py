@@ -54,10 +54,10 @@ def test_fingerprint_hash_is_sparks(spark):
         assert simhash.fingerprint(t.encode() if t is not None else None) == plain_print(t)
 
 
-@pytest.mark.parametrize("segments,radius", [(2, 3), (4, 3), (2, 5), (4, 9)])
-def test_components_equal_brute_force(spark, segments, radius, monkeypatch):
+@pytest.mark.parametrize("width,radius,size", [(32, 3, 1), (16, 3, 0), (32, 5, 2), (16, 9, 2)])
+def test_components_equal_brute_force(spark, width, radius, size, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET", 16)
-    rng = random.Random(segments * 10 + radius)
+    rng = random.Random(width * 10 + radius)
     prints = [rng.getrandbits(64) for _ in range(60)] + [0]
     for _ in range(300):
         p = rng.choice(prints)
@@ -70,14 +70,14 @@ def test_components_equal_brute_force(spark, segments, radius, monkeypatch):
         prints.append(chain)
     items = list(enumerate(prints)) + [(1000 + i, prints[5]) for i in range(30)]
     rng.shuffle(items)
-    df = spark.createDataFrame([(d, p.to_bytes(8, "big")) for d, p in items], "first long, fp binary").repartition(4)
-    one = df.groupBy("fp").agg(F.min("first").alias("first"))
+    signed = lambda p: p - 2**64 if p >> 63 else p
+    one = spark.createDataFrame([(signed(p), p.to_bytes(8, "big"), p.to_bytes(8, "big")) for p in set(prints)], "id long, index binary, verify binary").repartition(4)
     scratch = Scratch(spark, "t")
-    roots = {bytes(r.node): bytes(r.root) for r in simhash.components(scratch.keep(simhash.links(one, radius, segments), "l"), scratch).collect()}
+    roots = {r.node: r.root for r in simhash.components(scratch.keep(simhash.links(one, radius, width, 64 // width, size), "l"), scratch).collect()}
     want = plain_components(items, radius)
     groups = {}
     for p in set(prints):
-        groups.setdefault(roots.get(p.to_bytes(8, "big"), p.to_bytes(8, "big")), set()).add(p)
+        groups.setdefault(roots.get(signed(p), signed(p)), set()).add(p)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, ({p for p in set(prints) if want[p] == c} for c in set(want.values()))))
 
 
@@ -91,7 +91,7 @@ def test_documents(spark):
     got = simhash.near_duplicates(df).collect()
     items = [(d, plain_print(t)) for d, t in rows]
     want = plain_components(items, 3)
-    assert sorted((str(r.doc_id), bytes(r.fp), r.component_id) for r in got) == sorted((str(d), p.to_bytes(8, "big"), want[p]) for d, p in items)
+    assert sorted((str(r.doc_id), r.fp % 2**64, r.component_id) for r in got) == sorted((str(d), p, want[p]) for d, p in items)
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -104,7 +104,35 @@ def test_half_a_ball_meets_every_neighbour():
             assert (a & lowest == 0) + (b & lowest == 0) == (2 if m == 0 else 1)
 
 
-def test_long_fingerprints(spark):
-    rows = [(i, f"doc {i} " + " ".join(f"t{(i * 7 + j) % 97}" for j in range(60))) for i in range(20)]
-    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), segments=4, seeds=(1, 2), radius=8).collect()
-    assert {len(r.fp) for r in got} == {16}
+def test_incomplete_search_is_refused(spark):
+    with pytest.raises(ValueError, match="miss"):
+        simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), radius=4)
+
+
+def shingles(text, k=5):
+    w = text.encode().lower().split()
+    return {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_similar_groups(spark):
+    rng = random.Random(6)
+    vocab = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(3000)]
+    rows, pairs = [], []
+    for i in range(200):
+        w = rng.choices(vocab, k=rng.randint(80, 400))
+        rows.append((2 * i, " ".join(w)))
+        for j in rng.sample(range(len(w)), max(1, len(w) // 60)):
+            w[j] = rng.choice(vocab)
+        rows.append((2 * i + 1, " ".join(w)))
+        pairs.append((2 * i, jaccard(*[t for _, t in rows[-2:]])))
+    rows += [(1000, None), (1001, ""), (None, rows[0][1]), (5, "other text of a repeated id"), (None, "alone without an id")]
+    got = {r.first: r.component_id for r in simhash.similar_groups(spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, id string")).collect()}
+    near = [d for d, j in pairs if j >= 0.8]
+    assert len(near) > 100 and sum(got[d + 1] == d for d in near) / len(near) > 0.93
+    assert all(got[d] in (d, 4) for d, _ in pairs) and got[1000] == 1000 and 1001 not in got and got[None] is None
+    assert simhash.similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
