@@ -417,3 +417,32 @@ def _for_blocks(answers: list[DataFrame]) -> DataFrame:
         a = a.where(F.col("block").isNotNull()).select("level", "part", "block", "payload")
         out = a if out is None else out.unionByName(a)
     return out
+
+
+#: The same at order 2, in SQL: crc32 by its bits, counts, discounts, backoff weights, scores.
+ORACLE = """
+WITH crc AS (SELECT doc_id, text, xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(coalesce(doc_id::VARCHAR, ''), '.'), lambda c: unicode(c)::BIGINT),
+    lambda a, b: list_reduce([xor(a, b)] || range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) AS crc FROM documents),
+t AS (SELECT row_number() OVER () AS row, doc_id, crc % 5 = 1 AS held_out, [' start'] || regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') || [' end'] AS s FROM crc),
+p AS (SELECT row, doc_id, held_out, unnest(list_slice(s, 1, len(s) - 1)) AS h, unnest(list_slice(s, 2, len(s))) AS w FROM t),
+u AS (SELECT w, count(*) AS c FROM p WHERE NOT held_out GROUP BY w),
+b AS (SELECT h, w, count(*) AS c FROM p WHERE NOT held_out GROUP BY h, w),
+n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM u),
+k AS (SELECT 1 AS level, [count(*) FILTER (c = 1), count(*) FILTER (c = 2), count(*) FILTER (c = 3), count(*) FILTER (c = 4), count(*) FILTER (c = 5), count(*) FILTER (c = 6)] AS n FROM u
+    UNION ALL SELECT 2, [count(*) FILTER (c = 1), count(*) FILTER (c = 2), count(*) FILTER (c = 3), count(*) FILTER (c = 4), count(*) FILTER (c = 5), count(*) FILTER (c = 6)] FROM b),
+g AS (SELECT level, n, list_transform(range(1, 6), lambda r: ((r + 1) * n[r + 1] / n[r]::DOUBLE / r - 6 * n[6] / n[1]::DOUBLE) / (1 - 6 * n[6] / n[1]::DOUBLE)) AS good FROM k),
+d AS (SELECT level, n, CASE WHEN list_min(n) > 0 AND 6 * n[6] < n[1] AND list_min(good) > 0 AND list_max(good) < 1 THEN good
+    ELSE list_transform(range(1, 6), lambda r: (r - CASE WHEN n[1] > 0 AND n[2] > 0 THEN n[1] / (n[1] + 2 * n[2])::DOUBLE ELSE 0.5::DOUBLE END) / r) END AS d FROM g),
+d1 AS (SELECT d AS d1, n AS n1 FROM d WHERE level = 1), d2 AS (SELECT d AS d2 FROM d WHERE level = 2),
+z AS (SELECT n.n, v, d1, d2, list_sum(list_transform(range(1, 6), lambda r: n1[r] * (1 - d1[r]) * r)) / greatest(n.n, 1) AS unknown FROM n, d1, d2),
+m AS (SELECT *, unknown > 1e-12 AND unknown < 1 AS discounted FROM z),
+pu AS (SELECT w, c, CASE WHEN discounted THEN CASE WHEN c <= 5 THEN d1[c] ELSE 1 END * c / n ELSE (c + 0.5) / (n + 0.5 * (v + 1)) END AS p FROM u, m),
+q AS (SELECT h, b.w, CASE WHEN b.c <= 5 THEN d2[b.c] ELSE 1 END * b.c AS kept, b.c, pu.p FROM b JOIN pu ON pu.w = b.w, m),
+x AS (SELECT h, sum(c) AS c, sum(kept) AS kept, sum(p) AS low FROM q GROUP BY h),
+y AS (SELECT h, kept, low, CASE WHEN c - kept > 1e-9 * c THEN 1 / c::DOUBLE ELSE 1 / (c + 1)::DOUBLE END AS scale FROM x),
+s AS (SELECT p.row, p.doc_id, p.held_out, pu.c IS NOT NULL AS known, log10((coalesce(pu.c, 0) + 0.5) / (n + 0.5 * (v + 1))::DOUBLE) AS base,
+    CASE WHEN q.kept IS NOT NULL THEN log10(q.kept * y.scale) ELSE log10(coalesce(pu.p, CASE WHEN discounted THEN unknown ELSE 0.5 / (n + 0.5 * (v + 1))::DOUBLE END))
+        + CASE WHEN y.h IS NULL THEN 0 ELSE log10((1 - y.kept * y.scale) / greatest(1 - y.low, 1e-300)) END END AS lp
+    FROM p CROSS JOIN m LEFT JOIN pu ON pu.w = p.w LEFT JOIN q ON q.h = p.h AND q.w = p.w LEFT JOIN y ON y.h = p.h)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (known) AS n_known, any_value((SELECT n FROM n)) AS train_tokens, sum(base) AS base_score, sum(lp) AS score FROM s GROUP BY row, doc_id, held_out
+"""

@@ -95,9 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _oracles() -> dict[str, str]:
-    from .chat import ORACLE
+    from . import chat, katz
 
-    return {"op3_ball_tree": OP3_SQL, "op7_warc": OP7_SQL, "op10_chat": ORACLE}
+    return {"op1_katz": katz.ORACLE, "op3_ball_tree": OP3_SQL, "op7_warc": OP7_SQL, "op10_chat": chat.ORACLE}
 
 
 ORACLES: dict[str, str] = _oracles()
