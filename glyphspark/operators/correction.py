@@ -126,8 +126,8 @@ def word_model(sentences: DataFrame, order: int = 3, text: str = "sentence") ->
     return NgramModel.fit(sentences.select(F.filter(F.split(text, r"\s+"), lambda w: w != "").alias("units")), order)
 
 
-def correct_words(words: DataFrame, lexicon: DataFrame, model: NgramModel, weights: dict[str, float] = WEIGHTS, margin: float = MARGIN, max_distance: int = MAX_DISTANCE, max_candidates: int = MAX_CANDIDATES, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(word, suggestion, accepted, distance, gain) for each distinct word of words(word)."""
+def candidate_values(words: DataFrame, lexicon: DataFrame, model: NgramModel, weights: dict[str, float] = WEIGHTS, max_distance: int = MAX_DISTANCE, max_candidates: int = MAX_CANDIDATES, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(word, candidate, distance, freq, value) for each distinct word of words(word), itself included."""
     one = words.select("word").distinct()
     found = nearest(one, lexicon, max_distance, max_candidates).select("word", "candidate", "distance", "freq")
     own = one.join(lexicon.select("word", "freq"), "word", "left").select("word", F.col("word").alias("candidate"), F.lit(0).alias("distance"), F.coalesce("freq", F.lit(0)).alias("freq"))
@@ -136,14 +136,45 @@ def correct_words(words: DataFrame, lexicon: DataFrame, model: NgramModel, weigh
     scored = options.join(model.logprob(texts, "candidate").select("candidate", "logprob"), "candidate")
     size = F.greatest(F.size(aksharas(F.col("word"))), F.lit(1))
     value = F.lit(weights["lm"]) * F.col("logprob") / size - F.lit(weights["distance"]) * F.col("distance") + F.lit(weights["visual"]) * word_similarity(F.col("word"), F.col("candidate"), pairs) + F.lit(weights["frequency"]) * F.ln(1 + F.col("freq"))
-    ranked = scored.withColumn("value", value)
-    best = ranked.groupBy("word").agg(
+    return scored.select("word", "candidate", "distance", "freq", value.alias("value"))
+
+
+def _chosen(valued: DataFrame, keys: list[str], margin: float) -> DataFrame:
+    """The best candidate where it gains more than margin on a word that the lexicon lacks."""
+    best = valued.groupBy(*keys).agg(
         F.max(F.when(F.col("candidate") == F.col("word"), F.struct("value", "freq"))).alias("own"),
         F.max(F.when(F.col("candidate") != F.col("word"), F.struct("value", (-F.col("distance")).alias("near"), "candidate"))).alias("best"),
     )
-    accepted = (F.col("own.freq") == 0) & (F.col("best.value") - F.col("own.value") > margin)
-    accepted = F.coalesce(accepted, F.lit(False))
-    return best.select("word", F.when(accepted, F.col("best.candidate")).otherwise(F.col("word")).alias("suggestion"), accepted.alias("accepted"), F.when(accepted, -F.col("best.near")).otherwise(0).alias("distance"), (F.col("best.value") - F.col("own.value")).alias("gain"))
+    accepted = F.coalesce((F.col("own.freq") == 0) & (F.col("best.value") - F.col("own.value") > margin), F.lit(False))
+    return best.select(*keys, F.when(accepted, F.col("best.candidate")).otherwise(F.col("word")).alias("suggestion"), accepted.alias("accepted"), F.when(accepted, -F.col("best.near")).otherwise(0).alias("distance"), (F.col("best.value") - F.col("own.value")).alias("gain"))
+
+
+def correct_words(words: DataFrame, lexicon: DataFrame, model: NgramModel, weights: dict[str, float] = WEIGHTS, margin: float = MARGIN, max_distance: int = MAX_DISTANCE, max_candidates: int = MAX_CANDIDATES, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(word, suggestion, accepted, distance, gain) for each distinct word of words(word)."""
+    return _chosen(candidate_values(words, lexicon, model, weights, max_distance, max_candidates, pairs), ["word"], margin)
+
+
+def correct_in_context(sentences: DataFrame, lexicon: DataFrame, model: NgramModel, context: NgramModel, weights: dict[str, float] = WEIGHTS, margin: float = MARGIN, max_distance: int = MAX_DISTANCE, max_candidates: int = MAX_CANDIDATES, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """sentences(sentence_id, words, flags) with corrected and text: flagged words in view of their neighbours.
+
+    A candidate's gain is that of correct_words, and lm times the change of the context model's log
+    probability over the words within its order, a step each.
+    """
+    reach = context.order - 1
+    flags = F.coalesce("flags", F.transform("words", lambda w: F.lit(True)))
+    each = sentences.select("sentence_id", "words", F.posexplode("words").alias("at", "word"), flags.alias("f")).withColumn("flag", F.get("f", F.col("at")))
+    around = lambda start, n: F.slice("words", start, F.greatest(n, F.lit(0)))
+    left = around(F.greatest(F.col("at") - reach, F.lit(0)) + 1, F.least(F.col("at"), F.lit(reach)))
+    right = around(F.col("at") + 2, F.least(F.size("words") - F.col("at") - 1, F.lit(reach)))
+    flagged = each.where("flag").select("sentence_id", "at", "word", left.alias("left"), right.alias("right"))
+    gains = candidate_values(flagged, lexicon, model, weights, max_distance, max_candidates, pairs)
+    options = flagged.join(gains, "word")
+    keyed = options.withColumn("key", F.concat_ws("\x1f", "sentence_id", "at", "candidate")).withColumn("units", F.concat("left", F.array("candidate"), "right"))
+    told = context.logprob(keyed, "key").select("key", F.col("logprob").alias("in_context"), F.col("n").alias("steps"))
+    valued = keyed.join(told, "key").withColumn("value", F.col("value") + F.lit(weights["lm"]) * F.col("in_context") / F.col("steps"))
+    best = _chosen(valued, ["sentence_id", "at", "word"], margin)
+    fixed = each.join(best.select("sentence_id", "at", "suggestion"), ["sentence_id", "at"], "left").withColumn("out", F.coalesce("suggestion", "word"))
+    return fixed.groupBy("sentence_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "out"))), lambda s: s["out"]).alias("corrected")).withColumn("text", F.array_join("corrected", " "))
 
 
 def correct_sentences(sentences: DataFrame, corrections: DataFrame) -> DataFrame:

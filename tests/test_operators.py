@@ -125,6 +125,8 @@ def test_correction_contract(spark):
     s = spark.createDataFrame([(1, ["सीता", "कीताब", "पढ़ती", "है"], [False, True, False, False]), (2, ["कीताब"], None)], "sentence_id int, words array<string>, flags array<boolean>")
     out = {r.sentence_id: r.text for r in correction.correct_sentences(s, fixed).collect()}
     assert out == {1: "सीता किताब पढ़ती है", 2: "किताब"}
+    seen = correction.correct_in_context(s, lex, model, sentences)
+    assert {r.sentence_id: r.text for r in seen.collect()} == out
     with pytest.raises(Exception, match="flags"):
         correction.correct_sentences(s.withColumn("flags", F.array(F.lit(True), F.lit(True), F.lit(True))), fixed).collect()
 
