@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import ship
 from ..functions import pixels
 
 # Limits of the quality rules.
@@ -33,6 +34,7 @@ def to_row(origin: str, a: np.ndarray) -> dict:
 
 def _mapped(images: DataFrame, schema: str, each: Callable[[dict], list[dict]]) -> DataFrame:
     """One image after another; pixels leave the task only if each() returns them."""
+    ship(images.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in schema.split(", ")]

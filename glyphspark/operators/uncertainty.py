@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import ship
 from ..functions import sequences as S
 from ..functions.distance import akshara_error_rate
 from ..functions.text import aksharas, characters
@@ -93,6 +94,7 @@ def predict(images: DataFrame, load: Callable[[], Callable], name: str, keep: st
     """
     import pandas as pd
 
+    ship(images.sparkSession)
     kept = [f.split()[0] for f in keep.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
