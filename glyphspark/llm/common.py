@@ -12,6 +12,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import ship
+
 #: Used only where the session names no shared folder, as in tests on one machine.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/glyphspark"
 
@@ -26,12 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{LOCAL_CHECKPOINTS}"
 
 
+#: Folders that this process has made, for clear().
+_MADE: list[str] = []
+
+
 class Scratch:
-    """Written tables in the shared folder; each cuts lineage and outlives a lost executor."""
+    """Written tables in the shared folder; each cuts lineage and outlives a lost executor.
+
+    A result may read them until it is consumed, so they stay; clear() deletes them afterwards.
+    """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        _MADE.append(self.root)
 
     def keep(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         """Write df once and return the table as written."""
@@ -42,14 +53,23 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Delete written tables that no later step reads, and let Spark drop old shuffle files."""
-        jvm = self.spark._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+        _delete(self.spark, *[f"{self.root}/{name}" for name in names])
         release(self.spark)
 
 
+def _delete(spark: SparkSession, *paths: str) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all written tables of this process; only when no result that reads them is needed."""
+    _delete(spark, *_MADE)
+    _MADE.clear()
+
+
 def release(spark: SparkSession) -> None:
     """Shuffle files go when the driver's garbage collection finds their plans unused."""
     for _ in range(2):  # what the first round frees lets go of more

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import ship
 from .common import bucket, pack, unpack
 
 PASSAGE = 512
@@ -180,6 +181,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample: int = SAMPLE, seed: int = SEED) -> Model:
     """Learn from labels(doc_id, quality) of docs(doc_id, text) for which learn holds."""
+    ship(docs.sparkSession)
     learn = bucket(F.col("doc_id"), 3) != 1 if learn is None else learn
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("label")).where(learn)
     of = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
@@ -208,6 +210,7 @@ def _scoring(sent):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of docs(doc_id, text)."""
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(bucket(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(_scoring(sent), SCHEMA)
@@ -215,6 +218,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def filter_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """Rows of docs that score at least threshold, with all their columns; decided row by row."""
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

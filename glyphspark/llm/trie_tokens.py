@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import ship
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Stored terminals a worker keeps.
 CACHE = 1_000_000
@@ -122,6 +124,7 @@ def _counting(sent, cache: int, run_name: str):
 
 def token_counts(docs: DataFrame, vocabulary: Vocabulary | None = None, cache: int = CACHE) -> DataFrame:
     """doc_id, n_pretokens and n_tokens for each row of docs(doc_id, text)."""
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary or Vocabulary.load())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(_counting(sent, cache, uuid.uuid4().hex), SCHEMA)
