@@ -6,6 +6,7 @@ exchange. Every block sends the distinct n-grams it holds, with its training cou
 partitions of the n-gram table; a partition sums the counts, stores its part of the table, and
 answers each block with the counts of what it asked for and, for every context, what the backoff
 weight needs. A block then evaluates the recursion for each of its tokens without a further join.
+Arrays are stored in pieces of a few hundred kilobytes, so no row is large, whatever a block holds.
 Nothing of corpus size reaches the driver; it sees only counts of counts.
 
 Model. Counts r <= CUTOFF are Good-Turing discounted (absolute discounting where the counts of
@@ -44,13 +45,17 @@ ORDER = 2
 CUTOFF = 5
 #: Tokens in a block, and at most about so many n-grams in a partition.
 BLOCK_TOKENS = 2_000_000
+#: Entries of an array in one row.
+PIECE = 65_536
 START, END = 0, 1
 #: No word holds a space, so these name the two ends.
 ENDS = (b" start", b" end")
 
-BLOCKS = "block string, tokens long, words binary, place binary, seq binary, docs binary"
-ASKED = "part int, block string, payload binary"
-ANSWER = "level int, part int, block string, payload binary, ngrams long, total long, ones array<long>"
+#: Written rows. level 0: a block's own arrays, part naming which (total: tokens, in its first row);
+#: else a level's answers to blocks, and, without a block, pieces of the level's table.
+ROWS = "level int, part int, block string, piece int, payload binary, ngrams long, total long, ones array<long>"
+WORDS, PLACE, SEQ, DOCS = range(4)
+ASKED = "part int, block string, piece int, payload binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -64,9 +69,14 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-_BLOCK_SCHEMA = pa.schema([("block", pa.string()), ("tokens", pa.int64()), ("words", pa.binary()), ("place", pa.binary()), ("seq", pa.binary()), ("docs", pa.binary())])
-_ASK_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.string()), ("payload", pa.binary())])
-_ANSWER_SCHEMA = pa.schema([("level", pa.int32()), ("part", pa.int32()), ("block", pa.string()), ("payload", pa.binary()), ("ngrams", pa.int64()), ("total", pa.int64()), ("ones", pa.list_(pa.int64()))])
+_ASK_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.string()), ("piece", pa.int32()), ("payload", pa.binary())])
+_ROW_SCHEMA = pa.schema([("level", pa.int32()), ("part", pa.int32()), ("block", pa.string()), ("piece", pa.int32()), ("payload", pa.binary()), ("ngrams", pa.int64()), ("total", pa.int64()), ("ones", pa.list_(pa.int64()))])
+
+
+def _pieces(n: int) -> Iterator[tuple[int, slice]]:
+    """Numbered slices of n entries, at least one."""
+    for i, at in enumerate(range(0, max(n, 1), PIECE)):
+        yield i, slice(at, at + PIECE)
 
 
 def _encode(block_tokens: int):
@@ -83,7 +93,7 @@ def _encode(block_tokens: int):
 
         words, seqs, docs, n = start()
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             seq = np.concatenate(seqs)
             counts = np.bincount(seq, minlength=len(words))
             # frequent words first: small ids compress well
@@ -94,7 +104,14 @@ def _encode(block_tokens: int):
             ids, train, null = (np.array(x) for x in zip(*docs, strict=True))
             name = f"{where.stageId()}-{where.partitionId()}-{made}"
             by_key = np.argsort(keys)
-            return _batch(_BLOCK_SCHEMA, [(name, n, pack(np.diff(keys[by_key], prepend=np.uint64(0))), pack(by_key), pack(place[seq]), pack(ids, train, null))])
+            keys, seq = keys[by_key], place[seq]
+            is_train = np.repeat(train.astype(bool), np.diff(np.concatenate([[-1], np.flatnonzero(seq == END)])))
+            count = np.bincount(seq[is_train], minlength=len(keys))[by_key]
+            rows = [(WORDS, i, pack(np.diff(keys[at], prepend=np.uint64(0)), count[at], (by_key[at] == START).astype(np.int8)), 0) for i, at in _pieces(len(keys))]
+            rows += [(PLACE, i, pack(by_key[at]), 0) for i, at in _pieces(len(by_key))]
+            rows += [(SEQ, i, pack(seq[at]), 0) for i, at in _pieces(len(seq))]
+            rows += [(DOCS, i, pack(ids[at], train[at], null[at]), 0 if i else n) for i, at in _pieces(len(ids))]
+            yield _batch(_ROW_SCHEMA, [(0, kind, name, i, data, 0, tokens, None) for kind, i, data, tokens in rows])
 
         for batch in batches:
             ids, train, texts = (batch.column(i).to_pylist() for i in range(3))
@@ -107,11 +124,11 @@ def _encode(block_tokens: int):
                 docs.append((doc or 0, t, doc is None))
                 n += len(w) + 1
                 if n >= block_tokens:
-                    yield flush()
+                    yield from flush()
                     made += 1
                     words, seqs, docs, n = start()
         if docs:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -119,26 +136,21 @@ def _encode(block_tokens: int):
 class _Block:
     """One block's arrays, rebuilt from its row and the answers to earlier levels."""
 
-    def __init__(self, place: bytes, seq: bytes, docs: bytes) -> None:
-        self.by_key = unpack(place)[0].astype(np.int64)
-        self.seq = unpack(seq)[0].astype(np.int64)
-        self.doc_ids, self.train, self.null = unpack(docs)
+    def __init__(self, own: list[dict]) -> None:
+        """own: the block's rows of level 0, by part and piece."""
+        parts = [[unpack(r["payload"]) for r in own if r["part"] == kind] for kind in (PLACE, SEQ, DOCS)]
+        self.by_key, self.seq = (np.concatenate([x[0].astype(np.int64) for x in p]) for p in parts[:2])
+        self.doc_ids, self.train, self.null = (np.concatenate([x[i] for x in parts[2]]) for i in range(3))
         ends = np.flatnonzero(self.seq == END)
         self.lengths = np.diff(np.concatenate([[-1], ends]))
         self.is_train = np.repeat(self.train.astype(bool), self.lengths)
         self.starts = self.seq == START
 
     # level 1 -----------------------------------------------------------------
-    def ask_words(self, parts: int, words: bytes) -> Iterator[tuple[int, tuple]]:
-        keys = np.cumsum(unpack(words)[0].astype(np.uint64))
-        counts = np.bincount(self.seq[self.is_train], minlength=len(keys))[self.by_key]
-        # a part is a range of keys, so that the answers by part are in order of key
-        for p, at in _by_part(((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)):
-            yield p, (np.diff(keys[at], prepend=np.uint64(0)), counts[at], (self.by_key[at] == START).astype(np.int8))
-
-    def take_words(self, answers: dict[int, list[np.ndarray]], model: dict) -> None:
+    def take_words(self, answers: list[list[np.ndarray]], model: dict) -> None:
+        """answers: by part and piece, which is the order of keys."""
         count, ids = np.zeros(len(self.by_key), np.int64), np.zeros(len(self.by_key), np.int64)
-        count[self.by_key], ids[self.by_key] = (np.concatenate([answers[p][i] for p in sorted(answers)]) for i in range(2))
+        count[self.by_key], ids[self.by_key] = (np.concatenate([a[i] for a in answers]) for i in range(2))
         self.word_count, self.word_id = count, ids
         p = np.where(count > 0, model["d"][np.minimum(count, CUTOFF + 1)] * count / max(model["N"], 1), model["unknown"]) if model["discounted"] else (count + 0.5) / (model["N"] + 0.5 * (model["V"] + 1))
         self.logp = np.log10(p)[self.seq]
@@ -233,25 +245,32 @@ def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(part[order[i]]), order[i:j]
 
 
-def _rebuilt(row: dict, answers: list[dict], models: list[dict], parts: int) -> _Block:
-    """The block as it stands after the levels of models."""
-    b = _Block(row["place"], row["seq"], row["docs"])
+def _rebuilt(rows: pa.Table, models: list[dict], parts: int) -> tuple[str, _Block]:
+    """A block's name, and the block as it stands after the levels of models."""
+    found = sorted(rows.to_pylist(), key=lambda r: (r["level"], r["part"], r["piece"]))
+    b = _Block([r for r in found if r["level"] == 0])
     for level, model in enumerate(models, 1):
-        got = {a["part"]: unpack(a["payload"]) for a in answers if a["level"] == level}
+        got = [(r["part"], unpack(r["payload"])) for r in found if r["level"] == level]
         if level == 1:
-            b.take_words(got, model)
+            b.take_words([x for _, x in got], model)
         else:
             b.ngrams()
-            b.take_ngrams(parts, model["share"], got, model["d"])
-    return b
+            b.take_ngrams(parts, model["share"], dict(got), model["d"])
+    return found[0]["block"], b
 
 
 def _ask_words(parts: int):
+    """Each piece of a block's words to the parts that hold them; a part is a range of keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = _Block(row["place"], row["seq"], row["docs"])
-                yield _batch(_ASK_SCHEMA, [(p, row["block"], pack(*x)) for p, x in b.ask_words(parts, row["words"])])
+                keys, count, start = unpack(row["payload"])
+                keys = np.cumsum(keys.astype(np.uint64))
+                out = []
+                for p, at in _by_part(((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)):
+                    out.append((p, row["block"], row["piece"], pack(np.diff(keys[at], prepend=np.uint64(0)), count[at], start[at])))
+                yield _batch(_ASK_SCHEMA, out)
 
     return run
 
@@ -260,7 +279,7 @@ def _count_words(parts: int):
     """Sum a partition's words over all blocks; answer each block."""
 
     def run(key: tuple, asked: pa.Table) -> pa.Table:
-        part, names = key[0].as_py(), asked.column("block").to_pylist()
+        part, names = key[0].as_py(), list(zip(asked.column("block").to_pylist(), asked.column("piece").to_pylist(), strict=True))
         chunks = [unpack(x) for x in asked.column("payload").to_pylist()]
         keys = np.concatenate([np.cumsum(x[0].astype(np.uint64)) for x in chunks])
         words, of = np.unique(keys, return_inverse=True)
@@ -272,20 +291,21 @@ def _count_words(parts: int):
         for name, x in zip(names, chunks, strict=True):
             own = of[at : at + len(x[0])]
             at += len(x[0])
-            rows.append((1, part, name, pack(count[own], ids[own]), 0, 0, None))
-        seen = count > 0
-        rows.append((1, part, None, pack(np.diff(words[seen], prepend=np.uint64(0)), ids[seen], count[seen]), int((real > 0).sum()), int(real.sum()), np.bincount(np.minimum(real, CUTOFF + 2), minlength=CUTOFF + 2)[1 : CUTOFF + 2].tolist()))
-        return pa.Table.from_batches([_batch(_ANSWER_SCHEMA, rows)])
+            rows.append((1, part, *name, pack(count[own], ids[own]), 0, 0, None))
+        words, ids, count = (a[count > 0] for a in (words, ids, count))
+        ones = np.bincount(np.minimum(real, CUTOFF + 2), minlength=CUTOFF + 2)[1 : CUTOFF + 2].tolist()
+        for i, x in _pieces(len(words)):
+            rows.append((1, part, None, i, pack(np.diff(words[x], prepend=np.uint64(0)), ids[x], count[x]), *((0, 0, None) if i else (int((real > 0).sum()), int(real.sum()), ones))))
+        return pa.Table.from_batches([_batch(_ROW_SCHEMA, rows)])
 
     return run
 
 
 def _ask_ngrams(parts: int, models: list[dict], share: float):
-    def run(_key, row: pa.Table, answers: pa.Table) -> pa.Table:
-        row = row.to_pylist()[0]
-        b = _rebuilt(row, answers.to_pylist(), models, parts)
+    def run(_key: tuple, found: pa.Table) -> pa.Table:
+        name, b = _rebuilt(found, models, parts)
         b.ngrams()
-        rows = [(p, row["block"], pack(*x)) for p, x in b.ask_ngrams(parts, share)]
+        rows = [(p, name, 0, pack(*x)) for p, x in b.ask_ngrams(parts, share)]
         return pa.Table.from_batches([_batch(_ASK_SCHEMA, rows)] if rows else [], schema=_ASK_SCHEMA)
 
     return run
@@ -295,7 +315,7 @@ def _count_ngrams(level: int, order: int, parts: int):
     """Sum a partition's n-grams over all blocks; answer each block with counts and context sums."""
 
     def run(key: tuple, asked: pa.Table) -> pa.Table:
-        part, names = key[0].as_py(), asked.column("block").to_pylist()
+        part, names = key[0].as_py(), list(zip(asked.column("block").to_pylist(), asked.column("piece").to_pylist(), strict=True))
         chunks = [unpack(x) for x in asked.column("payload").to_pylist()]
         contexts, of_context = np.unique(np.concatenate([x[0] for x in chunks]).astype(np.int64), return_inverse=True)
         at, ctx, word = 0, [], []
@@ -326,10 +346,13 @@ def _count_ngrams(level: int, order: int, parts: int):
             own, asked_for = of[at : at + len(x[1])], of_context[c : c + len(x[0])]
             at, c = at + len(x[1]), c + len(x[0])
             next_ids = ids[own] if level < order else np.zeros(len(own), np.uint8)  # for the next level alone
-            rows.append((level, part, name, pack(count[own], next_ids, sums[asked_for], below[asked_for]), 0, 0, None))
+            rows.append((level, part, *name, pack(count[own], next_ids, sums[asked_for], below[asked_for]), 0, 0, None))
         ones = np.bincount(np.minimum(count, CUTOFF + 2), minlength=CUTOFF + 2)[1 : CUTOFF + 2].tolist()
-        rows.append((level, part, None, pack(contexts, ctx[seen], np.diff(word[seen], prepend=0), count[seen]), int(seen.sum()), int(count.sum()), ones))
-        return pa.Table.from_batches([_batch(_ANSWER_SCHEMA, rows)])
+        ctx, word, count = ctx[seen], word[seen], count[seen]
+        for i, x in _pieces(len(ctx)):
+            held, place = np.unique(ctx[x], return_inverse=True)
+            rows.append((level, part, None, i, pack(contexts[held], place, np.diff(word[x], prepend=0), count[x]), *((0, 0, None) if i else (len(ctx), int(count.sum()), ones))))
+        return pa.Table.from_batches([_batch(_ROW_SCHEMA, rows)])
 
     return run
 
@@ -337,9 +360,8 @@ def _count_ngrams(level: int, order: int, parts: int):
 def _score(models: list[dict], parts: int):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def run(_key, row: pa.Table, answers: pa.Table) -> pa.Table:
-        b = _rebuilt(row.to_pylist()[0], answers.to_pylist(), models, parts)
-        return pa.table(b.result(models[0]), schema=schema)
+    def run(_key: tuple, found: pa.Table) -> pa.Table:
+        return pa.table(_rebuilt(found, models, parts)[1].result(models[0]), schema=schema)
 
     return run
 
@@ -376,14 +398,14 @@ def katz_scores(docs: DataFrame, train=None, order: int = ORDER, block_tokens: i
 
     train defaults to crc32(doc_id as text) mod 5 <> 1. Returns SCORES; score is the log10
     probability of the text's words and its end. The count tables stay in the shared folder,
-    partitioned by level and part: packed (word, id, count) and (contexts, context, word, count) arrays.
+    partitioned by level and part: pieces of packed (word, id, count) and (contexts, context, word, count) arrays.
     """
     spark = docs.sparkSession
     train = F.coalesce(bucket(F.col("doc_id"), 5) != 1, F.lit(True)) if train is None else train
     scratch = Scratch(spark, "katz")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train.cast("boolean").alias("train"), F.col("text").cast("binary").alias("text"))
-    blocks = scratch.keep(rows.mapInArrow(_encode(block_tokens), BLOCKS), "blocks", "none")
-    n_blocks, tokens = blocks.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    blocks = scratch.keep(rows.mapInArrow(_encode(block_tokens), ROWS), "blocks", "none")
+    n_blocks, tokens = blocks.agg(F.count_if((F.col("part") == DOCS) & (F.col("piece") == 0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     if not n_blocks:
         return spark.createDataFrame([], SCORES)
     parts = max(1, n_blocks, -(-tokens // block_tokens))
@@ -393,11 +415,12 @@ def katz_scores(docs: DataFrame, train=None, order: int = ORDER, block_tokens: i
     for level in range(1, order + 1):
         share = max(1.0, tokens / parts)
         if level == 1:
-            asked, count = blocks.mapInArrow(_ask_words(parts), ASKED), _count_words(parts)
+            words = blocks.where(F.col("part") == WORDS).select("block", "piece", "payload")
+            asked, count = words.mapInArrow(_ask_words(parts), ASKED), _count_words(parts)
         else:
-            asked = blocks.drop("words").groupBy("block").cogroup(_for_blocks(answers).groupBy("block")).applyInArrow(_ask_ngrams(parts, models, share), ASKED)
+            asked = _for_blocks(blocks, answers).groupBy("block").applyInArrow(_ask_ngrams(parts, models, share), ASKED)
             count = _count_ngrams(level, order, parts)
-        answers.append(scratch.keep(asked.groupBy("part").applyInArrow(count, ANSWER), f"level{level}", "none"))
+        answers.append(scratch.keep(asked.groupBy("part").applyInArrow(count, ROWS), f"level{level}", "none"))
         del asked  # its shuffle files can go
         release(spark)
         types, total, ones = _stats(answers[-1])
@@ -408,14 +431,15 @@ def katz_scores(docs: DataFrame, train=None, order: int = ORDER, block_tokens: i
             unknown = sum(small) / max(total, 1)
             model |= {"N": total, "V": types, "unknown": unknown, "discounted": 1e-12 < unknown < 1}
         models.append(model)
-    return blocks.drop("words").groupBy("block").cogroup(_for_blocks(answers).groupBy("block")).applyInArrow(_score(models, parts), SCORES)
+    return _for_blocks(blocks, answers).groupBy("block").applyInArrow(_score(models, parts), SCORES)
 
 
-def _for_blocks(answers: list[DataFrame]) -> DataFrame:
-    out = None
+def _for_blocks(blocks: DataFrame, answers: list[DataFrame]) -> DataFrame:
+    """Blocks' own arrays but their words, and all answers to them."""
+    columns = ["level", "part", "block", "piece", "payload"]
+    out = blocks.where(F.col("part") != WORDS).select(columns)
     for a in answers:
-        a = a.where(F.col("block").isNotNull()).select("level", "part", "block", "payload")
-        out = a if out is None else out.unionByName(a)
+        out = out.unionByName(a.where(F.col("block").isNotNull()).select(columns))
     return out
 
 
