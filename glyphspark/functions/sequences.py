@@ -19,15 +19,19 @@ def mean(values: Column, empty: float = 0.0) -> Column:
     return F.when(F.size(values) > 0, total(values) / F.size(values)).otherwise(F.lit(empty))
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value computed once however often then names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def softmax(logits: Column) -> Column:
-    shifted = F.transform(logits, lambda x: F.exp(x.cast("double") - F.array_max(logits).cast("double")))
-    return F.transform(shifted, lambda e: e / total(shifted))
+    shifted = let(F.array_max(logits).cast("double"), lambda top: F.transform(logits, lambda x: F.exp(x.cast("double") - top)))
+    return let(shifted, lambda s: let(total(s), lambda t: F.transform(s, lambda e: e / t)))
 
 
 def log_softmax(logits: Column) -> Column:
-    top = F.array_max(logits).cast("double")
-    norm = F.ln(total(F.transform(logits, lambda x: F.exp(x.cast("double") - top))))
-    return F.transform(logits, lambda x: x.cast("double") - top - norm)
+    norm = lambda top: F.ln(total(F.transform(logits, lambda x: F.exp(x.cast("double") - top))))
+    return let(F.array_max(logits).cast("double"), lambda top: let(norm(top), lambda n: F.transform(logits, lambda x: x.cast("double") - top - n)))
 
 
 def normalized_entropy(probs: Column) -> Column:

@@ -41,7 +41,9 @@ def akshara_pattern() -> str:
 
 def strip(text: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    # most texts have none there, and need no search from end to end
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(ends.rlike(SPACE), F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")).otherwise(text)
 
 
 def fold(text: Column) -> Column:
@@ -78,7 +80,10 @@ def aksharas(text: Column, exact: bool = False) -> Column:
 
 
 def akshara_count(text: Column, exact: bool = False) -> Column:
-    return F.size(aksharas(text, exact))
+    """Number of clusters, without making them; outside Devanagari each character but a line feed is one."""
+    normal = normalize(text, exact)
+    plain = F.length(F.translate(normal, "\n", ""))
+    return F.when(text.rlike(f"[{DEVANAGARI}]"), F.regexp_count(normal, F.lit(akshara_pattern()))).otherwise(plain).cast("int")
 
 
 def characters(text: Column) -> Column:
@@ -90,7 +95,8 @@ def devanagari_ratio(text: Column, of_all: bool = False) -> Column:
     """Share of code points in U+0900..097F among those that are not space (or among all); 0 if none."""
     rest = text if of_all else F.regexp_replace(text, SPACE, "")
     inside = F.length(F.regexp_replace(rest, f"[^{DEVANAGARI}]", ""))
-    return F.when(F.length(rest) > 0, inside / F.length(rest)).otherwise(F.lit(0.0))
+    # most texts that have none are told by a search, without being copied
+    return F.when(text.rlike(f"[{DEVANAGARI}]"), inside / F.length(rest)).otherwise(F.lit(0.0))
 
 
 def is_devanagari(text: Column, mode: str = "ratio", threshold: float = 0.5) -> Column:
@@ -99,8 +105,9 @@ def is_devanagari(text: Column, mode: str = "ratio", threshold: float = 0.5) ->
         return text.rlike(f"[{DEVANAGARI}]")
     if mode != "ratio":
         raise ValueError("mode is ratio or any")
-    visible = F.length(F.regexp_replace(text, SPACE, "")) > 0
-    return visible & (devanagari_ratio(text) >= threshold)
+    if threshold <= 0:
+        return text.rlike(f"[^{SPACE[1:]}")
+    return devanagari_ratio(text) >= threshold
 
 
 def codepoints(text: Column, first: int | None = None) -> Column:
