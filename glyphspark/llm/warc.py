@@ -14,9 +14,9 @@ only the digest and the largest page_id travel back, so a payload that a third o
 weighs no more than others; the join of records to payloads is one that Spark may split by skew.
 
 Edge cases: a null html is the empty payload; a null url is the empty URI; rows that repeat a
-page_id are one record each, and ties for the response go to one of them (the other revisits it,
-chosen by url); a null page_id takes part, never as the page referred to if another has an id; an
-empty table gives an empty archive; other columns are ignored.
+page_id are one record each, and of these the largest url is the response (rows alike in page_id, url
+and html are all responses); a null page_id takes part, never as the page referred to if another has
+an id; an empty table gives an empty archive; other columns are ignored.
 """
 
 from __future__ import annotations
