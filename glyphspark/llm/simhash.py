@@ -143,26 +143,13 @@ def _tables(width: int, count: int, size: int):
     return run
 
 
-class _Union:
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        if i == j:
-            return False
-        self.up[max(i, j)] = min(i, j)
-        return True
-
-
 def forest(prints: np.ndarray, probe: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Spanning links of one table entry: members against members, and probers against members."""
-    members, union, out = np.flatnonzero(~probe), _Union(len(prints)), []
+    """Spanning links of one table entry: members against members, and probers against members.
+
+    prints: (n, words of 64 bits). Work is the product of rows and members, a block at a time, in
+    NumPy; the loop goes over rows that have a near member, and over links.
+    """
+    members, group, out = np.flatnonzero(~probe), np.arange(len(prints)), []
     for a in range(0, len(prints), BUCKET):
         rows = np.arange(a, min(a + BUCKET, len(prints)))
         for b in range(0, len(members), BUCKET):
@@ -170,9 +157,14 @@ def forest(prints: np.ndarray, probe: np.ndarray, radius: int) -> list[tuple[int
             near = sum(np.bitwise_count(prints[rows, None, w] ^ prints[None, cols, w]).astype(np.int16) for w in range(prints.shape[1])) <= radius
             # a member meets each other member once
             near &= probe[rows, None] | (cols[None, :] > rows[:, None])
-            for i, j in zip(*np.nonzero(near), strict=True):
-                if union.join(int(rows[i]), int(cols[j])):
-                    out.append((int(rows[i]), int(cols[j])))
+            for i in np.flatnonzero(near.any(1)):
+                row, met = rows[i], cols[near[i]]
+                met = met[group[met] != group[row]]
+                while len(met):
+                    out.append((int(row), int(met[0])))
+                    x, y = group[row], group[met[0]]
+                    group[group == max(x, y)] = min(x, y)
+                    met = met[group[met] != group[row]]
     return out
 
 

@@ -55,8 +55,7 @@ def test_fingerprint_hash_is_sparks(spark):
 
 
 @pytest.mark.parametrize("width,radius,size", [(32, 3, 1), (16, 3, 0), (32, 5, 2), (16, 9, 2)])
-def test_components_equal_brute_force(spark, width, radius, size, monkeypatch):
-    monkeypatch.setattr(simhash, "BUCKET", 16)
+def test_components_equal_brute_force(spark, width, radius, size):
     rng = random.Random(width * 10 + radius)
     prints = [rng.getrandbits(64) for _ in range(60)] + [0]
     for _ in range(300):
@@ -81,6 +80,33 @@ def test_components_equal_brute_force(spark, width, radius, size, monkeypatch):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, ({p for p in set(prints) if want[p] == c} for c in set(want.values()))))
 
 
+@pytest.mark.parametrize("bucket", [7, 64, 2048])
+def test_forest_spans_all_links(monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng = random.Random(bucket)
+    for n in (1, 2, 3, 40, 200):
+        base = [rng.getrandbits(64) for _ in range(max(1, n // 8))]
+        prints = []
+        for _ in range(n):
+            p = rng.choice(base)
+            for _ in range(rng.randint(0, 4)):
+                p ^= 1 << rng.randrange(64)
+            prints.append(p)
+        probe = np.array([rng.random() < 0.3 for _ in range(n)])
+        edges = simhash.forest(np.array(prints, np.uint64)[:, None], probe, 3)
+        allowed = {(i, j) for i in range(n) for j in range(n) if i != j and not (probe[i] and probe[j]) and (prints[i] ^ prints[j]).bit_count() <= 3}
+        assert all(e in allowed for e in edges)
+
+        def classes(pairs):
+            up = list(range(n))
+            for i, j in pairs:
+                a, b = up[i], up[j]
+                up = [min(a, b) if x in (a, b) else x for x in up]
+            return up
+
+        assert classes(edges) == classes(allowed) and len(edges) == n - len(set(classes(allowed)))
+
+
 def test_documents(spark):
     rng = random.Random(2)
     words = ["w%d" % i for i in range(500)]
