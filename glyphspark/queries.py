@@ -115,7 +115,7 @@ def codepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.codepoints(F.col("p_name"), 6).alias("codepoints"))
 
 
-@query(TRIPLES + "SELECT row_id, dist, aer, exact, CASE WHEN dist <= 2 THEN dist ELSE -1 END AS within_two FROM m")
+@query(TRIPLES + "SELECT row_id, dist::INT AS dist, aer, exact, (CASE WHEN dist <= 2 THEN dist ELSE -1 END)::INT AS within_two FROM m")
 def edit_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = recognition.measured(triples(spark, sf_dir))
     return m.select("row_id", "dist", "aer", "exact", distance.within(F.col("ref_a"), F.col("hyp_a"), 2).alias("within_two"))
@@ -239,7 +239,7 @@ def top_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.akshara_confusions(triples(spark, sf_dir), 25)
 
 
-@query(TRIPLES + "SELECT dist, count(*) AS n FROM m WHERE NOT exact GROUP BY dist")
+@query(TRIPLES + "SELECT dist::INT AS dist, count(*) AS n FROM m WHERE NOT exact GROUP BY ALL")
 def distance_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.distance_histogram(triples(spark, sf_dir))
 
@@ -249,7 +249,7 @@ def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.length_histogram(triples(spark, sf_dir)).select(F.col("ref_n").cast("long"), F.col("hyp_n").cast("long"), "n")
 
 
-@query(TRIPLES + "SELECT row_id, ref AS truth, hyp AS prediction, regexp_extract_all(ref, '.') AS truth_aksharas, regexp_extract_all(hyp, '.') AS prediction_aksharas, dist AS distance, ref_n AS truth_length, hyp_n AS prediction_length FROM m WHERE NOT exact")
+@query(TRIPLES + "SELECT row_id, ref AS truth, hyp AS prediction, regexp_extract_all(ref, '.') AS truth_aksharas, regexp_extract_all(hyp, '.') AS prediction_aksharas, dist::INT AS distance, ref_n::INT AS truth_length, hyp_n::INT AS prediction_length FROM m WHERE NOT exact")
 def error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.error_rows(triples(spark, sf_dir), ("row_id",))
 
@@ -508,7 +508,7 @@ def conditional_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uncertainty.correct_below(t, uncertainty.low_confidence_threshold(t)).select("row_id", "after")
 
 
-@query("SELECT vec_id, [v for v in embedding[:5]] || list_transform(range(3), lambda i: -100::FLOAT) AS padded, embedding[2:5] AS shifted, list_transform(embedding[:3], lambda v: CASE WHEN v < 0 THEN 0::FLOAT ELSE v END) AS unmasked FROM embeddings")
+@query("SELECT vec_id, [v for v in embedding[:5]] || list_transform(range(3), lambda i: -100::FLOAT) AS padded, embedding[2:5] AS shifted, list_transform(embedding[:3], lambda v: CASE WHEN v < 0 THEN 0::DOUBLE ELSE v::DOUBLE END) AS unmasked FROM embeddings")
 def padded_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     five = F.slice("embedding", 1, 5)
     padded = F.concat(five, F.array_repeat(F.lit(float(sequences.IGNORED)).cast("float"), 3))
@@ -594,7 +594,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triples(spark, sf_dir).select(F.explode(F.split("hyp", " ")).alias("word")).where("word <> ''").distinct()
 
 
-@query(TRIPLES + f", {WORDS}, lex AS (SELECT word AS candidate, count(*) AS freq FROM w WHERE word <> '' GROUP BY word), q AS (SELECT DISTINCT unnest(string_split(hyp, ' ')) AS word FROM triples), n AS (SELECT word, candidate, levenshtein(word, candidate) AS distance, freq FROM q, lex WHERE word <> '' AND levenshtein(word, candidate) <= 2), r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, freq DESC, candidate)::INT AS rank FROM n) SELECT * FROM r WHERE rank <= 12")
+@query(TRIPLES + f", {WORDS}, lex AS (SELECT word AS candidate, count(*) AS freq FROM w WHERE word <> '' GROUP BY word), q AS (SELECT DISTINCT unnest(string_split(hyp, ' ')) AS word FROM triples), n AS (SELECT word, candidate, levenshtein(word, candidate)::INT AS distance, freq FROM q, lex WHERE word <> '' AND levenshtein(word, candidate) <= 2), r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, freq DESC, candidate)::INT AS rank FROM n) SELECT * FROM r WHERE rank <= 12")
 def nearest_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correction.nearest(_asked(spark, sf_dir), _lexicon(spark, sf_dir))
 
