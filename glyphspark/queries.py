@@ -651,3 +651,83 @@ def crop_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     box = profile.crop_box(F.col("o_custkey") % 90, F.col("o_orderkey") % 70, F.lit(30), F.lit(20), F.lit(100), F.lit(80), 4)
     return o.select("o_orderkey", box.alias("b")).select("o_orderkey", "b.*")
+
+
+# images: names of nations drawn as bars on a shaded page ------------------------
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ship
+
+    ship(spark)
+
+    def draw(frames):
+        import numpy as np
+        import pandas as pd
+
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples():
+                img, x = np.full((120, 60 + 30 * len(r.n_name)), 245.0), 30
+                for c in r.n_name:
+                    if c != " ":
+                        img[40:45, x : x + 26] = 30
+                        img[45:80, x + 8 + ord(c) % 9 : x + 12 + ord(c) % 9] = 40
+                    x += 28 if c != " " else 40
+                img *= np.linspace(1, 0.6 if r.n_nationkey % 2 else 1, img.shape[1])[None, :]
+                rows.append(images.to_row(str(r.n_nationkey), img.astype(np.uint8)))
+            yield pd.DataFrame(rows)
+
+    return table(spark, sf_dir, "nation").select("n_nationkey", "n_name").mapInPandas(draw, images.IMAGE)
+
+
+@query()
+def images_inspected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.preflight(images.inspect(_pages(spark, sf_dir)))
+
+
+@query("SELECT n_nationkey::VARCHAR AS origin, n_nationkey % 2 = 1 AS lighting, [120, 60 + 30 * length(n_name)]::INT[] AS original FROM nation")
+def images_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.prepare(_pages(spark, sf_dir)).select("origin", "lighting", "original")
+
+
+@query()
+def images_cropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.auto_crop(_pages(spark, sf_dir)).select("origin", "height", "width")
+
+
+@query()
+def images_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.augment(_pages(spark, sf_dir)).select("origin", "height", "width", F.md5("data").alias("digest"))
+
+
+@query("SELECT n_nationkey::VARCHAR AS origin, 1 AS line_no, count(*) AS n_words FROM (SELECT n_nationkey, unnest(string_split(n_name, ' ')) AS w FROM nation) GROUP BY 1")
+def pages_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.segment_pages(_pages(spark, sf_dir), level=False).groupBy("origin", "line_no").agg(F.count("*").alias("n_words"))
+
+
+@query("SELECT n_nationkey::VARCHAR AS origin, 0::DOUBLE AS angle FROM nation")
+def skew_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.skew(images.skew_scores(_pages(spark, sf_dir)))
+
+
+@query()
+def ink_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.ink_profiles(_pages(spark, sf_dir)).select("origin", "height", F.size("cols").alias("width"), F.aggregate("cols", F.lit(0.0), lambda a, v: a + v).alias("ink"))
+
+
+@query()
+def corrected_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names as sentences: the first word of each is flagged."""
+    t = triples(spark, sf_dir).where("hyp <> ''")
+    s = t.select(F.col("row_id").alias("sentence_id"), F.split("hyp", " ").alias("words")).withColumn("flags", F.transform("words", lambda w, i: i == 0))
+    lex = _lexicon(spark, sf_dir)
+    context = correction.word_model(t.select(F.col("ref").alias("sentence")))
+    return correction.correct_in_context(s, lex, correction.akshara_model(lex), context).select("sentence_id", "text")
+
+
+@query("SELECT DISTINCT '/f/' || s_name || CASE WHEN s_suppkey % 3 = 0 THEN '.ttf' ELSE '.otf' END AS font FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 5 <> 0")
+def fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.files import fonts as listed
+
+    k = F.col("s_suppkey")
+    line = F.concat(F.lit("/f/"), "s_name", F.when(k % 5 == 0, ".pfb").when(k % 3 == 0, ".ttf").otherwise(".otf"), F.when(k % 2 == 0, ": Devanagari").otherwise(": Latin"))
+    return listed(table(spark, sf_dir, "supplier").select(line.alias("value")))
