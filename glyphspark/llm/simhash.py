@@ -13,11 +13,8 @@ probed from that side, is enough to meet every neighbour.
 
 near_duplicates() is complete: 3-word shingles, 64 bits, radius 3, two segments, balls of one bit.
 
-similar_groups() also joins texts whose 5-word shingles are alike to 0.8 (Jaccard) or more, as a
-256-bit fingerprint of these estimates it, to within one standard deviation. So many bits differ then
-(about 15 %) that no pigeonhole search is small; candidates come from SEGMENTS_INDEX segments of 24
-bits of a second fingerprint, of 2-word shingles, which edits change less, with balls of one bit.
-For single-word edits at similarity 0.8 a pair is met with probability 0.95, at 0.9 with 0.998.
+similar_groups() joins texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, by
+a search that is complete and decides by the sets themselves (jaccard.py); it uses no fingerprint.
 
 Links, not pairs, leave a bucket: within one table entry the verified links join members by
 union-find, and only a spanning forest is emitted, so a group of n near copies gives n - 1 links.
@@ -29,8 +26,8 @@ Scale. Exact copies share a fingerprint and take part once. Tables are dealt by
 a value shared by more than BUCKET fingerprints is compared block against block within its task.
 
 Edge cases: null, empty and white-space texts have fingerprint zero and are linked like any other;
-repeated doc_ids are rows of their own in the output and one document in components; a null doc_id
-gets its fingerprint's component, and never names one unless alone (then null); an empty table gives
+repeated doc_ids are rows of their own in the output and one document in near_duplicates' components
+(similar_groups goes by text); a null doc_id gets its fingerprint's component, and never names one unless alone (then null); an empty table gives
 no rows; columns other than doc_id and text are ignored.
 """
 
@@ -57,9 +54,8 @@ BUCKET = 2_048
 #: Shingles whose bits are added up at a time.
 CHUNK = 65_536
 
-# similar_groups: shingles and similarity, bits that decide, and the candidates' index.
-SIMILAR_SHINGLE, SIMILARITY, SIMILAR_WORDS = 5, 0.8, 4
-SHINGLE_INDEX, WORDS_INDEX, WIDTH_INDEX, SEGMENTS_INDEX = 2, 3, 24, 7
+# similar_groups: shingles and similarity.
+SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 
 
 def _hashes(words: list[bytes], flat: bytes, ends: list[int], shingle: int) -> np.ndarray:
@@ -272,40 +268,18 @@ def similar_radius(similarity: float, bits: int) -> int:
     return math.floor(bits * p + math.sqrt(bits * p * (1 - p)))
 
 
-def _all_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = ((SHINGLE, 1), (SHINGLE_INDEX, WORDS_INDEX), (SIMILAR_SHINGLE, SIMILAR_WORDS))
-    for batch in batches:
-        fps, index, verify = [], [], []
-        for t in batch.column(1).to_pylist():
-            a, b, c = fingerprints_of(t, kinds)
-            fps.append(a[0])
-            index.append(b.astype(">u8").tobytes())
-            verify.append(c.astype(">u8").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(index, pa.binary()), pa.array(verify, pa.binary())], names=["doc_id", "fp", "index", "verify"])
-
-
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """id, first (smallest doc_id) and component_id for each distinct fingerprint of docs(doc_id, text).
+    """id, first (smallest doc_id), component_id and kept for each distinct text of docs(doc_id, text).
 
-    Groups join texts linked by near_duplicates' fingerprints, and texts similar to `similarity`.
+    A text is its words (jaccard.node). Groups join texts whose 5-word shingle sets are similar to
+    `similarity` or more. Of each group one text is kept: the one with component_id, the group's
+    smallest doc_id (of several, and of those without any, the one with the smallest id).
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "similar")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    prints = scratch.keep(rows.mapInArrow(_all_prints, "doc_id long, fp long, index binary, verify binary"), "fingerprints")
-    whole = prints.groupBy("fp", "index", "verify").agg(F.min("doc_id").alias("first"))
-    # a node is a distinct fingerprint, named by its first document; documents without an id by a hash
-    nodes = scratch.keep(whole.withColumn("id", F.coalesce("first", -1 - F.abs(F.xxhash64("fp", "index", "verify") % F.lit(2**62)))), "nodes")
-    by_fp = scratch.keep(nodes.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    exact = links(by_fp.select(F.col("fp").alias("id"), _bytes().alias("index"), _bytes().alias("verify")))
-    one, two = (by_fp.select(F.col("fp").alias(f"fp_{x}"), F.col("least").alias(f"id_{x}")) for x in "ab")
-    near = exact.join(one, F.col("a") == F.col("fp_a")).join(two, F.col("b") == F.col("fp_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    same = nodes.join(by_fp, "fp").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
-    found = scratch.keep(near.unionByName(same), "links")
-    release(spark)
-    alike = scratch.keep(links(nodes, similar_radius(similarity, 64 * SIMILAR_WORDS), WIDTH_INDEX, SEGMENTS_INDEX, 1), "similar")
-    release(spark)
-    roots = scratch.keep(components(found.unionByName(alike), scratch), "roots")
-    placed = nodes.select("id", "first").join(roots, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("root", "id").alias("root"))
-    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return placed.join(named, "root").select("id", "first", "component_id")
+    from .jaccard import similar_nodes
+
+    scratch = Scratch(docs.sparkSession, "similar")
+    nodes, roots = similar_nodes(docs, scratch, SIMILAR_SHINGLE, similarity)
+    placed = nodes.join(roots, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("root", "id").alias("root"))
+    order = F.struct(F.col("first").isNull(), "first", "id")
+    named = placed.groupBy("root").agg(F.min(order).alias("least"))
+    return placed.join(named, "root").select("id", "first", F.col("least.first").alias("component_id"), (F.col("id") == F.col("least.id")).alias("kept"))

@@ -162,3 +162,35 @@ def test_similar_groups(spark):
     assert len(near) > 100 and sum(got[d + 1] == d for d in near) / len(near) > 0.93
     assert all(got[d] in (d, 4) for d, _ in pairs) and got[1000] == 1000 and 1001 not in got and got[None] is None
     assert simhash.similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_copies_with_a_block_changed_are_joined(spark):
+    rng = random.Random(8)
+    made = lambda n: rng.choices(["v%d" % i for i in range(5000)], k=n)
+    rows, pairs = [], []
+    for i in range(180):
+        w = made(300)
+        cut = [w[:245], w + made(60), w[:120] + made(25) + w[145:]][i % 3]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(cut))]
+        pairs.append((2 * i, jaccard(rows[-2][1], rows[-1][1])))
+    got = {r.first: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(0.8 <= j < 0.84 for _, j in pairs)
+    assert all(got[d] == got[d + 1] == d for d, _ in pairs)
+
+
+def test_groups_equal_brute_force(spark):
+    rng = random.Random(10)
+    base, rows = [["v%d" % rng.randrange(400) for _ in range(rng.randint(3, 90))] for _ in range(12)], []
+    for i in range(240):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = "v%d" % rng.randrange(400)
+        rows.append((i, " ".join(w[rng.randint(0, 2) :])))
+    root = list(range(240))
+    for i in range(240):
+        for j in range(i):
+            if jaccard(rows[i][1], rows[j][1]) >= 0.8 and root[i] != root[j]:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert 12 < len(set(root)) < 200
+    assert all(r.component_id == root[r.first] for r in got) and sum(r.kept for r in got) == len(set(root))
