@@ -178,6 +178,20 @@ def test_copies_with_a_block_changed_are_joined(spark):
     assert all(got[d] == got[d + 1] == d for d, _ in pairs)
 
 
+def test_texts_below_the_similarity_are_not_joined(spark):
+    rng = random.Random(9)
+    made = lambda n: rng.choices(["v%d" % i for i in range(5000)], k=n)
+    line, rows = " ".join(made(12)), []
+    for i in range(60):  # one line over and over, else unrelated
+        rows.append((i, " ".join([" ".join(made(10)) if j % 3 == 0 else line for j in range(30)])))
+    for i in range(60):
+        w = made(300)
+        rows += [(100 + 2 * i, " ".join(w)), (101 + 2 * i, " ".join(w[: 230 + i % 5]))]
+    assert max(jaccard(rows[0][1], rows[i][1]) for i in range(1, 60)) < 0.2 and all(0.7 < jaccard(rows[i][1], rows[i + 1][1]) < 0.8 for i in range(60, 180, 2))
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 180 and all(r.component_id == r.first and r.kept for r in got)
+
+
 def test_groups_equal_brute_force(spark):
     rng = random.Random(10)
     base, rows = [["v%d" % rng.randrange(400) for _ in range(rng.randint(3, 90))] for _ in range(12)], []
