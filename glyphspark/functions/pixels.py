@@ -75,9 +75,29 @@ def without_specks(mask: np.ndarray, share: float, least: int) -> np.ndarray:
     return np.where(keep[labels], 255, 0).astype(np.uint8)
 
 
+def bilateral(img: np.ndarray, size: int = 7, color: float = 50.0, space: float = 50.0) -> np.ndarray:
+    """Mean of a round neighbourhood, weighted by distance and by likeness: noise goes, edges stay."""
+    half, (h, w) = size // 2, img.shape
+    padded = img.astype(float)
+    for axis in (0, 1):
+        pads = [(half, half) if a == axis else (0, 0) for a in (0, 1)]
+        padded = np.pad(padded, pads, mode="edge" if img.shape[axis] <= half else "reflect")
+    alike = np.exp(-np.arange(256.0) ** 2 / (2 * color * color))
+    total, weights = np.zeros((h, w)), np.zeros((h, w))
+    for dy in range(-half, half + 1):
+        for dx in range(-half, half + 1):
+            if dy * dy + dx * dx > half * half:
+                continue
+            near = padded[half + dy : half + dy + h, half + dx : half + dx + w]
+            weight = alike[np.abs(near - img).astype(np.uint8)] * math.exp(-(dy * dy + dx * dx) / (2 * space * space))
+            total += weight * near
+            weights += weight
+    return np.rint(total / weights).astype(np.uint8)
+
+
 def adaptive(img: np.ndarray, block: int, offset: float, share: float, least: int) -> np.ndarray:
-    """Ink darker than its surroundings by offset, without specks, 255 where ink."""
-    g = grey(img)
+    """Ink darker than its surroundings by offset, without noise and specks, 255 where ink."""
+    g = bilateral(grey(img))
     mean = np.rint(blur(g, block, mode="edge"))
     return without_specks(np.where(g <= mean - offset, 255, 0), share, least)
 

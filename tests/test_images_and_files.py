@@ -161,3 +161,13 @@ def test_plan(spark):
     plan = synthetic.render_plan(u, fonts, 3).collect()
     assert len(plan) == 3 * u.count() and {r.font for r in plan} == {"a", "b"}
     assert synthetic.repeats_for(250_000, 9495) == 26 and synthetic.repeats_for(1, 5) == 1
+
+
+def test_ink_of_a_noisy_page():
+    noise = np.random.default_rng(5)
+    for sd in (12, 15):
+        blank = np.clip(np.rint(200 + noise.normal(0, sd, (200, 500))), 0, 255).astype(np.uint8)
+        assert (pixels.ink_mask(blank) > 0).sum() < 40 and (pixels.binarize(blank) > 0).sum() < 400
+        written = blank.copy()
+        written[80:110, 100:104] = 30
+        assert (pixels.ink_mask(written)[80:110, 100:104] > 0).mean() > 0.95
