@@ -616,7 +616,7 @@ def _values(items: list[str]) -> str:
     return "(VALUES " + ", ".join(f"('{x}')" for x in items) + ")"
 
 
-UNITS = f"""c(u) AS {_values(list(synthetic.CONSONANTS))}, v(u) AS {_values(list(synthetic.VOWELS))}, j(u) AS {_values([p[0] + chr(0x94D) + p[1] for p in synthetic.CONJUNCT_PARTS])},
+UNITS = f"""c(u) AS {_values(list(synthetic.CONSONANTS))}, v(u) AS {_values(list(synthetic.VOWELS))}, j(u) AS {_values(synthetic.CONJUNCTS)},
 m(s) AS {_values(synthetic.MATRAS)}, few(s) AS {_values(synthetic.MATRAS[: synthetic.CONJUNCT_MATRAS])},
 units AS (SELECT u AS unit FROM c UNION SELECT u FROM v UNION SELECT u FROM j UNION SELECT u || s FROM c, m UNION SELECT u || s FROM j, few)"""
 
