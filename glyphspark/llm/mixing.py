@@ -9,21 +9,23 @@ and the rest is fitted from documents taken once more. Documents are counted by
 each length the rest's proportion is taken (so that the mix keeps the source's lengths), longest
 remaining lengths then fill the budget down to WINDOW lengths, and bounded-knapsack dynamic
 programming over the counts left finds the largest sum within what remains. Documents of a length
-are told apart by a seeded hash, so reruns agree; equal hashes are told apart by doc_id.
+have a seeded order, by a hash of doc_id, then doc_id, then a hash of the text, so reruns agree.
 
-Scale. Rows meet only as counts by (source, length), summed before their shuffle; one task holds a
-source's distinct lengths, never its documents. The choice of n documents of a length is by hash
-slices: counts by (source, length, slice) say which slices are taken whole, and rows are ranked
-only inside the one slice that is cut, 1/SLICES of a group. The rule for targets is a sum over the
-table of sources, repeated until nothing changes.
+Scale. Rows meet only as counts, summed before their shuffle: by (source, length) for the fit, whose
+tasks hold a source's distinct lengths, never its documents. Where a length is taken in part, a cut
+in the order says which: counts by slices of the hash find the slice that holds the cut, and counts
+by distinct keys inside it the cut itself. So a length that a third of all rows share is many slices,
+and a document repeated any number of times is one key. What comes back to the rows is one limit a
+(source, length), broadcast up to LIMITS of them, else joined; rows and texts aren't moved for it.
 
 Edge cases: a null or empty text has size 0 and is never taken; a null source is a source of its
-own; repeated rows are taken row by row; an empty table gives no rows; other columns are ignored.
+own; rows alike in doc_id, source and text are taken one by one, in no order; an empty table gives no
+rows; other columns are ignored, and carried along by mixed_documents.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +37,12 @@ MOST = 2.0
 SEED = 17
 #: Lengths beyond the largest that dynamic programming has as budget.
 WINDOW = 3
-SLICES = 1024
+#: Rows of a length in one slice of its order, about.
+SLICE_ROWS = 4_096
+#: Limits that are broadcast, at most; some 100 bytes each.
+LIMITS = 100_000
+#: Parts of a doubling by which sources are summed before the level is solved.
+STEPS = 16
 
 
 def words(text: Column) -> Column:
@@ -54,21 +61,33 @@ def _ranked(sources: DataFrame, scratch: Scratch) -> DataFrame:
     return placed.join(before, "pid").withColumn("place", F.col("i") + F.col("before")).drop("pid", "i", "n", "before")
 
 
+def _level(placed: DataFrame, budget: float) -> float:
+    """The level at which min(most, level * weight) sums to budget, from below."""
+    step = F.floor(F.log2(F.col("most") / F.col("weight")) * STEPS).cast("int")
+    # as many rows as doublings of a double have steps, whatever the number of sources
+    sums = placed.where("most > 0").groupBy(step.alias("step")).agg(F.sum("most").alias("most"), F.sum("weight").alias("weight")).collect()
+    capped, open_, level = 0.0, sum(r.weight for r in sums), 0.0
+    for r in sorted(sums, key=lambda r: r.step):
+        level = (budget - capped) / open_
+        if level < 2.0 ** ((r.step + 1) / STEPS):
+            break
+        # the level is above all of these, so they are full
+        capped, open_ = capped + r.most, open_ - r.weight
+    while True:  # only sources of one step are left to tell
+        full = F.col("most") < F.lit(level) * F.col("weight")
+        capped, open_ = placed.agg(F.coalesce(F.sum(F.when(full, F.col("most"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full & (F.col("most") > 0), F.col("weight"))), F.lit(0.0))).first()
+        risen = (budget - capped) / open_ if open_ else level
+        if risen <= level * (1 + 1e-12):
+            return level
+        level = risen
+
+
 def targets(sources: DataFrame, scratch: Scratch, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
     """sources(source, source_size) with weight and target."""
     scale = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
-    placed = _ranked(sources, scratch).withColumn("weight", scale).withColumn("most", F.lit(most) * F.col("source_size"))
+    placed = scratch.keep(_ranked(sources, scratch).withColumn("weight", scale).withColumn("most", F.lit(most) * F.col("source_size")), "placed")
     total = placed.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    # shared by weight: min(most, level * weight), where the level rises until the budget is spent
-    level = 0.0
-    while True:
-        full = F.col("most") < F.lit(level) * F.col("weight")
-        capped, open_ = placed.agg(F.coalesce(F.sum(F.when(full, F.col("most"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0))).first()
-        risen = (budget * total - capped) / open_ if open_ else level
-        if risen <= level * (1 + 1e-12):
-            break
-        level = risen
-    return placed.select("source", "source_size", "weight", F.least(F.col("most"), F.lit(level) * F.col("weight")).alias("target"))
+    return placed.select("source", "source_size", "weight", F.least(F.col("most"), F.lit(_level(placed, budget * total)) * F.col("weight")).alias("target"))
 
 
 def fit(lengths: list[int], counts: list[int], budget: int, window: int = WINDOW) -> list[int]:
@@ -111,44 +130,109 @@ def fit(lengths: list[int], counts: list[int], budget: int, window: int = WINDOW
     return take
 
 
-def _fitted(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("size")
-    target, total = float(group["target"].iloc[0]), int((group["size"] * group["n"]).sum())
-    passes = int(target // total) if total else 0
-    take = fit(group["size"].tolist(), group["n"].tolist(), round(target - passes * total))
-    return group.assign(passes=passes, take=take)[["source", "size", "passes", "take"]]
+def _fitted(group: pa.Table) -> pa.Table:
+    sizes, counts, target = group.column("size").to_pylist(), group.column("n").to_pylist(), group.column("target")[0].as_py()
+    order = sorted(range(len(sizes)), key=sizes.__getitem__)
+    sizes, counts = [sizes[i] for i in order], [counts[i] for i in order]
+    total = sum(s * n for s, n in zip(sizes, counts, strict=True))
+    passes = int(target // total)
+    take = fit(sizes, counts, round(target - passes * total))
+    source = pa.array([group.column("source")[0].as_py()] * len(sizes), pa.string())
+    return pa.table({"source": source, "size": pa.array(sizes, pa.int64()), "passes": pa.array([passes] * len(sizes), pa.int64()), "take": pa.array(take, pa.int64())})
+
+
+def _of(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
+    """doc_id, source, size and the seeded order of each row of docs."""
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), words(text).alias("size"), F.xxhash64(text, F.lit(seed)).alias("tie"), *more)
+    # not negative, so that high bits say the slice
+    return rows.withColumn("h", F.xxhash64("doc_id", F.lit(seed)).bitwiseAND(F.lit(2**63 - 1)))
+
+
+def _key() -> Column:
+    """Place in the order of a length, without nulls."""
+    return F.struct("h", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("lost"), "tie")
+
 
+def _joined(a: DataFrame, b: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """a with b's further columns, by equal keys; null sources are equal."""
+    side = b.withColumnsRenamed({k: f"{k}_of" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_of")) if k == "source" else F.col(k) == F.col(f"{k}_of") for k in keys]
+    return a.join(side, same, how).drop(*[f"{k}_of" for k in keys])
 
-def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED, slices: int = SLICES, keep: tuple[str, ...] = ()) -> DataFrame:
+
+def _cuts(rows: DataFrame, part: DataFrame, slice_rows: int) -> DataFrame:
+    """For lengths part(source, size, n, take) the key where the order is cut: rows below it are taken.
+
+    Of the tie_n rows that have the very key, tie_take are taken.
+    """
+    bits = F.ceil(F.log2(F.greatest(F.col("n") / slice_rows, F.lit(1.0)))).cast("int")
+    keyed = _joined(rows, part, "source", "size").withColumn("bits", bits).withColumn("slice", F.expr("shiftright(h, 63 - bits)"))
+    upto = Window.partitionBy("source", "size").rowsBetween(Window.unboundedPreceding, 0)
+    slices = keyed.groupBy("source", "size", "take", "slice").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(upto.orderBy("slice")))
+    cut = slices.where("upto - c < take and take <= upto").select("source", "size", "slice", (F.col("take") - F.col("upto") + F.col("c")).alias("left"))
+    inside = _joined(keyed, cut, "source", "size", "slice").select("source", "size", "left", _key().alias("cut"))
+    keys = inside.groupBy("source", "size", "left", "cut").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(upto.orderBy("cut")))
+    return keys.where("upto - c < left and left <= upto").select("source", "size", "cut", F.col("c").alias("tie_n"), (F.col("left") - F.col("upto") + F.col("c")).alias("tie_take"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A written table with a hint to broadcast it, if it is small."""
+    return F.broadcast(df) if df.count() <= LIMITS else df
+
+
+def limits(rows: DataFrame, scratch: Scratch, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """What each (source, size) of rows (see _of, written) takes: passes, and take of n by the cut."""
+    counts = scratch.keep(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "counts")
+    aims = targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), scratch, weights, budget, most)
+    aimed = _joined(counts, aims, "source").drop("weight")
+    fitted = aimed.where("size > 0").groupBy("source").applyInArrow(_fitted, "source string, size long, passes long, take long")
+    takes = scratch.keep(_joined(aimed, fitted, "source", "size", how="left").fillna(0, ["passes", "take"]), "takes")
+    cuts = _cuts(rows, _small(takes.where("take > 0 and take < n").select("source", "size", "n", "take")), slice_rows)
+    return scratch.keep(_joined(takes, cuts, "source", "size", how="left"), "limits")
+
+
+def _more() -> Column:
+    """One if a row is taken once more, null if some of its likes are."""
+    key, cut = _key(), F.col("cut")
+    tied = F.when(F.col("tie_take") == F.col("tie_n"), 1)
+    return F.when(cut.isNull(), (F.col("take") > 0).cast("int")).when(key < cut, 1).when(key > cut, 0).otherwise(tied)
+
+
+def _limited(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return _joined(rows, _small(found), "source", "size").withColumn("more", _more())
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """doc_id, size, source_size, target and taken for each row of docs(doc_id, text, source).
 
-    keep names further columns to carry along. taken is size times the passes that take the document.
+    taken is size times the passes that take the document.
+    """
+    scratch = Scratch(docs.sparkSession, "mix")
+    rows = scratch.keep(_of(docs, seed), "rows")
+    found = limits(rows, scratch, weights, budget, most, slice_rows)
+    out = lambda df: df.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("passes") + F.col("more"))).alias("taken"))
+    alone = out(_limited(rows, found).where(F.col("more").isNotNull()))
+    split = found.where("tie_take < tie_n")
+    if split.isEmpty():
+        return alone
+    # rows at a cut that parts them are alike in all that is returned
+    each = split.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("tie_n"))))
+    return alone.unionByName(out(each.withColumns({"doc_id": F.when(~F.col("cut.lost"), F.col("cut.id")), "more": (F.col("i") <= F.col("tie_take")).cast("int")})))
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Rows of docs with all their columns, each as many times as the mix takes it.
+
+    Rows alike in doc_id, source and text of which only some are taken once more are represented by one of them.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size"), *[F.col(c) for c in keep if c not in ("doc_id", "source")])
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(slices)).cast("int"))
-    if not keep:
-        rows = scratch.keep(rows, "rows")
-    narrow = rows.select("doc_id", "source", "size", "slice")
-    # one count a (source, length, slice), summed in each task first
-    slots = scratch.keep(narrow.groupBy("source", "size", "slice").agg(F.count("*").alias("n")), "slots")
-    counts = slots.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    sources = scratch.keep(slots.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), "sources")
-    aims = scratch.keep(targets(sources, scratch, weights, budget, most), "targets")
-
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    wanted = counts.where("size > 0").alias("c").join(aims.alias("a"), F.col("c.source").eqNullSafe(F.col("a.source"))).select("c.source", "size", "n", "target")
-    takes = scratch.keep(wanted.groupBy("source").applyInPandas(_fitted, "source string, size long, passes long, take long"), "takes")
-
-    # slices in order take what the length wants: whole, in part, or nothing
-    before = Window.partitionBy("source", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    filled = slots.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    quota = filled.join(takes, filled["source"].eqNullSafe(takes["source"]) & (filled["size"] == takes["size"]), "left").join(aims, same(filled, aims)).select(
-        filled["source"].alias("q_source"), filled["size"].alias("q_size"), filled["slice"].alias("q_slice"), aims["source_size"], aims["target"], F.coalesce("passes", F.lit(0)).alias("passes"), F.greatest(F.lit(0), F.least(filled["n"], F.coalesce("take", F.lit(0)) - F.col("before"))).alias("quota"), filled["n"].alias("group"))
-    joined = rows.join(quota, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("size") == F.col("q_size")) & (F.col("slice") == F.col("q_slice")))
-    cut = (F.col("quota") > 0) & (F.col("quota") < F.col("group"))
-    whole = joined.where(~cut).withColumn("more", (F.col("quota") > 0).cast("long"))
-    at = Window.partitionBy("q_source", "q_size", "q_slice").orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed + 1)), "doc_id")
-    part = joined.where(cut).withColumn("more", (F.row_number().over(at) <= F.col("quota")).cast("long"))
-    both = whole.unionByName(part)
-    return both.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("passes") + F.col("more"))).alias("taken"), *[c for c in keep if c != "doc_id"])
+    rows = scratch.keep(_of(docs, seed), "rows")
+    found = limits(rows, scratch, weights, budget, most, slice_rows)
+    whole = _limited(_of(docs, seed, F.struct("*").alias("row")), found)
+    times = lambda df, n: df.where(n > 0).select("row", F.explode(F.sequence(F.lit(1), n.cast("int")))).select("row.*")
+    out = times(whole.where(F.col("more").isNotNull()), F.col("passes") + F.col("more"))
+    if found.where("tie_take < tie_n").isEmpty():
+        return out
+    one = whole.where(F.col("more").isNull()).groupBy("source", "size", "cut").agg(F.first("row").alias("row"), *[F.first(c).alias(c) for c in ("passes", "tie_n", "tie_take")])
+    return out.unionByName(times(one, F.col("passes") * F.col("tie_n") + F.col("tie_take")))
