@@ -28,6 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{LOCAL_CHECKPOINTS}"
 
 
+#: Files of a written table, for each core.
+FILES = 4
+
 #: Folders that this process has made, for clear().
 _MADE: list[str] = []
 
@@ -45,10 +48,14 @@ class Scratch:
         _MADE.append(self.root)
 
     def keep(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-        """Write df once and return the table as written."""
+        """Write df once and return the table as written, in FILES files a core of the cluster at most.
+
+        A task of more than one partition works on one after the other. Each file costs requests to
+        the store, and on a local one processes.
+        """
         path = f"{self.root}/{name}"
         schema = df.schema
-        df.write.mode("overwrite").option("compression", compression).parquet(path)
+        df.coalesce(FILES * self.spark.sparkContext.defaultParallelism).write.mode("overwrite").option("compression", compression).parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -14,8 +14,8 @@ have a seeded order, by a hash of doc_id, then doc_id, then a hash of the text,
 Scale. Rows meet only as counts, summed before their shuffle: by (source, length) for the fit, whose
 tasks hold a source's distinct lengths, never its documents. Where a length is taken in part, a cut
 in the order says which: counts by slices of the hash find the slice that holds the cut, and counts
-by distinct keys inside it the cut itself. So a length that a third of all rows share is many slices,
-and a document repeated any number of times is one key. What comes back to the rows is one limit a
+by distinct keys inside it the cut itself. A length of n rows has about sqrt(n) slices, of
+sqrt(n) rows each, and a document repeated any number of times is one key. What comes back to the rows is one limit a
 (source, length), broadcast up to LIMITS of them, else joined; rows and texts aren't moved for it.
 
 Edge cases: a null or empty text has size 0 and is never taken; a null source is a source of its
@@ -37,8 +37,6 @@ MOST = 2.0
 SEED = 17
 #: Lengths beyond the largest that dynamic programming has as budget.
 WINDOW = 3
-#: Rows of a length in one slice of its order, about.
-SLICE_ROWS = 4_096
 #: Limits that are broadcast, at most; some 100 bytes each.
 LIMITS = 100_000
 #: Parts of a doubling by which sources are summed before the level is solved.
@@ -161,12 +159,13 @@ def _joined(a: DataFrame, b: DataFrame, *keys: str, how: str = "inner") -> DataF
     return a.join(side, same, how).drop(*[f"{k}_of" for k in keys])
 
 
-def _cuts(rows: DataFrame, part: DataFrame, slice_rows: int) -> DataFrame:
+def _cuts(rows: DataFrame, part: DataFrame) -> DataFrame:
     """For lengths part(source, size, n, take) the key where the order is cut: rows below it are taken.
 
     Of the tie_n rows that have the very key, tie_take are taken.
     """
-    bits = F.ceil(F.log2(F.greatest(F.col("n") / slice_rows, F.lit(1.0)))).cast("int")
+    # as many slices as rows in one, about
+    bits = F.ceil(F.log2(F.col("n")) / 2).cast("int")
     keyed = _joined(rows, part, "source", "size").withColumn("bits", bits).withColumn("slice", F.expr("shiftright(h, 63 - bits)"))
     upto = Window.partitionBy("source", "size").rowsBetween(Window.unboundedPreceding, 0)
     slices = keyed.groupBy("source", "size", "take", "slice").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(upto.orderBy("slice")))
@@ -181,14 +180,14 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= LIMITS else df
 
 
-def limits(rows: DataFrame, scratch: Scratch, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def limits(rows: DataFrame, scratch: Scratch, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
     """What each (source, size) of rows (see _of, written) takes: passes, and take of n by the cut."""
     counts = scratch.keep(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "counts")
     aims = targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), scratch, weights, budget, most)
     aimed = _joined(counts, aims, "source").drop("weight")
     fitted = aimed.where("size > 0").groupBy("source").applyInArrow(_fitted, "source string, size long, passes long, take long")
     takes = scratch.keep(_joined(aimed, fitted, "source", "size", how="left").fillna(0, ["passes", "take"]), "takes")
-    cuts = _cuts(rows, _small(takes.where("take > 0 and take < n").select("source", "size", "n", "take")), slice_rows)
+    cuts = _cuts(rows, _small(takes.where("take > 0 and take < n").select("source", "size", "n", "take")))
     return scratch.keep(_joined(takes, cuts, "source", "size", how="left"), "limits")
 
 
@@ -203,14 +202,14 @@ def _limited(rows: DataFrame, found: DataFrame) -> DataFrame:
     return _joined(rows, _small(found), "source", "size").withColumn("more", _more())
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target and taken for each row of docs(doc_id, text, source).
 
     taken is size times the passes that take the document.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     rows = scratch.keep(_of(docs, seed), "rows")
-    found = limits(rows, scratch, weights, budget, most, slice_rows)
+    found = limits(rows, scratch, weights, budget, most)
     out = lambda df: df.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("passes") + F.col("more"))).alias("taken"))
     alone = out(_limited(rows, found).where(F.col("more").isNotNull()))
     split = found.where("tie_take < tie_n")
@@ -221,14 +220,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float =
     return alone.unionByName(out(each.withColumns({"doc_id": F.when(~F.col("cut.lost"), F.col("cut.id")), "more": (F.col("i") <= F.col("tie_take")).cast("int")})))
 
 
-def mixed_documents(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED) -> DataFrame:
     """Rows of docs with all their columns, each as many times as the mix takes it.
 
     Rows alike in doc_id, source and text of which only some are taken once more are represented by one of them.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     rows = scratch.keep(_of(docs, seed), "rows")
-    found = limits(rows, scratch, weights, budget, most, slice_rows)
+    found = limits(rows, scratch, weights, budget, most)
     whole = _limited(_of(docs, seed, F.struct("*").alias("row")), found)
     times = lambda df, n: df.where(n > 0).select("row", F.explode(F.sequence(F.lit(1), n.cast("int")))).select("row.*")
     out = times(whole.where(F.col("more").isNotNull()), F.col("passes") + F.col("more"))

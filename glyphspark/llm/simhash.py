@@ -242,6 +242,11 @@ def _bytes(fp: str = "fp"):
     return F.unhex(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _with_roots(roots: DataFrame) -> DataFrame:
+    """Components' rows and one for each root itself."""
+    return roots.unionByName(roots.select("root").distinct().select(F.col("root").alias("node"), "root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, width: int = WIDTH, size: int = SIZE) -> DataFrame:
     """doc_id, fp (64 bits as a signed long) and component_id for each row of docs(doc_id, text).
 
@@ -256,9 +261,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     found = scratch.keep(links(one.select(F.col("fp").alias("id"), _bytes().alias("index"), _bytes().alias("verify")), radius, width, 64 // width, size), "links")
     release(docs.sparkSession)
     roots = components(found, scratch)
-    placed = one.join(roots, one["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = scratch.keep(placed.join(named, "root").select(F.col("fp").alias("f"), "component_id"), "components")
+    members = one.join(_with_roots(roots), F.col("fp") == F.col("node")).select("fp", "first", "root")
+    # written, so that the join of a large group can be split
+    named = scratch.keep(members.groupBy("root").agg(F.min("first").alias("least")), "named")
+    grouped = members.join(named, "root").select(F.col("fp").alias("member"), "least")
+    placed = one.join(grouped, one["fp"] == grouped["member"], "left").select(F.col("fp").alias("f"), F.when(F.col("member").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+    by_print = scratch.keep(placed, "components")
     return prints.join(by_print, prints["fp"] == by_print["f"]).select("doc_id", "fp", "component_id")
 
 
@@ -279,7 +287,10 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
 
     scratch = Scratch(docs.sparkSession, "similar")
     nodes, roots = similar_nodes(docs, scratch, SIMILAR_SHINGLE, similarity)
-    placed = nodes.join(roots, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("root", "id").alias("root"))
+    members = nodes.join(_with_roots(roots), F.col("id") == F.col("node")).select("id", "first", "root")
     order = F.struct(F.col("first").isNull(), "first", "id")
-    named = placed.groupBy("root").agg(F.min(order).alias("least"))
-    return placed.join(named, "root").select("id", "first", F.col("least.first").alias("component_id"), (F.col("id") == F.col("least.id")).alias("kept"))
+    # written, so that the join of a large group can be split
+    named = scratch.keep(members.groupBy("root").agg(F.min(order).alias("least")), "named")
+    grouped = members.join(named, "root").select(F.col("id").alias("member"), "least")
+    alone = F.col("member").isNull()
+    return nodes.join(grouped, F.col("id") == F.col("member"), "left").select("id", "first", F.when(alone, F.col("first")).otherwise(F.col("least.first")).alias("component_id"), (alone | (F.col("id") == F.col("least.id"))).alias("kept"))

@@ -119,7 +119,7 @@ def test_mix(spark):
     rng = random.Random(5)
     rows = [*EDGE, *((100 + i, "w " * rng.randint(1, 30), rng.choice(["a", "b", "c", "ü", "z", None])) for i in range(400)), *((1000 + i, "same text here", "a") for i in range(300))]
     table = docs(spark, rows)
-    a, b = (mixing.mix(table.repartition(n), slice_rows=16).toPandas() for n in (2, 5))
+    a, b = (mixing.mix(table.repartition(n)).toPandas() for n in (2, 5))
     key = ["doc_id", "size", "taken"]
     pd.testing.assert_frame_equal(a[key].sort_values(key).reset_index(drop=True), b[key].sort_values(key).reset_index(drop=True))
     assert len(a) == len(rows)
@@ -143,17 +143,16 @@ def test_mix_cuts_through_rows_that_are_alike(spark):
     # one row repeated, texts of one doc_id and length, and others of that length
     rows = [*[(1, "a b c", "s")] * 60, *[(2, f"t{i} u v", "s") for i in range(30)], *[(None, "x y z", "s")] * 20, *[(9 + i, "k l m", "s") for i in range(40)], *[(100 + i, "w " * 200, "t") for i in range(10)]]
     table = docs(spark, rows)
-    for slice_rows in (8, 4096):
-        taken = mixing.mix(table, slice_rows=slice_rows)
-        assert taken.count() == len(rows)
-        by_source = {r.size: (r.taken, r.target) for r in taken.groupBy("size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}
-        assert all(abs(t - want) < 200 for t, want in by_source.values()) and abs(by_source[3][0] - by_source[3][1]) < 3
-        back = mixing.mixed_documents(table, slice_rows=slice_rows)
-        assert back.columns == table.columns
-        n = {(r.doc_id, r.text): r["count"] for r in back.groupBy("doc_id", "text").count().collect()}
-        assert sum(len(t.split()) * c for (_, t), c in n.items()) == taken.agg(F.sum("taken")).first()[0]
-        times = {d: sum(c for (e, _), c in n.items() if e == d) for d in (1, 2, None)}
-        assert times == {d: taken.where(F.col("doc_id").eqNullSafe(d)).agg(F.sum(F.col("taken") / 3)).first()[0] for d in times}
+    taken = mixing.mix(table)
+    assert taken.count() == len(rows)
+    by_size = {r.size: (r.taken, r.target) for r in taken.groupBy("size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}
+    assert all(abs(t - want) < 200 for t, want in by_size.values()) and abs(by_size[3][0] - by_size[3][1]) < 3
+    back = mixing.mixed_documents(table)
+    assert back.columns == table.columns
+    n = {(r.doc_id, r.text): r["count"] for r in back.groupBy("doc_id", "text").count().collect()}
+    assert sum(len(t.split()) * c for (_, t), c in n.items()) == taken.agg(F.sum("taken")).first()[0]
+    times = {d: sum(c for (e, _), c in n.items() if e == d) for d in (1, 2, None)}
+    assert times == {d: taken.where(F.col("doc_id").eqNullSafe(d)).agg(F.sum(F.col("taken") / 3)).first()[0] for d in times}
 
 
 # packing ----------------------------------------------------------------------
