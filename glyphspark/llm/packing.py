@@ -10,24 +10,25 @@ compatible one. If there is none, a new bin opens.
 A document longer than the capacity is cut: whole bins of its own, and the rest is packed like a
 short document, under the same conflicts. Nothing is dropped or truncated.
 
-Scale. Rows are dealt to shards by a hash of doc_id and position, so that a hot source or a large
-group of copies spreads evenly; about SHARD_ROWS rows share a task, and a shard's bins are its own,
-so no conflict crosses shards. Only lengths, ids and hashes are moved, never texts.
+Scale. Rows alike in doc_id, source, size and cluster are counted, then numbered and dealt to shards by
+a hash of all of these, so that a hot source or a large group of copies spreads evenly and the bins
+don't depend on how the input is partitioned. About SHARD_ROWS rows share a task, and a shard's bins
+are its own, so no conflict crosses shards. Only lengths, ids and hashes are moved, never texts.
 
 Edge cases: a null or empty text has length 0 and takes no place in a bin: its piece has bin_id
-null; a null source or cluster conflicts with nothing; repeated rows are packed one by one and are
-copies of each other; ties in length go by hash, then doc_id; an empty table gives no rows; other
-columns are ignored.
+null; a null source or cluster conflicts with nothing; a null doc_id stays null; repeated rows are
+packed one by one and are copies of each other; ties in length go by a hash of doc_id, then by the
+row's other values; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, mix64
 from .mixing import words
 
 CAPACITY = 2048
@@ -86,42 +87,47 @@ class Bins:
         return own, self.capacity - left
 
 
-def _codes(values: pd.Series, repeated_only: bool = False) -> tuple[np.ndarray, int]:
+def _codes(values: pa.Array, repeated_only: bool = False) -> tuple[np.ndarray, int]:
     """Small numbers for a shard's values; -1 for null, and for values that meet no equal one if so asked."""
-    codes, found = pd.factorize(values)
+    found = values.dictionary_encode()
+    codes, kinds = found.indices.fill_null(-1).to_numpy(zero_copy_only=False), len(found.dictionary)
     if repeated_only:
-        n = np.bincount(codes[codes >= 0], minlength=len(found))
-        new = np.where(n > 1, np.cumsum(n > 1) - 1, -1)
-        return np.where(codes >= 0, new[codes] if len(new) else -1, -1), int((n > 1).sum())
-    return codes, len(found)
+        n = np.bincount(codes[codes >= 0], minlength=kinds)
+        new = np.append(np.where(n > 1, np.cumsum(n > 1) - 1, -1), -1)  # the last one stands for null
+        return new[codes], int((n > 1).sum())
+    return codes, kinds
 
 
-def pack_shard(shard: pd.DataFrame, capacity: int = CAPACITY, one_per_source: bool = True) -> pd.DataFrame:
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64()), ("cluster", pa.string()), ("piece", pa.int32()), ("begin", pa.int64()), ("length", pa.int64()), ("bin_id", pa.string()), ("place", pa.int64()), ("fill", pa.int64())])
+
+
+def pack_shard(shard: pa.Table, capacity: int = CAPACITY, one_per_source: bool = True) -> pa.Table:
     """Place every piece of one shard's documents (doc_id, source, size, cluster, shard)."""
-    name = shard["shard"].iloc[0]
-    shard = shard.assign(h=pd.util.hash_array(shard["doc_id"].fillna(-1).to_numpy().astype("int64"))).sort_values(["h", "doc_id"], kind="stable").reset_index(drop=True)
-    pieces = []
-    for row, (size, doc) in enumerate(zip(shard["size"], shard["doc_id"], strict=True)):
-        cuts = [*range(0, size - size % capacity + 1, capacity), size] if size else [0, 0]
-        pieces += [(row, k, b, e - b) for k, (b, e) in enumerate(zip(cuts, cuts[1:], strict=False)) if e > b or not size]
-    table = pd.DataFrame(pieces, columns=["row", "piece", "begin", "length"])
-    table = table.sort_values("length", ascending=False, kind="stable")
-    source, n_sources = _codes(shard["source"]) if one_per_source else (np.full(len(shard), -1), 0)
-    cluster, n_clusters = _codes(shard["cluster"], repeated_only=True)
+    name = shard.column("shard")[0].as_py()
+    ids = shard.column("doc_id").combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False)
+    shard = shard.append_column("h", pa.array(mix64(ids, 1)))
+    shard = shard.sort_by([(c, "ascending") for c in ("h", "doc_id", "source", "size", "cluster")]).combine_chunks()
+    column = lambda c: shard.column(c).combine_chunks()
+    size = column("size").to_numpy()
+    # a document of n words is cut into pieces of the capacity and a rest; one of no words is one piece
+    pieces = np.maximum(1, -(-size // capacity))
+    row = np.repeat(np.arange(len(size)), pieces)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    length = np.minimum(capacity, size[row] - piece * capacity)
+    order = np.argsort(-length, kind="stable")
+    row, piece, length = row[order], piece[order], length[order]
+
+    source, n_sources = _codes(column("source")) if one_per_source else (np.full(len(size), -1), 0)
+    cluster, n_clusters = _codes(column("cluster"), repeated_only=True)
     bins = Bins(capacity, n_sources, n_clusters)
-    own, place = [], []
-    for row, length in zip(table["row"], table["length"], strict=True):
-        b, p = bins.put(length, source[row], cluster[row]) if length else (None, None)
-        own.append(b)
-        place.append(p)
-    table["bin"], table["place"] = own, place
-    table["fill"] = table.groupby("bin")["length"].transform("sum")
-    out = shard.drop(columns=["shard", "h"]).loc[table["row"]].reset_index(drop=True)
-    rest = table.reset_index(drop=True)
-    out["piece"], out["begin"], out["length"] = rest["piece"], rest["begin"], rest["length"]
-    out["bin_id"] = [None if pd.isna(b) else f"{name}-{int(b)}" for b in rest["bin"]]
-    out["place"], out["fill"] = rest["place"].astype("Int64"), rest["fill"].astype("Int64")
-    return out
+    put = [bins.put(n, s, c) if n else (-1, -1) for n, s, c in zip(length.tolist(), source[row].tolist(), cluster[row].tolist(), strict=True)]
+    own, place = np.array(put, np.int64).reshape(-1, 2).T
+    fill = np.bincount(own + 1, length, bins.opened + 1).astype(np.int64)[own + 1]
+    none = own < 0
+    taken = [column(c).take(pa.array(row)) for c in ("doc_id", "source", "size", "cluster")]
+    made = [pa.array(piece, pa.int32()), pa.array(piece * capacity, pa.int64()), pa.array(length, pa.int64())]
+    names = pa.array([None if b < 0 else f"{name}-{b}" for b in own.tolist()], pa.string())
+    return pa.table([*taken, *made, names, pa.array(place, mask=none), pa.array(fill, mask=none)], schema=SCHEMA)
 
 
 def text_cluster(text: Column) -> Column:
@@ -130,25 +136,29 @@ def text_cluster(text: Column) -> Column:
     return F.when(F.length(plain) > 0, F.sha1(plain.cast("binary")))
 
 
-def pack_documents(docs: DataFrame, cluster: Column | None = None, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, one_per_source: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, cluster: Column | None = None, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, one_per_source: bool = True, size: Column | None = None) -> DataFrame:
     """Pieces of docs(doc_id, text, source) with their bins.
 
-    cluster defaults to equal texts; give a near-duplicate group's id to keep those apart too.
-    Returns PLACED: a piece is words begin .. begin+length of its document, at place in bin_id.
+    cluster defaults to equal texts; give a near-duplicate group's id to keep those apart too. size
+    defaults to the number of words; give token counts to pack tokens.
+    Returns PLACED: a piece is words (or tokens) begin .. begin+length of its document, at place in bin_id.
     """
     text = F.col("text").cast("string")
     cluster = text_cluster(text) if cluster is None else cluster.cast("string")
+    size = words(text) if size is None else F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0))
     scratch = Scratch(docs.sparkSession, "packing")
-    rows = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(text).alias("size"), cluster.alias("cluster")), "rows")
-    n = rows.count()
+    like = ["doc_id", "source", "size", "cluster"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), cluster.alias("cluster"))
+    counted = scratch.keep(rows.groupBy(like).agg(F.count("*").alias("copies")), "rows")
+    n = counted.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     shards = max(1, -(-n // shard_rows))
-    # rows of one doc_id spread too: a table may repeat it any number of times
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id() % 64), F.lit(shards)))
+    each = counted.select(*like, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    dealt = each.select(*like, F.pmod(F.xxhash64(*like, "copy"), F.lit(shards)).alias("shard"))
 
-    def placed(shard: pd.DataFrame) -> pd.DataFrame:
+    def placed(shard: pa.Table) -> pa.Table:
         return pack_shard(shard, capacity, one_per_source)
 
-    return dealt.groupBy("shard").applyInPandas(placed, PLACED)
+    return dealt.groupBy("shard").applyInArrow(placed, PLACED)
 
 
 def bins_of(placed: DataFrame) -> DataFrame:

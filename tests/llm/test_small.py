@@ -196,6 +196,17 @@ def test_packing(spark, one_per_source):
     assert packing.pack_documents(docs(spark, [])).count() == 0
 
 
+def test_packing_keeps_ids_and_does_not_depend_on_partitions(spark):
+    big = 2**60 + 1
+    rows = [(big, "a b", "s"), (None, "c d e", "s"), (big + 2, "f", "t"), *[(7, "same words", "u")] * 30, *[(1000 + i, "w " * (i % 50), f"s{i % 5}") for i in range(300)]]
+    table = docs(spark, rows)
+    a, b = (packing.pack_documents(table.repartition(n), capacity=64, shard_rows=100).collect() for n in (1, 6))
+    assert sorted(map(str, a)) == sorted(map(str, b))
+    assert {r.doc_id for r in a} == {d for d, _, _ in rows} and sum(r.doc_id == 7 for r in a) == 30
+    sized = packing.pack_documents(table, capacity=64, size=F.lit(65)).where(F.col("doc_id") == big).orderBy("piece").collect()
+    assert [(r.begin, r.length) for r in sized] == [(0, 64), (64, 1)]
+
+
 # chat -------------------------------------------------------------------------
 def test_chat_edges(spark):
     rows = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (3, 1, "assistant", "b"), (3, 0, "user", "a"), (4, 0, "user", None), (5, 0, "user", ""), (6, 0, "user", "a"), (6, 1, "assistant", "c"), (6, 1, "assistant", "c"), (None, 0, None, "x"), (7, None, "system", "s"), (7, 0, "user", "q " * 9000), (8, 0, "us", "era"), (9, 0, "user", "a"), (9, 1, "assistant", "b"), (9, 2, "user", "more")]
