@@ -76,9 +76,28 @@ def test_archive_round_trip(spark):
     bad = payloads.withColumn("payload", F.lit("x").cast("binary"))
     with pytest.raises(Exception, match="does not match"):
         warc.read(warc.records(headers, bad)).collect()
+    lost = warc.records(headers, payloads.limit(0)).where("page_id = 2")
+    with pytest.raises(Exception, match="does not match"):
+        warc.read(lost).collect()
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_payloads_of_one_digest_stay_apart(spark):
+    same = lambda c: F.lit("0" * 40)
+    rows = [(1, "u", "a" * 1000), (2, "u", "b" * 1000), (3, "u", "a" * 1000), (4, "u", "short"), (5, "u", "other")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    headers, payloads = warc.write(pages, digest=same)
+    found = warc.records(headers, payloads)
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read(found, digest=same).collect()}
+    assert got == {1: ("revisit", 3), 2: ("response", None), 3: ("response", None), 4: ("response", None), 5: ("response", None)}
+    blocks = {r.page_id: bytes(r.record).partition(b"\r\n\r\n")[2][:-4].decode() for r in found.collect()}
+    assert blocks == {1: "", 2: "b" * 1000, 3: "a" * 1000, 4: "short", 5: "other"}
+    # payloads exchanged under their common digest are found by the other one
+    swapped = payloads.withColumn("payload", F.when(F.col("bytes") == 5, F.lit("mixed").cast("binary")).otherwise(F.col("payload")))
+    with pytest.raises(Exception, match="does not match"):
+        warc.read(warc.records(headers, swapped), digest=same).collect()
+
+
 # mixing -----------------------------------------------------------------------
 def test_fit_is_near_and_within_counts():
     rng = random.Random(3)
