@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -236,3 +237,15 @@ def test_chat_edges(spark):
     assert (got[6].n_turns, got[9].copies) == (2, 1)
     assert {r.conv_id: r.copies for r in chat.collapse(table.where("conv_id in (2, 3)")).collect()} == {2: 2}
     assert chat.format_chats(table.limit(0)).count() == 0
+
+
+def test_turns_without_a_conversation_are_their_own(spark, tmp_path):
+    rows = [(None, 0, "user", "hi"), (None, 1, "assistant", "unrelated"), (None, 0, "user", "a"), (None, 3, "user", "hi"), (1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "unseen"), (None, 5, "user", "unseen")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted((str(r.conv_id), r.n_turns, r.copies, r.rendered) for r in chat.format_chats(table).collect())
+    show = lambda *t: "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for r, x in t)
+    assert got == [("1", 2, 1, show(("user", "a"), ("assistant", "b"))), ("2", 1, 2, show(("user", "unseen"))), ("None", 1, 1, show(("assistant", "unrelated"))), ("None", 1, 2, show(("user", "hi")))]
+    table.write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert sorted((str(r[0]), r[1], r[2], r[3]) for r in con.execute(chat.ORACLE).fetchall()) == got
