@@ -56,6 +56,32 @@ def test_token_counts_equal_public_unigram_model():
     assert counter.nodes == len({w[:i] for w in words for i in range(1, len(w) + 1)}) + 1
 
 
+def test_loaded_vocabulary_has_unigram_scores():
+    import math
+
+    import sentencepiece
+    from tokenizers import Tokenizer, models
+
+    v = trie_tokens.Vocabulary.load()
+    assert math.fsum(math.exp(s) for s in v.pieces.values()) == pytest.approx(1)
+    counter = trie_tokens.TrieCounter(v)
+    common = b"the of and to in is that for was with international understanding quickly government".split()
+    texts = pd.read_parquet("/root/testdata/sf0.001/documents.parquet").text.dropna()
+    words = pd.Series([w for t in texts for w in t.encode().split()]).value_counts()
+    counter.insert({*common, *words.index})
+    assert [counter.terminals[w] for w in common] == [1] * len(common)
+    # the same best segmentations as a public unigram encoder, where pieces cover the word
+    model = Tokenizer(models.Unigram([("<unk>", -99.0), *v.pieces.items()], 0, False))
+    covered = [w for w in words.index if all(c in v.pieces for c in w.decode())]
+    assert len(covered) > 2000
+    # of equal sums either may be taken, so that a count may be one more
+    equal = [counter.terminals[w] == len(model.encode(v.mark + w.decode()).ids) for w in covered]
+    assert sum(equal) / len(equal) > 0.999
+    # and mostly as many pieces as the file's own merges make
+    own = sentencepiece.SentencePieceProcessor(model_file=trie_tokens.VOCABULARY)
+    assert sum(n for w, n in words.items() if counter.terminals[w] == len(own.encode(w.decode()))) / words.sum() > 0.95
+
+
 # archive ----------------------------------------------------------------------
 def test_archive_round_trip(spark):
     big, other = "p" * 1000, "é" * 500
