@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import gc
-import pickle
-import time
+import json
+import math
 import uuid
 
 import numpy as np
@@ -28,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{LOCAL_CHECKPOINTS}"
 
 
+#: Whether Spark deletes a statement's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Files of a written table, for each core.
 FILES = 4
 
@@ -47,21 +48,27 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         _MADE.append(self.root)
 
-    def keep(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-        """Write df once and return the table as written, in FILES files a core of the cluster at most.
+    def keep(self, df: DataFrame, name: str, compression: str = "zstd", by: str | None = None) -> DataFrame:
+        """Write df once, in a folder for each value of by, and return the table as written.
 
+        Shuffle files of the write go when it ends, for nothing reads them again. It makes FILES files a core of the cluster at most.
         A task of more than one partition works on one after the other. Each file costs requests to
         the store, and on a local one processes.
         """
         path = f"{self.root}/{name}"
-        schema = df.schema
-        df.coalesce(FILES * self.spark.sparkContext.defaultParallelism).write.mode("overwrite").option("compression", compression).parquet(path)
+        schema, conf = df.schema, self.spark.conf
+        before = conf.get(CLEANUP)
+        conf.set(CLEANUP, "true")
+        try:
+            writer = df.coalesce(FILES * self.spark.sparkContext.defaultParallelism).write.mode("overwrite").option("compression", compression)
+            (writer.partitionBy(by) if by else writer).parquet(path)
+        finally:
+            conf.set(CLEANUP, before)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Delete written tables that no later step reads, and let Spark drop old shuffle files."""
+        """Delete written tables that no later step reads."""
         _delete(self.spark, *[f"{self.root}/{name}" for name in names])
-        release(self.spark)
 
 
 def _delete(spark: SparkSession, *paths: str) -> None:
@@ -77,40 +84,38 @@ def clear(spark: SparkSession) -> None:
     _MADE.clear()
 
 
-def release(spark: SparkSession) -> None:
-    """Shuffle files go when the driver's garbage collection finds their plans unused."""
-    for _ in range(2):  # what the first round frees lets go of more
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value.
 
     Integers take the narrowest type that holds them and are stored byte plane by byte plane (all
     low bytes, then all next ones), which compresses well; floats, whose values repeat, stay whole.
     """
-    out = []
+    kinds, planes = [], []
     for a in arrays:
         if a.dtype.kind in "iu" and a.size:
             lo, hi = int(a.min()), int(a.max())
             kind = np.min_scalar_type(hi) if lo >= 0 else np.promote_types(np.min_scalar_type(lo), np.min_scalar_type(hi))
             a = a.astype(kind) if kind.kind in "iu" else a
         flat = np.ascontiguousarray(a).reshape(-1)
-        out.append((a.dtype.str, a.shape, flat.tobytes() if a.dtype.kind == "f" else flat.view(np.uint8).reshape(a.size, a.itemsize).T.tobytes()))
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(out, protocol=5))
+        kinds.append((a.dtype.str, a.shape))
+        planes.append(flat.tobytes() if a.dtype.kind == "f" else flat.view(np.uint8).reshape(a.size, a.itemsize).T.tobytes())
+    head = json.dumps(kinds).encode()
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([len(head).to_bytes(4, "little"), head, *planes]))
 
 
 def unpack(value: bytes) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(value)
+    at = 4 + int.from_bytes(data[:4], "little")
     out = []
-    for kind, shape, planes in pickle.loads(zstandard.ZstdDecompressor().decompress(value)):
+    for kind, shape in json.loads(data[4:at]):
         dtype = np.dtype(kind)
+        size = math.prod(shape)
         if dtype.kind == "f":
-            out.append(np.frombuffer(planes, dtype).reshape(shape))
-            continue
-        flat = np.frombuffer(planes, np.uint8).reshape(dtype.itemsize, -1).T
-        out.append(np.ascontiguousarray(flat).reshape(-1).view(dtype).reshape(shape))
+            flat = np.frombuffer(data, dtype, size, at)
+        else:
+            flat = np.ascontiguousarray(np.frombuffer(data, np.uint8, size * dtype.itemsize, at).reshape(dtype.itemsize, -1).T).reshape(-1).view(dtype)
+        at += size * dtype.itemsize
+        out.append(flat.reshape(shape))
     return out
 
 

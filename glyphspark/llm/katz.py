@@ -1,13 +1,18 @@
 """Katz backoff language model: train on some rows of a table and score all of them.
 
-Layout. Each task turns its documents into blocks: token ids against a block dictionary, so a
-token is written once, at about two bytes. A level of the model (1-grams, 2-grams, ...) is one
-exchange. Every block sends the distinct n-grams it holds, with its training counts, to the
-partitions of the n-gram table; a partition sums the counts, stores its part of the table, and
-answers each block with the counts of what it asked for and, for every context, what the backoff
-weight needs. A block then evaluates the recursion for each of its tokens without a further join.
-Arrays are stored in pieces of a few hundred kilobytes, so no row is large, whatever a block holds.
-Nothing of corpus size reaches the driver; it sees only counts of counts.
+Layout. Each task turns its documents into blocks of about BLOCK_TOKENS: token ids against a block
+dictionary, so a token is written once, at about two bytes. A level of the model (1-grams, 2-grams,
+...) is one exchange. Every block sends the distinct n-grams it holds, with its training counts, to
+the partitions of the n-gram table; a partition sums the counts, stores its part of the table, and
+answers each block with the counts of what it asked for and, for contexts with something unseen, what
+the backoff weight needs. A block then evaluates the recursion for each of its tokens without a
+further join. Nothing of corpus size reaches the driver; it sees only counts of counts.
+
+Tables. Each level is written by kind: `answer` holds packed arrays for blocks, and `table` the counts
+as typed arrays of at most PIECE entries a row: key (1-grams: the words' XXH64; else the contexts'
+ids), word (ids) and count. count_table() reads them as one row an n-gram.
+
+Memory. A task holds one block or one part at a time; parts have about PART_TOKENS n-grams.
 
 Model. Counts r <= CUTOFF are Good-Turing discounted (absolute discounting where the counts of
 counts don't allow that); backoff weights make each context sum to exactly one over the training
@@ -18,7 +23,8 @@ vocabulary and one unknown word:
     alpha(h) = (1 - sum of P(w | h)) / (1 - sum of P(w | h')), both over w seen after h
 
 A context whose followers all lie above CUTOFF keeps no mass; its counts are then divided by
-c(h) + 1. Words and contexts are known by 64-bit hashes and dense ids.
+c(h) + 1. Words and contexts are known by 64-bit hashes and dense ids. P(w | h') of a seen h w is sent
+as its count and a factor of the context, which take a byte or two where the value takes eight.
 
 Skew. A context with more than a partition's share of the training tokens is split over several
 partitions by the following word; blocks add up its parts' sums. Exact copies cost no more than
@@ -39,23 +45,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bucket, mix64, pack, release, unpack
+from .common import Scratch, bucket, mix64, pack, unpack
 
 ORDER = 2
 CUTOFF = 5
-#: Tokens in a block, and at most about so many n-grams in a partition.
-BLOCK_TOKENS = 2_000_000
+#: Tokens in a block, and n-grams in a partition, about.
+BLOCK_TOKENS = 1_000_000
+PART_TOKENS = 500_000
 #: Entries of an array in one row.
 PIECE = 65_536
 START, END = 0, 1
 #: No word holds a space, so these name the two ends.
 ENDS = (b" start", b" end")
 
-#: Written rows. level 0: a block's own arrays, part naming which (total: tokens, in its first row);
-#: else a level's answers to blocks, and, without a block, pieces of the level's table.
-ROWS = "level int, part int, block string, piece int, payload binary, ngrams long, total long, ones array<long>"
+#: A block's own arrays, part naming which (total: tokens, in its first row).
+BLOCKS = "part int, block string, piece int, payload binary, total long"
 WORDS, PLACE, SEQ, DOCS = range(4)
 ASKED = "part int, block string, piece int, payload binary"
+#: A level: answers to blocks, and the level's counts (types, total, ones: sums of a part, in its first row).
+LEVEL = "kind string, part int, block string, piece int, payload binary, types long, total long, ones array<long>, key array<long>, word array<long>, count array<long>"
+ANSWER, TABLE = "answer", "table"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -70,7 +79,10 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 
 
 _ASK_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.string()), ("piece", pa.int32()), ("payload", pa.binary())])
-_ROW_SCHEMA = pa.schema([("level", pa.int32()), ("part", pa.int32()), ("block", pa.string()), ("piece", pa.int32()), ("payload", pa.binary()), ("ngrams", pa.int64()), ("total", pa.int64()), ("ones", pa.list_(pa.int64()))])
+_BLOCK_SCHEMA = pa.schema([*_ASK_SCHEMA, ("total", pa.int64())])
+_LONGS = pa.list_(pa.int64())
+_LEVEL_SCHEMA = pa.schema([("kind", pa.string()), *_ASK_SCHEMA, ("types", pa.int64()), ("total", pa.int64()), ("ones", _LONGS), ("key", _LONGS), ("word", _LONGS), ("count", _LONGS)])
+_NO_COUNTS = (None,) * 6
 
 
 def _pieces(n: int) -> Iterator[tuple[int, slice]]:
@@ -79,6 +91,13 @@ def _pieces(n: int) -> Iterator[tuple[int, slice]]:
         yield i, slice(at, at + PIECE)
 
 
+def _table(part: int, count: np.ndarray, key: np.ndarray, word: np.ndarray, real: np.ndarray) -> list[tuple]:
+    """Rows of a part's counts; real: the counts that make its sums."""
+    ones = np.bincount(np.minimum(real, CUTOFF + 2), minlength=CUTOFF + 2)[1 : CUTOFF + 2].tolist()
+    sums = (int((real > 0).sum()), int(real.sum()), ones)
+    return [(TABLE, part, None, i, None, *(sums if not i else (0, 0, None)), key[x], word[x], count[x]) for i, x in _pieces(len(count))]
+
+
 def _encode(block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -107,40 +126,49 @@ def _encode(block_tokens: int):
             keys, seq = keys[by_key], place[seq]
             is_train = np.repeat(train.astype(bool), np.diff(np.concatenate([[-1], np.flatnonzero(seq == END)])))
             count = np.bincount(seq[is_train], minlength=len(keys))[by_key]
-            rows = [(WORDS, i, pack(np.diff(keys[at], prepend=np.uint64(0)), count[at], (by_key[at] == START).astype(np.int8)), 0) for i, at in _pieces(len(keys))]
-            rows += [(PLACE, i, pack(by_key[at]), 0) for i, at in _pieces(len(by_key))]
-            rows += [(SEQ, i, pack(seq[at]), 0) for i, at in _pieces(len(seq))]
-            rows += [(DOCS, i, pack(ids[at], train[at], null[at]), 0 if i else n) for i, at in _pieces(len(ids))]
-            yield _batch(_ROW_SCHEMA, [(0, kind, name, i, data, 0, tokens, None) for kind, i, data, tokens in rows])
+            for i, at in _pieces(len(keys)):
+                yield _batch(_BLOCK_SCHEMA, [(WORDS, name, i, pack(np.diff(keys[at], prepend=np.uint64(0)), count[at], (by_key[at] == START).astype(np.int8)), 0)])
+            for kind, array in ((PLACE, by_key), (SEQ, seq)):
+                for i, at in _pieces(len(array)):
+                    yield _batch(_BLOCK_SCHEMA, [(kind, name, i, pack(array[at]), 0)])
+            for i, at in _pieces(len(ids)):
+                yield _batch(_BLOCK_SCHEMA, [(DOCS, name, i, pack(ids[at], train[at], null[at]), 0 if i else n)])
 
         for batch in batches:
-            ids, train, texts = (batch.column(i).to_pylist() for i in range(3))
-            for doc, t, text in zip(ids, train, texts, strict=True):
-                w = text.lower().split() if text else []
-                seq = np.empty(len(w) + 2, np.int64)
-                seq[0], seq[-1] = START, END
-                seq[1:-1] = np.fromiter(map(words.__getitem__, w), np.int64, len(w))
-                seqs.append(seq)
-                docs.append((doc or 0, t, doc is None))
-                n += len(w) + 1
-                if n >= block_tokens:
-                    yield from flush()
-                    made += 1
-                    words, seqs, docs, n = start()
+            for at in range(0, batch.num_rows, 256):
+                ids, train, texts = (batch.column(i).slice(at, 256).to_pylist() for i in range(3))
+                for doc, t, text in zip(ids, train, texts, strict=True):
+                    w = text.lower().split() if text else []
+                    seq = np.empty(len(w) + 2, np.int32)
+                    seq[0], seq[-1] = START, END
+                    seq[1:-1] = np.fromiter(map(words.__getitem__, w), np.int32, len(w))
+                    seqs.append(seq)
+                    docs.append((doc or 0, t, doc is None))
+                    n += len(w) + 1
+                    if n >= block_tokens:
+                        yield from flush()
+                        made += 1
+                        words, seqs, docs, n = start()
         if docs:
             yield from flush()
 
     return run
 
 
+def _unigram(count: np.ndarray, model: dict) -> np.ndarray:
+    """P(w) of a word's count."""
+    if not model["discounted"]:
+        return (count + 0.5) / (model["N"] + 0.5 * (model["V"] + 1))
+    return np.where(count > 0, model["d"][np.minimum(count, CUTOFF + 1)] * count / max(model["N"], 1), model["unknown"])
+
+
 class _Block:
-    """One block's arrays, rebuilt from its row and the answers to earlier levels."""
+    """One block's arrays, rebuilt from its rows and the answers to earlier levels."""
 
-    def __init__(self, own: list[dict]) -> None:
-        """own: the block's rows of level 0, by part and piece."""
-        parts = [[unpack(r["payload"]) for r in own if r["part"] == kind] for kind in (PLACE, SEQ, DOCS)]
-        self.by_key, self.seq = (np.concatenate([x[0].astype(np.int64) for x in p]) for p in parts[:2])
-        self.doc_ids, self.train, self.null = (np.concatenate([x[i] for x in parts[2]]) for i in range(3))
+    def __init__(self, own: dict[int, list]) -> None:
+        """own: the block's own arrays, by which they are and piece."""
+        self.by_key, self.seq = (np.concatenate([x[0].astype(np.int32) for x in own[kind]]) for kind in (PLACE, SEQ))
+        self.doc_ids, self.train, self.null = (np.concatenate([x[i] for x in own[DOCS]]) for i in range(3))
         ends = np.flatnonzero(self.seq == END)
         self.lengths = np.diff(np.concatenate([[-1], ends]))
         self.is_train = np.repeat(self.train.astype(bool), self.lengths)
@@ -152,10 +180,9 @@ class _Block:
         count, ids = np.zeros(len(self.by_key), np.int64), np.zeros(len(self.by_key), np.int64)
         count[self.by_key], ids[self.by_key] = (np.concatenate([a[i] for a in answers]) for i in range(2))
         self.word_count, self.word_id = count, ids
-        p = np.where(count > 0, model["d"][np.minimum(count, CUTOFF + 1)] * count / max(model["N"], 1), model["unknown"]) if model["discounted"] else (count + 0.5) / (model["N"] + 0.5 * (model["V"] + 1))
-        self.logp = np.log10(p)[self.seq]
-        # the 1-gram that ends at each place: which, its count as a context, its id
-        self.gram, self.gram_count, self.gram_id = self.seq, count, ids
+        self.logp = np.log10(_unigram(count, model))[self.seq]
+        # the 1-gram that ends at each place: which, its count, its id; and the factor of its context
+        self.gram, self.gram_count, self.gram_id, self.factor = self.seq, count, ids, None
 
     # levels above ------------------------------------------------------------
     def ngrams(self) -> None:
@@ -163,71 +190,80 @@ class _Block:
         context = np.concatenate([[-1], self.gram[:-1]])
         place = np.flatnonzero((context >= 0) & ~self.starts)
         place = place[self.gram_count[context[place]] > 0]  # an unseen context backs off with weight one
-        pair = context[place] * len(self.by_key) + self.seq[place]
+        pair = context[place] * np.int64(len(self.word_id)) + self.seq[place]
         pair, first, of = np.unique(pair, return_index=True, return_inverse=True)
-        self.place, self.of = place, of
-        self.ctx, self.word = np.divmod(pair, len(self.by_key))
-        self.lower = 10.0 ** self.logp[place[first]]
+        self.place, self.of = place, of.astype(np.int32)
+        self.ctx, self.word = np.divmod(pair, len(self.word_id))
+        first = place[first]
+        self.lower = self.logp[first]
+        # of the n-gram without its first word: its count, and what that count is multiplied by
+        self.low = self.gram_count[self.gram[first]]
+        self.low_factor = None if self.factor is None else self.factor[self.gram[first]]
         self.count = np.bincount(of[self.is_train[place]], minlength=len(pair))
         self.contexts = np.unique(self.ctx)
 
-    def _dealt(self, parts: int, share: float) -> tuple[np.ndarray, ...]:
-        """Part of each n-gram, and (context, part) for every part that holds some of the context."""
-        def salts(c: np.ndarray) -> np.ndarray:
-            return np.clip(np.ceil(self.gram_count[c] / share), 1, parts).astype(np.int64)
+    def _salts(self, c: np.ndarray, parts: int, share: float) -> np.ndarray:
+        return np.clip(np.ceil(self.gram_count[c] / share), 1, parts).astype(np.int64)
+
+    def _chunks(self, parts: int, share: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each part that holds some of them: contexts, and n-grams by word."""
 
         def part(c: np.ndarray, salt: np.ndarray) -> np.ndarray:
             return ((mix64(self.gram_id[c], 2) + salt.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
-        own = part(self.ctx, (mix64(self.word_id[self.word], 3) % salts(self.ctx).astype(np.uint64)).astype(np.int64))
-        n = salts(self.contexts)
+        own = part(self.ctx, (mix64(self.word_id[self.word], 3) % self._salts(self.ctx, parts, share).astype(np.uint64)).astype(np.int64))
+        n = self._salts(self.contexts, parts, share)
         c = np.repeat(self.contexts, n)
-        salt = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return own, c, part(c, salt)
-
-    def _chunks(self, parts: int, share: float) -> Iterator[tuple]:
-        own, c, at = self._dealt(parts, share)
-        grams, contexts = dict(_by_part(own)), dict(_by_part(at))
-        for p, which in contexts.items():
+        at = part(c, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        grams = dict(_by_part(own))
+        for p, which in _by_part(at):
             g = grams.get(p, np.zeros(0, np.int64))
-            g = g[np.argsort(self.word_id[self.word[g]], kind="stable")]
-            yield p, c[which], g
+            yield p, c[which], g[np.argsort(self.word_id[self.word[g]], kind="stable")]
 
     def ask_ngrams(self, parts: int, share: float) -> Iterator[tuple[int, tuple]]:
         for p, c, g in self._chunks(parts, share):
-            seen = self.count[g] > 0
-            yield p, (self.gram_id[c], np.searchsorted(c, self.ctx[g]), np.diff(self.word_id[self.word[g]], prepend=0), self.count[g], np.where(seen, self.lower[g], 0.0))
+            at, seen = np.searchsorted(c, self.ctx[g]), self.count[g] > 0
+            factor = np.zeros(0)
+            if self.low_factor is not None:
+                factor = np.zeros(len(c))
+                factor[at] = self.low_factor[g]
+            # a split context's sums are needed from all its parts
+            split = (self._salts(c, parts, share) > 1).astype(np.int8)
+            yield p, (self.gram_id[c], split, factor, at, np.diff(self.word_id[self.word[g]], prepend=0), self.count[g], np.where(seen, self.low[g], 0))
 
     def take_ngrams(self, parts: int, share: float, answers: dict[int, list[np.ndarray]], d: np.ndarray) -> None:
-        total = np.zeros(len(self.ctx), np.int64)
-        ids = np.zeros(len(self.ctx), np.int64)
-        sums = np.zeros((len(self.gram_count), CUTOFF + 2))
+        total, ids = (np.zeros(len(self.ctx), np.int64) for _ in range(2))
+        mass = np.zeros(len(self.gram_count), bool)
+        sums, below = np.zeros((len(self.gram_count), CUTOFF + 1)), np.zeros(len(self.gram_count))
         for p, c, g in self._chunks(parts, share):
-            total[g], ids[g], of_context, below = answers[p]
-            np.add.at(sums, c, np.column_stack([of_context, below]))
+            total[g], ids[g], some, asked, of_context, under = answers[p]
+            mass[c] |= some > 0
+            c = c[asked > 0]  # each once in a part
+            sums[c] += of_context
+            below[c] += under
         c = self.gram_count.astype(float)
         with np.errstate(divide="ignore", invalid="ignore"):
-            kept = (sums[:, : CUTOFF] * (d[1 : CUTOFF + 1] * np.arange(1, CUTOFF + 1))).sum(1) + sums[:, CUTOFF]
-            scale = np.where(c - kept > 1e-9 * c, 1 / c, 1 / (c + 1))
-            alpha = (1 - kept * scale) / np.maximum(1 - sums[:, CUTOFF + 1], 1e-300)
-            seen = d[np.minimum(total, CUTOFF + 1)] * total * scale[self.ctx]
-            logp = np.where(total > 0, np.log10(seen), np.log10(alpha)[self.ctx] + np.log10(self.lower))
+            kept = (sums[:, :CUTOFF] * (d[1 : CUTOFF + 1] * np.arange(1, CUTOFF + 1))).sum(1) + sums[:, CUTOFF]
+            scale = 1 / np.where(mass, c, c + 1)
+            alpha = (1 - kept * scale) / np.maximum(1 - below, 1e-300)
+            factor = scale[self.ctx]
+            logp = np.where(total > 0, np.log10(d[np.minimum(total, CUTOFF + 1)] * total * factor), np.log10(alpha)[self.ctx] + self.lower)
         self.logp = self.logp.copy()
         self.logp[self.place] = logp[self.of]
-        gram = np.full(len(self.seq), -1, np.int64)
+        gram = np.full(len(self.seq), -1, np.int32)
         gram[self.place] = self.of
-        self.gram, self.gram_count, self.gram_id = gram, total, ids
+        self.gram, self.gram_count, self.gram_id, self.factor = gram, total, ids, factor
 
     # result ------------------------------------------------------------------
     def result(self, model: dict) -> dict[str, list]:
         at = np.cumsum(self.lengths) - self.lengths
         counted = ~self.starts
         known = (self.word_count[self.seq] > 0) & counted
-        base = np.where(counted, np.log10((self.word_count[self.seq] + 0.5) / (model["N"] + 0.5 * (model["V"] + 1))), 0.0)
+        base = np.where(counted, np.log10((self.word_count + 0.5) / (model["N"] + 0.5 * (model["V"] + 1)))[self.seq], 0.0)
         n = len(at)
         return {
-            "doc_id": [None if z else int(i) for i, z in zip(self.doc_ids, self.null, strict=True)],
-            "held_out": (~self.train.astype(bool)).tolist(),
+            "doc_id": pa.array(self.doc_ids.astype(np.int64), mask=self.null.astype(bool)),
+            "held_out": ~self.train.astype(bool),
             "n_tokens": self.lengths - 1,
             "n_known": np.add.reduceat(known.astype(np.int64), at),
             "train_tokens": np.full(n, model["N"], np.int64),
@@ -247,16 +283,24 @@ def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def _rebuilt(rows: pa.Table, models: list[dict], parts: int) -> tuple[str, _Block]:
     """A block's name, and the block as it stands after the levels of models."""
-    found = sorted(rows.to_pylist(), key=lambda r: (r["level"], r["part"], r["piece"]))
-    b = _Block([r for r in found if r["level"] == 0])
-    for level, model in enumerate(models, 1):
-        got = [(r["part"], unpack(r["payload"])) for r in found if r["level"] == level]
-        if level == 1:
-            b.take_words([x for _, x in got], model)
+    rows = rows.select(["level", "part", "piece", "block", "payload"]).sort_by([("level", "ascending"), ("part", "ascending"), ("piece", "ascending")])
+    level, part, payload = rows.column("level").to_numpy(), rows.column("part").to_numpy(), rows.column("payload")
+
+    def of(n: int) -> list[tuple[int, list[np.ndarray]]]:
+        lo, hi = np.searchsorted(level, [n, n + 1])
+        return [(int(p), unpack(x.as_buffer())) for p, x in zip(part[lo:hi], payload.slice(lo, hi - lo), strict=True)]
+
+    own: dict[int, list] = {}
+    for kind, arrays in of(0):
+        own.setdefault(kind, []).append(arrays)
+    b = _Block(own)
+    for n, model in enumerate(models, 1):
+        if n == 1:
+            b.take_words([x for _, x in of(n)], model)
         else:
             b.ngrams()
-            b.take_ngrams(parts, model["share"], dict(got), model["d"])
-    return found[0]["block"], b
+            b.take_ngrams(parts, model["share"], dict(of(n)), model["d"])
+    return rows.column("block")[0].as_py(), b
 
 
 def _ask_words(parts: int):
@@ -264,23 +308,28 @@ def _ask_words(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                keys, count, start = unpack(row["payload"])
+            for block, piece, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                keys, count, start = unpack(payload)
                 keys = np.cumsum(keys.astype(np.uint64))
                 out = []
                 for p, at in _by_part(((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)):
-                    out.append((p, row["block"], row["piece"], pack(np.diff(keys[at], prepend=np.uint64(0)), count[at], start[at])))
+                    out.append((p, block, piece, pack(np.diff(keys[at], prepend=np.uint64(0)), count[at], start[at])))
                 yield _batch(_ASK_SCHEMA, out)
 
     return run
 
 
+def _asks(asked: pa.Table) -> tuple[int, list[tuple], list[list[np.ndarray]]]:
+    """A part, and by request: who asks, and what."""
+    names = list(zip(asked.column("block").to_pylist(), asked.column("piece").to_pylist(), strict=True))
+    return asked.column("part")[0].as_py(), names, [unpack(x.as_buffer()) for x in asked.column("payload")]
+
+
 def _count_words(parts: int):
     """Sum a partition's words over all blocks; answer each block."""
 
-    def run(key: tuple, asked: pa.Table) -> pa.Table:
-        part, names = key[0].as_py(), list(zip(asked.column("block").to_pylist(), asked.column("piece").to_pylist(), strict=True))
-        chunks = [unpack(x) for x in asked.column("payload").to_pylist()]
+    def run(asked: pa.Table) -> pa.Table:
+        part, names, chunks = _asks(asked)
         keys = np.concatenate([np.cumsum(x[0].astype(np.uint64)) for x in chunks])
         words, of = np.unique(keys, return_inverse=True)
         count = np.bincount(of, np.concatenate([x[1] for x in chunks]).astype(float), len(words)).astype(np.int64)
@@ -291,18 +340,16 @@ def _count_words(parts: int):
         for name, x in zip(names, chunks, strict=True):
             own = of[at : at + len(x[0])]
             at += len(x[0])
-            rows.append((1, part, *name, pack(count[own], ids[own]), 0, 0, None))
-        words, ids, count = (a[count > 0] for a in (words, ids, count))
-        ones = np.bincount(np.minimum(real, CUTOFF + 2), minlength=CUTOFF + 2)[1 : CUTOFF + 2].tolist()
-        for i, x in _pieces(len(words)):
-            rows.append((1, part, None, i, pack(np.diff(words[x], prepend=np.uint64(0)), ids[x], count[x]), *((0, 0, None) if i else (int((real > 0).sum()), int(real.sum()), ones))))
-        return pa.Table.from_batches([_batch(_ROW_SCHEMA, rows)])
+            rows.append((ANSWER, part, *name, pack(count[own], ids[own]), *_NO_COUNTS))
+        seen = count > 0
+        rows += _table(part, count[seen], words[seen].view(np.int64), ids[seen], real)
+        return pa.Table.from_batches([_batch(_LEVEL_SCHEMA, rows)])
 
     return run
 
 
 def _ask_ngrams(parts: int, models: list[dict], share: float):
-    def run(_key: tuple, found: pa.Table) -> pa.Table:
+    def run(found: pa.Table) -> pa.Table:
         name, b = _rebuilt(found, models, parts)
         b.ngrams()
         rows = [(p, name, 0, pack(*x)) for p, x in b.ask_ngrams(parts, share)]
@@ -311,17 +358,19 @@ def _ask_ngrams(parts: int, models: list[dict], share: float):
     return run
 
 
-def _count_ngrams(level: int, order: int, parts: int):
+def _count_ngrams(level: int, order: int, parts: int, models: list[dict]):
     """Sum a partition's n-grams over all blocks; answer each block with counts and context sums."""
 
-    def run(key: tuple, asked: pa.Table) -> pa.Table:
-        part, names = key[0].as_py(), list(zip(asked.column("block").to_pylist(), asked.column("piece").to_pylist(), strict=True))
-        chunks = [unpack(x) for x in asked.column("payload").to_pylist()]
+    def run(asked: pa.Table) -> pa.Table:
+        part, names, chunks = _asks(asked)
         contexts, of_context = np.unique(np.concatenate([x[0] for x in chunks]).astype(np.int64), return_inverse=True)
-        at, ctx, word = 0, [], []
+        at, ctx, word, factor = 0, [], [], np.zeros(len(contexts))
         for x in chunks:
-            ctx.append(of_context[at : at + len(x[0])][x[1]])
-            word.append(np.cumsum(x[2].astype(np.int64)))
+            here = of_context[at : at + len(x[0])]
+            ctx.append(here[x[3]])
+            word.append(np.cumsum(x[4].astype(np.int64)))
+            if len(x[2]):
+                factor[here] = np.maximum(factor[here], x[2])  # zero where a block has no n-gram of the context here
             at += len(x[0])
         ctx, word = np.concatenate(ctx), np.concatenate(word)
         by_word = np.lexsort((ctx, word))
@@ -329,11 +378,12 @@ def _count_ngrams(level: int, order: int, parts: int):
         of = np.empty(len(by_word), np.int64)
         of[by_word] = np.cumsum(new) - 1
         n = int(new.sum())
-        count = np.bincount(of, np.concatenate([x[3] for x in chunks]).astype(float), n).astype(np.int64)
-        lower = np.zeros(n)
-        np.maximum.at(lower, of, np.concatenate([x[4] for x in chunks]).astype(float))
+        count = np.bincount(of, np.concatenate([x[5] for x in chunks]).astype(float), n).astype(np.int64)
         ctx, word = ctx[by_word][new], word[by_word][new]
         seen = count > 0
+        low = np.zeros(n, np.int64)
+        np.maximum.at(low, of, np.concatenate([x[6] for x in chunks]).astype(np.int64))
+        lower = _unigram(low, models[0]) if level == 2 else models[-1]["d"][np.minimum(low, CUTOFF + 1)] * low * factor[ctx]
         ids = (np.cumsum(seen) - 1) * parts + part
         # of each context: followers with count 1, 2, ... CUTOFF, the other followers' counts, and P(w | h') over all
         sums = np.zeros((len(contexts), CUTOFF + 1), np.int64)
@@ -341,18 +391,19 @@ def _count_ngrams(level: int, order: int, parts: int):
             sums[:, r - 1] = np.bincount(ctx[count == r], minlength=len(contexts))
         sums[:, CUTOFF] = np.bincount(ctx[count > CUTOFF], count[count > CUTOFF], len(contexts))
         below = np.bincount(ctx[seen], lower[seen], len(contexts))
+        mass = sums[:, :CUTOFF].any(1).astype(np.int8)
         rows, at, c = [], 0, 0
         for name, x in zip(names, chunks, strict=True):
-            own, asked_for = of[at : at + len(x[1])], of_context[c : c + len(x[0])]
-            at, c = at + len(x[1]), c + len(x[0])
+            own, here = of[at : at + len(x[3])], of_context[c : c + len(x[0])]
+            at, c = at + len(x[3]), c + len(x[0])
+            # sums are for what backs off
+            asks = x[1] > 0
+            asks[x[3][~seen[own]]] = True
             next_ids = ids[own] if level < order else np.zeros(len(own), np.uint8)  # for the next level alone
-            rows.append((level, part, *name, pack(count[own], next_ids, sums[asked_for], below[asked_for]), 0, 0, None))
-        ones = np.bincount(np.minimum(count, CUTOFF + 2), minlength=CUTOFF + 2)[1 : CUTOFF + 2].tolist()
-        ctx, word, count = ctx[seen], word[seen], count[seen]
-        for i, x in _pieces(len(ctx)):
-            held, place = np.unique(ctx[x], return_inverse=True)
-            rows.append((level, part, None, i, pack(contexts[held], place, np.diff(word[x], prepend=0), count[x]), *((0, 0, None) if i else (len(ctx), int(count.sum()), ones))))
-        return pa.Table.from_batches([_batch(_ROW_SCHEMA, rows)])
+            rows.append((ANSWER, part, *name, pack(count[own], next_ids, mass[here], asks.astype(np.int8), sums[here[asks]], below[here[asks]]), *_NO_COUNTS))
+        by_context = np.flatnonzero(seen)[np.argsort(ctx[seen], kind="stable")]
+        rows += _table(part, count[by_context], contexts[ctx[by_context]], word[by_context], count)
+        return pa.Table.from_batches([_batch(_LEVEL_SCHEMA, rows)])
 
     return run
 
@@ -360,7 +411,7 @@ def _count_ngrams(level: int, order: int, parts: int):
 def _score(models: list[dict], parts: int):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def run(_key: tuple, found: pa.Table) -> pa.Table:
+    def run(found: pa.Table) -> pa.Table:
         return pa.table(_rebuilt(found, models, parts)[1].result(models[0]), schema=schema)
 
     return run
@@ -386,60 +437,66 @@ def discounts(ones: list[int]) -> np.ndarray:
     return d
 
 
-def _stats(answers: DataFrame) -> tuple[int, int, list[int]]:
+def _stats(level: DataFrame) -> tuple[int, int, list[int]]:
     """Types, tokens and counts of counts of a level: one row of sums."""
-    row = answers.where(F.col("block").isNull()).agg(F.sum("ngrams"), F.sum("total"), *[F.sum(F.col("ones")[i]) for i in range(CUTOFF + 1)]).first()
+    row = level.where(F.col("kind") == TABLE).agg(F.sum("types"), F.sum("total"), *[F.sum(F.col("ones")[i]) for i in range(CUTOFF + 1)]).first()
     v, n, *ones = (x or 0 for x in row)
     return v, n, ones
 
 
-def katz_scores(docs: DataFrame, train=None, order: int = ORDER, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Score every row of docs(doc_id, text); learn from rows where train (a Column) holds.
+def count_table(level: DataFrame) -> DataFrame:
+    """(part, key, word, count) of a written level, one row an n-gram."""
+    return level.where(F.col("kind") == TABLE).select("part", F.inline(F.arrays_zip("key", "word", "count")))
 
-    train defaults to crc32(doc_id as text) mod 5 <> 1. Returns SCORES; score is the log10
-    probability of the text's words and its end. The count tables stay in the shared folder,
-    partitioned by level and part: pieces of packed (word, id, count) and (contexts, context, word, count) arrays.
-    """
-    spark = docs.sparkSession
+
+def model(docs: DataFrame, train=None, order: int = ORDER, block_tokens: int = BLOCK_TOKENS, part_tokens: int = PART_TOKENS) -> tuple[DataFrame, list[DataFrame], list[dict], int]:
+    """Blocks of docs, the written levels, their parameters, and the number of parts."""
     train = F.coalesce(bucket(F.col("doc_id"), 5) != 1, F.lit(True)) if train is None else train
-    scratch = Scratch(spark, "katz")
+    scratch = Scratch(docs.sparkSession, "katz")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train.cast("boolean").alias("train"), F.col("text").cast("binary").alias("text"))
-    blocks = scratch.keep(rows.mapInArrow(_encode(block_tokens), ROWS), "blocks", "none")
-    n_blocks, tokens = blocks.agg(F.count_if((F.col("part") == DOCS) & (F.col("piece") == 0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    if not n_blocks:
-        return spark.createDataFrame([], SCORES)
-    parts = max(1, n_blocks, -(-tokens // block_tokens))
-
+    blocks = scratch.keep(rows.mapInArrow(_encode(block_tokens), BLOCKS), "blocks", "none")
+    tokens = blocks.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    parts = max(1, -(-tokens // part_tokens))
     models: list[dict] = []
-    answers: list[DataFrame] = []
-    for level in range(1, order + 1):
+    levels: list[DataFrame] = []
+    for level in range(1, order + 1) if tokens else ():
         share = max(1.0, tokens / parts)
         if level == 1:
             words = blocks.where(F.col("part") == WORDS).select("block", "piece", "payload")
             asked, count = words.mapInArrow(_ask_words(parts), ASKED), _count_words(parts)
         else:
-            asked = _for_blocks(blocks, answers).groupBy("block").applyInArrow(_ask_ngrams(parts, models, share), ASKED)
-            count = _count_ngrams(level, order, parts)
-        answers.append(scratch.keep(asked.groupBy("part").applyInArrow(count, ROWS), f"level{level}", "none"))
-        del asked  # its shuffle files can go
-        release(spark)
-        types, total, ones = _stats(answers[-1])
+            asked = _for_blocks(blocks, levels).groupBy("block").applyInArrow(_ask_ngrams(parts, models, share), ASKED)
+            count = _count_ngrams(level, order, parts, models)
+        levels.append(scratch.keep(asked.groupBy("part").applyInArrow(count, LEVEL), f"level{level}", by="kind"))
+        types, total, ones = _stats(levels[-1])
         d = discounts(ones)
-        model = {"d": d, "share": share}
+        found = {"d": d, "share": share}
         if level == 1:
             small = [o * (1 - d[r]) * r for r, o in enumerate(ones[:CUTOFF], 1)]
             unknown = sum(small) / max(total, 1)
-            model |= {"N": total, "V": types, "unknown": unknown, "discounted": 1e-12 < unknown < 1}
-        models.append(model)
-    return _for_blocks(blocks, answers).groupBy("block").applyInArrow(_score(models, parts), SCORES)
+            found |= {"N": total, "V": types, "unknown": unknown, "discounted": 1e-12 < unknown < 1}
+        models.append(found)
+    return blocks, levels, models, parts
+
+
+def katz_scores(docs: DataFrame, train=None, order: int = ORDER, block_tokens: int = BLOCK_TOKENS, part_tokens: int = PART_TOKENS) -> DataFrame:
+    """Score every row of docs(doc_id, text); learn from rows where train (a Column) holds.
+
+    train defaults to crc32(doc_id as text) mod 5 <> 1. Returns SCORES; score is the log10
+    probability of the text's words and its end. The count tables stay in the shared folder.
+    """
+    blocks, levels, models, parts = model(docs, train, order, block_tokens, part_tokens)
+    if not models:
+        return docs.sparkSession.createDataFrame([], SCORES)
+    return _for_blocks(blocks, levels).groupBy("block").applyInArrow(_score(models, parts), SCORES)
 
 
-def _for_blocks(blocks: DataFrame, answers: list[DataFrame]) -> DataFrame:
+def _for_blocks(blocks: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """Blocks' own arrays but their words, and all answers to them."""
-    columns = ["level", "part", "block", "piece", "payload"]
-    out = blocks.where(F.col("part") != WORDS).select(columns)
-    for a in answers:
-        out = out.unionByName(a.where(F.col("block").isNotNull()).select(columns))
+    columns = ["part", "block", "piece", "payload"]
+    out = blocks.where(F.col("part") != WORDS).select(F.lit(0).alias("level"), *columns)
+    for n, level in enumerate(levels, 1):
+        out = out.unionByName(level.where(F.col("kind") == ANSWER).select(F.lit(n).alias("level"), *columns))
     return out
 
 

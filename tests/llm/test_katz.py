@@ -68,7 +68,7 @@ class Plain:
 @pytest.mark.parametrize("block", [20, 2_000_000])
 def test_equals_plain_model(spark, order, block):
     df = spark.createDataFrame(TEXTS, "doc_id long, text string").withColumn("score", F.lit("clash")).repartition(3)
-    got = katz.katz_scores(df, order=order, block_tokens=block).toPandas()
+    got = katz.katz_scores(df, order=order, block_tokens=block, part_tokens=block).toPandas()
     assert len(got) == len(TEXTS)
     model = Plain([t for d, t in TEXTS if not held_out(d)], order)
     want = sorted((str(d), len((t or "").encode().split()) + 1, round(model.score(t), 6)) for d, t in TEXTS)
@@ -84,6 +84,21 @@ def test_equals_plain_model(spark, order, block):
             assert r.held_out == held_out(int(r.doc_id))
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_count_tables_hold_all_ngrams(spark, order):
+    df = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    _, levels, _, _ = katz.model(df, order=order, block_tokens=30, part_tokens=25)
+    plain = Plain([t for d, t in TEXTS if not held_out(d)], order)
+    words = {r.word: r.key for r in katz.count_table(levels[0]).collect()}
+    for n, level in enumerate(levels, 1):
+        got = katz.count_table(level).collect()
+        want = dict(plain.counts[n])
+        if n == 1:
+            assert {r.word for r in got} == words.keys()
+            want[(b"<",)] = sum(not held_out(d) for d, _ in TEXTS)
+        assert sorted(r["count"] for r in got) == sorted(want.values()) and (n == 1 or all(r.word in words for r in got))
+
+
 def test_each_context_sums_to_one():
     model = Plain([t for d, t in TEXTS if not held_out(d)], 3)
     for h in [(), *list(model.context[2])[:8], *list(model.context[3])[:8]]:
