@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Whether Spark deletes a statement's shuffle files at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Files that a task has open, so that rows need not be sorted by their folder.
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 #: Files of a written table, for each core.
 FILES = 4
 
@@ -49,7 +51,7 @@ class Scratch:
         _MADE.append(self.root)
 
     def keep(self, df: DataFrame, name: str, compression: str = "zstd", by: str | None = None) -> DataFrame:
-        """Write df once, in a folder for each value of by, and return the table as written.
+        """Write df once, in a folder for each value of by (a few), and return the table as written.
 
         Shuffle files of the write go when it ends, for nothing reads them again. It makes FILES files a core of the cluster at most.
         A task of more than one partition works on one after the other. Each file costs requests to
@@ -57,13 +59,16 @@ class Scratch:
         """
         path = f"{self.root}/{name}"
         schema, conf = df.schema, self.spark.conf
-        before = conf.get(CLEANUP)
-        conf.set(CLEANUP, "true")
+        ours = {CLEANUP: "true"} | ({WRITERS: "16"} if by else {})
+        before = {k: conf.get(k) for k in ours}
+        for k, v in ours.items():
+            conf.set(k, v)
         try:
             writer = df.coalesce(FILES * self.spark.sparkContext.defaultParallelism).write.mode("overwrite").option("compression", compression)
             (writer.partitionBy(by) if by else writer).parquet(path)
         finally:
-            conf.set(CLEANUP, before)
+            for k, v in before.items():
+                conf.set(k, v)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:

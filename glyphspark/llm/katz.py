@@ -9,7 +9,7 @@ the backoff weight needs. A block then evaluates the recursion for each of its t
 further join. Nothing of corpus size reaches the driver; it sees only counts of counts.
 
 Tables. Each level is written by kind: `answer` holds packed arrays for blocks, and `table` the counts
-as typed arrays of at most PIECE entries a row: key (1-grams: the words' XXH64; else the contexts'
+as typed arrays of at most TABLE_PIECE entries a row: key (1-grams: the words' XXH64; else the contexts'
 ids), word (ids) and count. count_table() reads them as one row an n-gram.
 
 Memory. A task holds one block or one part at a time; parts have about PART_TOKENS n-grams.
@@ -52,8 +52,8 @@ CUTOFF = 5
 #: Tokens in a block, and n-grams in a partition, about.
 BLOCK_TOKENS = 1_000_000
 PART_TOKENS = 500_000
-#: Entries of an array in one row.
-PIECE = 65_536
+#: Entries of an array in one row, and of a table's.
+PIECE, TABLE_PIECE = 65_536, 16_384
 START, END = 0, 1
 #: No word holds a space, so these name the two ends.
 ENDS = (b" start", b" end")
@@ -85,17 +85,17 @@ _LEVEL_SCHEMA = pa.schema([("kind", pa.string()), *_ASK_SCHEMA, ("types", pa.int
 _NO_COUNTS = (None,) * 6
 
 
-def _pieces(n: int) -> Iterator[tuple[int, slice]]:
+def _pieces(n: int, size: int = PIECE) -> Iterator[tuple[int, slice]]:
     """Numbered slices of n entries, at least one."""
-    for i, at in enumerate(range(0, max(n, 1), PIECE)):
-        yield i, slice(at, at + PIECE)
+    for i, at in enumerate(range(0, max(n, 1), size)):
+        yield i, slice(at, at + size)
 
 
 def _table(part: int, count: np.ndarray, key: np.ndarray, word: np.ndarray, real: np.ndarray) -> list[tuple]:
     """Rows of a part's counts; real: the counts that make its sums."""
     ones = np.bincount(np.minimum(real, CUTOFF + 2), minlength=CUTOFF + 2)[1 : CUTOFF + 2].tolist()
     sums = (int((real > 0).sum()), int(real.sum()), ones)
-    return [(TABLE, part, None, i, None, *(sums if not i else (0, 0, None)), key[x], word[x], count[x]) for i, x in _pieces(len(count))]
+    return [(TABLE, part, None, i, None, *(sums if not i else (0, 0, None)), key[x], word[x], count[x]) for i, x in _pieces(len(count), TABLE_PIECE)]
 
 
 def _encode(block_tokens: int):
