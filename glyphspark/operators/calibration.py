@@ -54,10 +54,12 @@ def calibration_summary(df: DataFrame, conf: str = "conf", correct: str = "corre
 def risk_coverage(df: DataFrame, conf: str = "conf", correct: str = "correct", key: str = "row_id") -> DataFrame:
     """Rows by falling confidence (ties by key): coverage i / n and the error rate of the first i.
 
+    A row without a confidence or without an outcome is no part of the curve, nor of n.
+
     Rows meet as groups of one confidence and one range of keys; running sums go over the groups,
     then inside each, so a confidence that a third of all rows share is many groups.
     """
-    d = df.select(F.col(key).alias("key"), F.col(conf).cast("double").alias("conf"), (1 - F.col(correct).cast("double")).alias("wrong"))
+    d = df.select(F.col(key).alias("key"), F.col(conf).cast("double").alias("conf"), (1 - F.col(correct).cast("double")).alias("wrong")).where("conf is not null and wrong is not null")
     d = d.withColumn("part", sliced(F.col("key").cast("double"), edges(d, "key")))
     groups = d.groupBy("conf", "part").agg(F.count("*").alias("n"), F.sum("wrong").alias("w"))
     before = running(groups, "conf", ["part"], {"upto": F.col("n"), "wrong_upto": F.col("w")}, descending=True)

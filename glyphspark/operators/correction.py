@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import within
 from ..functions.text import aksharas
+from .prefix import once
 
 WEIGHTS = {"lm": 1.0, "distance": 1.2, "visual": 1.5, "frequency": 0.3}
 MARGIN = 0.5
@@ -48,9 +49,13 @@ def word_similarity(a: Column, b: Column, pairs: list[tuple[str, str]] | None =
     return F.when(n > 0, F.aggregate(zipped, F.lit(0.0), lambda acc, v: acc + v) / n).otherwise(F.lit(1.0))
 
 
-def confusable_pairs(confusions: DataFrame, least: int = 2, top: int = 200) -> list[tuple[str, str]]:
-    """Measured confusions (expected, read_as, n) as pairs for visual_similarity, the top ones."""
-    return [(r.expected, r.read_as) for r in confusions.where(F.col("n") >= least).orderBy(F.desc("n"), "expected", "read_as").limit(top).collect()]
+def confusable_pairs(confusions: DataFrame, least: int = 2, top: int | None = None) -> list[tuple[str, str]]:
+    """Measured confusions (expected, read_as, n) as pairs for visual_similarity; top keeps the most common ones.
+
+    There are at most as many as pairs of aksharas that were confused `least` times.
+    """
+    found = confusions.where(F.col("n") >= least).orderBy(F.desc("n"), "expected", "read_as")
+    return [(r.expected, r.read_as) for r in (found if top is None else found.limit(top)).collect()]
 
 
 def _deletions(units: Column, most: int) -> Column:
@@ -70,10 +75,13 @@ def nearest(words: DataFrame, lexicon: DataFrame, max_distance: int = MAX_DISTAN
     equi-join on these neighbourhoods meets every candidate, and distances verify it: no pairs of
     all words with all entries. Order: distance, falling frequency, then the word.
     """
-    asked = words.select("word").distinct().withColumn("a", aksharas(F.col("word"))).withColumn("key", F.explode(_deletions(F.col("a"), max_distance)))
-    entries = lexicon.select(F.col("word").alias("candidate"), "freq").withColumn("b", aksharas(F.col("candidate"))).withColumn("key", F.explode(_deletions(F.col("b"), max_distance)))
-    met = asked.join(entries, "key").where(F.abs(F.size("a") - F.size("b")) <= max_distance).select("word", "candidate", "freq", "a", "b").distinct()
-    near = met.withColumn("distance", within(F.col("a"), F.col("b"), max_distance)).where(F.col("distance") >= 0)
+    # a key is the hash of an array; arrays stay behind, and are made again for the pairs that met
+    keys = lambda df, word: once(df, units=aksharas(F.col(word))).withColumn("size", F.size("units")).withColumn("key", F.explode(F.array_distinct(F.transform(_deletions(F.col("units"), max_distance), lambda k: F.xxhash64(k))))).drop("units")
+    asked = keys(words.select("word").distinct(), "word").withColumnRenamed("size", "word_size")
+    entries = keys(lexicon.select(F.col("word").alias("candidate"), "freq"), "candidate")
+    met = asked.join(entries, "key").where(F.abs(F.col("word_size") - F.col("size")) <= max_distance).select("word", "candidate", "freq").distinct()
+    arrays = once(met, a=aksharas(F.col("word")), b=aksharas(F.col("candidate")))
+    near = once(arrays, distance=within(F.col("a"), F.col("b"), max_distance)).where(F.col("distance") >= 0)
     rank = F.row_number().over(Window.partitionBy("word").orderBy("distance", F.desc("freq"), "candidate"))
     out = near.select("word", "candidate", "distance", "freq", rank.alias("rank"))
     return out if limit is None else out.where(F.col("rank") <= limit)

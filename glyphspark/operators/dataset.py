@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import codepoints, devanagari_ratio, is_devanagari, normalize, strip
+from .prefix import fresh, once
 from .vocab import build_vocab, length_stats, out_of_vocab
 
 # Split hints in the order they are tried, and image suffixes.
@@ -34,13 +35,13 @@ def parse_annotations(lines: DataFrame, value: str = "value", devanagari: bool =
     A line is a path, white space, and a label that may hold spaces; a byte order mark and outer
     white space go. reason: null for a good row, else blank, fields, label or script.
     """
-    clean = F.regexp_replace(strip(F.col(value)), "^\\uFEFF+", "")
-    parted = lines.withColumn("_line", clean)
-    rel = F.regexp_extract("_line", r"(?U)^(\S+)\s+\S", 1)
-    parted = parted.withColumns({"rel": rel, "text": normalize(F.regexp_extract("_line", r"(?Us)^\S+\s+(.*)$", 1))})
+    line, label = fresh(lines, "line"), fresh(lines, "label")
+    clean = once(lines, **{line: F.regexp_replace(strip(F.col(value)), "^\\uFEFF+", "")})
+    parted = once(clean, rel=F.regexp_extract(line, r"(?U)^(\S+)\s+\S", 1), **{label: F.regexp_extract(line, r"(?Us)^\S+\s+(.*)$", 1)})
+    normal = once(parted, text=normalize(F.col(label)))
     bad_script = ~is_devanagari(F.col("text")) if devanagari else F.lit(False)
-    reason = F.when(F.col("_line") == "", "blank").when(F.col("rel") == "", "fields").when(F.col("text") == "", "label").when(bad_script, "script")
-    return parted.withColumn("reason", reason).drop("_line")
+    reason = F.when(F.col(line) == "", "blank").when(F.col("rel") == "", "fields").when(F.col("text") == "", "label").when(bad_script, "script")
+    return once(normal, reason=reason).drop(line, label)
 
 
 def skip_counts(parsed: DataFrame) -> DataFrame:
@@ -61,13 +62,14 @@ def resolve_images(rows: DataFrame, files: DataFrame, raw: str) -> DataFrame:
     Existing files are a table; candidates join it by path in one join: the candidates of a row
     are exploded with their rank and the first that exists wins. image is null where none does.
     """
-    paths = files.select(F.col("path").alias("_path")).distinct()
+    paths = files.select(F.col("path").alias("tried_path")).distinct()
     tried = F.array(F.concat_ws("/", "ann_dir", "rel"), F.concat_ws("/", F.lit(raw), "rel"), F.concat_ws("/", F.lit(raw), basename(F.col("rel"))))
-    asked = rows.select("rel", "ann_dir").distinct().select("rel", "ann_dir", F.posexplode(tried).alias("_rank", "_path"))
-    found = asked.join(paths, "_path").groupBy("rel", "ann_dir").agg(F.min_by("_path", "_rank").alias("_direct"))
-    index = image_index(files).select(F.col("name").alias("_name"), F.col("path").alias("_indexed"))
-    out = rows.join(found, ["rel", "ann_dir"], "left").join(index, basename(F.col("rel")) == F.col("_name"), "left")
-    return out.withColumn("image", F.coalesce("_direct", "_indexed")).drop("_direct", "_indexed", "_name")
+    asked = rows.select(F.col("rel").alias("of_rel"), F.col("ann_dir").alias("of_dir"), F.posexplode(tried).alias("try", "tried_path"))
+    found = asked.join(paths, "tried_path").groupBy("of_rel", "of_dir").agg(F.min_by("tried_path", "try").alias("direct_path"))
+    index = image_index(files).select(F.col("name").alias("of_name"), F.col("path").alias("indexed_path"))
+    direct = rows.join(found, (F.col("rel") == F.col("of_rel")) & (F.col("ann_dir") == F.col("of_dir")), "left")
+    out = direct.join(index, basename(F.col("rel")) == F.col("of_name"), "left")
+    return out.withColumn("image", F.coalesce("direct_path", "indexed_path")).drop("of_rel", "of_dir", "direct_path", "indexed_path", "of_name")
 
 
 def resolve_rate(rows: DataFrame, files: DataFrame, key: str, first: int = 200) -> DataFrame:
@@ -85,17 +87,19 @@ def shuffled(column: Column, seed: int) -> Column:
 def split_by_label(rows: DataFrame, seed: int = 42, train: float = 0.8, upto: float = 0.9, text: str = "text") -> DataFrame:
     """rows with split: 80/10/10 of the distinct labels in seeded order, so no label is in two splits.
 
-    Labels are ranked by a range of their hash: slices of the order, counted, then inside each.
+    A null label is one label, first in the order. Labels are ranked by a range of their hash: slices
+    of the order, counted, then inside each.
     """
-    labels = rows.select(F.col(text).alias("_label")).distinct().withColumn("_key", shuffled(F.col("_label"), seed))
-    cut = labels.withColumn("_slice", F.substring("_key", 1, 2))
-    # at most 256 rows
-    sizes = cut.groupBy("_slice").agg(F.count("*").alias("_c"))
-    before = sizes.select("_slice", F.coalesce(F.sum("_c").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy(F.lit(1))).alias("_n"))
-    ranked = cut.withColumn("_i", F.row_number().over(Window.partitionBy("_slice").orderBy("_key", "_label")) - 1).join(F.broadcast(before), "_slice")
-    place = F.col("_i") + F.col("_before")
-    split = F.when(place < F.floor(F.col("_n") * F.lit(train)), "train").when(place < F.floor(F.col("_n") * F.lit(upto)), "val").otherwise("test")
-    return rows.join(ranked.select("_label", split.alias("split")), rows[text] == F.col("_label")).drop("_label")
+    key = F.coalesce(shuffled(F.col("label"), seed), F.lit(""))
+    cut = rows.select(F.col(text).alias("label")).distinct().withColumn("key", key).withColumn("slice", F.substring("key", 1, 3))
+    # at most 4097 rows
+    sizes = cut.groupBy("slice").agg(F.count("*").alias("c"))
+    before = sizes.select("slice", F.coalesce(F.sum("c").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy(F.lit(1))).alias("n"))
+    ranked = cut.withColumn("i", F.row_number().over(Window.partitionBy("slice").orderBy("key", "label")) - 1).join(F.broadcast(before), "slice")
+    place = F.col("i") + F.col("before")
+    split = F.when(place < F.floor(F.col("n") * F.lit(train)), "train").when(place < F.floor(F.col("n") * F.lit(upto)), "val").otherwise("test")
+    of = fresh(rows, "label")
+    return rows.join(ranked.select(F.col("label").alias(of), split.alias("split")), F.col(text).eqNullSafe(F.col(of))).drop(of)
 
 
 def sample_rows(rows: DataFrame, n: int, key: str = "row_id", seed: int = 42) -> DataFrame:
@@ -124,9 +128,15 @@ def field_histogram(lines: DataFrame, key: str | None = None, first: int = 500,
 
 
 def directory_counts(files: DataFrame, path: str = "path") -> DataFrame:
-    """Images in each directory."""
+    """Images and subdirectories in each directory that has either; a directory is known by the files below it."""
     suffix = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-    return files.where(suffix.isin(IMAGE_SUFFIXES)).groupBy(F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("directory")).agg(F.count("*").alias("images"))
+    parent = lambda p: F.regexp_extract(p, r"^(.*)/[^/]*$", 1)
+    images = files.where(suffix.isin(IMAGE_SUFFIXES)).groupBy(parent(F.col(path)).alias("directory")).agg(F.count("*").alias("images"))
+    # all directories on the way to a file
+    parts = F.split(parent(F.col(path)), "/")
+    above = files.select(parts.alias("p")).distinct().select("p", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("n")).select(F.array_join(F.slice("p", 1, F.col("n")), "/").alias("d")).distinct()
+    inside = above.where("d <> ''").groupBy(parent(F.col("d")).alias("directory")).agg(F.count("*").alias("subdirectories"))
+    return images.join(inside, "directory", "full").select("directory", F.coalesce("images", F.lit(0)).alias("images"), F.coalesce("subdirectories", F.lit(0)).alias("subdirectories"))
 
 
 def label_inspection(rows: DataFrame, text: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dataset import shuffled
+from ..operators.prefix import running
 
 # Letters, vowels, vowel signs (the first one none) and conjuncts that units are made of.
 CONSONANTS = "कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसह"
@@ -32,12 +33,19 @@ def units(spark: SparkSession) -> DataFrame:
 def render_plan(items: DataFrame, fonts: DataFrame, repeats: int, seed: int = 11, item: str = "unit") -> DataFrame:
     """(item, repeat, font): each item `repeats` times, each with a font drawn by a seeded hash.
 
-    fonts(font) are numbered; the draw is an equi-join on that number.
+    fonts(font) are numbered in order, by ranges, and the draw is an equi-join on that number.
     """
-    numbered = fonts.distinct().orderBy("font").limit(10_000).agg(F.sort_array(F.collect_list("font")).alias("f"))
-    plan = items.select(F.col(item).alias("item")).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).crossJoin(F.broadcast(numbered))
+    # the first bytes as a number, which orders as the names do
+    start = F.conv(F.rpad(F.substring(F.hex("font"), 1, 12), 12, "0"), 16, 10).cast("double")
+    known = fonts.select("font").where(F.col("font").isNotNull()).distinct()
+    ranked = running(known.withColumn("start", start), "start", ["font"], {"number": F.lit(1)})
+    n = known.agg(F.count("*").alias("fonts"))
+    numbered = ranked.select("font", (F.col("number") - 1).alias("number"))
+    # one row
+    plan = items.select(F.col(item).alias("item")).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).crossJoin(F.broadcast(n))
     draw = F.conv(F.substring(shuffled(F.concat_ws(":", "item", "repeat"), seed), 1, 8), 16, 10).cast("long")
-    return plan.select("item", "repeat", F.get("f", (draw % F.size("f")).cast("int")).alias("font"))
+    drawn = plan.withColumn("number", F.when(F.col("fonts") > 0, draw % F.col("fonts")))
+    return drawn.join(numbered, "number", "left").select("item", "repeat", "font")
 
 
 def repeats_for(target: int, n_items: int) -> int:

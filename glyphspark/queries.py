@@ -268,7 +268,7 @@ def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # vocabulary and lexicon -------------------------------------------------------
 CHARS = "c AS (SELECT unnest(regexp_extract_all(p_name, '.')) AS token FROM part WHERE {0}), counts AS (SELECT token, count(*) AS n FROM c GROUP BY token)"
-VOCAB = "WITH " + CHARS.format("p_partkey % 3 <> 0") + ", v AS (SELECT token, (row_number() OVER (ORDER BY token) + 3)::INT AS id FROM counts WHERE n >= 2 UNION ALL VALUES ('<pad>', 0), ('<s>', 1), ('</s>', 2), ('<unk>', 3))"
+VOCAB = "WITH " + CHARS.format("true") + ", v AS (SELECT token, (row_number() OVER (ORDER BY token) + 3)::INT AS id FROM counts WHERE n >= 2 UNION ALL VALUES ('<pad>', 0), ('<s>', 1), ('</s>', 2), ('<unk>', 3))"
 
 
 def _names(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
@@ -276,7 +276,7 @@ def _names(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
 
 
 def _vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.build_vocab(_names(spark, sf_dir, "p_partkey % 3 <> 0"), min_freq=2)
+    return vocab.build_vocab(_names(spark, sf_dir), min_freq=2)
 
 
 @query("WITH " + CHARS.format("true") + "SELECT token, n FROM counts")
@@ -289,10 +289,11 @@ def build_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vocab(spark, sf_dir)
 
 
-@query(VOCAB + ", x AS (SELECT p_partkey, i, coalesce(v.id, 3) AS id FROM part, range(1, 9) r(i) LEFT JOIN v ON v.token = substr(p_name, i::INT, 1) WHERE i <= length(p_name)) SELECT p_partkey, [1] || list(id ORDER BY i) || [2] AS ids FROM x GROUP BY p_partkey")
+@query(VOCAB + ", x AS (SELECT p_partkey, i, coalesce(v.id, 3) AS id FROM part, range(1, 9) r(i) LEFT JOIN v ON v.token = substr(substr(p_name, 1, 4) || p_type, i::INT, 1)) SELECT p_partkey, [1] || list(id ORDER BY i) || [2] AS ids FROM x GROUP BY p_partkey")
 def encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = vocab.map_literal(vocab.as_map(_vocab(spark, sf_dir)))
-    return _names(spark, sf_dir).select("p_partkey", vocab.encode(F.col("text"), known, 10).alias("ids"))
+    # names' characters are known, types' are capitals
+    return table(spark, sf_dir, "part").select("p_partkey", vocab.encode(F.concat(F.substring("p_name", 1, 4), F.col("p_type")), known, 10).alias("ids"))
 
 
 @query(VOCAB + "SELECT p_partkey, trim(substr(p_name, 1, 8)) AS decoded FROM part")
@@ -395,7 +396,8 @@ def resolve_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.resolve_rate(rows, _files(spark, sf_dir), "page_id")
 
 
-@query(f"WITH {FILES}, a AS (SELECT rtrim(dir, '/') AS directory FROM f UNION ALL SELECT '/raw' FROM f WHERE page_id % 5 = 1) SELECT directory, count(*) AS images FROM a GROUP BY directory")
+@query(f"""WITH {FILES}, a AS (SELECT rtrim(dir, '/') AS directory FROM f UNION ALL SELECT '/raw' FROM f WHERE page_id % 5 = 1), i AS (SELECT directory, count(*) AS images FROM a GROUP BY directory),
+s AS (SELECT * FROM (VALUES ('', 2), ('/ann', 1), ('/raw', 2), ('/raw/deep', 1)) t(directory, subdirectories)) SELECT directory, coalesce(images, 0) AS images, coalesce(subdirectories, 0)::BIGINT AS subdirectories FROM i FULL JOIN s USING (directory)""")
 def directory_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.directory_counts(_files(spark, sf_dir))
 
@@ -626,10 +628,10 @@ def synthetic_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthetic.units(spark)
 
 
-@query(f"""WITH {UNITS}, fonts AS (SELECT list_sort(list(DISTINCT s_name)) AS f FROM supplier WHERE s_suppkey < 12)
+@query(f"""WITH {UNITS}, fonts AS (SELECT list_sort(list(DISTINCT s_name)) AS f FROM supplier)
 SELECT unit AS item, k::INT AS repeat, f[(('0x' || substr(md5('11:' || unit || ':' || k), 1, 8))::BIGINT % len(f)) + 1] AS font FROM units, fonts, range(5) r(k)""")
 def render_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fonts = table(spark, sf_dir, "supplier").where("s_suppkey < 12").select(F.col("s_name").alias("font"))
+    fonts = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("font"))
     return synthetic.render_plan(synthetic.units(spark), fonts, 5)
 
 
