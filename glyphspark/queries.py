@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions import distance, sequences, text
 from .operators import audit, calibration, correction, dataset, detection, images, profile, recognition, uncertainty, vocab
@@ -34,6 +35,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def facts(report: DataFrame) -> DataFrame:
+    """(name, value): the numbers of a report of one row, by where they stand in it."""
+
+    def fact(name: Column, value: Column) -> Column:
+        return F.struct(name.alias("name"), value.cast("double").alias("value"))
+
+    def of_array(values: Column, kind: T.StructType, prefix: str) -> Column:
+        """An array of structs, told apart by their texts or else by bin."""
+        texts = [f.name for f in kind if isinstance(f.dataType, T.StringType)]
+        numbers = [f.name for f in kind if f.name not in (*texts, "bin", "lo", "hi")]
+
+        def each(x: Column) -> Column:
+            label = F.concat_ws(">", *[x[t] for t in texts]) if texts else F.concat(F.lit("bin"), x["bin"].cast("string"))
+            return F.array(*[fact(F.concat(F.lit(prefix), label, F.lit(f".{n}")), x[n]) for n in numbers])
+
+        return F.flatten(F.transform(values, each))
+
+    def of_entry(prefix: str) -> Callable[[Column], Column]:
+        return lambda e: fact(F.concat(F.lit(prefix), e["key"]), e["value"])
+
+    def every(schema: T.StructType, row: Callable[[str], Column], prefix: str) -> list[Column]:
+        out = []
+        for f in schema:
+            value, kind = row(f.name), f.dataType
+            if isinstance(kind, T.StructType):
+                out += every(kind, value.__getitem__, f"{prefix}{f.name}.")
+            elif isinstance(kind, T.ArrayType):
+                out.append(of_array(value, kind.elementType, "" if f.name == "confusions" else prefix))
+            elif isinstance(kind, T.MapType):
+                out.append(F.transform(F.map_entries(value), of_entry(f"{prefix}{f.name}.")))
+            else:
+                out.append(F.array(fact(F.lit(prefix + f.name), value)))
+        return out
+
+    return report.select(F.inline(F.concat(*every(report.schema, F.col, ""))))
+
+
+def named(prefix: str, of: str) -> str:
+    """SQL: a row's columns as (name, value)."""
+    return f"SELECT '{prefix}' || name AS name, value FROM (UNPIVOT (SELECT COLUMNS(*)::DOUBLE FROM {of}) ON COLUMNS(*) INTO NAME name VALUE value)"
+
+
 # inputs -----------------------------------------------------------------------
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, name = F.col("p_partkey"), F.col("p_name")
@@ -187,9 +230,19 @@ def risk_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration.risk_at(calibration.risk_coverage(by_event(spark, sf_dir)))
 
 
-@query()
+def _calibration(prefix: str) -> tuple[str, str]:
+    """SQL over d(row_id, conf, correct): tables, and the numbers they give."""
+    curve = CURVE.removeprefix(EVENTS + ", ").replace("c AS", "curve AS", 1)
+    by_bin = "ece AS (WITH " + ORACLES["expected_calibration_error"].removeprefix(DISCOUNT + ", ") + "), bins AS (WITH " + ORACLES["reliability_bins"].removeprefix(DISCOUNT + ", ") + ")"
+    rows = "summary AS (SELECT avg((conf - correct) * (conf - correct)) AS brier, avg(conf) AS mean_confidence, avg(correct) AS actual_accuracy, avg(conf) - avg(correct) AS overconfidence_gap FROM d)"
+    risks = " UNION ALL ".join(f"SELECT '{prefix}risk_{round(v * 100)}', (SELECT risk FROM curve ORDER BY abs(coverage - {v}), rank LIMIT 1)" for v in (0.5, 0.7, 0.9, 1.0))
+    bins = " UNION ALL ".join(f"SELECT '{prefix}bin' || bin || '.{c}', {c}::DOUBLE FROM bins" for c in ("n", "mean_confidence", "actual_accuracy"))
+    return f"{curve}, {by_bin}, {rows}", f"{named(prefix, 'ece')} UNION ALL {named(prefix, 'summary')} UNION ALL {bins} UNION ALL {risks}"
+
+
+@query(EVENTS + ", {} {}".format(*_calibration("")))
 def calibration_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibration.calibration_metrics(by_event(spark, sf_dir))
+    return facts(calibration.calibration_metrics(by_event(spark, sf_dir)))
 
 
 # detection --------------------------------------------------------------------
@@ -260,10 +313,22 @@ def changed_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.changed_readings(t, t.select("row_id", F.col("after").alias("hyp")))
 
 
-@query()
+def _report() -> str:
+    tables, numbers = _calibration("calibration.")
+    part = lambda name, start: ORACLES[name].removeprefix(start)
+    detected = "WITH " + part("detection_metrics", SCORED + ", ").replace("0.1", "0.5")
+    after = part("recognition_metrics", TRIPLES).replace("ref_n", "@").replace("dist", "after_dist").replace("aer)", "after_aer)").replace("exact", "after_exact").replace("@", "ref_n")
+    return f"""{CATEGORY}, d AS (SELECT row_id, conf, exact::INT AS correct, 1 - exact::INT AS y, 1 - conf AS score FROM m), {tables}, recognition AS ({part("recognition_metrics", TRIPLES)}),
+detection AS ({detected}), roc AS (WITH {part("roc_auc", SCORED + ", ")}), pr AS (WITH {part("pr_auc", SCORED + ", ")}), final AS ({after}), correction AS (WITH {part("correction_audit", CATEGORY + ", ")}),
+confusions AS (WITH {part("top_confusions", TRIPLES + ", ")})
+{named("recognition.", "recognition")} UNION ALL {numbers} UNION ALL {named("detection.", "detection")} UNION ALL {named("detection.", "roc")} UNION ALL {named("detection.", "pr")}
+UNION ALL {named("final.", "final")} UNION ALL {named("correction.", "correction")} UNION ALL SELECT expected || '>' || read_as || '.n', n::DOUBLE FROM confusions"""
+
+
+@query(_report())
 def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = triples(spark, sf_dir).withColumn("score", 1 - F.col("conf"))
-    return audit.build_report(rows, 0.5, True).select(F.to_json(F.struct("*")).alias("report"))
+    return facts(audit.build_report(rows, 0.5, True))
 
 
 # vocabulary and lexicon -------------------------------------------------------
@@ -419,9 +484,14 @@ def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.split_counts(dataset.split_by_label(_labelled(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH {SPLIT}, r AS (SELECT s.text, split FROM customer JOIN s ON s.text = c_mktsegment || '-' || c_custkey % 200), chars AS (SELECT split, unnest(regexp_extract_all(text, '.')) AS t FROM r),
+charset AS (SELECT t FROM chars WHERE split = 'train' GROUP BY t HAVING count(*) >= 2), len AS (SELECT length(text) AS l FROM r WHERE split = 'train'),
+unseen AS (SELECT t, count(*) AS n FROM chars WHERE split <> 'train' AND t NOT IN (SELECT t FROM charset) GROUP BY t ORDER BY n DESC, t LIMIT 20)
+SELECT 'splits.' || split AS name, count(*)::DOUBLE AS value FROM r GROUP BY split UNION ALL SELECT 'unique_train_labels', count(DISTINCT text) FROM r WHERE split = 'train' UNION ALL SELECT 'charset_size', count(*) + 4 FROM charset
+UNION ALL SELECT 'akshara_len.min', min(l) FROM len UNION ALL SELECT 'akshara_len.max', max(l) FROM len UNION ALL SELECT 'akshara_len.mean', avg(l) FROM len UNION ALL SELECT 'akshara_len.p99', list_sort(list(l))[floor(0.99 * count(*))::INT + 1] FROM len
+UNION ALL SELECT 'chars_in_eval_not_in_train.' || t, n FROM unseen""")
 def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataset.dataset_stats(dataset.split_by_label(_labelled(spark, sf_dir))).select(F.to_json(F.struct("*")).alias("stats"))
+    return facts(dataset.dataset_stats(dataset.split_by_label(_labelled(spark, sf_dir))))
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 1000")
