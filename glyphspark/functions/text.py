@@ -1,6 +1,8 @@
 """Text algebra on columns: normal form, grapheme clusters (aksharas), script tests, code points.
 
-All of it is native; only normalize(exact=True) runs Python (Unicode NFC has no built-in).
+All of it runs in the JVM. NFC has no built-in function: texts that it might change, told by a search,
+go through ICU, which Spark ships; a normal form can't stand inside an aggregate function for that, so
+select it first. Names of code points alone need Python.
 """
 
 from __future__ import annotations
@@ -63,34 +65,32 @@ def fold(text: Column) -> Column:
     return F.when(text.rlike(f"[{''.join(FOLDS)}]"), folded).otherwise(text)
 
 
-def normalize(text: Column, exact: bool = False) -> Column:
-    """Canonical form: NFC, nukta folds, strip.
+# What NFC leaves as it is, Devanagari aside, begins below U+0300; where it can change a text there is a
+# mark of another script, two marks that may be out of order, a conjoining Hangul letter, or a character
+# that stands for another one.
+LATIN = r"[^\u0000-\u02FF]"
+UNCOMPOSED = r"[\p{M}&&[^\u0900-\u0963]]|[\u093C\u094D\u0951-\u0954]{2}|[\u1160-\u11FF\u0340-\u0344\u0374\u037E\u0387\u0958-\u095F\u09DC-\u09DF\u0A33-\u0A5E\u0B5C\u0B5D\u0F43-\u0FB9\u1F00-\u1FFF\u2000\u2001\u2126-\u212B\u2329\u232A\u2ADC\uF900-\uFAFF\uFB1D-\uFB4E\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1D}]"
 
-    Without exact, NFC is left out: native, and equal on text whose combining marks are in canonical
-    order and which holds no decomposed letters of other scripts. With exact, a pandas UDF.
-    """
-    if not exact:
-        return strip(fold(text))
 
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
-    def composed(values):
-        import unicodedata
+def composed(text: Column) -> Column:
+    """Unicode NFC, but for nukta letters written apart, which fold() would take apart again."""
+    through = F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(False))
+    return F.when(text.rlike(UNCOMPOSED), through).otherwise(text)
 
-        return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
-    return strip(fold(composed(text)))
+def normalize(text: Column) -> Column:
+    """Canonical form: NFC, nukta folds, strip."""
+    return F.when(text.rlike(LATIN), strip(fold(composed(text)))).otherwise(strip(text))
 
 
-def aksharas(text: Column, exact: bool = False) -> Column:
+def aksharas(text: Column) -> Column:
     """Grapheme clusters of the normal form."""
-    return F.regexp_extract_all(normalize(text, exact), F.lit(akshara_pattern()), F.lit(0))
+    return F.regexp_extract_all(normalize(text), F.lit(akshara_pattern()), F.lit(0))
 
 
-def akshara_count(text: Column, exact: bool = False) -> Column:
+def akshara_count(text: Column) -> Column:
     """Number of clusters, without making them; outside Devanagari each character but a line feed is one."""
-    normal = normalize(text, exact)
+    normal = normalize(text)
     plain = F.length(F.translate(normal, "\n", ""))
     return F.when(text.rlike(f"[{DEVANAGARI}]"), F.regexp_count(normal, F.lit(akshara_pattern()))).otherwise(plain).cast("int")
 
