@@ -27,12 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{LOCAL_CHECKPOINTS}"
 
 
-#: Whether Spark deletes a statement's shuffle files at its end.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: a statement's shuffle files go at its end, and texts, which are long, are read and sent to Python few at a time.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.columnarReaderBatchSize": "1024", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 #: Files that a task has open, so that rows need not be sorted by their folder.
 WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 #: Files of a written table, for each core.
-FILES = 4
+FILES = 2
 
 #: Folders that this process has made, for clear().
 _MADE: list[str] = []
@@ -59,7 +59,7 @@ class Scratch:
         """
         path = f"{self.root}/{name}"
         schema, conf = df.schema, self.spark.conf
-        ours = {CLEANUP: "true"} | ({WRITERS: "16"} if by else {})
+        ours = SETTINGS | ({WRITERS: "16"} if by else {})
         before = {k: conf.get(k) for k in ours}
         for k, v in ours.items():
             conf.set(k, v)

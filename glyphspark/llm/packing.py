@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64
+from .. import ship
+from .common import mix64
 from .mixing import words
 
 CAPACITY = 2048
@@ -146,13 +147,11 @@ def pack_documents(docs: DataFrame, cluster: Column | None = None, capacity: int
     text = F.col("text").cast("string")
     cluster = text_cluster(text) if cluster is None else cluster.cast("string")
     size = words(text) if size is None else F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0))
-    scratch = Scratch(docs.sparkSession, "packing")
+    ship(docs.sparkSession)
     like = ["doc_id", "source", "size", "cluster"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), cluster.alias("cluster"))
-    counted = scratch.keep(rows.groupBy(like).agg(F.count("*").alias("copies")), "rows")
-    n = counted.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    shards = max(1, -(-n // shard_rows))
-    each = counted.select(*like, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    shards = max(1, -(-docs.count() // shard_rows))
+    each = rows.groupBy(like).agg(F.count("*").alias("copies")).select(*like, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     dealt = each.select(*like, F.pmod(F.xxhash64(*like, "copy"), F.lit(shards)).alias("shard"))
 
     def placed(shard: pa.Table) -> pa.Table:
