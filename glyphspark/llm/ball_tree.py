@@ -1,7 +1,7 @@
 """Exact top-k inner products by ball-tree branch and bound in each shard.
 
 Components become integers floor(64 x). Vectors are dealt to shards of about SHARD rows by a hash
-of vec_id, so no vector or group of equal vectors makes a shard large; each shard builds a ball
+of their place, so no vector, group of equal vectors or repeated vec_id makes a shard large; each shard builds a ball
 tree (median splits along the widest direction; a node knows its centre and radius). An inner
 product of q with anything in a node is at most q.c + |q| r: nodes are opened in the order of
 that bound, largest first, until it falls below the query's k-th score so far; equal bounds are
@@ -14,13 +14,16 @@ open a few nodes only. Within a shard it rises leaf by leaf.
 The stated queries meet all rows in blocks: a task holds one shard and a block of at most BLOCK
 queries, whatever the table's size. Every task returns at most k rows a query.
 
-Scores are integers; sums are exact in double precision up to 2^53, and computed with unbounded
-integers beyond that (held within the range of a long). Edge cases: see vectors.py; fewer than k
+Scores are integers. Where sums may pass 2^53, to which double precision is exact, the same search
+scores the leaves it opens with unbounded integers (held within the range of a long); bounds that
+overflow open a node. Edge cases: see vectors.py; fewer than k
 candidates give all; an empty table or one without queries gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -75,6 +78,7 @@ class BallTree:
         # rounding must not rule out what is equal
         bound = queries @ self.centres.T + norms[:, None] * self.radii[None, :]
         bound += 1e-9 * (np.abs(bound) + norms[:, None] * (np.sqrt((self.centres**2).sum(1)) + self.radii)[None, :])
+        bound[np.isnan(bound)] = np.inf
         level = np.array([0])
         bound[:, 0] = np.where(bound[:, 0] >= kth, bound[:, 0], -np.inf)
         while len(level):
@@ -127,10 +131,26 @@ def search(tree: BallTree, rows: np.ndarray, ids: np.ndarray, queries: np.ndarra
     return score, vec, scored
 
 
-def _exact(a: np.ndarray, b: np.ndarray) -> int:
-    """An inner product of integers of any size, held within a long."""
-    total = sum(int(x) * int(y) for x, y in zip(a, b, strict=True))
-    return max(-(2**63), min(2**63 - 1, total))
+def search_large(tree: BallTree, rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, kth: np.ndarray, k: int = K) -> list[tuple[int, int, int]]:
+    """As search(), in unbounded integers: (query_id, vec_id, score)."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        leaves, bound = tree.leaf_bounds(queries, kth)
+    whole = lambda x: np.array([int(v) for v in x.ravel()], object).reshape(x.shape)
+    out, known = [], {}
+    for i, q in enumerate(whole(queries)):
+        best, least = [], kth[i]
+        for leaf in np.argsort(-bound[i], kind="stable"):
+            if bound[i, leaf] < least or bound[i, leaf] == -np.inf:
+                break
+            at = tree.order[tree.begin[leaves[leaf]] : tree.end[leaves[leaf]]]
+            if leaf not in known:
+                known[leaf] = whole(rows[at])
+            scores = ((max(-(2**63), min(2**63 - 1, s)), int(v)) for s, v in zip(known[leaf] @ q, ids[at], strict=True) if v != query_ids[i])
+            best = heapq.nsmallest(k, [*best, *((-s, v) for s, v in scores)])
+            if len(best) == k:
+                least = max(least, -best[-1][0])
+        out += [(int(query_ids[i]), v, -s) for s, v in best]
+    return out
 
 
 def _searched(k: int, leaf: int, home: bool):
@@ -146,12 +166,9 @@ def _searched(k: int, leaf: int, home: bool):
             got = score > -np.inf
             found = pd.DataFrame({"query_id": np.repeat(query_ids, got.sum(1)), "vec_id": vec[got], "score": score[got].astype(np.int64)})
         else:
-            # beyond exact doubles: bounds would lie, so every row is scored with unbounded integers
-            parts = []
-            for q, i in zip(queries, query_ids, strict=True):
-                best = sorted((-_exact(q, r), int(v)) for r, v in zip(rows, ids, strict=True) if v != i)[:k]
-                parts.append(pd.DataFrame({"query_id": i, "vec_id": [v for _, v in best], "score": [-s for s, _ in best]}))
-            found = pd.concat(parts)
+            with np.errstate(over="ignore", invalid="ignore"):
+                tree = BallTree(rows, leaf)
+            found = pd.DataFrame(search_large(tree, rows, ids, queries, query_ids, kth, k), columns=["query_id", "vec_id", "score"])
         if not home:  # what the home shard's k-th score rules out need not travel
             found = found.merge(asked[["query_id", "kth"]], on="query_id")
             found = found[found["kth"].isna() | (found["score"] >= found["kth"])].drop(columns="kth")
@@ -163,11 +180,12 @@ def _searched(k: int, leaf: int, home: bool):
 def top_k(rows: DataFrame, k: int = K, shard: int = SHARD, block: int = BLOCK, leaf: int = LEAF) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k largest integer inner products."""
     scratch = Scratch(rows.sparkSession, "balltree")
-    data = scratch.keep(valid(rows), "vectors")
+    # written with its place, so that both passes deal alike
+    data = scratch.keep(valid(rows).withColumn("place", F.xxhash64(F.monotonically_increasing_id())), "vectors")
     asked = scratch.keep(queries_of(data).select(F.col("vec_id").alias("query_id"), "vec"), "queries")
     n, n_asked = data.count(), asked.count()
     shards, blocks = max(1, -(-n // shard)), max(1, -(-n_asked // block))
-    data = data.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    data = data.select("vec_id", "vec", F.pmod("place", F.lit(shards)).cast("int").alias("shard"))
     asked = asked.withColumns({"home": F.pmod(F.xxhash64("query_id"), F.lit(shards)).cast("int"), "block": F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int")})
 
     # home pass: a shard holds about 1/shards of the queries too

@@ -11,15 +11,18 @@ vectors, log(n) to base 2 d, so that a bucket's mean size stays bounded, and pro
 Vectors of unequal norm get one more component that brings all to the largest norm; queries get a
 zero there, so that the largest inner product is the nearest vector.
 
+A query must meet k of n vectors, so probes don't fall below SHARE k / n of the axes: where that is
+all of them, every vector is met, and fewer than k candidates are all returned.
+
 Scale. Table rows and probes are dealt to parts of about PART_ROWS table rows by a hash of (table,
 bucket); a query sends one row a part with the buckets it probes there. A bucket with more than
-1/8 of a part's rows is split over parts by vec_id, and probes of it go to all of these. The list
-of such buckets that all tasks hear of has at most HOT entries, the largest ones. A part returns
-at most k rows a query.
+1/8 of a part's rows, and 1/HOT of all, is split over parts by vec_id and place, and probes of it go to all of
+these; so there are fewer than HOT such buckets, and all tasks hear of all. A part returns at most k
+rows a query. Few tables with many probes each meet as many vectors as many tables with few, and
+move less: a vector travels once a table.
 
-Edge cases: see vectors.py; zero vectors take no part; fewer than k candidates found give those;
-where n is at most SMALL every vector is probed, so few rows give all candidates; an empty table
-or one without queries gives no rows; other columns are ignored.
+Edge cases: see vectors.py; zero vectors take no part; fewer than k candidates found give those; an
+empty table or one without queries gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,13 +39,16 @@ from .common import Scratch, mix64, pack, unpack
 from .vectors import QUERY_STEP, matrix, merged, queries_of, valid
 
 K = 20
-TABLES = 24
+TABLES = 8
 #: Probes a table where one rotation makes a bucket, and times more for each further rotation.
-PROBES, PROBES_GROW = 12, 10.7
+PROBES, PROBES_GROW = 36, 10.7
+#: Times k / n of the axes that are probed at least.
+SHARE = 10
 SEED = 5
 PART_ROWS = 65_536
 HOT = 65_536
-SMALL = 256
+#: Probes found at a time.
+PROBED = 1_000_000
 #: Candidate pairs scored at a time.
 PAIRS = 250_000
 #: Queries in a task that finds probes.
@@ -163,42 +169,48 @@ def _grouped(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _table_rows(hashes: Hashes, parts: Parts):
-    """One packed row a part: keys, ids, vectors of the entries of a batch."""
+    """One packed row a part: tables, buckets, ids, vectors of the entries of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, ids = _vectors(batch.column(1), hashes.dims), batch.column(0).to_numpy()
             b = batch.column(2).flatten().to_numpy()
-            key = parts.key(np.tile(np.arange(hashes.tables), len(x)), b)
+            table = np.tile(np.arange(hashes.tables), len(x))
+            key = parts.key(table, b)
             row = np.repeat(np.arange(len(x)), hashes.tables)
-            part = parts.part(key, (mix64(ids[row], 3) % parts.split(key).astype(np.uint64)).astype(np.int64))
+            # by place too, so that a row repeated any number of times is spread
+            salt = mix64(ids[row], 3) + row.astype(np.uint64)
+            part = parts.part(key, (salt % parts.split(key).astype(np.uint64)).astype(np.int64))
             small = x.astype(np.float32)
             x = small if (small == x).all() else x
-            out = [(p, pack(key[at], ids[row[at]], x[row[at]])) for p, at in _grouped(part)]
+            out = [(p, pack(table[at], b[at], ids[row[at]], x[row[at]])) for p, at in _grouped(part)]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([v for _, v in out], pa.binary())], names=["part", "payload"])
 
     return run
 
 
 def _probe_rows(hashes: Hashes, parts: Parts):
-    """One packed row a part: keys probed, by which query, and the queries' vectors."""
+    """One packed row a part: tables and buckets probed, by which query, and the queries' vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
+            step = max(1, PROBED // (hashes.tables * hashes.probes))
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
                 x, ids = _vectors(batch.column(1), hashes.dims), batch.column(0).to_numpy()
                 b = hashes.probed(hashes.lifted(x, True))
                 table = np.broadcast_to(np.arange(hashes.tables)[None, :, None], b.shape).ravel()
                 row = np.repeat(np.arange(len(x)), b.shape[1] * b.shape[2])
-                key = parts.key(table, b.ravel())
+                real = b.ravel() >= 0
+                table, bucket, row = table[real], b.ravel()[real], row[real]
+                key = parts.key(table, bucket)
                 n = parts.split(key)
-                key, row = np.repeat(key, n), np.repeat(row, n)
+                key, table, bucket, row = (np.repeat(c, n) for c in (key, table, bucket, row))
                 salt = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
                 out = []
                 for p, at in _grouped(parts.part(key, salt)):
                     own, of = np.unique(row[at], return_inverse=True)
-                    out.append((p, pack(key[at], of, ids[own], x[own])))
+                    out.append((p, pack(table[at], bucket[at], of, ids[own], x[own])))
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([v for _, v in out], pa.binary())], names=["part", "payload"])
 
     return run
@@ -221,13 +233,14 @@ def _scored(k: int):
         if not table.num_rows or not probes.num_rows:
             return schema.empty_table()
         entries = [unpack(v) for v in table.column("payload").to_pylist()]
-        key, ids, x = (np.concatenate([e[i] for e in entries]) for i in range(3))
+        key = np.concatenate([Parts.key(e[0], e[1]) for e in entries])
+        ids, x = (np.concatenate([e[i] for e in entries]) for i in (2, 3))
         order = np.argsort(key, kind="stable")
-        key, ids, x = key[order].astype(np.uint64), ids[order].astype(np.int64), x[order].astype(float)
+        key, ids, x = key[order], ids[order].astype(np.int64), x[order].astype(float)
         out: list[list[np.ndarray]] = []
         for value in probes.column("payload").to_pylist():
-            asked, of, query_ids, queries = unpack(value)
-            asked, of, query_ids = asked.astype(np.uint64), of.astype(np.int64), query_ids.astype(np.int64)
+            table_of, bucket, of, query_ids, queries = unpack(value)
+            asked, of, query_ids = Parts.key(table_of, bucket), of.astype(np.int64), query_ids.astype(np.int64)
             lo, hi = np.searchsorted(key, asked, "left"), np.searchsorted(key, asked, "right")
             n = hi - lo
             hit = np.flatnonzero(n)
@@ -251,11 +264,11 @@ def _scored(k: int):
     return run
 
 
-def shape(n: int, dims: int, probes: int = PROBES, grow: float = PROBES_GROW) -> tuple[int, int]:
+def shape(n: int, dims: int, k: int = K, probes: int = PROBES, grow: float = PROBES_GROW) -> tuple[int, int]:
     """Rotations in a bucket and probes a table for n vectors."""
     axes = 2 * (1 << max(1, math.ceil(math.log2(dims))))
     hashes = max(1, math.floor(math.log(max(n, 2), axes) + 0.2))
-    return hashes, axes if n <= SMALL else math.ceil(probes * grow ** (hashes - 1))
+    return hashes, min(axes**hashes, max(math.ceil(probes * grow ** (hashes - 1)), math.ceil(axes**hashes * SHARE * k / n)))
 
 
 def nearest(rows: DataFrame, k: int = K, tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> DataFrame:
@@ -268,13 +281,14 @@ def nearest(rows: DataFrame, k: int = K, tables: int = TABLES, probes: int = PRO
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     uneven = largest - smallest > 1e-3 * largest
-    hashes, each = shape(n, dims + uneven, probes)
+    hashes, each = shape(n, dims + uneven, k, probes)
     h = Hashes(dims, tables, hashes, each, seed, 1.0 * largest if uneven else 0.0)
     parts = max(1, -(-n * tables // PART_ROWS))
-    large = max(1, min(PART_ROWS, n * tables // parts) // 8)
+    large = max(1, min(PART_ROWS, n * tables // parts) // 8, n * tables // HOT)
     hashed = scratch.keep(data.mapInArrow(_hashed(h), "vec_id long, vec array<double>, buckets array<long>"), "buckets")
     counts = hashed.select(F.posexplode("buckets").alias("table", "bucket")).groupBy("table", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > large)
-    hot = {(r.table, r.bucket): min(parts, -(-r.n // large)) for r in counts.orderBy(F.desc("n"), "table", "bucket").limit(HOT).collect()}
+    # each holds more than 1/HOT of all entries, so there are fewer than HOT
+    hot = {(r.table, r.bucket): min(parts, -(-r.n // large)) for r in counts.collect()}
     where = Parts(parts, hot)
     members = hashed.mapInArrow(_table_rows(h, where), "part int, payload binary")
     # few bytes but much work: small partitions, which Spark must not join

@@ -40,6 +40,27 @@ def test_top_k_equals_brute_force(spark, shard, block, leaf):
     assert sorted(map(tuple, got)) == sorted((a, b, c, int(d)) for a, b, c, d in want)
 
 
+def test_large_components_are_exact_and_use_the_tree(spark):
+    rng = np.random.default_rng(3)
+    v = [[int(x) for x in r] for r in rng.integers(-(2**24), 2**24, size=(120, 5))]
+    v[30:40] = [v[7]] * 10
+    got = ball_tree.top_k(spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>"), shard=40, leaf=4).collect()
+    want = []
+    for i in range(0, 120, 20):
+        best = sorted((-sum(64 * a * 64 * b for a, b in zip(v[i], v[j])), j) for j in range(120) if j != i)[:20]
+        want += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    huge = [(i, [1e305 * (i + 1), -1e305]) for i in range(30)] + [(40, [1.0, 0.0])]
+    top = {r.vec_id: r.score for r in ball_tree.top_k(spark.createDataFrame(huge, "vec_id long, embedding array<double>")).where("query_id = 40").collect()}
+    assert top == {i: 2**63 - 1 for i in range(20)}
+
+
+def test_rows_of_one_id_are_spread(spark):
+    rows_ = [(1, [1.0, 2.0])] * 400 + [(20, [1.0, 0.0]), (21, [9.0, 9.0])]
+    got = ball_tree.top_k(spark.createDataFrame(rows_, "vec_id long, embedding array<double>").repartition(4), shard=50).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(21, 64 * 64 * 9)] + [(1, 64 * 64)] * 19
+
+
 def test_branch_and_bound_skips_leaves():
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(40, 8)) * 100
