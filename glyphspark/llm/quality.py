@@ -2,7 +2,8 @@
 
 A document is a bag of passages of PASSAGE bytes, all of its text. A passage's input is how often
 each pair of adjoining byte classes (lower case, upper case, digit, space, kinds of punctuation,
-parts of other characters) occurs, as square roots of shares, and its length. An encoder of one
+parts of other characters) and each of GRAMS groups of byte trigrams, A-Z lower-cased, occurs, as
+square roots of shares, and its length. An encoder of one
 layer makes h of it; gated attention weighs the passages of a document, and the weighted sum is
 scored:
 
@@ -13,8 +14,8 @@ Only document labels teach it: encoder, attention and score are trained together
 cross-entropy with both classes weighing the same. lang, source and doc_id are no inputs.
 
 Scale. The sample is bounded: at most SAMPLE labelled documents of each class, those with the
-least seeded hash, whatever the corpus; their passages' counts are what the driver receives (a
-document repeated in the table is one). Scoring is one pass in which no row leaves its task;
+least seeded hash, whatever the corpus, and of each at most LEARNED passages, spread evenly over its
+text; their counts are what the driver receives. Of several texts of a doc_id it learns from that with the least hash. Scoring is one pass in which no row leaves its task;
 passages are encoded a few megabytes at a time, and a long text keeps only its encoded passages.
 
 Edge cases: a null or empty text is one empty passage and gets a score like any other; a doc_id
@@ -38,6 +39,10 @@ from .common import bucket, pack, unpack
 PASSAGE = 512
 #: Labelled documents of each class that the model learns from, at most.
 SAMPLE = 2_000
+#: Passages of a document that the model learns from, at most.
+LEARNED = 32
+#: Groups of byte trigrams.
+GRAMS = 512
 HIDDEN, GATE = 24, 12
 EPOCHS, BATCH, RATE = 24, 64, 0.01
 SEED = 11
@@ -58,19 +63,28 @@ def _classes() -> np.ndarray:
 
 
 TABLE = _classes()
-WIDTH = CLASSES * CLASSES + 1
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint32)
+PAIRS = CLASSES * CLASSES
+WIDTH = PAIRS + GRAMS + 1
+
+
+def grams(text: bytes) -> np.ndarray:
+    """The group of each byte trigram: high bits of a product."""
+    b = LOWER[np.frombuffer(text, np.uint8)]
+    return ((b[:-2] * np.uint32(65536) + b[1:-1] * np.uint32(256) + b[2:]) * np.uint32(2654435761) >> np.uint32(23)).astype(np.int64)
 
 
 def counts(text: bytes) -> np.ndarray:
-    """(passages, WIDTH) counts of class pairs, and bytes, of at most CHUNK bytes of text."""
+    """(passages, WIDTH) counts of class pairs and trigrams, and bytes, of at most CHUNK bytes of text."""
     n = max(1, -(-len(text) // PASSAGE))
     kinds = TABLE[np.frombuffer(text, np.uint8)]
-    out = np.zeros((n, WIDTH), np.int64)
-    if len(kinds):
-        pair = kinds[:-1] * CLASSES + kinds[1:]
-        at = np.arange(len(pair)) // PASSAGE
-        out[:, :-1] = np.bincount(at * (WIDTH - 1) + pair, minlength=n * (WIDTH - 1)).reshape(n, -1)
-        out[:, -1] = np.minimum(PASSAGE, len(kinds) - np.arange(n) * PASSAGE)
+    out = np.zeros((n, WIDTH), np.int32)
+    each = lambda kind, width: np.bincount(np.arange(len(kind)) // PASSAGE * width + kind, minlength=n * width).reshape(n, width)
+    if len(kinds) > 1:
+        out[:, :PAIRS] = each(kinds[:-1] * CLASSES + kinds[1:], PAIRS)
+    if len(kinds) > 2:
+        out[:, PAIRS:-1] = each(grams(text), GRAMS)
+    out[:, -1] = np.clip(len(kinds) - np.arange(n) * PASSAGE, 0, PASSAGE)
     return out
 
 
@@ -172,11 +186,16 @@ class Model:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A sampled document's counts of all passages, packed."""
-    piece = CHUNK // PASSAGE * PASSAGE
+    """A sampled document's counts of passages, packed."""
     for batch in batches:
-        found = [pack(np.concatenate([counts(t[i : i + piece]) for i in range(0, max(1, len(t)), piece)]).astype(np.uint16)) for t in (t or b"" for t in batch.column(2).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "label", "bag"])
+        found = []
+        for t in batch.column(2).to_pylist():
+            t = t or b""
+            n = max(1, -(-len(t) // PASSAGE))
+            some = np.unique(np.linspace(0, n - 1, min(n, LEARNED)).round().astype(int))
+            # two bytes more, as a passage's last pair and trigrams reach into the next one
+            found.append(pack(np.concatenate([counts(t[i * PASSAGE : (i + 1) * PASSAGE + 2])[:1] for i in some]).astype(np.uint16)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary()), batch.column(3)], names=["doc_id", "label", "bag", "h"])
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample: int = SAMPLE, seed: int = SEED) -> Model:
@@ -192,8 +211,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sampl
         return Model((ones + 1) / (n + 2))
     # at most 2 * sample ids
     ids = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, label int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(ids, "doc_id").select("doc_id", "label", "text")
-    bags = texts.mapInArrow(_counted, "doc_id long, label int, bag binary").groupBy("doc_id").agg(F.first("label").alias("label"), F.min("bag").alias("bag")).collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(ids, "doc_id").select("doc_id", "label", "text", F.xxhash64("text", F.lit(seed)).alias("h"))
+    bags = texts.mapInArrow(_counted, "doc_id long, label int, bag binary, h long").groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("bag", "h").alias("bag")).collect()
     bags.sort(key=lambda r: r.doc_id)
     return Model(seed=seed).fit([unpack(r.bag)[0] for r in bags], np.array([r.label for r in bags], float))
 

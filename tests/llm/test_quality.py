@@ -31,12 +31,41 @@ def test_gradients_are_those_of_the_loss():
 def test_whole_text_counts():
     text = ("Ab é|1!" * 700).encode()
     got = quality.counts(text)
-    assert got[:, -1].sum() == len(text) and got[:, :-1].sum() == len(text) - 1
+    assert got[:, -1].sum() == len(text) and got[:, : quality.PAIRS].sum() == len(text) - 1 and got[:, quality.PAIRS : -1].sum() == len(text) - 2
     m = quality.Model()
     assert m.explain(text)[0] == pytest.approx(m.scores([b"", text, b"x"])[1])
     assert m.explain(text)[1].sum() == pytest.approx(1)
 
 
+def plain_score(m, text):
+    """The score of one text, passage by passage and byte by byte."""
+    lower, passages = text.lower(), []
+    for start in range(0, max(1, len(text)), quality.PASSAGE):
+        end = min(start + quality.PASSAGE, len(text))
+        n = np.zeros(quality.WIDTH)
+        for i in range(start, end):
+            if i + 1 < len(text):
+                n[quality.TABLE[text[i]] * quality.CLASSES + quality.TABLE[text[i + 1]]] += 1
+            if i + 2 < len(text):
+                h = (lower[i] * 65536 + lower[i + 1] * 256 + lower[i + 2]) * 2654435761 % 2**32 >> 23
+                n[quality.PAIRS + h] += 1
+        x = np.sqrt(n / max(end - start, 1))
+        x[-1] = np.log2(1 + end - start) / np.log2(1 + quality.PASSAGE)
+        passages.append(np.tanh(x @ m.p["W"] + m.p["b"]))
+    e = [np.exp((np.tanh(h @ m.p["V"]) / (1 + np.exp(-h @ m.p["U"]))) @ m.p["w"]) for h in passages]
+    z = sum(w / sum(e) * h for w, h in zip(e, passages))
+    return 1 / (1 + np.exp(-(z @ m.p["c"] + m.p["c0"][0])))
+
+
+def test_scores_equal_a_plain_computation():
+    rng = np.random.default_rng(5)
+    m = quality.Model(seed=3)
+    texts = [b"", b"x", b"ab", b"Some WORDS, in a row.\n" * 100, bytes(rng.integers(0, 256, 5000, dtype=np.uint8)), "é漢 ß|".encode() * 300]
+    got = m.scores(texts)
+    assert got == pytest.approx([plain_score(m, t) for t in texts], abs=1e-5)
+    assert len(set(got.round(6))) == len(texts)
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     got = QUERIES["op4_quality_mil"](spark, d).toPandas()
