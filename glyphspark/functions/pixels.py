@@ -303,25 +303,70 @@ def segment(img: np.ndarray, level: bool = True) -> dict:
     return {"angle": angle, "words": words, "ink": bw}
 
 
+def sampled(img: np.ndarray, y: np.ndarray, x: np.ndarray, fill: float = 255.0) -> np.ndarray:
+    """img at places between its pixels, bilinear; fill outside."""
+    h, w = img.shape
+    framed = np.pad(img.astype(float), 1, constant_values=fill)
+    y, x = np.clip(y + 1, 0, h + 1), np.clip(x + 1, 0, w + 1)
+    top, left = np.minimum(y.astype(int), h), np.minimum(x.astype(int), w)
+    dy, dx = y - top, x - left
+    upper = framed[top, left] * (1 - dx) + framed[top, left + 1] * dx
+    lower = framed[top + 1, left] * (1 - dx) + framed[top + 1, left + 1] * dx
+    return upper * (1 - dy) + lower * dy
+
+
+def grid_warped(img: np.ndarray, rng: np.random.Generator, cells: int = 5, most: float = 0.12) -> np.ndarray:
+    """Each cell of a grid shifted by up to a share of its size."""
+    h, w = img.shape
+    y, x = np.mgrid[0:h, 0:w].astype(float)
+    row, column = (np.minimum(np.arange(n) * cells // n, cells - 1) for n in (h, w))
+    for axis, size in ((y, h / cells), (x, w / cells)):
+        axis += rng.uniform(-most, most, (cells, cells))[np.ix_(row, column)] * size
+    return sampled(img, y, x)
+
+
+def perspective(img: np.ndarray, rng: np.random.Generator, most: float = 0.06) -> np.ndarray:
+    """Corners moved by up to a share of the size; the page between them follows as a plane seen at an angle."""
+    h, w = img.shape
+    corners = np.array([[0, 0], [w, 0], [w, h], [0, h]], float)
+    moved = corners + rng.uniform(-most, most, (4, 2)) * [w, h]
+    # the homography that takes moved corners back: eight equations for eight unknowns
+    rows, right = [], []
+    for (u, v), (x, y) in zip(moved, corners, strict=True):
+        rows += [[u, v, 1, 0, 0, 0, -u * x, -v * x], [0, 0, 0, u, v, 1, -u * y, -v * y]]
+        right += [x, y]
+    a, b, c, d, e, f, g, i = np.linalg.solve(np.array(rows), np.array(right))
+    v, u = np.mgrid[0:h, 0:w].astype(float)
+    depth = g * u + i * v + 1
+    return sampled(img, (d * u + e * v + f) / depth, (a * u + b * v + c) / depth)
+
+
+# The chance of each change of an image that is changed at all, and its range.
+SHEAR, ROTATION, STROKE, GAMMA, NOISE, GRID, PERSPECTIVE = 0.6, 0.5, 0.4, 0.4, 0.3, 0.25, 0.2
+MOST_SHEAR, MOST_ROTATION, GAMMAS, NOISE_DEVIATION = 0.15, 3.0, (0.7, 1.4), 6.0
+
+
 def augmented(img: np.ndarray, seed: int, p: float = 0.5) -> np.ndarray:
-    """Seeded: shear, rotation, thinner or thicker strokes, gamma, brightness, wave warp, each with chance p."""
+    """With chance p a seeded mix of shear, rotation, thinner or thicker strokes, gamma, brightness, grid warp and perspective."""
     rng, g = np.random.default_rng(seed), grey(img).astype(float)
+    if rng.random() >= p:
+        return np.rint(g).astype(np.uint8)
     h, w = g.shape
-    if rng.random() < p:
-        shift = rng.uniform(-0.25, 0.25) * (np.arange(h) - h / 2)
-        x = np.clip(np.rint(np.arange(w)[None, :] + shift[:, None]).astype(int), 0, w - 1)
-        g = np.take_along_axis(g, x, 1)
-    if rng.random() < p:
-        g = rotated(g, rng.uniform(-4, 4), 255, nearest=False)
-    if rng.random() < p:
-        near = np.stack([np.roll(g, d, a) for a, d in ((0, 0), (0, 1), (1, 1))])
+    y, x = np.mgrid[0:h, 0:w].astype(float)
+    if rng.random() < SHEAR:
+        g = sampled(g, y, x - rng.uniform(-MOST_SHEAR, MOST_SHEAR) * (y - h / 2))
+    if rng.random() < ROTATION:
+        g = rotated(g, rng.uniform(-MOST_ROTATION, MOST_ROTATION), 255, nearest=False)
+    if rng.random() < STROKE:
+        framed = np.pad(g, ((1, 0), (1, 0)), mode="edge")
+        near = np.stack([framed[a : a + h, b : b + w] for a in (0, 1) for b in (0, 1)])
         g = near.min(0) if rng.random() < 0.5 else near.max(0)
-    if rng.random() < p:
-        g = 255 * (np.clip(g, 0, 255) / 255) ** rng.uniform(0.7, 1.4)
-    if rng.random() < p:
-        g = g + rng.uniform(-25, 25)
-    if rng.random() < p:
-        y, x = np.mgrid[0:h, 0:w]
-        sy = np.clip(np.rint(y + 2 * np.sin(x / 9 + rng.uniform(0, 6))).astype(int), 0, h - 1)
-        g = g[sy, x]
+    if rng.random() < GAMMA:
+        g = 255 * (np.clip(g, 0, 255) / 255) ** rng.uniform(*GAMMAS)
+    if rng.random() < NOISE:
+        g = g + rng.normal(0, NOISE_DEVIATION)
+    if rng.random() < GRID:
+        g = grid_warped(g, rng)
+    if rng.random() < PERSPECTIVE:
+        g = perspective(g, rng)
     return np.rint(np.clip(g, 0, 255)).astype(np.uint8)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import aksharas
 from .calibration import calibration_metrics
@@ -117,3 +118,20 @@ def build_report(rows: DataFrame, threshold: float | None = None, corrected: boo
     for name, part in parts.items():  # one row each
         out = out.crossJoin(F.broadcast(part.select(F.struct("*").alias(name))))
     return out.select(*parts, "confusions")
+
+
+def rounded(report: DataFrame, places: int = 4) -> DataFrame:
+    """A report with its floating numbers rounded, also those inside structs and arrays, as reports are printed."""
+
+    def of(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            return F.round(value, places)
+        if isinstance(kind, T.StructType):
+            return F.when(value.isNotNull(), F.struct(*[of(value[f.name], f.dataType).alias(f.name) for f in kind]))
+        if isinstance(kind, T.ArrayType):
+            return F.transform(value, lambda x: of(x, kind.elementType))
+        if isinstance(kind, T.MapType):
+            return F.transform_values(value, lambda _, x: of(x, kind.valueType))
+        return value
+
+    return report.select(*[of(F.col(f.name), f.dataType).alias(f.name) for f in report.schema])

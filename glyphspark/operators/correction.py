@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import within
-from ..functions.text import aksharas
+from ..functions.text import aksharas, normalize
 from .prefix import once
+from .vocab import lexicon as lexicon_of
 
 WEIGHTS = {"lm": 1.0, "distance": 1.2, "visual": 1.5, "frequency": 0.3}
 MARGIN = 0.5
@@ -125,6 +126,55 @@ class NgramModel:
         return each.select(key, F.ln(p).alias("lp")).groupBy(key).agg(F.sum("lp").alias("logprob"), F.count("*").alias("n"))
 
 
+    def word_logprob(self, words: DataFrame) -> DataFrame:
+        """(word, logprob) of words(word) by a model of aksharas."""
+        rows = words.select("word").distinct().withColumn("units", aksharas(F.col("word")))
+        return self.logprob(rows, "word").select("word", "logprob")
+
+    def sentence_logprob(self, sentences: DataFrame, key: str = "sentence_id") -> DataFrame:
+        """(key, logprob) of sentences(key, words) by a model of words."""
+        return self.logprob(sentences, key, "words").select(key, "logprob")
+
+
+class Lexicon:
+    """Words with frequencies, as a table (word, freq)."""
+
+    def __init__(self, table: DataFrame) -> None:
+        self.table = table
+
+    @classmethod
+    def from_corpus(cls, lines: DataFrame, text: str = "value", mode: str = "any") -> Lexicon:
+        """Words of lines, by white space."""
+        return cls(lexicon_of(lines.select(F.explode(F.filter(F.split(text, r"\s+"), lambda w: w != "")).alias("word")), mode=mode))
+
+    def contains(self, words: DataFrame) -> DataFrame:
+        """(word, known) of words(word), normal forms compared."""
+        asked = words.select("word").distinct().withColumn("normal", normalize(F.col("word")))
+        held = self.table.select(F.col("word").alias("normal")).distinct().withColumn("known", F.lit(True))
+        return asked.join(held, "normal", "left").select("word", F.coalesce("known", F.lit(False)).alias("known"))
+
+    def nearest(self, words: DataFrame, max_distance: int = MAX_DISTANCE, limit: int | None = MAX_CANDIDATES) -> DataFrame:
+        return nearest(words, self.table, max_distance, limit)
+
+
+class Corrector:
+    """A lexicon with its model of aksharas and, for words in context, one of words."""
+
+    def __init__(self, lexicon: Lexicon, word_lm: NgramModel | None = None, akshara_lm: NgramModel | None = None, margin: float = MARGIN) -> None:
+        self.lexicon, self.word_lm, self.margin = lexicon, word_lm, margin
+        self.akshara_lm = akshara_lm or akshara_model(lexicon.table)
+
+    def correct_words(self, words: DataFrame) -> DataFrame:
+        return correct_words(words, self.lexicon.table, self.akshara_lm, margin=self.margin)
+
+    def correct_sentences(self, sentences: DataFrame) -> DataFrame:
+        """sentences(sentence_id, words, flags): in context if there is a model of words, else word by word."""
+        if self.word_lm is not None:
+            return correct_in_context(sentences, self.lexicon.table, self.akshara_lm, self.word_lm, margin=self.margin)
+        found = self.correct_words(sentences.select(F.explode("words").alias("word")))
+        return correct_sentences(sentences, found)
+
+
 def akshara_model(lexicon: DataFrame, order: int = 4) -> NgramModel:
     """Aksharas of the lexicon's words, each word once."""
     return NgramModel.fit(lexicon.select(aksharas(F.col("word")).alias("units")), order)
