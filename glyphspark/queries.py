@@ -164,6 +164,19 @@ def edit_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("row_id", "dist", "aer", "exact", distance.within(F.col("ref_a"), F.col("hyp_a"), 2).alias("within_two"))
 
 
+# letters as aksharas of several code points: distances stay those of the letters
+CLUSTERS = {"a": "\u0915\u094D\u0937", "e": "\u0938\u094D\u0924\u094D\u0930\u0940", "i": "\u0915\u093C\u093F", "o": "\u0928\u0902"}
+
+
+@query(TRIPLES + "SELECT row_id, dist::INT AS dist, ref_n::INT AS ref_n, hyp_n::INT AS hyp_n, aer, exact, (CASE WHEN dist <= 2 THEN dist ELSE -1 END)::INT AS within_two FROM m")
+def akshara_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = triples(spark, sf_dir).select("row_id", "ref", "hyp")
+    for letter, cluster in CLUSTERS.items():
+        t = t.withColumns({c: F.replace(F.col(c), F.lit(letter), F.lit(cluster)) for c in ("ref", "hyp")})
+    m = recognition.measured(t)
+    return m.select("row_id", "dist", "ref_n", "hyp_n", "aer", "exact", distance.within(F.col("ref_a"), F.col("hyp_a"), 2).alias("within_two"))
+
+
 # recognition ------------------------------------------------------------------
 @query(TRIPLES + "SELECT count(*) AS n, sum(dist) / greatest(sum(ref_n), 1)::DOUBLE AS aer_corpus, avg(aer) AS aer_mean_per_word, avg(exact::INT) AS word_accuracy, 1 - avg(exact::INT) AS wer FROM m")
 def recognition_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,6 +344,12 @@ def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(audit.build_report(rows, 0.5, True))
 
 
+@query(f"SELECT name, round(value, 4) AS value FROM ({_report()})")
+def rounded_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = triples(spark, sf_dir).withColumn("score", 1 - F.col("conf"))
+    return facts(audit.rounded(audit.build_report(rows, 0.5, True)))
+
+
 # vocabulary and lexicon -------------------------------------------------------
 CHARS = "c AS (SELECT unnest(regexp_extract_all(p_name, '.')) AS token FROM part WHERE {0}), counts AS (SELECT token, count(*) AS n FROM c GROUP BY token)"
 VOCAB = "WITH " + CHARS.format("true") + ", v AS (SELECT token, (row_number() OVER (ORDER BY token) + 3)::INT AS id FROM counts WHERE n >= 2 UNION ALL VALUES ('<pad>', 0), ('<s>', 1), ('</s>', 2), ('<unk>', 3))"
@@ -422,11 +441,6 @@ def parse_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.parse_annotations(_lines(spark, sf_dir)).select("page_id", "rel", "text", "reason")
 
 
-@query(LINES + "SELECT count(*) FILTER (reason IS NULL) AS kept, count(*) FILTER (reason = 'fields') AS skipped_fields, 0::BIGINT AS skipped_label, count(*) FILTER (reason = 'script') AS skipped_script, 0::BIGINT AS skipped_image FROM parsed")
-def skip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataset.skip_counts(dataset.parse_annotations(_lines(spark, sf_dir)))
-
-
 @query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'val' WHEN 2 THEN 'test' ELSE 'unknown' END AS split FROM pages")
 def split_of_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("page_id", dataset.split_of_name(F.col("name")).alias("split"))
@@ -450,6 +464,13 @@ def resolve_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.resolve_images(rows, _files(spark, sf_dir), "/raw").select("page_id", "image")
 
 
+@query(LINES + f""", {FILES} SELECT count(*) FILTER (reason IS NULL AND f.page_id IS NOT NULL) AS kept, count(*) FILTER (reason = 'fields') AS skipped_fields, 0::BIGINT AS skipped_label, count(*) FILTER (reason = 'script') AS skipped_script,
+count(*) FILTER (reason IS NULL AND f.page_id IS NULL) AS skipped_image FROM parsed p LEFT JOIN f USING (page_id)""")
+def skip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dataset.resolve_images(dataset.parse_annotations(_lines(spark, sf_dir)), _files(spark, sf_dir), "/raw")
+    return dataset.skip_counts(found.withColumn("reason", F.when(F.col("reason").isNull() & F.col("image").isNull(), "image").otherwise(F.col("reason"))))
+
+
 @query(f"WITH {FILES} SELECT name, CASE WHEN page_id % 5 = 1 THEN '/raw/' || name ELSE dir || name END AS path FROM f")
 def image_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.image_index(_files(spark, sf_dir))
@@ -515,9 +536,13 @@ def field_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.field_histogram(lines, "c_custkey")
 
 
-@query("SELECT p_partkey, list_transform(list_slice(regexp_extract_all(p_name, '.'), 1, 6), lambda c: 'U+' || lpad(upper(to_hex(unicode(c))), 4, '0')) AS first_codepoints, 0::DOUBLE AS devanagari_ratio FROM part")
+@query(f"""
+WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '{BOOK} ' || p_name WHEN 1 THEN chr(160) || '{WORD}{QA} ' WHEN 2 THEN ' ' || chr(12288) || ' ' ELSE p_name END AS t FROM part)
+SELECT p_partkey, list_transform(list_slice(regexp_extract_all(t, '.'), 1, 6), lambda c: 'U+' || lpad(upper(to_hex(unicode(c))), 4, '0')) AS first_codepoints, length(regexp_replace(t, '{INSIDE}', '', 'g')) / length(t)::DOUBLE AS devanagari_ratio FROM t
+""")
 def label_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataset.label_inspection(_names(spark, sf_dir)).drop("text")
+    rows = table(spark, sf_dir, "part").select("p_partkey", _mixed(F.col("p_name"), F.col("p_partkey")).alias("text"))
+    return dataset.label_inspection(rows).drop("text")
 
 
 @query("SELECT c_name AS image, c_mktsegment AS text, 0 AS part FROM customer UNION ALL SELECT s_name, s_name, 1 FROM supplier")
@@ -583,7 +608,7 @@ def conditional_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT vec_id, [v for v in embedding[:5]] || list_transform(range(3), lambda i: -100::FLOAT) AS padded, embedding[2:5] AS shifted, list_transform(embedding[:3], lambda v: CASE WHEN v < 0 THEN 0::DOUBLE ELSE v::DOUBLE END) AS unmasked FROM embeddings")
 def padded_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     five = F.slice("embedding", 1, 5)
-    padded = F.concat(five, F.array_repeat(F.lit(float(sequences.IGNORED)).cast("float"), 3))
+    padded = sequences.pad_to(five, 8).cast("array<float>")
     return table(spark, sf_dir, "embeddings").select("vec_id", padded.alias("padded"), sequences.shift_left(five).alias("shifted"), sequences.unmask(F.slice("embedding", 1, 3)).alias("unmasked"))
 
 
@@ -666,7 +691,12 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triples(spark, sf_dir).select(F.explode(F.split("hyp", " ")).alias("word")).where("word <> ''").distinct()
 
 
-@query(TRIPLES + f", {WORDS}, lex AS (SELECT word AS candidate, count(*) AS freq FROM w WHERE word <> '' GROUP BY word), q AS (SELECT DISTINCT unnest(string_split(hyp, ' ')) AS word FROM triples), n AS (SELECT word, candidate, levenshtein(word, candidate)::INT AS distance, freq FROM q, lex WHERE word <> '' AND levenshtein(word, candidate) <= 2), r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, freq DESC, candidate)::INT AS rank FROM n) SELECT * FROM r WHERE rank <= 12")
+NEAREST = TRIPLES + f""", {WORDS}, lex AS (SELECT word AS candidate, count(*) AS freq FROM w WHERE word <> '' GROUP BY word), q AS (SELECT DISTINCT unnest(string_split(hyp, ' ')) AS word FROM triples),
+n AS (SELECT word, candidate, levenshtein(word, candidate)::INT AS distance, freq FROM q, lex WHERE word <> '' AND levenshtein(word, candidate) <= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, freq DESC, candidate)::INT AS rank FROM n)"""
+
+
+@query(NEAREST + "SELECT * FROM r WHERE rank <= 12")
 def nearest_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correction.nearest(_asked(spark, sf_dir), _lexicon(spark, sf_dir))
 
@@ -677,7 +707,27 @@ def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correction.ngram_counts(s.select(F.split("p_name", " ").alias("units")), 2)
 
 
-@query()
+def _corrected() -> str:
+    """SQL of the corrector: candidates, a Witten-Bell model of four characters, similarity by place, the best that gains enough."""
+    w, level = correction.WEIGHTS, ""
+    for n in range(1, 5):  # P of n characters from P of n - 1
+        context = f"array_to_string(list_slice(p, pos - {n - 1}, pos - 1), chr(31))" if n > 1 else "''"
+        level += f""", g{n} AS (SELECT {context} AS context, p[pos] AS unit, count(*) AS c FROM places GROUP BY ALL), t{n} AS (SELECT context, sum(c) AS total, count(*) AS types FROM g{n} GROUP BY context),
+prob{n} AS (SELECT s.candidate, s.pos, s.p, CASE WHEN t.total > 0 THEN (coalesce(g.c, 0) + t.types * s.prob) / (t.total + t.types)::DOUBLE ELSE s.prob END AS prob
+    FROM prob{n - 1} s LEFT JOIN t{n} t ON t.context = {context.replace("(p, pos", "(s.p, s.pos").replace("pos - 1)", "s.pos - 1)")} LEFT JOIN g{n} g ON g.context = t.context AND g.unit = s.p[s.pos])"""
+    return f"""{NEAREST}, options AS (SELECT word, candidate, distance, freq FROM r WHERE rank <= 12 AND candidate <> word UNION ALL SELECT word, word, 0, coalesce(freq, 0) FROM q LEFT JOIN lex ON lex.candidate = word WHERE word <> ''),
+seqs AS (SELECT candidate, ['<w>', '<w>', '<w>'] || regexp_extract_all(candidate, '.') || ['</w>'] AS p FROM lex), places AS (SELECT p, unnest(range(4, len(p) + 1)) AS pos FROM seqs),
+asked AS (SELECT candidate, ['<w>', '<w>', '<w>'] || regexp_extract_all(candidate, '.') || ['</w>'] AS p FROM (SELECT DISTINCT candidate FROM options)),
+prob0 AS (SELECT candidate, unnest(range(4, len(p) + 1)) AS pos, p, (SELECT 1 / (count(DISTINCT p[pos]) + 1)::DOUBLE FROM places) AS prob FROM asked){level},
+lp AS (SELECT candidate, sum(ln(prob)) AS logprob FROM prob4 GROUP BY candidate),
+v AS (SELECT word, candidate, distance, o.freq, {w["lm"]} * logprob / length(word)::DOUBLE - {w["distance"]} * distance + {w["frequency"]} * ln(1 + o.freq)
+    + {w["visual"]} * len(list_filter(range(1, least(length(word), length(candidate)) + 1), lambda i: word[i] = candidate[i])) / greatest(length(word), length(candidate))::DOUBLE AS value FROM options o JOIN lp USING (candidate)),
+own AS (SELECT word, value AS own, freq FROM v WHERE candidate = word), best AS (SELECT word, candidate, distance, value, row_number() OVER (PARTITION BY word ORDER BY value DESC, distance, candidate DESC) AS k FROM v WHERE candidate <> word),
+z AS (SELECT own.word, candidate, distance, value - own AS gain, coalesce(own.freq = 0 AND value - own > {correction.MARGIN}, false) AS accepted FROM own LEFT JOIN best ON best.word = own.word AND k = 1)
+SELECT word, CASE WHEN accepted THEN candidate ELSE word END AS suggestion, accepted, CASE WHEN accepted THEN distance ELSE 0 END::INT AS distance, gain FROM z"""
+
+
+@query(_corrected())
 def corrected_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     lex = _lexicon(spark, sf_dir)
     return correction.correct_words(_asked(spark, sf_dir), lex, correction.akshara_model(lex))
@@ -781,6 +831,17 @@ def skew_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.skew(images.skew_scores(_pages(spark, sf_dir)))
 
 
+@query("SELECT n_nationkey::VARCHAR AS origin, true AS found FROM nation")
+def tilted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages turned by up to four degrees: whether the angle is found to half a degree."""
+    from .functions import pixels
+
+    tilt = lambda origin: int(origin) % 5 * 2.0 - 4
+    turned = images._mapped(_pages(spark, sf_dir), images.IMAGE, lambda r: [images.to_row(r["origin"], pixels.rotated(images.to_array(r), tilt(r["origin"]), 250).astype("uint8"))])
+    wanted = F.col("origin").cast("int") % 5 * 2.0 - 4
+    return images.skew(images.skew_scores(turned)).select("origin", (F.abs(F.abs("angle") - F.abs(wanted)) <= 0.5).alias("found"))
+
+
 @query()
 def ink_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.ink_profiles(_pages(spark, sf_dir)).select("origin", "height", F.size("cols").alias("width"), F.aggregate("cols", F.lit(0.0), lambda a, v: a + v).alias("ink"))
