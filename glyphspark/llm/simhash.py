@@ -22,8 +22,9 @@ Where two members are joined already, no further link between them is looked for
 same. Components of the links come from alternating large-star and small-star steps; nothing about
 fingerprints, links or components reaches the driver but counts.
 
-Scale. Exact copies share a fingerprint and take part once. Tables are dealt by (segment, value);
-a value shared by more than BUCKET fingerprints is compared block against block within its task.
+Scale. Exact copies share a fingerprint and take part once. Tables are dealt by (segment, value). An
+entry of more than MEMBERS fingerprints is split: each task has a share of its members, past which all
+others stream.
 
 Edge cases: null, empty and white-space texts have fingerprint zero and are linked like any other;
 repeated doc_ids are rows of their own in the output and one document in near_duplicates' components
@@ -49,8 +50,8 @@ SEED = 42
 SHINGLE = 3
 RADIUS = 3
 WIDTH, SIZE = 32, 1
-#: Members of one table entry compared at a time.
-BUCKET = 2_048
+#: Members of one table entry compared at a time, in one task, and probes that a task holds; and large entries at most.
+BUCKET, MEMBERS, PROBES, ENTRIES = 2_048, 4_096, 65_536, 65_536
 #: Shingles whose bits are added up at a time.
 CHUNK = 65_536
 
@@ -118,8 +119,20 @@ def _segments(words: np.ndarray, width: int, count: int) -> np.ndarray:
     return np.packbits(padded, axis=2).view(">u8")[:, :, 0].astype(np.uint64)
 
 
-def _tables(width: int, count: int, size: int):
-    """Rows (id, index, verify): an entry in each table, and probes around it."""
+def _salts(hot: tuple[np.ndarray, ...], segment: int, keys: np.ndarray) -> np.ndarray:
+    """Into how many parts each entry of a segment is split."""
+    values, salts = hot[segment]
+    if not len(values):
+        return np.ones(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(values, keys), len(values) - 1)
+    return np.where(values[at] == keys, salts[at], 1)
+
+
+def _tables(width: int, count: int, size: int, hot: list[tuple[np.ndarray, np.ndarray]]):
+    """Rows (id, index, verify): an entry in each table, and probes around it.
+
+    A large entry's members are dealt to salts; a member also probes the salts after its own, a probe all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = ball(width, size)
@@ -129,12 +142,18 @@ def _tables(width: int, count: int, size: int):
                 part = batch.slice(at, 4096)
                 words = np.frombuffer(b"".join(part.column(1).to_pylist()), ">u8").reshape(part.num_rows, -1)
                 values = _segments(words, width, count)
+                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 for s in range(count):
                     # the lowest bit of the difference is 0 in the prober: each pair meets once
                     row, m = np.nonzero((values[:, s, None] & low[None, :]) == 0)
-                    keys = values[row, s] ^ masks[m]
+                    keys, probe = values[row, s] ^ masks[m], m > 0
+                    n = _salts(hot, s, keys)
+                    first = np.where(probe, 0, (mix64(ids[row], 5) % n.astype(np.uint64)).astype(np.int64))
+                    each = n - first
+                    row, keys, first, probe = (np.repeat(c, each) for c in (row, keys, first, probe))
+                    step = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
                     take = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), s, np.int32)), pa.array(keys.view(np.int64)), pa.array(m > 0), part.column(0).take(take), part.column(2).take(take)], names=["segment", "value", "probe", "id", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), s, np.int32)), pa.array(keys.view(np.int64)), pa.array((first + step).astype(np.int32)), pa.array(probe | (step > 0)), part.column(0).take(take), part.column(2).take(take)], names=["segment", "value", "salt", "probe", "id", "fp"])
 
     return run
 
@@ -164,24 +183,29 @@ def forest(prints: np.ndarray, probe: np.ndarray, radius: int) -> list[tuple[int
     return out
 
 
-def _links(radius: int):
-    """Verified links of each table entry; rows come sorted by (segment, value)."""
+def _links(radius: int, rows: int):
+    """Verified links of each table entry; rows come sorted by (segment, value, salt, probe), and of one entry's probes about `rows` are held at a time."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         held: list[tuple] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words = np.frombuffer(b"".join(batch.column(4).to_pylist()), ">u8").reshape(batch.num_rows, -1).astype(np.uint64)
-            held.append((*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)), words))
-            seg, val, probe, ids, words = (np.concatenate([h[i] for h in held]) for i in range(5))
-            cut = np.flatnonzero((np.diff(seg) != 0) | (np.diff(val) != 0)) + 1
+            words = np.frombuffer(b"".join(batch.column(5).to_pylist()), ">u8").reshape(batch.num_rows, -1).astype(np.uint64)
+            held.append((*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)), words))
+            whole = [np.concatenate([h[i] for h in held]) for i in range(6)]
+            seg, val, salt, probe, ids, words = whole
+            cut = np.flatnonzero((np.diff(seg) != 0) | (np.diff(val) != 0) | (np.diff(salt) != 0)) + 1
             last = cut[-1] if len(cut) else 0
             if last:
                 yield cut[:-1], probe[:last], ids[:last], words[:last]
-            held = [(seg[last:], val[last:], probe[last:], ids[last:], words[last:])]
+                whole = [c[last:] for c in whole]
+            if len(whole[0]) > rows and whole[3][-1]:  # members stay for the probes to come
+                yield np.zeros(0, np.int64), *whole[3:]
+                whole = [c[~whole[3]] for c in whole]
+            held = [tuple(whole)]
         if held:
-            yield np.zeros(0, np.int64), held[0][2], held[0][3], held[0][4]
+            yield np.zeros(0, np.int64), *held[0][3:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cut, probe, ids, words in groups(batches):
@@ -198,15 +222,35 @@ def _links(radius: int):
     return run
 
 
-def links(prints: DataFrame, radius: int = RADIUS, width: int = WIDTH, count: int = 64 // WIDTH, size: int = SIZE) -> DataFrame:
+def _values(width: int, count: int):
+    """Rows (segment, value) of fingerprints' own entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.frombuffer(b"".join(batch.column(0).to_pylist()), ">u8").reshape(batch.num_rows, -1)
+            values = _segments(words, width, count)
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(count, dtype=np.int32), len(values))), pa.array(values.ravel().view(np.int64))], names=["segment", "value"])
+
+    return run
+
+
+def links(prints: DataFrame, radius: int = RADIUS, width: int = WIDTH, count: int = 64 // WIDTH, size: int = SIZE, bucket: int = MEMBERS) -> DataFrame:
     """Links a < b of ids over distinct prints(id, index, verify: fingerprints' bytes).
 
     Their closure is that of all pairs within radius that share an entry: all pairs within radius
     if these are one fingerprint and radius < count * (size + 1).
     """
-    rows = prints.select("id", "index", "verify").mapInArrow(_tables(width, count, size), "segment int, value long, probe boolean, id long, fp binary")
-    dealt = rows.repartition("segment", "value").sortWithinPartitions("segment", "value", "probe")
-    return dealt.mapInArrow(_links(radius), "a long, b long").where("a <> b").distinct()
+    named = prints.select("id", "index", "verify")
+    # entries of more than `bucket` members, and of more than a share of all, so that the driver hears of fewer than ENTRIES of them
+    limit = max(bucket, named.count() * count // ENTRIES)
+    large = named.select("index").mapInArrow(_values(width, count), "segment int, value long").groupBy("segment", "value").agg(F.count("*").alias("n")).where(F.col("n") > limit).collect()
+    hot = []
+    for s in range(count):
+        own = sorted((r.value % 2**64, -(-r.n // limit)) for r in large if r.segment == s)
+        hot.append((np.array([v for v, _ in own], np.uint64), np.array([n for _, n in own], np.int64)))
+    rows = named.mapInArrow(_tables(width, count, size, hot), "segment int, value long, salt int, probe boolean, id long, fp binary")
+    dealt = rows.repartition("segment", "value", "salt").sortWithinPartitions("segment", "value", "salt", "probe")
+    return dealt.mapInArrow(_links(radius, PROBES), "a long, b long").where("a <> b").distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:

@@ -54,8 +54,10 @@ def test_fingerprint_hash_is_sparks(spark):
         assert simhash.fingerprint(t.encode() if t is not None else None) == plain_print(t)
 
 
-@pytest.mark.parametrize("width,radius,size", [(32, 3, 1), (16, 3, 0), (32, 5, 2), (16, 9, 2)])
-def test_components_equal_brute_force(spark, width, radius, size):
+@pytest.mark.parametrize("width,radius,size,bucket", [(32, 3, 1, 4096), (16, 3, 0, 4096), (32, 5, 2, 4096), (16, 9, 2, 4096), (32, 3, 1, 2), (16, 3, 0, 3), (16, 9, 2, 5)])
+def test_components_equal_brute_force(spark, monkeypatch, width, radius, size, bucket):
+    if bucket < 10:
+        monkeypatch.setattr(simhash, "PROBES", 4)
     rng = random.Random(width * 10 + radius)
     prints = [rng.getrandbits(64) for _ in range(60)] + [0]
     for _ in range(300):
@@ -72,7 +74,7 @@ def test_components_equal_brute_force(spark, width, radius, size):
     signed = lambda p: p - 2**64 if p >> 63 else p
     one = spark.createDataFrame([(signed(p), p.to_bytes(8, "big"), p.to_bytes(8, "big")) for p in set(prints)], "id long, index binary, verify binary").repartition(4)
     scratch = Scratch(spark, "t")
-    roots = {r.node: r.root for r in simhash.components(scratch.keep(simhash.links(one, radius, width, 64 // width, size), "l"), scratch).collect()}
+    roots = {r.node: r.root for r in simhash.components(scratch.keep(simhash.links(one, radius, width, 64 // width, size, bucket), "l"), scratch).collect()}
     want = plain_components(items, radius)
     groups = {}
     for p in set(prints):
