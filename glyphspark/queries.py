@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .functions import distance, sequences, text
 from .operators import audit, calibration, correction, dataset, detection, images, profile, recognition, uncertainty, vocab
-from .plans import synthetic
+from .plans import batches, synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -380,6 +380,15 @@ def encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", vocab.encode(F.concat(F.substring("p_name", 1, 4), F.col("p_type")), known, 10).alias("ids"))
 
 
+@query(VOCAB + """, t AS (SELECT p_partkey, substr(p_name, 1, p_partkey % 7 + 1) || 'X' AS t, (row_number() OVER (ORDER BY p_partkey) - 1) // 16 AS batch FROM part),
+x AS (SELECT p_partkey, batch, [1] || list_transform(regexp_extract_all(trim(t), '.'), lambda c: coalesce(known[c], 3)) || [2] AS ids FROM t, (SELECT map(list(token), list(id)) AS known FROM v)), y AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS longest FROM x)
+SELECT p_partkey, batch, ids[2:] || list_transform(range(longest - len(ids) + 1), lambda i: -100) AS labels, ids || list_transform(range(longest - len(ids)), lambda i: 0) AS decoder_input_ids FROM y""")
+def label_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = vocab.map_literal(vocab.as_map(_vocab(spark, sf_dir)))
+    text = F.concat(F.expr("substr(p_name, 1, p_partkey % 7 + 1)"), F.lit("X"))
+    return batches.collated(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), known, "p_partkey", size=16, shift=True)
+
+
 @query(VOCAB + "SELECT p_partkey, trim(substr(p_name, 1, 8)) AS decoded FROM part")
 def decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vocab(spark, sf_dir)

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphspark.operators import audit, calibration, correction, dataset, detection, profile, recognition, uncertainty
+from glyphspark.operators import audit, calibration, correction, dataset, detection, prefix, profile, recognition, uncertainty, vocab
+from glyphspark.plans import batches, synthetic
 from glyphspark.operators.prefix import running
 from glyphspark.streaming import manifests
 
@@ -212,3 +213,40 @@ def test_streaming_metrics(spark, tmp_path):
     copy = manifests.copy_manifest(stream, str(tmp_path / "out"), str(tmp_path / "c2"))
     copy.awaitTermination(60)
     assert spark.read.json(str(tmp_path / "out")).count() == 3
+
+
+def test_nulls_have_a_rule(spark):
+    rows = spark.createDataFrame([(1, 0.9, 1), (2, None, 1), (3, 0.5, 0), (4, 0.4, None)], "row_id long, conf double, correct int")
+    got = calibration.risk_coverage(rows).orderBy("rank").collect()
+    assert [(r.row_id, r.rank, r.coverage, r.risk) for r in got] == [(1, 1, 0.5, 0.0), (3, 2, 1.0, 0.5)]
+    labels = spark.createDataFrame([(i, None if i % 3 == 0 else f"w{i}", "clash", "clash") for i in range(30)], "id long, text string, slice string, label string")
+    split = dataset.split_by_label(labels).collect()
+    assert len(split) == 30 and len({r.split for r in split if r.text is None}) == 1 and {r.label for r in split} == {"clash"}
+
+
+def test_slices_follow_the_rows(spark, monkeypatch):
+    df = spark.range(5000).select((F.col("id") * 7 % 1000).cast("double").alias("k"), F.col("id"), F.lit("x").alias("slice"))
+    for rows, least in ((1_000_000, 64), (10, 64), (1, 4)):
+        monkeypatch.setattr(prefix, "ROWS", rows)
+        monkeypatch.setattr(prefix, "LEAST", least)
+        got = prefix.running(df, "k", ["id"], {"n": F.lit(1)}).orderBy("k", "id").collect()
+        assert [r.n for r in got] == list(range(1, 5001)) and got[0].slice == "x"
+    assert len(prefix.edges(df, "k")) > 800  # one row a slice: as many as there may be
+    assert prefix.edges(df.where("id < 0"), "k") == [] and prefix.running(df.where("id < 0"), "k", [], {"n": F.lit(1)}).count() == 0
+
+
+def test_fonts_are_numbered_without_a_cap(spark):
+    fonts = spark.range(12_000).select(F.format_string("f%05d", "id").alias("font"))
+    plan = synthetic.render_plan(spark.range(3000).select(F.col("id").cast("string").alias("unit")), fonts, 4)
+    drawn = {r.font for r in plan.select("font").distinct().collect()}
+    assert plan.count() == 12_000 and len(drawn) > 7000 and max(drawn) > "f11900" and None not in drawn
+    assert synthetic.render_plan(spark.range(2).select(F.col("id").cast("string").alias("unit")), fonts.limit(0), 2).where("font is null").count() == 4
+
+
+def test_batches(spark):
+    rows = spark.createDataFrame([(i, "abcdefgh"[: i % 5 + 1]) for i in range(1, 11)] + [(None, "x")], "row_id long, text string")
+    known = vocab.map_literal({c: 4 + i for i, c in enumerate("abcdefgh")})
+    got = batches.collated(rows, known, size=4).orderBy("row_id").collect()
+    assert [r.batch for r in got] == [0] * 4 + [1] * 4 + [2] * 2
+    assert got[0].labels == [1, 4, 5, 2, -100, -100, -100] and got[0].decoder_input_ids == [1, 4, 5, 2, 0, 0, 0]
+    assert batches.collated(rows, known, size=4, shift=True).where("row_id = 1").first().labels == [4, 5, 2, -100, -100, -100, -100]
