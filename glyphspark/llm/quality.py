@@ -46,8 +46,8 @@ GRAMS = 512
 HIDDEN, GATE = 24, 12
 EPOCHS, BATCH, RATE = 24, 64, 0.01
 SEED = 11
-#: Bytes encoded at a time.
-CHUNK = 2_000_000
+#: Bytes encoded, and texts scored, at a time.
+CHUNK, TEXTS = 500_000, 512
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 CLASSES = 16
@@ -89,7 +89,9 @@ def counts(text: bytes) -> np.ndarray:
 
 
 def inputs(found: np.ndarray) -> np.ndarray:
-    x = np.sqrt(found / np.maximum(found[:, -1:], 1)).astype(np.float32)
+    x = found.astype(np.float32)
+    x /= np.maximum(x[:, -1:], 1)
+    np.sqrt(x, out=x)
     x[:, -1] = np.log2(1 + found[:, -1]) / np.log2(1 + PASSAGE)
     return x
 
@@ -165,10 +167,11 @@ class Model:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
         encoded, sizes, held, n = [], [], [], 0
+        small = self.p["W"].astype(np.float32)
 
         def flush() -> None:
             if held:
-                encoded.append(self.encode(inputs(np.concatenate(held))))
+                encoded.append(np.tanh(inputs(np.concatenate(held)) @ small + self.p["b"]))
                 held.clear()
 
         piece = CHUNK // PASSAGE * PASSAGE
@@ -220,9 +223,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sampl
 def _scoring(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches:
-            score = model.scores([t or b"" for t in batch.column(2).to_pylist()]) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
+                score = model.scores([t or b"" for t in batch.column(2).to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return run
 
@@ -242,8 +247,9 @@ def filter_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> D
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for start in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(start, TEXTS)
                 texts = batch.column(at).cast(pa.binary()).to_pylist()
                 yield batch.filter(pa.array(sent.value.scores([t or b"" for t in texts]) >= threshold))
 

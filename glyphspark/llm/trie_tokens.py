@@ -5,7 +5,7 @@ word mark in front. A pre-token's segmentation is the one with the highest sum o
 and among equal sums the one with fewest pieces. A character that no piece covers costs UNKNOWN
 below the lowest score and counts as its UTF-8 bytes (byte fallback).
 
-The distinct pre-tokens of a batch of rows form a trie, walked in sorted order: the forward state
+The distinct pre-tokens of TEXTS rows form a trie, walked in sorted order: the forward state
 (best score, fewest pieces) of a node depends on its prefix alone, so it is computed once for all
 pre-tokens below it, and the state of a terminal node is stored as that pre-token's count. Stored
 terminals are kept from batch to batch and task to task, CACHE of them a worker besides those of
@@ -39,6 +39,8 @@ from .. import ship
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Stored terminals a worker keeps.
 CACHE = 1_000_000
+#: Texts whose pre-tokens form one trie.
+TEXTS = 1_024
 UNKNOWN = 10.0
 #: Flattens the first ranks: those pieces are mostly parts of later ones.
 OFFSET = 75
@@ -129,7 +131,7 @@ def _counting(sent, cache: int, run_name: str):
             counter = TrieCounter(sent.value, cache)
             _COUNTERS.clear()
             _COUNTERS[run_name] = counter
-        for batch in batches:
+        for batch in (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS)):
             texts = [t.split() if t else [] for t in batch.column(1).to_pylist()]
             counter.insert({w for t in texts for w in t})
             count = counter.terminals.__getitem__
