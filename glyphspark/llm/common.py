@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import json
 import math
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,6 +127,13 @@ def unpack(value: bytes) -> list[np.ndarray]:
     return out
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker outlives its tasks, and would keep the most it ever used."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def bucket(column: Column, modulus: int) -> Column:
     """crc32 of the value's text, modulo; a null counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus

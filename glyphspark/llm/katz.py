@@ -9,7 +9,7 @@ the backoff weight needs. A block then evaluates the recursion for each of its t
 further join. Nothing of corpus size reaches the driver; it sees only counts of counts.
 
 Tables. Each level is written by kind: `answer` holds packed arrays for blocks, and `table` the counts
-as typed arrays of at most TABLE_PIECE entries a row: key (1-grams: the words' XXH64; else the contexts'
+as typed arrays of at most PIECE entries a row: key (1-grams: the words' XXH64; else the contexts'
 ids), word (ids) and count. count_table() reads them as one row an n-gram.
 
 Memory. A task holds one block or one part at a time; parts have about PART_TOKENS n-grams.
@@ -45,15 +45,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bucket, mix64, pack, unpack
+from .common import Scratch, bucket, mix64, pack, trim, unpack
 
 ORDER = 2
 CUTOFF = 5
 #: Tokens in a block, and n-grams in a partition, about.
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 500_000
 PART_TOKENS = 500_000
-#: Entries of an array in one row, and of a table's.
-PIECE, TABLE_PIECE = 65_536, 16_384
+#: Entries of an array in one row. Rows of a few ten kilobytes are no large objects to the JVM.
+PIECE = 16_384
 START, END = 0, 1
 #: No word holds a space, so these name the two ends.
 ENDS = (b" start", b" end")
@@ -85,17 +85,17 @@ _LEVEL_SCHEMA = pa.schema([("kind", pa.string()), *_ASK_SCHEMA, ("types", pa.int
 _NO_COUNTS = (None,) * 6
 
 
-def _pieces(n: int, size: int = PIECE) -> Iterator[tuple[int, slice]]:
+def _pieces(n: int) -> Iterator[tuple[int, slice]]:
     """Numbered slices of n entries, at least one."""
-    for i, at in enumerate(range(0, max(n, 1), size)):
-        yield i, slice(at, at + size)
+    for i, at in enumerate(range(0, max(n, 1), PIECE)):
+        yield i, slice(at, at + PIECE)
 
 
 def _table(part: int, count: np.ndarray, key: np.ndarray, word: np.ndarray, real: np.ndarray) -> list[tuple]:
     """Rows of a part's counts; real: the counts that make its sums."""
     ones = np.bincount(np.minimum(real, CUTOFF + 2), minlength=CUTOFF + 2)[1 : CUTOFF + 2].tolist()
     sums = (int((real > 0).sum()), int(real.sum()), ones)
-    return [(TABLE, part, None, i, None, *(sums if not i else (0, 0, None)), key[x], word[x], count[x]) for i, x in _pieces(len(count), TABLE_PIECE)]
+    return [(TABLE, part, None, i, None, *(sums if not i else (0, 0, None)), key[x], word[x], count[x]) for i, x in _pieces(len(count))]
 
 
 def _encode(block_tokens: int):
@@ -149,8 +149,10 @@ def _encode(block_tokens: int):
                         yield from flush()
                         made += 1
                         words, seqs, docs, n = start()
+                        trim()
         if docs:
             yield from flush()
+        trim()
 
     return run
 
@@ -329,6 +331,7 @@ def _count_words(parts: int):
     """Sum a partition's words over all blocks; answer each block."""
 
     def run(asked: pa.Table) -> pa.Table:
+        trim()
         part, names, chunks = _asks(asked)
         keys = np.concatenate([np.cumsum(x[0].astype(np.uint64)) for x in chunks])
         words, of = np.unique(keys, return_inverse=True)
@@ -350,6 +353,7 @@ def _count_words(parts: int):
 
 def _ask_ngrams(parts: int, models: list[dict], share: float):
     def run(found: pa.Table) -> pa.Table:
+        trim()
         name, b = _rebuilt(found, models, parts)
         b.ngrams()
         rows = [(p, name, 0, pack(*x)) for p, x in b.ask_ngrams(parts, share)]
@@ -362,6 +366,7 @@ def _count_ngrams(level: int, order: int, parts: int, models: list[dict]):
     """Sum a partition's n-grams over all blocks; answer each block with counts and context sums."""
 
     def run(asked: pa.Table) -> pa.Table:
+        trim()
         part, names, chunks = _asks(asked)
         contexts, of_context = np.unique(np.concatenate([x[0] for x in chunks]).astype(np.int64), return_inverse=True)
         at, ctx, word, factor = 0, [], [], np.zeros(len(contexts))
@@ -412,6 +417,7 @@ def _score(models: list[dict], parts: int):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(found: pa.Table) -> pa.Table:
+        trim()
         return pa.table(_rebuilt(found, models, parts)[1].result(models[0]), schema=schema)
 
     return run

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import ship
-from .common import bucket, pack, unpack
+from .common import bucket, pack, trim, unpack
 
 PASSAGE = 512
 #: Labelled documents of each class that the model learns from, at most.
@@ -228,6 +228,7 @@ def _scoring(sent):
                 batch = whole.slice(at, TEXTS)
                 score = model.scores([t or b"" for t in batch.column(2).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        trim()
 
     return run
 
@@ -252,5 +253,6 @@ def filter_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> D
                 batch = whole.slice(start, TEXTS)
                 texts = batch.column(at).cast(pa.binary()).to_pylist()
                 yield batch.filter(pa.array(sent.value.scores([t or b"" for t in texts]) >= threshold))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
