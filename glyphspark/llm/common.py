@@ -86,10 +86,15 @@ def _delete(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete all written tables of this process; only when no result that reads them is needed."""
-    _delete(spark, *_MADE)
-    _MADE.clear()
+def made() -> int:
+    """How many folders this process has made so far."""
+    return len(_MADE)
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Delete all written tables of this process made since then; only when no result that reads them is needed."""
+    _delete(spark, *_MADE[since:])
+    del _MADE[since:]
 
 
 def pack(*arrays: np.ndarray) -> bytes:
