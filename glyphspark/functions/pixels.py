@@ -303,6 +303,31 @@ def segment(img: np.ndarray, level: bool = True) -> dict:
     return {"angle": angle, "words": words, "ink": bw}
 
 
+# Colours (BGR) and widths of a line's and a word's outline.
+LINE_OUTLINE, WORD_OUTLINE = ((255, 140, 0), 1), ((0, 60, 200), 2)
+
+
+def outlined(img: np.ndarray, box: tuple[int, int, int, int], colour: tuple[int, int, int], width: int) -> None:
+    """Draw a box's outline, about its edge, into an image of three channels."""
+    x, y, w, h = box
+    out, inside = width // 2, width - width // 2
+    for top, bottom, left, right in ((y - out, y + inside, x - out, x + w + inside), (y + h - out, y + h + inside, x - out, x + w + inside), (y - out, y + h + inside, x - out, x + inside), (y - out, y + h + inside, x + w - out, x + w + inside)):
+        img[max(top, 0) : max(bottom, 0), max(left, 0) : max(right, 0)] = colour
+
+
+def overlay(img: np.ndarray, level: bool = True) -> np.ndarray:
+    """The page, levelled if asked, with the lines and words that segment() finds."""
+    g, bw = grey(img), binarize(img)
+    if level:
+        g, bw, _ = deskewed(g, bw)
+    out = np.repeat(g[:, :, None], 3, 2).astype(np.uint8)
+    for x, y, w, h in find_lines(bw):
+        outlined(out, (x, y, w, h), *LINE_OUTLINE)
+        for a, b, c, d in find_words(bw[y : y + h, x : x + w]):
+            outlined(out, (x + a, y + b, c, d), *WORD_OUTLINE)
+    return out
+
+
 def sampled(img: np.ndarray, y: np.ndarray, x: np.ndarray, fill: float = 255.0) -> np.ndarray:
     """img at places between its pixels, bilinear; fill outside."""
     h, w = img.shape

@@ -123,3 +123,8 @@ def segment_pages(images: DataFrame, level: bool = True) -> DataFrame:
         return [{"origin": r["origin"], "angle": found["angle"], "line_no": n, "word_no": k, "x": x, "y": y, "w": w, "h": h, "data": np.ascontiguousarray(turned[y : y + h, x : x + w]).tobytes()} for n, k, x, y, w, h in found["words"]]
 
     return _mapped(images, "origin string, angle double, line_no int, word_no int, x int, y int, w int, h int, data binary", each)
+
+
+def overlay(images: DataFrame, level: bool = True) -> DataFrame:
+    """Pages with the outlines of their lines and words, for tuning."""
+    return _mapped(images, IMAGE, lambda r: [to_row(r["origin"], pixels.overlay(pixels.capped(to_array(r)), level))])

@@ -93,3 +93,21 @@ def test_augmentation(spark):
     for f in (pixels.perspective, pixels.grid_warped):
         moved = f(img.astype(float), np.random.default_rng(1))
         assert moved.shape == img.shape and 0.5 < (moved < 128).sum() / (img < 128).sum() < 1.6 and np.abs(moved - img).max() > 50
+
+
+def test_overlay(spark):
+    page = np.full((120, 420), 245, np.uint8)
+    for x in (10, 220):
+        page[30:90, x : x + 180] = word(180)
+    table = spark.createDataFrame([images.to_row("p", page)], images.IMAGE)
+    boxes = images.segment_pages(table, level=False).collect()
+    drawn = images.to_array(images.overlay(table, level=False).first().asDict())
+    assert drawn.shape == (120, 420, 3)
+    for b in boxes:
+        assert drawn[b.y, b.x].tolist() == [0, 60, 200] and drawn[b.y + b.h, b.x + b.w].tolist() == [0, 60, 200]
+    inside = np.ones((120, 420), bool)
+    for x, y, w, h in [(b.x, b.y, b.w, b.h) for b in boxes] + pixels.find_lines(pixels.binarize(page)):
+        inside[max(y - 1, 0) : y + h + 1, max(x - 1, 0) : x + w + 1] = False
+        inside[y + 1 : y + h - 1, x + 1 : x + w - 1] = True
+    same = (drawn == page[:, :, None]).all(2)
+    assert same[inside].mean() > 0.9 and not same.all()
