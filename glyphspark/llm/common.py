@@ -34,8 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
 SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.columnarReaderBatchSize": "1024", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 #: Files that a task has open, so that rows need not be sorted by their folder.
 WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
-#: Files of a written table, for each core.
-FILES = 2
+#: What a task of a written table reads at least, where there is more than one a core; and a row group, which a writer holds in memory.
+TASK_BYTES, ROW_GROUP = 512 << 20, 16 << 20
 
 #: Folders that this process has made, for clear().
 _MADE: list[str] = []
@@ -56,9 +56,8 @@ class Scratch:
     def keep(self, df: DataFrame, name: str, compression: str = "zstd", by: str | None = None) -> DataFrame:
         """Write df once, in a folder for each value of by (a few), and return the table as written.
 
-        Shuffle files of the write go when it ends, for nothing reads them again. It makes FILES files a core of the cluster at most.
-        A task of more than one partition works on one after the other. Each file costs requests to
-        the store, and on a local one processes.
+        Shuffle files of the write go when it ends, for nothing reads them again. A task that makes a
+        file of several partitions works on one after the other.
         """
         path = f"{self.root}/{name}"
         schema, conf = df.schema, self.spark.conf
@@ -67,13 +66,23 @@ class Scratch:
         for k, v in ours.items():
             conf.set(k, v)
         try:
-            writer = df.coalesce(FILES * self.spark.sparkContext.defaultParallelism).write.mode("overwrite").option("compression", compression)
+            writer = df.coalesce(self._files(df)).write.mode("overwrite").options(compression=compression, **{"parquet.block.size": ROW_GROUP})
             (writer.partitionBy(by) if by else writer).parquet(path)
         finally:
             for k, v in before.items():
                 conf.set(k, v)
         return self.spark.read.schema(schema).parquet(path)
 
+    def _files(self, df: DataFrame) -> int:
+        """How many files to make at most: one a core, and one for so many bytes that df reads.
+
+        Each file costs requests to the store, and on a local one processes; a lost task costs what it read.
+        """
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+        # an unknown size is Spark's largest
+        return max(self.spark.sparkContext.defaultParallelism, min(read // TASK_BYTES, 1_000_000))
+
     def drop(self, *names: str) -> None:
         """Delete written tables that no later step reads."""
         _delete(self.spark, *[f"{self.root}/{name}" for name in names])
