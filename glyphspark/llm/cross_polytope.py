@@ -40,8 +40,9 @@ from .vectors import QUERY_STEP, matrix, merged, queries_of, valid
 
 K = 20
 TABLES = 8
-#: Probes a table where one rotation makes a bucket, and times more for each further rotation.
-PROBES, PROBES_GROW = 36, 10.7
+#: Share of the buckets that are probed where one rotation makes a bucket, by what it falls with each further
+#: rotation, and how fast it rises where these are few vectors for so many rotations (as a power of the axes).
+PROBE, FALL, RISE = 0.28, 12.0, 0.33
 #: Times k / n of the axes that are probed at least.
 SHARE = 10
 SEED = 5
@@ -264,14 +265,18 @@ def _scored(k: int):
     return run
 
 
-def shape(n: int, dims: int, k: int = K, probes: int = PROBES, grow: float = PROBES_GROW) -> tuple[int, int]:
+def shape(n: int, dims: int, k: int = K, probe: float = PROBE) -> tuple[int, int]:
     """Rotations in a bucket and probes a table for n vectors."""
     axes = 2 * (1 << max(1, math.ceil(math.log2(dims))))
-    hashes = max(1, math.floor(math.log(max(n, 2), axes) + 0.2))
-    return hashes, min(axes**hashes, max(math.ceil(probes * grow ** (hashes - 1)), math.ceil(axes**hashes * SHARE * k / n)))
+    full = math.log(max(n, 2), axes)  # rotations that make a bucket of one vector
+    hashes = max(1, math.floor(full + 0.2))
+    share = probe / FALL ** (hashes - 1)
+    if hashes > 1:
+        share *= axes ** (RISE * max(0.0, hashes + 0.235 - full))
+    return hashes, min(axes**hashes, math.ceil(axes**hashes * max(share, SHARE * k / n)))
 
 
-def nearest(rows: DataFrame, k: int = K, tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> DataFrame:
+def nearest(rows: DataFrame, k: int = K, tables: int = TABLES, probe: float = PROBE, seed: int = SEED) -> DataFrame:
     """query_id, rank, vec_id, score: each stated query's k nearest found."""
     spark = rows.sparkSession
     scratch = Scratch(spark, "crosspolytope")
@@ -281,7 +286,7 @@ def nearest(rows: DataFrame, k: int = K, tables: int = TABLES, probes: int = PRO
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     uneven = largest - smallest > 1e-3 * largest
-    hashes, each = shape(n, dims + uneven, k, probes)
+    hashes, each = shape(n, dims + uneven, k, probe)
     h = Hashes(dims, tables, hashes, each, seed, 1.0 * largest if uneven else 0.0)
     parts = max(1, -(-n * tables // PART_ROWS))
     large = max(1, min(PART_ROWS, n * tables // parts) // 8, n * tables // HOT)
