@@ -37,6 +37,7 @@ every probability falls to the unknown word's (1); columns beyond doc_id and tex
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,10 +101,6 @@ def _table(part: int, count: np.ndarray, key: np.ndarray, word: np.ndarray, real
 
 def _encode(block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        where, made = TaskContext.get(), 0
-
         def start() -> tuple:
             words = _Numbered()
             for end in ENDS:
@@ -121,7 +118,7 @@ def _encode(block_tokens: int):
             place[order] = np.arange(len(order))
             keys = np.fromiter((xxhash.xxh64_intdigest(w, 0) for w in words), np.uint64, len(words))[order]
             ids, train, null = (np.array(x) for x in zip(*docs, strict=True))
-            name = f"{where.stageId()}-{where.partitionId()}-{made}"
+            name = uuid.uuid4().hex  # a task may encode several partitions
             by_key = np.argsort(keys)
             keys, seq = keys[by_key], place[seq]
             is_train = np.repeat(train.astype(bool), np.diff(np.concatenate([[-1], np.flatnonzero(seq == END)])))
@@ -147,7 +144,6 @@ def _encode(block_tokens: int):
                     n += len(w) + 1
                     if n >= block_tokens:
                         yield from flush()
-                        made += 1
                         words, seqs, docs, n = start()
                         trim()
         if docs:

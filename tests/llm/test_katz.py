@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from glyphspark.llm import katz
+from glyphspark.llm import common, katz
 
 TEXTS = [
     (1, "a b a b c d a b"), (2, "A b c\td a\nb a b e"), (3, ""), (4, None), (5, "z z z a b"), (6, "b a b a c new words here"),
@@ -84,6 +84,14 @@ def test_equals_plain_model(spark, order, block):
             assert r.held_out == held_out(int(r.doc_id))
 
 
+def test_a_task_of_several_partitions_keeps_blocks_apart(spark, monkeypatch):
+    monkeypatch.setattr(common.Scratch, "_files", lambda self, df: 1)
+    df = spark.createDataFrame(TEXTS, "doc_id long, text string").repartition(6)
+    model = Plain([t for d, t in TEXTS if not held_out(d)], 2)
+    got = sorted((str(r.doc_id), round(r.score, 6)) for r in katz.katz_scores(df).collect())
+    assert got == sorted((str(d), round(model.score(t), 6)) for d, t in TEXTS)
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_count_tables_hold_all_ngrams(spark, order):
     df = spark.createDataFrame(TEXTS, "doc_id long, text string")
