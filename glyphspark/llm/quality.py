@@ -45,6 +45,7 @@ LEARNED = 32
 GRAMS = 512
 HIDDEN, GATE = 24, 12
 EPOCHS, BATCH, RATE = 24, 64, 0.01
+DECAY, GRAM_DECAY = 1e-5, 2e-4
 SEED = 11
 #: Bytes encoded, and texts scored, at a time.
 CHUNK, TEXTS = 500_000, 512
@@ -142,6 +143,8 @@ class Model:
         weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         step, total = 0, epochs * -(-len(bags) // BATCH)
+        decay = np.full((WIDTH, 1), DECAY)
+        decay[PAIRS:-1] = GRAM_DECAY  # many rare inputs, which would learn single documents
         for _ in range(epochs):
             order = rng.permutation(len(bags))
             for at in range(0, len(order), BATCH):
@@ -150,7 +153,7 @@ class Model:
                 step += 1
                 now = rate * (1 - step / (total + 1))
                 for k, g in self.gradients(x, np.array([len(bags[i]) for i in own]), labels[own], weight[own]).items():
-                    g = g + 1e-5 * self.p[k]
+                    g = g + (decay if k == "W" else DECAY) * self.p[k]
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     self.p[k] = self.p[k] - now * m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
