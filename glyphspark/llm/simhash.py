@@ -253,16 +253,24 @@ def links(prints: DataFrame, radius: int = RADIUS, width: int = WIDTH, count: in
     return dealt.mapInArrow(_links(radius, PROBES), "a long, b long").where("a <> b").distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
-    """node and root, the smallest node reachable, for nodes of edges(a, b) with a > b kept out of order.
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges(a, b) are stars: no node has two of lower number, or one of lower and one of higher."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select("b", F.lit(0), F.lit(1)).toDF("node", "up", "down"))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").isEmpty()
 
-    Alternating large-star and small-star until no edge changes. Each round is written to the
-    shared folder. A node with many neighbours is only ever reduced to their least, which tasks
-    do partly before the shuffle; the join back is one that Spark may split by skew.
+
+def components(edges: DataFrame, scratch: Scratch, name: str = "edges", max_rounds: int = 60) -> DataFrame:
+    """node and root, the smallest node reachable, for the nodes of edges(a, b) but the roots.
+
+    Alternating large-star and small-star until the edges are stars. Each round is written to the
+    shared folder, under name and its number. A node with many neighbours is only ever reduced to their least, which tasks
+    do partly before the shuffle; the join back is one that Spark may split by skew. Rounds grow with
+    the logarithm of the longest chain; more than max_rounds raise an error.
     """
-    current = scratch.keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges0")
-    before = None
+    current = scratch.keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{name}0")
     for i in range(1, max_rounds + 1):
+        if _settled(current):
+            return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
         # large star: every larger neighbour of a node links to the node's least neighbour or itself
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -270,16 +278,9 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
         # small star: every smaller neighbour and the node itself link to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct()
-        following = scratch.keep(small, f"edges{i}")
-        n, total = following.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        scratch.drop(f"edges{i - 1}")
-        current = following
-        if before == (n, total):
-            break
-        before = (n, total)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        current = scratch.keep(small, f"{name}{i}")
+        scratch.drop(f"{name}{i - 1}")
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def _bytes(fp: str = "fp"):
