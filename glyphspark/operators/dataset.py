@@ -62,14 +62,14 @@ def resolve_images(rows: DataFrame, files: DataFrame, raw: str) -> DataFrame:
     Existing files are a table; candidates join it by path in one join: the candidates of a row
     are exploded with their rank and the first that exists wins. image is null where none does.
     """
-    paths = files.select(F.col("path").alias("tried_path")).distinct()
+    rel, ann_dir, direct, name, indexed = (fresh(rows, c) for c in ("of_rel", "of_dir", "direct_path", "of_name", "indexed_path"))
+    paths = files.select(F.col("path").alias("tried")).distinct()
     tried = F.array(F.concat_ws("/", "ann_dir", "rel"), F.concat_ws("/", F.lit(raw), "rel"), F.concat_ws("/", F.lit(raw), basename(F.col("rel"))))
-    asked = rows.select(F.col("rel").alias("of_rel"), F.col("ann_dir").alias("of_dir"), F.posexplode(tried).alias("try", "tried_path"))
-    found = asked.join(paths, "tried_path").groupBy("of_rel", "of_dir").agg(F.min_by("tried_path", "try").alias("direct_path"))
-    index = image_index(files).select(F.col("name").alias("of_name"), F.col("path").alias("indexed_path"))
-    direct = rows.join(found, (F.col("rel") == F.col("of_rel")) & (F.col("ann_dir") == F.col("of_dir")), "left")
-    out = direct.join(index, basename(F.col("rel")) == F.col("of_name"), "left")
-    return out.withColumn("image", F.coalesce("direct_path", "indexed_path")).drop("of_rel", "of_dir", "direct_path", "indexed_path", "of_name")
+    asked = rows.select(F.col("rel").alias(rel), F.col("ann_dir").alias(ann_dir), F.posexplode(tried).alias("try", "tried"))
+    found = asked.join(paths, "tried").groupBy(rel, ann_dir).agg(F.min_by("tried", "try").alias(direct))
+    index = image_index(files).select(F.col("name").alias(name), F.col("path").alias(indexed))
+    out = rows.join(found, (F.col("rel") == F.col(rel)) & (F.col("ann_dir") == F.col(ann_dir)), "left").join(index, basename(F.col("rel")) == F.col(name), "left")
+    return out.withColumn("image", F.coalesce(direct, indexed)).drop(rel, ann_dir, direct, indexed, name)
 
 
 def resolve_rate(rows: DataFrame, files: DataFrame, key: str, first: int = 200) -> DataFrame:

@@ -63,6 +63,7 @@ def running(df: DataFrame, key: str, then: list[str], sums: dict[str, Column], d
     whole = placed.groupBy(at).agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
     # at most MOST rows
     ahead = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    before = whole.select(at, *[F.coalesce(F.sum(f"_{n}").over(ahead), F.lit(0)).alias(f"_before_{n}") for n in sums])
+    names = {n: fresh(df, f"before_{n}") for n in sums}
+    before = whole.select(at, *[F.coalesce(F.sum(f"_{n}").over(ahead), F.lit(0)).alias(names[n]) for n in sums])
     out = placed.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(F.broadcast(before), at)
-    return out.withColumns({n: F.col(n) + F.col(f"_before_{n}") for n in sums}).drop(at, *[f"_before_{n}" for n in sums])
+    return out.withColumns({n: F.col(n) + F.col(names[n]) for n in sums}).drop(at, *names.values())

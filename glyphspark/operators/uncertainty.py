@@ -11,12 +11,14 @@ from .. import ship
 from ..functions import sequences as S
 from ..functions.distance import akshara_error_rate
 from ..functions.text import aksharas, characters
+from .prefix import fresh
 
 
 def token_statistics(df: DataFrame, logits: str = "logits") -> DataFrame:
     """df with token, prob, entropy and margin of one step's logits."""
-    p = df.withColumn("_p", S.softmax(F.col(logits)))
-    return p.withColumns({"token": S.argmax(F.col(logits)), "prob": F.array_max("_p"), "entropy": S.normalized_entropy(F.col("_p")), "margin": S.margin(F.col("_p"))}).drop("_p")
+    p = fresh(df, "probabilities")
+    steps = df.withColumn(p, S.softmax(F.col(logits)))
+    return steps.withColumns({"token": S.argmax(F.col(logits)), "prob": F.array_max(p), "entropy": S.normalized_entropy(F.col(p)), "margin": S.margin(F.col(p))}).drop(p)
 
 
 def mc_disagreement(variants: Column, text: Column) -> Column:
