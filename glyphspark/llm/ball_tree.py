@@ -11,8 +11,9 @@ The k-th score is shared. A first pass searches each query in its home shard alo
 there is a lower bound for all, and goes with the query to every other shard, which often needs to
 open a few nodes only. Within a shard it rises leaf by leaf.
 
-The stated queries meet all rows in blocks: a task holds one shard and a block of at most BLOCK
-queries, whatever the table's size. Every task returns at most k rows a query.
+The stated queries meet all rows in blocks: a task holds one shard and a block of about BLOCK
+queries, whatever the table's size. A shard's tree is built once and written with its integers, a byte or
+two each; that is what travels to its blocks. Every task returns at most k rows a query.
 
 Scores are integers. Where sums may pass 2^53, to which double precision is exact, the same search
 scores the leaves it opens with unbounded integers (held within the range of a long); bounds that
@@ -25,11 +26,11 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, pack, unpack
 from .vectors import matrix, merged, queries_of, valid
 
 K = 20
@@ -72,6 +73,14 @@ class BallTree:
         self.left, self.begin, self.end = map(np.array, (self.left, self.begin, self.end))
         self.centres, self.radii = np.array(centres), np.array(radii)
 
+    @classmethod
+    def of(cls, order: np.ndarray, begin: np.ndarray, end: np.ndarray, left: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> BallTree:
+        """A tree from its arrays."""
+        tree = cls.__new__(cls)
+        tree.order, tree.begin, tree.end, tree.left = (x.astype(np.int64) for x in (order, begin, end, left))
+        tree.centres, tree.radii = centres, radii
+        return tree
+
     def leaf_bounds(self, queries: np.ndarray, kth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Leaves, and each query's bound for each; -inf below a node that its k-th score rules out."""
         norms = np.sqrt((queries**2).sum(1))
@@ -131,16 +140,18 @@ def search(tree: BallTree, rows: np.ndarray, ids: np.ndarray, queries: np.ndarra
     return score, vec, scored
 
 
-def search_large(tree: BallTree, rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, kth: np.ndarray, k: int = K) -> list[tuple[int, int, int]]:
-    """As search(), in unbounded integers: (query_id, vec_id, score)."""
+def search_large(tree: BallTree, rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, kth: list[int | None], k: int = K) -> list[tuple[int, int, int]]:
+    """As search(), in unbounded integers: (query_id, vec_id, score), those of at least kth."""
+    # as doubles, no higher than they are
+    low = np.array([-np.inf if x is None else np.nextafter(float(x), -np.inf) for x in kth])
     with np.errstate(over="ignore", invalid="ignore"):
-        leaves, bound = tree.leaf_bounds(queries, kth)
+        leaves, bound = tree.leaf_bounds(queries, low)
     whole = lambda x: np.array([int(v) for v in x.ravel()], object).reshape(x.shape)
     out, known = [], {}
     for i, q in enumerate(whole(queries)):
-        best, least = [], kth[i]
+        best, least = [], low[i]
         for leaf in np.argsort(-bound[i], kind="stable"):
-            if bound[i, leaf] < least or bound[i, leaf] == -np.inf:
+            if float(bound[i, leaf]) < least or bound[i, leaf] == -np.inf:
                 break
             at = tree.order[tree.begin[leaves[leaf]] : tree.end[leaves[leaf]]]
             if leaf not in known:
@@ -149,30 +160,53 @@ def search_large(tree: BallTree, rows: np.ndarray, ids: np.ndarray, queries: np.
             best = heapq.nsmallest(k, [*best, *((-s, v) for s, v in scores)])
             if len(best) == k:
                 least = max(least, -best[-1][0])
-        out += [(int(query_ids[i]), v, -s) for s, v in best]
+        out += [(int(query_ids[i]), v, -s) for s, v in best if kth[i] is None or -s >= kth[i]]
     return out
 
 
-def _searched(k: int, leaf: int, home: bool):
-    def run(_key: tuple, data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if data.empty or asked.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        dims = max(data["vec"].map(len).max(), asked["vec"].map(len).max())
-        rows, queries = (np.floor(np.clip(SCALE * matrix(t["vec"].tolist(), dims), -MOST, MOST)) for t in (data, asked))
-        ids, query_ids = data["vec_id"].to_numpy(), asked["query_id"].to_numpy()
-        kth = np.full(len(asked), -np.inf) if home else asked["kth"].astype(float).fillna(-np.inf).to_numpy()
+def _grown(leaf: int):
+    """A shard's tree, packed: integers take the narrowest type that holds them."""
+
+    def run(shard: pa.Table) -> pa.Table:
+        vecs = shard.column("vec").to_pylist()
+        rows = integers(vecs, max(map(len, vecs)))
+        with np.errstate(over="ignore", invalid="ignore"):
+            tree = BallTree(rows, leaf)
+        held = rows.astype(np.int64) if np.abs(rows).max(initial=0) < 2.0**62 else rows
+        payload = pack(shard.column("vec_id").to_numpy(), held, tree.order, tree.begin, tree.end, tree.left, tree.centres, tree.radii)
+        return pa.table({"shard": [shard.column("shard")[0].as_py()], "tree": [payload]}, schema=pa.schema([("shard", pa.int32()), ("tree", pa.binary())]))
+
+    return run
+
+
+def integers(vecs: list, dims: int) -> np.ndarray:
+    return np.floor(np.clip(SCALE * matrix(vecs, dims), -MOST, MOST))
+
+
+FOUND_SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+
+def _searched(k: int, home: bool):
+    def run(_key: tuple, trees: pa.Table, asked: pa.Table) -> pa.Table:
+        if not trees.num_rows or not asked.num_rows:
+            return FOUND_SCHEMA.empty_table()
+        ids, rows, *nodes = unpack(trees.column("tree")[0].as_buffer())
+        vecs = asked.column("vec").to_pylist()
+        # the shorter ones end in zeros
+        dims = max(rows.shape[1], *map(len, vecs))
+        wide = lambda x: np.pad(x.astype(float), ((0, 0), (0, dims - x.shape[1])))
+        tree = BallTree.of(*nodes[:4], wide(nodes[4]), nodes[5])
+        rows, queries, ids = wide(rows), integers(vecs, dims), ids.astype(np.int64)
+        query_ids = asked.column("query_id").to_numpy()
+        known = [None] * len(vecs) if home else asked.column("kth").to_pylist()
         if np.abs(rows).max(initial=0) * np.abs(queries).max(initial=0) * dims < 2.0**53:
-            score, vec, _ = search(BallTree(rows, leaf), rows, ids, queries, query_ids, kth, k)
-            got = score > -np.inf
-            found = pd.DataFrame({"query_id": np.repeat(query_ids, got.sum(1)), "vec_id": vec[got], "score": score[got].astype(np.int64)})
-        else:
-            with np.errstate(over="ignore", invalid="ignore"):
-                tree = BallTree(rows, leaf)
-            found = pd.DataFrame(search_large(tree, rows, ids, queries, query_ids, kth, k), columns=["query_id", "vec_id", "score"])
-        if not home:  # what the home shard's k-th score rules out need not travel
-            found = found.merge(asked[["query_id", "kth"]], on="query_id")
-            found = found[found["kth"].isna() | (found["score"] >= found["kth"])].drop(columns="kth")
-        return found[["query_id", "vec_id", "score"]]
+            kth = np.array([-np.inf if x is None else x for x in known], float)
+            score, vec, _ = search(tree, rows, ids, queries, query_ids, kth, k)
+            # what the home shard's k-th score rules out need not travel
+            got = (score > -np.inf) & (score >= kth[:, None])
+            return pa.table([np.repeat(query_ids, got.sum(1)), vec[got], score[got].astype(np.int64)], schema=FOUND_SCHEMA)
+        found = search_large(tree, rows, ids, queries, query_ids, known, k)
+        return pa.table([pa.array(c, pa.int64()) for c in zip(*found, strict=True)] or [pa.array([], pa.int64())] * 3, schema=FOUND_SCHEMA)
 
     return run
 
@@ -185,14 +219,15 @@ def top_k(rows: DataFrame, k: int = K, shard: int = SHARD, block: int = BLOCK, l
     asked = scratch.keep(queries_of(data).select(F.col("vec_id").alias("query_id"), "vec"), "queries")
     n, n_asked = data.count(), asked.count()
     shards, blocks = max(1, -(-n // shard)), max(1, -(-n_asked // block))
-    data = data.select("vec_id", "vec", F.pmod("place", F.lit(shards)).cast("int").alias("shard"))
+    dealt = data.select("vec_id", "vec", F.pmod("place", F.lit(shards)).cast("int").alias("shard"))
+    trees = scratch.keep(dealt.groupBy("shard").applyInArrow(_grown(leaf), "shard int, tree binary"), "trees", "none")
     asked = asked.withColumns({"home": F.pmod(F.xxhash64("query_id"), F.lit(shards)).cast("int"), "block": F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int")})
 
     # home pass: a shard holds about 1/shards of the queries too
-    home = data.groupBy("shard").cogroup(asked.withColumn("shard", F.col("home")).groupBy("shard")).applyInPandas(_searched(k, leaf, True), FOUND)
+    home = trees.groupBy("shard").cogroup(asked.select(F.col("home").alias("shard"), "query_id", "vec").groupBy("shard")).applyInArrow(_searched(k, True), FOUND)
     found = scratch.keep(home, "home")
     kth = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
     others = asked.join(kth, "query_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home")
-    dealt = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rest = dealt.groupBy("shard", "block").cogroup(others.groupBy("shard", "block")).applyInPandas(_searched(k, leaf, False), FOUND)
+    sent = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rest = sent.groupBy("shard", "block").cogroup(others.groupBy("shard", "block")).applyInArrow(_searched(k, False), FOUND)
     return merged(found.unionByName(rest), k)
