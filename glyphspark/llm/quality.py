@@ -91,9 +91,10 @@ def counts(text: bytes) -> np.ndarray:
 
 def inputs(found: np.ndarray) -> np.ndarray:
     x = found.astype(np.float32)
-    x /= np.maximum(x[:, -1:], 1)
+    size = x[:, -1].copy()
+    x /= np.maximum(size, 1)[:, None]
     np.sqrt(x, out=x)
-    x[:, -1] = np.log2(1 + found[:, -1]) / np.log2(1 + PASSAGE)
+    x[:, -1] = np.log2(1 + size) / np.float32(np.log2(1 + PASSAGE))
     return x
 
 
@@ -141,22 +142,26 @@ class Model:
         rng = np.random.default_rng(seed + 1)
         share = labels.mean()
         weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
+        # single precision for the many small steps
+        self.p = {k: x.astype(np.float32) for k, x in self.p.items()}
+        labels, weight = labels.astype(np.float32), weight.astype(np.float32)
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         step, total = 0, epochs * -(-len(bags) // BATCH)
-        decay = np.full((WIDTH, 1), DECAY)
+        decay = np.full((WIDTH, 1), DECAY, np.float32)
         decay[PAIRS:-1] = GRAM_DECAY  # many rare inputs, which would learn single documents
         for _ in range(epochs):
             order = rng.permutation(len(bags))
             for at in range(0, len(order), BATCH):
                 own = order[at : at + BATCH]
-                x = inputs(np.concatenate([bags[i] for i in own]).astype(np.int64))
+                x = inputs(np.concatenate([bags[i] for i in own]))
                 step += 1
                 now = rate * (1 - step / (total + 1))
                 for k, g in self.gradients(x, np.array([len(bags[i]) for i in own]), labels[own], weight[own]).items():
                     g = g + (decay if k == "W" else DECAY) * self.p[k]
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
-                    self.p[k] = self.p[k] - now * m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+                    self.p[k] = self.p[k] - np.float32(now / (1 - 0.9**step)) * m[k] / (np.sqrt(v[k] / np.float32(1 - 0.999**step)) + np.float32(1e-8))
+        self.p = {k: x.astype(float) for k, x in self.p.items()}
         return self
 
     def explain(self, text: bytes) -> tuple[float, np.ndarray]:
