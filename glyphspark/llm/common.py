@@ -41,6 +41,22 @@ TASK_BYTES, ROW_GROUP = 512 << 20, 16 << 20
 _MADE: list[str] = []
 
 
+def files(df: DataFrame) -> int:
+    """How many files to make of df at most: one a core, and one for so many bytes that it reads.
+
+    Each file costs requests to the store, and on a local one processes; a lost task costs what it read.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    # an unknown size is Spark's largest
+    return max(df.sparkSession.sparkContext.defaultParallelism, min(read // TASK_BYTES, 1_000_000))
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df in so many partitions at most."""
+    return df.coalesce(files(df))
+
+
 class Scratch:
     """Written tables in the shared folder; each cuts lineage and outlives a lost executor.
 
@@ -66,23 +82,13 @@ class Scratch:
         for k, v in ours.items():
             conf.set(k, v)
         try:
-            writer = df.coalesce(self._files(df)).write.mode("overwrite").options(compression=compression, **{"parquet.block.size": ROW_GROUP})
+            writer = few(df).write.mode("overwrite").options(compression=compression, **{"parquet.block.size": ROW_GROUP})
             (writer.partitionBy(by) if by else writer).parquet(path)
         finally:
             for k, v in before.items():
                 conf.set(k, v)
         return self.spark.read.schema(schema).parquet(path)
 
-    def _files(self, df: DataFrame) -> int:
-        """How many files to make at most: one a core, and one for so many bytes that df reads.
-
-        Each file costs requests to the store, and on a local one processes; a lost task costs what it read.
-        """
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-        # an unknown size is Spark's largest
-        return max(self.spark.sparkContext.defaultParallelism, min(read // TASK_BYTES, 1_000_000))
-
     def drop(self, *names: str) -> None:
         """Delete written tables that no later step reads."""
         _delete(self.spark, *[f"{self.root}/{name}" for name in names])

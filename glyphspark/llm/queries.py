@@ -1,13 +1,17 @@
-"""The queries of this subpackage, with production parameters over whole tables, and SQL where it can say the same."""
+"""The queries of this subpackage, with production parameters over whole tables, and SQL where it can say the same.
+
+Results come in few partitions (see common.few), as they are mostly written next.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import few, table
 
 
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,8 +93,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
+def _written(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return wraps(query)(lambda spark, sf_dir: few(query(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_katz, op2_trie_tokens, op3_ball_tree, op4_quality_mil, op5_cross_polytope, op6_simhash, op7_warc, op8_mixing, op9_packing, op10_chat)
+    f.__name__: _written(f) for f in (op1_katz, op2_trie_tokens, op3_ball_tree, op4_quality_mil, op5_cross_polytope, op6_simhash, op7_warc, op8_mixing, op9_packing, op10_chat)
 }
 
 

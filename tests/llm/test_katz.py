@@ -85,7 +85,7 @@ def test_equals_plain_model(spark, order, block):
 
 
 def test_a_task_of_several_partitions_keeps_blocks_apart(spark, monkeypatch):
-    monkeypatch.setattr(common.Scratch, "_files", lambda self, df: 1)
+    monkeypatch.setattr(common, "files", lambda df: 1)
     df = spark.createDataFrame(TEXTS, "doc_id long, text string").repartition(6)
     model = Plain([t for d, t in TEXTS if not held_out(d)], 2)
     got = sorted((str(r.doc_id), round(r.score, 6)) for r in katz.katz_scores(df).collect())
