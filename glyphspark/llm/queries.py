@@ -93,12 +93,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import periodic_runs
+
+    return periodic_runs(table(spark, sf_dir, "documents"), plant=True).drop("n_words")
+
+
 def _written(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return wraps(query)(lambda spark, sf_dir: few(query(spark, sf_dir)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _written(f) for f in (op1_katz, op2_trie_tokens, op3_ball_tree, op4_quality_mil, op5_cross_polytope, op6_simhash, op7_warc, op8_mixing, op9_packing, op10_chat)
+    f.__name__: _written(f) for f in (op1_katz, op2_trie_tokens, op3_ball_tree, op4_quality_mil, op5_cross_polytope, op6_simhash, op7_warc, op8_mixing, op9_packing, op10_chat, op11_periodic_runs)
 }
 
 
