@@ -99,19 +99,25 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), plant=True).drop("n_words")
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _written(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return wraps(query)(lambda spark, sf_dir: few(query(spark, sf_dir)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _written(f) for f in (op1_katz, op2_trie_tokens, op3_ball_tree, op4_quality_mil, op5_cross_polytope, op6_simhash, op7_warc, op8_mixing, op9_packing, op10_chat, op11_periodic_runs)
+    f.__name__: _written(f) for f in (op1_katz, op2_trie_tokens, op3_ball_tree, op4_quality_mil, op5_cross_polytope, op6_simhash, op7_warc, op8_mixing, op9_packing, op10_chat, op11_periodic_runs, op12_ranked_search)
 }
 
 
 def _oracles() -> dict[str, str]:
-    from . import chat, katz
+    from . import chat, katz, ranked
 
-    return {"op1_katz": katz.ORACLE, "op3_ball_tree": OP3_SQL, "op7_warc": OP7_SQL, "op10_chat": chat.ORACLE}
+    return {"op1_katz": katz.ORACLE, "op3_ball_tree": OP3_SQL, "op7_warc": OP7_SQL, "op10_chat": chat.ORACLE, "op12_ranked_search": ranked.ORACLE}
 
 
 ORACLES: dict[str, str] = _oracles()
