@@ -105,19 +105,25 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def _written(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return wraps(query)(lambda spark, sf_dir: few(query(spark, sf_dir)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _written(f) for f in (op1_katz, op2_trie_tokens, op3_ball_tree, op4_quality_mil, op5_cross_polytope, op6_simhash, op7_warc, op8_mixing, op9_packing, op10_chat, op11_periodic_runs, op12_ranked_search)
+    f.__name__: _written(f) for f in (op1_katz, op2_trie_tokens, op3_ball_tree, op4_quality_mil, op5_cross_polytope, op6_simhash, op7_warc, op8_mixing, op9_packing, op10_chat, op11_periodic_runs, op12_ranked_search, op13_license_scan)
 }
 
 
 def _oracles() -> dict[str, str]:
-    from . import chat, katz, ranked
+    from . import chat, katz, licenses, ranked
 
-    return {"op1_katz": katz.ORACLE, "op3_ball_tree": OP3_SQL, "op7_warc": OP7_SQL, "op10_chat": chat.ORACLE, "op12_ranked_search": ranked.ORACLE}
+    return {"op1_katz": katz.ORACLE, "op3_ball_tree": OP3_SQL, "op7_warc": OP7_SQL, "op10_chat": chat.ORACLE, "op12_ranked_search": ranked.ORACLE, "op13_license_scan": licenses.oracle()}
 
 
 ORACLES: dict[str, str] = _oracles()
