@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.text import aksharas
 from .calibration import calibration_metrics
 from .detection import detection_metrics, pr_auc, roc_auc
+from .place import most_common_first
 from .recognition import measured, recognition_metrics
 
 
@@ -60,19 +61,29 @@ def correction_examples(triples: DataFrame, key: str = "row_id", k: int = 10) ->
     return both.select("category", rank.alias("rank"), key, F.col("ref").alias("truth"), F.col("hyp").alias("before"), "after")
 
 
+def _differing(pairs: DataFrame, *keep: str) -> DataFrame:
+    """(keep, at, expected, read_as): aksharas that differ at one place of both words, up to the shorter's end."""
+    arrays = pairs.select(*keep, aksharas(F.col("ref")).alias("r"), aksharas(F.col("hyp")).alias("h"))
+    both = F.least(F.size("r"), F.size("h"))
+    zipped = F.zip_with(F.slice("r", 1, both), F.slice("h", 1, both), lambda r, h: F.struct(r.alias("expected"), h.alias("read_as")))
+    each = F.transform(zipped, lambda p, i: F.struct(i.alias("at"), p["expected"].alias("expected"), p["read_as"].alias("read_as")))
+    return arrays.select(*keep, F.explode(F.filter(each, lambda p: p["expected"] != p["read_as"])).alias("p")).select(*keep, "p.*")
+
+
 def akshara_confusions(pairs: DataFrame, k: int | None = None) -> DataFrame:
-    """(expected, read_as, n): aksharas that differ at one place of both words, up to the shorter's end.
+    """(expected, read_as, n): aksharas that differ at one place of both words.
 
     Most common first, ties by the pair. k keeps the top ones.
     """
-    arrays = pairs.select(aksharas(F.col("ref")).alias("r"), aksharas(F.col("hyp")).alias("h"))
-    both = F.least(F.size("r"), F.size("h"))
-    zipped = F.zip_with(F.slice("r", 1, both), F.slice("h", 1, both), lambda r, h: F.struct(r.alias("expected"), h.alias("read_as")))
-    differ = F.filter(zipped, lambda p: p["expected"] != p["read_as"])
-    counted = arrays.select(F.explode(differ).alias("p")).groupBy("p.expected", "p.read_as").agg(F.count("*").alias("n"))
+    counted = _differing(pairs).groupBy("expected", "read_as").agg(F.count("*").alias("n"))
     return counted if k is None else counted.orderBy(F.desc("n"), "expected", "read_as").limit(k)
 
 
+def first_seen_confusions(pairs: DataFrame, k: int = 25, place: str = "place") -> DataFrame:
+    """(expected, read_as, n): the k most common confusions of pairs(place, ref, hyp), ties in the order in which they first appear."""
+    return most_common_first(_differing(pairs, place), k, "expected", "read_as", seen=(place, "at"))
+
+
 def incorrect(pairs: DataFrame) -> DataFrame:
     """Rows whose aksharas differ, with arrays, distance and lengths."""
     return measured(pairs).where(~F.col("exact"))

@@ -111,6 +111,11 @@ def head(rows: DataFrame, n: int, key: str = "row_id") -> DataFrame:
     return rows.orderBy(key).limit(n)
 
 
+def first_rows(rows: DataFrame, n: int, place: str = "place") -> DataFrame:
+    """The first n rows as they stand in their files."""
+    return rows.where(F.col(place) < n)
+
+
 def group_labels(rows: DataFrame, text: str = "text", value: str = "image") -> DataFrame:
     """A label's rows as a list, in order."""
     return rows.groupBy(text).agg(F.sort_array(F.collect_list(value)).alias("rows"), F.count("*").alias("n"))

@@ -1,7 +1,7 @@
 """Recognition metrics over pairs of a reference and a reading.
 
 Pairs are a table with a key: a reading that has no reference is nobody's error, and a reference
-without a reading counts as read empty. Akshara arrays and distances are computed once, as columns.
+without a reading counts as read empty. Lists without keys pair by place. Akshara arrays and distances are computed once, as columns.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import edit_distance, error_rate
 from ..functions.text import aksharas
+from .place import zipped
 from .prefix import running
 
 
@@ -19,6 +20,14 @@ def join_pairs(refs: DataFrame, hyps: DataFrame, key: str = "row_id") -> DataFra
     return refs.join(hyps, key, "left").withColumn("hyp", F.coalesce("hyp", F.lit("")))
 
 
+def zip_pairs(refs: DataFrame, hyps: DataFrame) -> DataFrame:
+    """(place, ref, hyp): the i-th of refs(place, ref) with the i-th of hyps(place, hyp), as far as the shorter side goes.
+
+    Places are those of place.line_places, table_places or order_places.
+    """
+    return zipped(refs.select("place", "ref"), hyps.select("place", "hyp"))
+
+
 def measured(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp", prefix: str = "", normal: bool = True) -> DataFrame:
     """pairs with akshara arrays, sizes, distance, error rate, and whether they agree."""
     arrays = pairs.withColumns({"ref_a": aksharas(F.col(ref)), f"{prefix}hyp_a": aksharas(F.col(hyp))})

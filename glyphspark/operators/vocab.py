@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import BOS, EOS, SPECIALS, UNK
-from ..functions.text import akshara_count, characters, is_devanagari, normalize
+from ..functions.text import SPACE, akshara_count, characters, is_devanagari, normalize, strip
+from .place import most_common_first
+from .prefix import once
 
 
 def char_counts(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -87,6 +89,19 @@ def length_stats(texts: DataFrame, text: str = "text") -> DataFrame:
     return stats.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "min", "max", "mean", "p99")])
 
 
+def first_seen_chars(texts: DataFrame, k: int, text: str = "text", place: str = "place") -> DataFrame:
+    """(token, n): the k most common code points of normal forms, ties in the order in which they first appear."""
+    each = once(texts.select(F.col(place).alias("place"), F.col(text).alias("text")), normal=normalize(F.col("text")))
+    chars = each.select("place", F.posexplode(characters(F.col("normal"))).alias("at", "token"))
+    return most_common_first(chars, k, "token", seen=("place", "at"))
+
+
+def first_seen_words(texts: DataFrame, k: int, text: str = "text", place: str = "place") -> DataFrame:
+    """(word, n): the k most common words by white space, ties in the order in which they first appear."""
+    words = texts.select(F.col(place).alias("place"), F.posexplode(F.split(strip(F.col(text)), f"{SPACE}+")).alias("at", "word")).where("word <> ''")
+    return most_common_first(words, k, "word", seen=("place", "at"))
+
+
 def most_common(counts: DataFrame, k: int, *keys: str, n: str = "n") -> DataFrame:
     """The k largest counts, ties by keys."""
     return counts.orderBy(F.desc(n), *keys).limit(k)

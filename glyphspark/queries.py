@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import distance, sequences, text
-from .operators import audit, calibration, correction, dataset, detection, images, profile, recognition, uncertainty, vocab
+from .operators import audit, calibration, correction, dataset, detection, images, place, profile, recognition, uncertainty, vocab
 from .plans import batches, synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -429,6 +429,49 @@ def most_common_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocab.most_common(vocab.char_counts(_names(spark, sf_dir)), 20, "token")
 
 
+# order by place ---------------------------------------------------------------
+def places(sf_dir: str, name: str, spark: SparkSession) -> DataFrame:
+    return place.table_places(spark, f"{sf_dir}/{name}.parquet")
+
+
+#: White space as text.SPACE has it.
+BLANK = r"\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+@query("WITH d AS (SELECT row_number() OVER () AS place, * FROM supplier), c AS (SELECT place, unnest(regexp_extract_all(s_name, '.')) AS token, unnest(range(length(s_name))) AS pos FROM d) SELECT token, count(*) AS n FROM c GROUP BY token ORDER BY n DESC, min((place, pos)) LIMIT 12")
+def first_seen_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.first_seen_chars(places(sf_dir, "supplier", spark), 12, "s_name")
+
+
+@query(f"WITH d AS (SELECT row_number() OVER () AS place, regexp_extract_all(text, '[^{BLANK}]+') AS w FROM documents), c AS (SELECT place, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d) SELECT word, count(*) AS n FROM c GROUP BY word ORDER BY n DESC, min((place, pos)) LIMIT 5000")
+def first_seen_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.first_seen_words(places(sf_dir, "documents", spark), 5000)
+
+
+@query(TRIPLES + ", t AS (SELECT row_number() OVER () AS place, * FROM triples), c AS (SELECT place, i, substr(ref, i::INT, 1) AS expected, substr(hyp, i::INT, 1) AS read_as FROM t, range(1, 40) r(i) WHERE i <= least(length(ref), length(hyp))) SELECT expected, read_as, count(*) AS n FROM c WHERE expected <> read_as GROUP BY ALL ORDER BY n DESC, min((place, i)) LIMIT 60")
+def first_seen_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = places(sf_dir, "part", spark).select(F.col("p_partkey").alias("row_id"), "place")
+    return audit.first_seen_confusions(triples(spark, sf_dir).join(at, "row_id"), 60)
+
+
+@query("SELECT place, ref, hyp FROM (SELECT row_number() OVER () - 1 AS place, doc_id AS ref FROM documents) JOIN (SELECT row_number() OVER () - 1 AS place, conv_id || ':' || turn AS hyp FROM conversations) USING (place)")
+def zipped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables row by row, as far as the shorter goes."""
+    refs = places(sf_dir, "documents", spark).select("place", F.col("doc_id").alias("ref"))
+    hyps = places(sf_dir, "conversations", spark).select("place", F.concat_ws(":", "conv_id", "turn").alias("hyp"))
+    return recognition.zip_pairs(refs, hyps)
+
+
+@query("SELECT row_number() OVER () - 1 AS place, l_orderkey, l_linenumber FROM lineitem QUALIFY place < 5000")
+def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.first_rows(places(sf_dir, "lineitem", spark), 5000).select("place", "l_orderkey", "l_linenumber")
+
+
+@query("SELECT row_number() OVER (ORDER BY n_chars DESC, lang, doc_id) - 1 AS place, doc_id FROM documents")
+def order_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place.order_places(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), F.desc("n_chars"), F.asc("lang"), F.asc("doc_id")).select("place", "doc_id")
+
+
 # dataset preparation ----------------------------------------------------------
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id")

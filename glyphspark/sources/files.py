@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import SPECIALS
 from ..operators.dataset import IMAGE_SUFFIXES
+from ..operators.place import line_places
 
 MANIFEST = "image string, text string"
 
@@ -19,8 +20,10 @@ def read_manifest(spark: SparkSession, path: str, schema: str = MANIFEST) -> Dat
 
 
 
-def annotation_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, value): lines of all text files below a folder that aren't empty."""
+def annotation_lines(spark: SparkSession, path: str, places: bool = False) -> DataFrame:
+    """(path, value): lines of all text files below a folder that aren't empty; with places also line_no and place."""
+    if places:
+        return line_places(spark, path)
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path)
     return lines.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("path"), "value")
 
