@@ -59,28 +59,73 @@ def confusable_pairs(confusions: DataFrame, least: int = 2, top: int | None = No
     return [(r.expected, r.read_as) for r in (found if top is None else found.limit(top)).collect()]
 
 
-def _deletions(units: Column, most: int) -> Column:
-    """An array without up to most of its elements, in all ways, as joined keys."""
-    drop = lambda a: F.transform(F.sequence(F.lit(1), F.size(a)), lambda i: F.concat(F.slice(a, 1, i - 1), F.slice(a, i + 1, F.size(a))))
-    level, out = F.array(units), F.array(units)
-    for _ in range(most):
-        level = F.array_distinct(F.flatten(F.transform(F.filter(level, lambda a: F.size(a) > 0), drop)))
-        out = F.concat(out, level)
-    return F.array_distinct(F.transform(out, lambda a: F.array_join(a, "\x1f")))
+def _begin(length: Column, i: int, parts: int) -> Column:
+    """Where the i-th of so many parts of a word of that length begins; none is empty where the length allows it."""
+    return F.floor(length * i / parts).cast("int")
+
+
+def _key(tag: str, length: Column, i: int, units: Column) -> Column:
+    return F.xxhash64(F.lit(tag), length, F.lit(i), F.array_join(units, "\x1f"))
+
+
+def _segments(units: Column, most: int, tag: str) -> list[Column]:
+    """Keys of a word's most + 1 segments; a word too short for them has none."""
+    n, parts = F.size(units), most + 1
+    return [F.when(n > most, _key(tag, n, i, F.slice(units, _begin(n, i, parts) + 1, _begin(n, i + 1, parts) - _begin(n, i, parts)))) for i in range(parts)]
+
+
+def _substrings(units: Column, most: int, tag: str, longer: range) -> list[Column]:
+    """Keys of a word's substrings that may be a segment of a word that is longer by one of `longer`.
+
+    If a word is within `most` edits of one of most + 1 segments, then for some i the i-th segment stands in it with at
+    most i edits before it and most - i after it; so it begins at most so far from its own place.
+    """
+    n, parts, out = F.size(units), most + 1, []
+    for more in longer:
+        length = n + more
+        for i in range(parts):
+            begin, size = _begin(length, i, parts), _begin(length, i + 1, parts) - _begin(length, i, parts)
+            for off in range(max(-i, -more - (most - i)), min(i, -more + (most - i)) + 1):
+                fits = (length > most) & (begin + off >= 0) & (begin + off + size <= n)
+                out.append(F.when(fits, _key(tag, length, i, F.slice(units, F.greatest(begin + off, F.lit(0)) + 1, size))))
+    return out
+
+
+#: Parts over which words too short for segments are dealt.
+SHORT = 16
+
+
+def search_keys(words: DataFrame, word: str, max_distance: int, entry: bool) -> DataFrame:
+    """words with key: one row for each key under which a word is kept (entry) or asked for.
+
+    The longer word of a pair is cut into max_distance + 1 segments, the other gives its substrings; of words too short for that
+    any two are near. A word has at most some (max_distance + 1) ** 3 keys, however long it is.
+    """
+    # an asked word that is as long as an entry is the one that is cut
+    asked, kept = ("a", "e")
+    units = F.col("units")
+    if entry:
+        keys = _segments(units, max_distance, kept) + _substrings(units, max_distance, asked, range(max_distance + 1))
+        short = F.array(F.xxhash64(F.lit("short"), F.pmod(F.xxhash64(word), F.lit(SHORT))))
+    else:
+        keys = _segments(units, max_distance, asked) + _substrings(units, max_distance, kept, range(1, max_distance + 1))
+        short = F.transform(F.sequence(F.lit(0), F.lit(SHORT - 1)), lambda k: F.xxhash64(F.lit("short"), k.cast("long")))
+    own = F.filter(F.array(*keys), lambda k: k.isNotNull())
+    with_units = once(words, units=aksharas(F.col(word)))
+    every = F.when(F.size("units") <= max_distance, F.concat(own, short)).otherwise(own)
+    return with_units.withColumn("key", F.explode(F.array_distinct(every))).drop("units")
 
 
 def nearest(words: DataFrame, lexicon: DataFrame, max_distance: int = MAX_DISTANCE, limit: int | None = MAX_CANDIDATES) -> DataFrame:
     """(word, candidate, distance, freq, rank): lexicon words within max_distance aksharas of each word.
 
-    Two arrays at distance d or less share an array that both reach by d deletions or fewer, so an
-    equi-join on these neighbourhoods meets every candidate, and distances verify it: no pairs of
-    all words with all entries. Order: distance, falling frequency, then the word.
+    Of max_distance + 1 segments of a word, one at least stands unchanged in any word so near, at nearly its place. An
+    equi-join on segments and the substrings that may be one (search_keys) meets every candidate, and distances
+    verify it: no pairs of all words with all entries. Order: distance, falling frequency, then the word.
     """
-    # a key is the hash of an array; arrays stay behind, and are made again for the pairs that met
-    keys = lambda df, word: once(df, units=aksharas(F.col(word))).withColumn("size", F.size("units")).withColumn("key", F.explode(F.array_distinct(F.transform(_deletions(F.col("units"), max_distance), lambda k: F.xxhash64(k))))).drop("units")
-    asked = keys(words.select("word").distinct(), "word").withColumnRenamed("size", "word_size")
-    entries = keys(lexicon.select(F.col("word").alias("candidate"), "freq"), "candidate")
-    met = asked.join(entries, "key").where(F.abs(F.col("word_size") - F.col("size")) <= max_distance).select("word", "candidate", "freq").distinct()
+    asked = search_keys(words.select("word").distinct(), "word", max_distance, False)
+    entries = search_keys(lexicon.select(F.col("word").alias("candidate"), "freq"), "candidate", max_distance, True)
+    met = asked.join(entries, "key").select("word", "candidate", "freq").distinct()
     arrays = once(met, a=aksharas(F.col("word")), b=aksharas(F.col("candidate")))
     near = once(arrays, distance=within(F.col("a"), F.col("b"), max_distance)).where(F.col("distance") >= 0)
     rank = F.row_number().over(Window.partitionBy("word").orderBy("distance", F.desc("freq"), "candidate"))
