@@ -12,6 +12,7 @@ from ..functions import sequences as S
 from ..functions.distance import akshara_error_rate
 from ..functions.text import aksharas, characters
 from .prefix import fresh
+from .quantile import percentile
 
 
 def token_statistics(df: DataFrame, logits: str = "logits") -> DataFrame:
@@ -73,13 +74,15 @@ def response_statistics(words: DataFrame, by: str = "page_id") -> DataFrame:
 
 
 def low_confidence_threshold(df: DataFrame, pct: float = 80.0, conf: str = "conf") -> DataFrame:
-    """One row: the percentile of confidence, between neighbours linearly."""
-    return df.agg(F.percentile(conf, pct / 100).alias("threshold"))
+    """One row: the percentile of confidence, between neighbours linearly; null without any."""
+    return df.sparkSession.range(1).select(F.lit(percentile(df, conf, pct / 100)).cast("double").alias("threshold"))
 
 
 def correct_below(df: DataFrame, threshold: DataFrame, pred: str = "hyp", corrected: str = "corrected", conf: str = "conf") -> DataFrame:
     """df with after: the corrected word where confidence lies below the threshold."""
-    return df.crossJoin(F.broadcast(threshold)).withColumn("after", F.when(F.col(conf) < F.col("threshold"), F.col(corrected)).otherwise(F.col(pred))).drop("threshold")
+    limit = fresh(df, "threshold")
+    one = threshold.select(F.col(threshold.columns[0]).alias(limit))
+    return df.crossJoin(F.broadcast(one)).withColumn("after", F.when(F.col(conf) < F.col(limit), F.col(corrected)).otherwise(F.col(pred))).drop(limit)
 
 
 #: What a model hook returns for each image.

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import distance, sequences, text
-from .operators import audit, calibration, correction, dataset, detection, images, place, profile, recognition, uncertainty, vocab
+from .operators import audit, calibration, correction, dataset, detection, images, place, profile, quantile, recognition, uncertainty, vocab
 from .plans import batches, synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -657,6 +657,16 @@ def conditional_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uncertainty.correct_below(t, uncertainty.low_confidence_threshold(t)).select("row_id", "after")
 
 
+@query("SELECT lang, quantile_cont(n_chars, 0.5) AS p50, quantile_cont(n_chars, 0.99) AS p99 FROM documents GROUP BY lang")
+def length_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact percentiles of the lengths of each language's documents."""
+    docs = table(spark, sf_dir, "documents")
+    # a few languages
+    langs = [r.lang for r in docs.select("lang").distinct().collect()]
+    found = [(lang, *(quantile.percentile(docs.where(F.col("lang").eqNullSafe(F.lit(lang))), "n_chars", p) for p in (0.5, 0.99))) for lang in langs]
+    return spark.createDataFrame(found, "lang string, p50 double, p99 double")
+
+
 @query("SELECT vec_id, [v for v in embedding[:5]] || list_transform(range(3), lambda i: -100::FLOAT) AS padded, embedding[2:5] AS shifted, list_transform(embedding[:3], lambda v: CASE WHEN v < 0 THEN 0::DOUBLE ELSE v::DOUBLE END) AS unmasked FROM embeddings")
 def padded_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     five = F.slice("embedding", 1, 5)
