@@ -31,14 +31,14 @@ def _cuts(values: DataFrame) -> list[float]:
     """Upper ends of ranges that hold about as many rows each, by one sketch; the last is the largest value."""
     at = [i / RANGES for i in range(1, RANGES)]
     found, top = values.agg(F.percentile_approx("v", at, 8 * RANGES), F.max("v")).first()
-    return sorted({c for c in found if not math.isnan(c)}) + ([top] if math.isnan(top) or top not in found else [])
+    return sorted({*found, top})
 
 
 def _range_of(cuts: list[float]) -> Column:
     """The first range whose upper end isn't below v, by halving."""
     # sliced() counts the edges at or below its key; of the negated values these are the ends not below v
     ends = [-c for c in reversed(cuts[:-1])]
-    return F.when(F.isnan("v"), len(cuts) - 1).otherwise(F.lit(len(cuts) - 1) - sliced(-F.col("v"), ends)).cast("int")
+    return (F.lit(len(cuts) - 1) - sliced(-F.col("v"), ends)).cast("int")
 
 
 def value_at(values: DataFrame, place: int, n: int) -> float:
@@ -61,12 +61,15 @@ def value_at(values: DataFrame, place: int, n: int) -> float:
 
 def percentile(df: DataFrame, column: str | Column, share: float) -> float | None:
     """The exact percentile of a numeric column, between neighbours linearly."""
-    values = df.select((F.col(column) if isinstance(column, str) else column).cast("double").alias("v")).where("v is not null")
-    n = values.count()
-    if not n:
+    every = df.select((F.col(column) if isinstance(column, str) else column).cast("double").alias("v")).where("v is not null")
+    total, n = every.agg(F.count("*"), F.count_if(~F.isnan("v"))).first()
+    if not total:
         return None
-    at = share * (n - 1)
+    at = share * (total - 1)
     place = math.floor(at)
+    if math.ceil(at) >= n:
+        return math.nan
+    values = every.where(~F.isnan("v"))
     value = value_at(values, place, n)
     if at == place:
         return value
