@@ -6,6 +6,7 @@ the name with a change that depends on its key, and a second change stands for c
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -203,6 +204,29 @@ def running_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognition.running_metrics(triples(spark, sf_dir)).select(F.col("seen").cast("long"), "accuracy", "mean_aer")
 
 
+@query("""
+WITH p AS (SELECT doc_id, coalesce(lang, '') || '-' || coalesce(source, '') AS ref, CASE WHEN doc_id % 3 = 0 THEN coalesce(lang, '') || '-' || coalesce(source, '') ELSE coalesce(source, '') END AS hyp FROM documents),
+r AS (SELECT row_number() OVER w AS seen, sum((ref = hyp)::INT) OVER w AS ok, sum(levenshtein(ref, hyp) / length(ref)::DOUBLE) OVER w AS e FROM p WINDOW w AS (ORDER BY doc_id ROWS UNBOUNDED PRECEDING))
+SELECT seen, ok / seen::DOUBLE AS accuracy, e / seen AS mean_aer FROM r WHERE seen % 500 = 0""")
+def streamed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where documents come from as words read, a third of them right: running metrics by a stream with state."""
+    from .shared import shared_dir
+    from .streaming import running
+
+    path = f"{sf_dir}/documents.parquet"
+    whole = F.concat_ws("-", F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")))
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    pairs = rows.select(F.col("doc_id").alias("row_id"), whole.alias("ref"), F.when(F.col("doc_id") % 3 == 0, whole).otherwise(F.coalesce("source", F.lit(""))).alias("hyp"))
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        running.with_rocks(spark)
+        running.run_to_end(running.running_lines(pairs), f"{out}/lines", f"{out}/checkpoint")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema(running.LINES).parquet(f"{out}/lines").drop("run")
+
+
 @query(TRIPLES + "SELECT t.row_id, ref, CASE WHEN row_id % 9 = 0 THEN '' ELSE hyp END AS hyp FROM triples t")
 def joined_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = triples(spark, sf_dir)
