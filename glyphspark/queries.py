@@ -497,6 +497,20 @@ def order_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place.order_places(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), F.desc("n_chars"), F.asc("lang"), F.asc("doc_id")).select("place", "doc_id")
 
 
+# files and their manifest lines -------------------------------------------------
+@query("SELECT s_suppkey AS row_id, s_name AS text, md5('picture of ' || s_name || chr(10)) AS digest, strlen('picture of ' || s_name || chr(10)) AS bytes FROM supplier")
+def paired_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each supplier and its manifest line, written as one commit and read back."""
+    from .shared import shared_dir
+    from .sources.pairs import read_pairs, with_data, write_pairs
+
+    path = f"{shared_dir(spark)}/pairs-{uuid.uuid4().hex}"
+    data = F.encode(F.concat(F.lit("picture of "), "s_name", F.lit("\n")), "UTF-8")
+    write_pairs(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("row_id"), F.col("s_name").alias("text"), data.alias("data")), path, suffix=".txt")
+    back = with_data(read_pairs(spark, path, "image string, row_id long, text string"))
+    return back.select("row_id", "text", F.md5("content").alias("digest"), F.length("content").cast("long").alias("bytes"))
+
+
 # dataset preparation ----------------------------------------------------------
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id")
