@@ -11,6 +11,7 @@ from .. import ship
 from ..functions import sequences as S
 from ..functions.distance import akshara_error_rate
 from ..functions.text import aksharas, characters
+from .models import Model, sent
 from .prefix import fresh
 from .quantile import percentile
 
@@ -88,28 +89,56 @@ def correct_below(df: DataFrame, threshold: DataFrame, pred: str = "hyp", correc
 #: What a model hook returns for each image.
 PREDICTION = "text string, tokens array<int>, token_probs array<double>, token_entropies array<double>, token_margins array<double>, mc_variants array<string>"
 
-_LOADED: dict[str, object] = {}
+#: What a model gives for one pass over one row.
+READING = "text string, tokens array<int>, token_probs array<double>, token_entropies array<double>, token_margins array<double>"
+#: Cost of the rows and passes of a task, about, where rows say theirs; else one each.
+TASK_COST = 20_000
 
 
-def predict(images: DataFrame, load: Callable[[], Callable], name: str, keep: str = "image string", batch: int = 48, mc_passes: int = 0) -> DataFrame:
-    """Predictions of an injected model, batch by batch, each row with its kept columns.
-
-    load() returns a function of (list of row dicts, mc_passes) that gives one dict of PREDICTION a
-    row. It is called once a worker under its name; a failing row must be the model's own decision.
-    """
+def _called(rows: DataFrame, model: Model, keep: list[str], schema: str, batch: int, args: tuple) -> DataFrame:
     import pandas as pd
 
-    ship(images.sparkSession)
-    kept = [f.split()[0] for f in keep.split(", ")]
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _LOADED.get(name)
-        if model is None:
-            model = _LOADED[name] = load()
+        read = model.get()
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch]
-                out = pd.DataFrame(model(part.to_dict("records"), mc_passes))
-                yield pd.concat([part[kept].reset_index(drop=True), out], axis=1)
+                out = pd.DataFrame(read(part.to_dict("records"), *args))
+                yield pd.concat([part[keep].reset_index(drop=True), out], axis=1)
+
+    return rows.mapInPandas(run, schema)
+
+
+def predict(images: DataFrame, load: Callable, name: str, keep: str = "image string", batch: int = 48, mc_passes: int = 0, weights: bytes | str | None = None) -> DataFrame:
+    """Predictions of an injected model, batch by batch, each row with its kept columns.
+
+    load(), or load(path) where there are weights, returns a function of (list of row dicts, mc_passes) that gives one dict of
+    PREDICTION a row. A worker calls it once for all its tasks (see models); a failing row must be the model's own decision.
+    """
+    ship(images.sparkSession)
+    kept = [f.split()[0] for f in keep.split(", ")]
+    return _called(images, sent(images.sparkSession, load, name, weights), kept, f"{keep}, {PREDICTION}", batch, (mc_passes,))
 
-    return images.mapInPandas(run, f"{keep}, {PREDICTION}")
+
+def predict_passes(images: DataFrame, load: Callable, name: str, key: str, passes: int, keep: str = "image string", batch: int = 48, weights: bytes | str | None = None, cost: Column | None = None) -> DataFrame:
+    """PREDICTION of each row, with a reading for each of `passes` further passes, which are rows of their own until they meet again.
+
+    The model's function gets a list of row dicts that also hold pass (0 is the plain reading) and seed (of key and pass,
+    the same however rows are dealt) and gives one dict of READING each. keep names key too. Rows and
+    passes are dealt anew, to as many tasks as their cost asks for, so that long rows and many passes don't meet in one.
+    """
+    spark = images.sparkSession
+    ship(spark)
+    if not {"pass", "seed"}.isdisjoint(images.columns):
+        raise ValueError("rows may not have columns called pass and seed")
+    kept = [f.split()[0] for f in keep.split(", ")]
+    total = images.agg(F.coalesce(F.sum(cost if cost is not None else F.lit(1)), F.lit(0))).first()[0]
+    tasks = max(1, -(-int(total * (passes + 1)) // TASK_COST))
+    each = images.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes)))).withColumn("seed", F.xxhash64(key, "pass"))
+    dealt = each.repartition(min(tasks, 100_000), key, "pass")
+    read = _called(dealt, sent(spark, load, name, weights), [*kept, "pass"], f"{keep}, pass int, {READING}", batch, ())
+    fields = [f.split()[0] for f in READING.split(", ")]
+    # passes are few, and were one row before
+    plain = F.max(F.when(F.col("pass") == 0, F.struct(*kept, *fields)))
+    more = F.sort_array(F.collect_list(F.when(F.col("pass") > 0, F.struct("pass", "text"))))
+    return read.groupBy(F.col(key).alias("of_key")).agg(plain.alias("r"), more.alias("v")).select("r.*", F.transform("v", lambda x: x["text"]).alias("mc_variants"))

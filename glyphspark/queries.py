@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -696,14 +697,14 @@ def conditional_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uncertainty.correct_below(t, uncertainty.low_confidence_threshold(t)).select("row_id", "after")
 
 
-@query("SELECT lang, quantile_cont(n_chars, 0.5) AS p50, quantile_cont(n_chars, 0.99) AS p99 FROM documents GROUP BY lang")
-def length_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact percentiles of the lengths of each language's documents."""
-    docs = table(spark, sf_dir, "documents")
+@query("WITH p AS (SELECT lang, quantile_cont(n_chars, 0.95) AS p FROM documents GROUP BY lang) SELECT doc_id, n_chars, p AS usual FROM documents JOIN p ON p.lang IS NOT DISTINCT FROM documents.lang WHERE n_chars > p")
+def long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents longer than the exact 95th percentile of their language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     # a few languages
-    langs = [r.lang for r in docs.select("lang").distinct().collect()]
-    found = [(lang, *(quantile.percentile(docs.where(F.col("lang").eqNullSafe(F.lit(lang))), "n_chars", p) for p in (0.5, 0.99))) for lang in langs]
-    return spark.createDataFrame(found, "lang string, p50 double, p99 double")
+    own = [(docs.where(F.col("lang").eqNullSafe(F.lit(r.lang)))) for r in docs.select("lang").distinct().collect()]
+    found = [d.withColumn("usual", F.lit(quantile.percentile(d, "n_chars", 0.95))).where("n_chars > usual") for d in own]
+    return reduce(DataFrame.unionByName, found).select("doc_id", "n_chars", "usual")
 
 
 @query("SELECT vec_id, [v for v in embedding[:5]] || list_transform(range(3), lambda i: -100::FLOAT) AS padded, embedding[2:5] AS shifted, list_transform(embedding[:3], lambda v: CASE WHEN v < 0 THEN 0::DOUBLE ELSE v::DOUBLE END) AS unmasked FROM embeddings")
@@ -730,6 +731,27 @@ def model_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uncertainty.predict(table(spark, sf_dir, "embeddings"), load, "largest", "vec_id long", mc_passes=2)
 
 
+@query("""
+WITH p AS (SELECT vec_id, label, unnest(range(0, 6)) AS pass FROM embeddings), t AS (SELECT *, 'r' || (vec_id * 7 + pass * pass + label) % 3 AS t FROM p), z AS (SELECT vec_id, t AS plain FROM t WHERE pass = 0)
+SELECT vec_id, any_value(plain) AS text, list(t ORDER BY pass) FILTER (pass > 0) AS mc_variants, (count(*) FILTER (t <> plain)) / 5.0::DOUBLE AS mc_disagreement FROM t JOIN z USING (vec_id) GROUP BY vec_id""")
+def pass_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passes as rows: a model whose weights are three words reads each vector six times."""
+
+    def load(path: str):
+        with open(path) as f:
+            words = f.read().split()
+
+        def model(rows: list[dict]) -> list[dict]:
+            text = [words[(r["vec_id"] * 7 + r["pass"] ** 2 + r["label"]) % len(words)] for r in rows]
+            return [{"text": t, "tokens": [1], "token_probs": [0.5], "token_entropies": [0.1], "token_margins": [0.2]} for t in text]
+
+        return model
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    read = uncertainty.predict_passes(vectors, load, "words", "vec_id", 5, "vec_id long", weights=b"r0 r1 r2")
+    return read.select("vec_id", "text", "mc_variants", uncertainty.mc_disagreement(F.col("mc_variants"), F.col("text")).alias("mc_disagreement"))
+
+
 # profiles ---------------------------------------------------------------------
 def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each tenth of users in order of time, as ink: small values are blank."""
