@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import within
 from ..functions.text import aksharas, normalize
+from ..shared import written
 from .prefix import once
+from .skew import lookup
 from .vocab import lexicon as lexicon_of
 
 WEIGHTS = {"lm": 1.0, "distance": 1.2, "visual": 1.5, "frequency": 0.3}
@@ -163,14 +165,15 @@ class NgramModel:
         steps = at.select(key, "at", F.get("p", F.col("at") - 1).alias("unit"), F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.array_join(F.slice("p", F.col("at") - n + 1, n - 1), "\x1f").alias("context")) for n in range(1, order + 1)])).alias("g")).select(key, "at", "unit", "g.n", "g.context")
         # one more unit than seen, for those that weren't
         size = self.vocab.agg((F.count("*") + 1).alias("v"))
-        known = steps.join(self.counts, ["n", "context", "unit"], "left").join(self.contexts, ["n", "context"], "left").crossJoin(F.broadcast(size))
+        # the empty context is every step's, and common units' contexts are many steps'
+        counted = lookup(written(steps, "steps"), self.counts, ["n", "context", "unit"])
+        known = lookup(written(counted, "steps"), self.contexts, ["n", "context"]).crossJoin(F.broadcast(size))
         level = F.sort_array(F.collect_list(F.struct("n", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("types", F.lit(0)).alias("types"))))
         each = known.groupBy(key, "at").agg(level.alias("levels"), F.first("v").alias("v"))
         mix = lambda acc, s: F.when(s["total"] > 0, (s["c"] + s["types"] * acc) / (s["total"] + s["types"])).otherwise(acc)
         p = F.aggregate("levels", (F.lit(1.0) / F.col("v")).cast("double"), mix)
         return each.select(key, F.ln(p).alias("lp")).groupBy(key).agg(F.sum("lp").alias("logprob"), F.count("*").alias("n"))
 
-
     def word_logprob(self, words: DataFrame) -> DataFrame:
         """(word, logprob) of words(word) by a model of aksharas."""
         rows = words.select("word").distinct().withColumn("units", aksharas(F.col("word")))

@@ -830,24 +830,47 @@ def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correction.ngram_counts(s.select(F.split("p_name", " ").alias("units")), 2)
 
 
+def _witten_bell(tag: str, order: int, key: str, seqs: str, asked: str) -> str:
+    """SQL: lp{tag}(key, logprob, steps) of asked(key, p) by interpolated n-grams of seqs(p); arrays p have begin marks and an end."""
+    out = f"seqs{tag} AS ({seqs}), places{tag} AS (SELECT p, unnest(range({order}, len(p) + 1)) AS pos FROM seqs{tag}), asked{tag} AS ({asked}), prob{tag}0 AS (SELECT {key}, unnest(range({order}, len(p) + 1)) AS pos, p, (SELECT 1 / (count(DISTINCT p[pos]) + 1)::DOUBLE FROM places{tag}) AS prob FROM asked{tag})"
+    for n in range(1, order + 1):  # P of n units from P of n - 1
+        context = lambda p, pos, n=n: f"array_to_string(list_slice({p}, {pos} - {n - 1}, {pos} - 1), chr(31))" if n > 1 else "''"
+        out += f""", g{tag}{n} AS (SELECT {context("p", "pos")} AS context, p[pos] AS unit, count(*) AS c FROM places{tag} GROUP BY ALL), t{tag}{n} AS (SELECT context, sum(c) AS total, count(*) AS types FROM g{tag}{n} GROUP BY context),
+prob{tag}{n} AS (SELECT s.* EXCLUDE (prob), CASE WHEN t.total > 0 THEN (coalesce(g.c, 0) + t.types * s.prob) / (t.total + t.types)::DOUBLE ELSE s.prob END AS prob
+    FROM prob{tag}{n - 1} s LEFT JOIN t{tag}{n} t ON t.context = {context("s.p", "s.pos")} LEFT JOIN g{tag}{n} g ON g.context = t.context AND g.unit = s.p[s.pos])"""
+    return f"{out}, lp{tag} AS (SELECT {key}, sum(ln(prob)) AS logprob, count(*) AS steps FROM prob{tag}{order} GROUP BY {key})"
+
+
+def _valued(asked: str) -> str:
+    """SQL: v(word, candidate, distance, freq, value) of the corrector's candidates, where asked says q(word)."""
+    w = correction.WEIGHTS
+    letters = lambda c: f"['<w>', '<w>', '<w>'] || regexp_extract_all({c}, '.') || ['</w>']"
+    model = _witten_bell("", 4, "candidate", f"SELECT {letters('candidate')} AS p FROM lex", f"SELECT candidate, {letters('candidate')} AS p FROM (SELECT DISTINCT candidate FROM options)")
+    return f"""{NEAREST.replace("q AS (SELECT DISTINCT unnest(string_split(hyp, ' ')) AS word FROM triples)", asked)}, options AS (SELECT word, candidate, distance, freq FROM r WHERE rank <= 12 AND candidate <> word UNION ALL SELECT word, word, 0, coalesce(freq, 0) FROM q LEFT JOIN lex ON lex.candidate = word WHERE word <> ''),
+{model},
+v AS (SELECT word, candidate, distance, o.freq, {w["lm"]} * logprob / length(word)::DOUBLE - {w["distance"]} * distance + {w["frequency"]} * ln(1 + o.freq)
+    + {w["visual"]} * len(list_filter(range(1, least(length(word), length(candidate)) + 1), lambda i: word[i] = candidate[i])) / greatest(length(word), length(candidate))::DOUBLE AS value FROM options o JOIN lp USING (candidate))"""
+
+
+def _chosen(keys: str, of: str) -> str:
+    """SQL: z(keys, candidate, distance, gain, accepted), the best candidate of each key where it gains enough."""
+    return f"""own AS (SELECT {keys}, value AS own, freq FROM {of} WHERE candidate = word), best AS (SELECT {keys}, candidate, distance, value, row_number() OVER (PARTITION BY {keys} ORDER BY value DESC, distance, candidate DESC) AS k FROM {of} WHERE candidate <> word),
+z AS (SELECT own.* EXCLUDE (own, freq), candidate, distance, value - own AS gain, coalesce(own.freq = 0 AND value - own > {correction.MARGIN}, false) AS accepted FROM own LEFT JOIN (SELECT * FROM best WHERE k = 1) best USING ({keys}))"""
+
+
 def _corrected() -> str:
     """SQL of the corrector: candidates, a Witten-Bell model of four characters, similarity by place, the best that gains enough."""
-    w, level = correction.WEIGHTS, ""
-    for n in range(1, 5):  # P of n characters from P of n - 1
-        context = f"array_to_string(list_slice(p, pos - {n - 1}, pos - 1), chr(31))" if n > 1 else "''"
-        level += f""", g{n} AS (SELECT {context} AS context, p[pos] AS unit, count(*) AS c FROM places GROUP BY ALL), t{n} AS (SELECT context, sum(c) AS total, count(*) AS types FROM g{n} GROUP BY context),
-prob{n} AS (SELECT s.candidate, s.pos, s.p, CASE WHEN t.total > 0 THEN (coalesce(g.c, 0) + t.types * s.prob) / (t.total + t.types)::DOUBLE ELSE s.prob END AS prob
-    FROM prob{n - 1} s LEFT JOIN t{n} t ON t.context = {context.replace("(p, pos", "(s.p, s.pos").replace("pos - 1)", "s.pos - 1)")} LEFT JOIN g{n} g ON g.context = t.context AND g.unit = s.p[s.pos])"""
-    return f"""{NEAREST}, options AS (SELECT word, candidate, distance, freq FROM r WHERE rank <= 12 AND candidate <> word UNION ALL SELECT word, word, 0, coalesce(freq, 0) FROM q LEFT JOIN lex ON lex.candidate = word WHERE word <> ''),
-seqs AS (SELECT candidate, ['<w>', '<w>', '<w>'] || regexp_extract_all(candidate, '.') || ['</w>'] AS p FROM lex), places AS (SELECT p, unnest(range(4, len(p) + 1)) AS pos FROM seqs),
-asked AS (SELECT candidate, ['<w>', '<w>', '<w>'] || regexp_extract_all(candidate, '.') || ['</w>'] AS p FROM (SELECT DISTINCT candidate FROM options)),
-prob0 AS (SELECT candidate, unnest(range(4, len(p) + 1)) AS pos, p, (SELECT 1 / (count(DISTINCT p[pos]) + 1)::DOUBLE FROM places) AS prob FROM asked){level},
-lp AS (SELECT candidate, sum(ln(prob)) AS logprob FROM prob4 GROUP BY candidate),
-v AS (SELECT word, candidate, distance, o.freq, {w["lm"]} * logprob / length(word)::DOUBLE - {w["distance"]} * distance + {w["frequency"]} * ln(1 + o.freq)
-    + {w["visual"]} * len(list_filter(range(1, least(length(word), length(candidate)) + 1), lambda i: word[i] = candidate[i])) / greatest(length(word), length(candidate))::DOUBLE AS value FROM options o JOIN lp USING (candidate)),
-own AS (SELECT word, value AS own, freq FROM v WHERE candidate = word), best AS (SELECT word, candidate, distance, value, row_number() OVER (PARTITION BY word ORDER BY value DESC, distance, candidate DESC) AS k FROM v WHERE candidate <> word),
-z AS (SELECT own.word, candidate, distance, value - own AS gain, coalesce(own.freq = 0 AND value - own > {correction.MARGIN}, false) AS accepted FROM own LEFT JOIN best ON best.word = own.word AND k = 1)
-SELECT word, CASE WHEN accepted THEN candidate ELSE word END AS suggestion, accepted, CASE WHEN accepted THEN distance ELSE 0 END::INT AS distance, gain FROM z"""
+    q = "q AS (SELECT DISTINCT unnest(string_split(hyp, ' ')) AS word FROM triples)"
+    return f"{_valued(q)}, {_chosen('word', 'v')} SELECT word, CASE WHEN accepted THEN candidate ELSE word END AS suggestion, accepted, CASE WHEN accepted THEN distance ELSE 0 END::INT AS distance, gain FROM z"
+
+
+def _in_context() -> str:
+    """SQL of the corrector of a sentence's first word: also a Witten-Bell model of three words over it and the two after it."""
+    q = "s AS (SELECT row_id, string_split(hyp, ' ') AS w FROM triples WHERE hyp <> ''), q AS (SELECT DISTINCT w[1] AS word FROM s)"
+    marked = lambda u: f"['<w>', '<w>'] || {u} || ['</w>']"
+    model = _witten_bell("c", 3, "row_id, candidate", f"SELECT {marked("list_filter(regexp_split_to_array(ref, '\\s+'), lambda x: x <> '')")} AS p FROM triples WHERE hyp <> ''", f"SELECT row_id, candidate, {marked('[candidate] || w[2:3]')} AS p FROM s JOIN v ON v.word = w[1]")
+    return f"""{_valued(q)}, {model}, vc AS (SELECT row_id, word, candidate, distance, freq, value + {correction.WEIGHTS["lm"]} * logprob / steps AS value FROM s JOIN v ON v.word = w[1] JOIN lpc USING (row_id, candidate)),
+{_chosen('row_id, word', 'vc')} SELECT row_id AS sentence_id, array_to_string([CASE WHEN accepted THEN candidate ELSE w[1] END] || w[2:], ' ') AS text FROM s JOIN z USING (row_id)"""
 
 
 @query(_corrected())
@@ -856,6 +879,16 @@ def corrected_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correction.correct_words(_asked(spark, sf_dir), lex, correction.akshara_model(lex))
 
 
+@query(_in_context())
+def corrected_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names as sentences: the first word of each is flagged."""
+    t = triples(spark, sf_dir).where("hyp <> ''")
+    s = t.select(F.col("row_id").alias("sentence_id"), F.split("hyp", " ").alias("words")).withColumn("flags", F.transform("words", lambda w, i: i == 0))
+    lex = _lexicon(spark, sf_dir)
+    context = correction.word_model(t.select(F.col("ref").alias("sentence")))
+    return correction.correct_in_context(s, lex, correction.akshara_model(lex), context).select("sentence_id", "text")
+
+
 # plans ------------------------------------------------------------------------
 def _values(items: list[str]) -> str:
     return "(VALUES " + ", ".join(f"('{x}')" for x in items) + ")"
@@ -970,16 +1003,6 @@ def ink_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.ink_profiles(_pages(spark, sf_dir)).select("origin", "height", F.size("cols").alias("width"), F.aggregate("cols", F.lit(0.0), lambda a, v: a + v).alias("ink"))
 
 
-@query()
-def corrected_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names as sentences: the first word of each is flagged."""
-    t = triples(spark, sf_dir).where("hyp <> ''")
-    s = t.select(F.col("row_id").alias("sentence_id"), F.split("hyp", " ").alias("words")).withColumn("flags", F.transform("words", lambda w, i: i == 0))
-    lex = _lexicon(spark, sf_dir)
-    context = correction.word_model(t.select(F.col("ref").alias("sentence")))
-    return correction.correct_in_context(s, lex, correction.akshara_model(lex), context).select("sentence_id", "text")
-
-
 @query("SELECT DISTINCT '/f/' || s_name || CASE WHEN s_suppkey % 3 = 0 THEN '.ttf' ELSE '.otf' END AS font FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 5 <> 0")
 def fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources.files import fonts as listed
