@@ -13,9 +13,9 @@ scored:
 Only document labels teach it: encoder, attention and score are trained together, by Adam on
 cross-entropy with both classes weighing the same. lang, source and doc_id are no inputs.
 
-Scale. The sample is bounded: at most SAMPLE labelled documents of each class, those with the
-least seeded hash, whatever the corpus, and of each at most LEARNED passages, spread evenly over its
-text; their counts are what the driver receives. Of several texts of a doc_id it learns from that with the least hash. Scoring is one pass in which no row leaves its task;
+Scale. The sample of labelled documents is bounded: of each class those with the least seeded hash, at most SAMPLE, and
+whole: in that order a document is taken if its passages still fit into PASSAGES, else passed over. Their counts are what the driver
+receives, some 1.5 kB a passage. Of several texts of a doc_id it learns from that with the least hash. Scoring is one pass in which no row leaves its task;
 passages are encoded a few megabytes at a time, and a long text keeps only its encoded passages.
 
 Edge cases: a null or empty text is one empty passage and gets a score like any other; a doc_id
@@ -34,13 +34,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import ship
-from .common import bucket, pack, trim, unpack
+from .common import Scratch, bucket, pack, trim, unpack
 
 PASSAGE = 512
-#: Labelled documents of each class that the model learns from, at most.
-SAMPLE = 2_000
-#: Passages of a document that the model learns from, at most.
-LEARNED = 32
+#: Labelled documents of each class that the model learns from, and all passages of these documents, at most.
+SAMPLE, PASSAGES = 2_000, 24_000
 #: Groups of byte trigrams.
 GRAMS = 512
 HIDDEN, GATE = 24, 12
@@ -196,36 +194,61 @@ class Model:
         return _sigmoid(self.attend(np.concatenate(encoded), np.cumsum(sizes) - sizes, sizes)["logit"])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A sampled document's counts of passages, packed."""
-    for batch in batches:
-        found = []
-        for t in batch.column(2).to_pylist():
-            t = t or b""
-            n = max(1, -(-len(t) // PASSAGE))
-            some = np.unique(np.linspace(0, n - 1, min(n, LEARNED)).round().astype(int))
-            # two bytes more, as a passage's last pair and trigrams reach into the next one
-            found.append(pack(np.concatenate([counts(t[i * PASSAGE : (i + 1) * PASSAGE + 2])[:1] for i in some]).astype(np.uint16)))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary()), batch.column(3)], names=["doc_id", "label", "bag", "h"])
+def _whole(text: bytes) -> np.ndarray:
+    """Counts of all passages of a text, as scores() makes them."""
+    piece = CHUNK // PASSAGE * PASSAGE
+    return np.concatenate([counts(text[i : i + piece]).astype(np.uint16) for i in range(0, max(1, len(text)), piece)])
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample: int = SAMPLE, seed: int = SEED) -> Model:
+def _counted(most: int):
+    """A labelled document's passages, and their counts, packed; null for one that no sample can hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(at, 1) for whole in batches for at in range(whole.num_rows)):
+            text = batch.column(2)[0].as_py() or b""
+            n = max(1, -(-len(text) // PASSAGE))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([n], pa.int64()), pa.array([pack(_whole(text)) if n <= most else None], pa.binary()), batch.column(3)], names=["doc_id", "label", "n", "bag", "h"])
+
+    return run
+
+
+def chosen(candidates: list[tuple[int, int, int]], most: int) -> list[int]:
+    """doc_ids of candidates(doc_id, label, passages), in order, that fit: each whole, and at most so many passages of a label."""
+    left, out = {}, []
+    for doc_id, label, n in candidates:
+        if n <= left.setdefault(label, most):
+            left[label] -= n
+            out.append(doc_id)
+    return out
+
+
+def _sampled(docs: DataFrame, picked: list, seed: int, passages: int) -> list:
+    """Rows (doc_id, label, bag) of the picked (doc_id, label) that fit into the sample, in their order."""
+    spark, place = docs.sparkSession, {r.doc_id: i for i, r in enumerate(picked)}
+    # at most 2 * SAMPLE ids
+    ids = F.broadcast(spark.createDataFrame([(r.doc_id, r.label) for r in picked], "doc_id long, label int"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(ids, "doc_id").select("doc_id", "label", "text", F.xxhash64("text", F.lit(seed)).alias("h"))
+    bags = texts.mapInArrow(_counted(passages), "doc_id long, label int, n long, bag binary, h long").groupBy("doc_id").agg(F.min_by(F.struct("label", "n", "bag"), "h").alias("b")).select("doc_id", "b.*")
+    held = Scratch(spark, "quality").keep(bags, "bags")
+    fitting = chosen(sorted(((r.doc_id, r.label, r.n) for r in held.select("doc_id", "label", "n").collect()), key=lambda r: place[r[0]]), passages)
+    # at most 2 * passages passages
+    return held.join(F.broadcast(spark.createDataFrame([(i,) for i in fitting], "doc_id long")), "doc_id").select("doc_id", "label", "bag").collect()
+
+
+def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample: int = SAMPLE, seed: int = SEED, passages: int = PASSAGES) -> Model:
     """Learn from labels(doc_id, quality) of docs(doc_id, text) for which learn holds."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     learn = bucket(F.col("doc_id"), 3) != 1 if learn is None else learn
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("label")).where(learn)
     of = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
     picked = [of.where(F.col("label") == c).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample).collect() for c in (0, 1)]
-    chosen = [(r.doc_id, r.label) for p in picked for r in p]
-    if not all(picked):
+    own = _sampled(docs, [r for p in picked for r in p], seed, passages) if all(picked) else []
+    if len({r.label for r in own}) < 2:
         ones, n = known.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
         return Model((ones + 1) / (n + 2))
-    # at most 2 * sample ids
-    ids = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, label int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(ids, "doc_id").select("doc_id", "label", "text", F.xxhash64("text", F.lit(seed)).alias("h"))
-    bags = texts.mapInArrow(_counted, "doc_id long, label int, bag binary, h long").groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("bag", "h").alias("bag")).collect()
-    bags.sort(key=lambda r: r.doc_id)
-    return Model(seed=seed).fit([unpack(r.bag)[0] for r in bags], np.array([r.label for r in bags], float))
+    own.sort(key=lambda r: r.doc_id)
+    return Model(seed=seed).fit([unpack(r.bag)[0] for r in own], np.array([r.label for r in own], float))
 
 
 def _scoring(sent):

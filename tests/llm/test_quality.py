@@ -94,3 +94,24 @@ def test_edges(spark):
     one = quality.train(docs, labels.where("quality = 1"))
     assert one.constant > 0.9 and quality.score(docs, one).first().score == one.constant
     assert quality.train(docs, labels.limit(0)).constant == 0.5
+
+
+def test_every_passage_of_the_sample_teaches(spark, monkeypatch):
+    texts = {0: "Plain words. " * 3000, 1: "", 2: "BAD!! " * 7000, 3: "x" * 512, 4: "y" * 513, 5: "Plain words. " * 90_000}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in texts], "doc_id long, quality int")
+    seen = {}
+
+    def fit(self, bags, y, **_):
+        seen.update(sizes=sorted(len(b) for b in bags), n=sum(int(b[:, -1].sum()) for b in bags), bags=bags)
+        return self
+
+    monkeypatch.setattr(quality.Model, "fit", fit)
+    from pyspark.sql import functions as F
+
+    quality.train(docs, labels, F.lit(True))
+    assert seen["sizes"] == sorted(max(1, -(-len(t) // 512)) for t in texts.values()) and seen["n"] == sum(map(len, texts.values()))
+    quality.train(docs, labels, F.lit(True), passages=100)
+    assert all(n <= 100 for n in seen["sizes"]) and len(seen["sizes"]) >= 4
+    assert quality.chosen([(1, 0, 60), (2, 1, 101), (3, 0, 50), (4, 0, 40), (5, 1, 100)], 100) == [1, 4, 5]
+    assert (quality._whole(texts[5].encode())[976] == quality.counts(texts[5].encode()[976 * 512 :][: quality.CHUNK])[0]).all()
