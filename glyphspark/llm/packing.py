@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from .. import ship
 from .common import mix64
 from .mixing import words
+from .simhash import near_duplicates
 
 CAPACITY = 2048
 SHARD_ROWS = 8_000
@@ -140,17 +141,31 @@ def text_cluster(text: Column) -> Column:
 def pack_documents(docs: DataFrame, cluster: Column | None = None, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, one_per_source: bool = True, size: Column | None = None) -> DataFrame:
     """Pieces of docs(doc_id, text, source) with their bins.
 
-    cluster defaults to equal texts; give a near-duplicate group's id to keep those apart too. size
+    cluster defaults to equal texts; pack_apart keeps near copies apart too. size
     defaults to the number of words; give token counts to pack tokens.
     Returns PLACED: a piece is words (or tokens) begin .. begin+length of its document, at place in bin_id.
     """
     text = F.col("text").cast("string")
     cluster = text_cluster(text) if cluster is None else cluster.cast("string")
     size = words(text) if size is None else F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0))
-    ship(docs.sparkSession)
-    like = ["doc_id", "source", "size", "cluster"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), cluster.alias("cluster"))
-    shards = max(1, -(-docs.count() // shard_rows))
+    return pack_rows(rows, docs.count(), capacity, shard_rows, one_per_source)
+
+
+def pack_apart(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, one_per_source: bool = True) -> DataFrame:
+    """pack_documents with near copies (simhash.near_duplicates) as clusters: two of them never share a bin of a shard."""
+    near = near_duplicates(docs.select("doc_id", "text", F.col("source").cast("string").alias("source")), keep=("source",))
+    # components of rows without an id are told apart by fingerprint, which is theirs alone unless linked
+    cluster = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
+    rows = near.select("doc_id", "source", "size", F.when(F.col("size") > 0, cluster).alias("cluster"))
+    return pack_rows(rows, docs.count(), capacity, shard_rows, one_per_source)
+
+
+def pack_rows(rows: DataFrame, n: int, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, one_per_source: bool = True) -> DataFrame:
+    """Pieces of n rows(doc_id, source, size, cluster) with their bins."""
+    ship(rows.sparkSession)
+    like = ["doc_id", "source", "size", "cluster"]
+    shards = max(1, -(-n // shard_rows))
     each = rows.groupBy(like).agg(F.count("*").alias("copies")).select(*like, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     dealt = each.select(*like, F.pmod(F.xxhash64(*like, "copy"), F.lit(shards)).alias("shard"))
 

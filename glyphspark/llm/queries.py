@@ -82,9 +82,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import pack_documents
+    from .packing import pack_apart
 
-    return pack_documents(table(spark, sf_dir, "documents")).drop("cluster")
+    return pack_apart(table(spark, sf_dir, "documents")).drop("cluster")
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

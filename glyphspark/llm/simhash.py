@@ -94,16 +94,20 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(fingerprints_of(text, ((shingle, 1),))[0][0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) for each row of docs."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and the columns to keep for each row of docs; with these also size, its words."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *keep)
+    names = ["doc_id", "fp", *keep, *(["size"] if keep else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            texts = batch.column(1).to_pylist()
+            prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64)
+            sizes = [pa.array([len(t.split()) if t else 0 for t in texts], pa.int64())] if keep else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:], *sizes], names=names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(run, f"doc_id long, fp long{kinds}{', size long' if keep else ''}")
 
 
 def ball(width: int, size: int) -> np.ndarray:
@@ -292,15 +296,15 @@ def _with_roots(roots: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select("root").distinct().select(F.col("root").alias("node"), "root"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, width: int = WIDTH, size: int = SIZE) -> DataFrame:
-    """doc_id, fp (64 bits as a signed long) and component_id for each row of docs(doc_id, text).
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, width: int = WIDTH, size: int = SIZE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (64 bits as a signed long), the columns to keep, with size (words) beside them, and component_id for each row of docs(doc_id, text).
 
     component_id is the smallest doc_id of the documents linked to it, directly or through others.
     """
     if radius >= 64 // width * (size + 1):
         raise ValueError("these segments and balls could miss pairs within radius")
     scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.keep(fingerprints(docs, shingle), "fingerprints")
+    prints = scratch.keep(fingerprints(docs, shingle, keep), "fingerprints")
     # one row a fingerprint, copies folded before the shuffle
     one = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     found = scratch.keep(links(one.select(F.col("fp").alias("id"), _bytes().alias("index"), _bytes().alias("verify")), radius, width, 64 // width, size), "links")
@@ -311,13 +315,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     grouped = members.join(named, "root").select(F.col("fp").alias("member"), "least")
     placed = one.join(grouped, one["fp"] == grouped["member"], "left").select(F.col("fp").alias("f"), F.when(F.col("member").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
     by_print = scratch.keep(placed, "components")
-    return prints.join(by_print, prints["fp"] == by_print["f"]).select("doc_id", "fp", "component_id")
-
-
-def similar_radius(similarity: float, bits: int) -> int:
-    """Bits in which fingerprints of sets with that Jaccard similarity differ, and one standard deviation."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + math.sqrt(bits * p * (1 - p)))
+    return prints.join(by_print, prints["fp"] == by_print["f"]).select(*prints.columns, "component_id")
 
 
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -10,9 +10,11 @@ ends. A revisit's block is empty. read() parses those bytes and checks each bloc
 SHA-256 against what its header says; one that doesn't match raises an error.
 
 All of it is DataFrame functions. The group of one payload is summed before its shuffle, and of it
-only the digests and the largest page_id travel back, so a payload that a third of all pages share
-weighs no more than others. Only responses need a payload: a large one has one response, and a
-small one, of less than MIN_REVISIT bytes, is laid out SALTS times, so no task joins all its pages.
+only the digests and the largest page_id travel back, from a written table, so that Spark can split the join of a payload
+that a third of all pages share. Only responses need a payload: a large one has one response. A
+small one, of less than MIN_REVISIT bytes, is laid out once for each share of records that it has; a share is
+SHARE records, or a SHARE-th of all where these are more, so that there are fewer than SHARE payloads of several shares, and
+no task joins more than a share of one.
 
 Edge cases: a null html is the empty payload; a null url is the empty URI; rows that repeat a
 page_id are one record each, and of these the largest url is the response (rows alike in page_id, url
@@ -35,8 +37,8 @@ DATE = "1970-01-01T00:00:00Z"
 END = "\r\n"
 #: What tells payloads apart.
 KEY = ["digest", "sha256", "bytes"]
-#: Copies of a small payload that its records are joined to.
-SALTS = 32
+#: Records that are joined to one copy of a small payload, at least; and how many payloads may have several copies.
+SHARE = 1_000
 
 
 def _header(kind: Column) -> Column:
@@ -68,7 +70,8 @@ def write(pages: DataFrame, scratch: Scratch | None = None, min_revisit: int = M
 
     seen = rows.drop("payload")
     shared = seen.where(F.col("bytes") >= min_revisit).groupBy(KEY).agg(F.max("page_id").alias("first_page"), F.max(F.struct("page_id", "url")).alias("kept"), F.count("*").alias("n")).where("n > 1")
-    joined = seen.join(shared.select(*KEY, "first_page", F.col("kept.url").alias("first_url")), KEY, "left")
+    firsts = scratch.keep(shared.select(*KEY, "first_page", F.col("kept.url").alias("first_url")), "shared")
+    joined = seen.join(firsts, KEY, "left")
     first = F.col("page_id").eqNullSafe(F.col("first_page")) & F.col("url").eqNullSafe(F.col("first_url"))
     revisit = F.col("first_page").isNotNull() & ~first
     kinds = joined.select("page_id", "url", *KEY, F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first_page")).alias("refers_to"))
@@ -76,13 +79,22 @@ def write(pages: DataFrame, scratch: Scratch | None = None, min_revisit: int = M
     return headers, payloads
 
 
-def records(headers: DataFrame, payloads: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
+def _copies(payloads: DataFrame, min_revisit: int, share: int) -> DataFrame:
+    """KEY and copies of the small payloads that have several: fewer than `share` rows."""
+    total = payloads.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    each = max(share, -(-total // share))
+    return payloads.where((F.col("bytes") < min_revisit) & (F.col("records") > each)).select(*KEY, F.ceil(F.col("records") / each).cast("int").alias("copies"))
+
+
+def records(headers: DataFrame, payloads: DataFrame, min_revisit: int = MIN_REVISIT, share: int = SHARE) -> DataFrame:
     """The original records: page_id, the bytes as they would stand in a WARC file, and the SHA-256 and length of the page's payload."""
-    salts = lambda here: F.when(F.col("bytes") < min_revisit, here).otherwise(F.lit(0))
-    held = payloads.select(*KEY, "payload", F.explode(F.sequence(F.lit(0), salts(F.lit(SALTS - 1)))).alias("salt"))
+    several = F.broadcast(_copies(payloads, min_revisit, share))
+    copies = F.coalesce("copies", F.lit(1))
+    held = payloads.join(several, KEY, "left").select(*KEY, "payload", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))
     end, none = F.lit(END).cast("binary"), F.lit("").cast("binary")
     record = lambda block: F.concat("header", end, block, end, end).alias("record")
-    full = headers.where("kind = 'response'").withColumn("salt", salts(F.pmod(F.xxhash64("page_id", "header"), F.lit(SALTS)).cast("int"))).join(held, [*KEY, "salt"], "left")
+    responses = headers.where("kind = 'response'").join(several, KEY, "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "header"), copies).cast("int"))
+    full = responses.join(held, [*KEY, "salt"], "left")
     # a payload that isn't there is found by read()
     whole = full.select("page_id", record(F.coalesce("payload", none)), "sha256", "bytes")
     return whole.unionByName(headers.where("kind = 'revisit'").select("page_id", record(none), "sha256", "bytes"))

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from glyphspark.llm import chat, mixing, packing, trie_tokens, warc
+from glyphspark.llm import chat, mixing, packing, simhash, trie_tokens, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, shard int, bin_id string"
 
@@ -125,6 +125,17 @@ def test_payloads_of_one_digest_stay_apart(spark):
         warc.read(warc.records(headers, swapped), digest=same).collect()
 
 
+def test_records_of_a_common_small_payload_are_shared_out(spark):
+    rows = [(i, f"u{i}", "tiny" if i % 3 else f"own {i}") for i in range(300)] + [(1000 + i, "u", "p" * 1200) for i in range(50)]
+    headers, payloads = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    copies = warc._copies(payloads, warc.MIN_REVISIT, 10).collect()
+    assert [(r.bytes, r.copies) for r in copies] == [(4, 6)]  # 200 records in shares of a tenth of 350
+    for share in (1, 10, 1_000):
+        found = warc.records(headers, payloads, share=share)
+        got = {r.page_id: (r.payload_bytes, r.record_type) for r in warc.read(found).collect()}
+        assert found.count() == len(rows) and got == {p: (len(h), "revisit" if 1000 <= p < 1049 else "response") for p, _, h in rows}
+
+
 # mixing -----------------------------------------------------------------------
 def test_fit_is_near_and_within_counts():
     rng = random.Random(3)
@@ -253,6 +264,31 @@ def test_packing_keeps_ids_and_does_not_depend_on_partitions(spark):
     assert [(r.begin, r.length) for r in sized] == [(0, 64), (64, 1)]
 
 
+def test_near_copies_never_share_a_bin(spark):
+    rng = random.Random(4)
+    base = [" ".join(f"w{rng.randrange(4000)}" for _ in range(rng.randint(120, 160))) for _ in range(12)]
+    # copies in other sources with one word more, which a digest of the words tells apart
+    rows = [(10 * i + k, t + " more" * (k % 2) + " " * k, f"s{k}") for i, t in enumerate(base) for k in range(4)] + [(900 + i, "few words here", f"s{i}") for i in range(5)] + [(None, base[0], "s8"), (990, None, "s1"), (991, " ", "s2")]
+    table = docs(spark, rows)
+    near = {r.doc_id: r.component_id for r in simhash.near_duplicates(table).collect()}
+    groups = {c: [d for d in near if near[d] == c] for c in set(near.values())}
+    assert sum(len(g) >= 4 for g in groups.values()) >= 10
+    placed = packing.pack_apart(table, capacity=400).collect()
+    assert sorted(str(r.doc_id) for r in placed) == sorted(str(d) for d, _, _ in rows)
+    held = {}
+    for r in placed:
+        if r.bin_id is not None:
+            held.setdefault(r.bin_id, []).append(r.doc_id)
+    of = lambda d: near[0] if d is None else near[d]
+    assert all(len({of(d) for d in b}) == len(b) for b in held.values()) and any(len(b) > 1 for b in held.values())
+    # where exact copies alone are clusters, near ones do meet
+    plain = {}
+    for r in packing.pack_documents(table, capacity=400).collect():
+        if r.bin_id is not None:
+            plain.setdefault(r.bin_id, []).append(of(r.doc_id))
+    assert any(len(set(b)) < len(b) for b in plain.values())
+
+
 # chat -------------------------------------------------------------------------
 def test_chat_edges(spark):
     rows = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (3, 1, "assistant", "b"), (3, 0, "user", "a"), (4, 0, "user", None), (5, 0, "user", ""), (6, 0, "user", "a"), (6, 1, "assistant", "c"), (6, 1, "assistant", "c"), (None, 0, None, "x"), (7, None, "system", "s"), (7, 0, "user", "q " * 9000), (8, 0, "us", "era"), (9, 0, "user", "a"), (9, 1, "assistant", "b"), (9, 2, "user", "more")]
