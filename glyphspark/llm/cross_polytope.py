@@ -15,7 +15,9 @@ A query must meet k of n vectors, so probes don't fall below SHARE k / n of the
 all of them, every vector is met, and fewer than k candidates are all returned.
 
 Scale. Table rows and probes are dealt to parts of about PART_ROWS table rows by a hash of (table,
-bucket); a query sends one row a part with the buckets it probes there. A bucket with more than
+bucket); a query sends one row a part with the buckets it probes there. Queries are dealt to blocks of about BLOCK, and
+a task has one part and one block: some PART_ROWS vectors and BLOCK queries at most, whatever the table's size. So what is moved
+is n / PART_ROWS times the queries and, beyond BLOCK queries, their number / BLOCK times the table rows. A bucket with more than
 1/8 of a part's rows, and 1/HOT of all, is split over parts by vec_id and place, and probes of it go to all of
 these; so there are fewer than HOT such buckets, and all tasks hear of all. A part returns at most k
 rows a query. Few tables with many probes each meet as many vectors as many tables with few, and
@@ -47,6 +49,8 @@ PROBE, FALL, RISE = 0.28, 12.0, 0.33
 SHARE = 10
 SEED = 5
 PART_ROWS = 65_536
+#: Queries of a task, about.
+BLOCK = 65_536
 HOT = 65_536
 #: Probes found at a time.
 PROBED = 1_000_000
@@ -190,8 +194,8 @@ def _table_rows(hashes: Hashes, parts: Parts):
     return run
 
 
-def _probe_rows(hashes: Hashes, parts: Parts):
-    """One packed row a part: tables and buckets probed, by which query, and the queries' vectors."""
+def _probe_rows(hashes: Hashes, parts: Parts, blocks: int):
+    """One packed row a part and block: tables and buckets probed, by which query, and the queries' vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -209,10 +213,12 @@ def _probe_rows(hashes: Hashes, parts: Parts):
                 key, table, bucket, row = (np.repeat(c, n) for c in (key, table, bucket, row))
                 salt = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
                 out = []
-                for p, at in _grouped(parts.part(key, salt)):
+                block = mix64(ids, 11) % np.uint64(blocks)
+                for p, at in _grouped(parts.part(key, salt) * blocks + block.astype(np.int64)[row]):
                     own, of = np.unique(row[at], return_inverse=True)
-                    out.append((p, pack(table[at], bucket[at], of, ids[own], x[own])))
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([v for _, v in out], pa.binary())], names=["part", "payload"])
+                    out.append((p // blocks, p % blocks, pack(table[at], bucket[at], of, ids[own], x[own])))
+                kinds = [pa.int32(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names=["part", "block", "payload"])
 
     return run
 
@@ -295,10 +301,11 @@ def nearest(rows: DataFrame, k: int = K, tables: int = TABLES, probe: float = PR
     # each holds more than 1/HOT of all entries, so there are fewer than HOT
     hot = {(r.table, r.bucket): min(parts, -(-r.n // large)) for r in counts.collect()}
     where = Parts(parts, hot)
-    members = hashed.mapInArrow(_table_rows(h, where), "part int, payload binary")
-    # few bytes but much work: small partitions, which Spark must not join
     asked = queries_of(data)
-    asked = asked.repartition(max(1, -(-n // (QUERY_STEP * QUERIES))), "vec_id").mapInArrow(_probe_rows(h, where), "part int, payload binary")
-    found = members.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_scored(k), FOUND)
+    blocks = max(1, -(-asked.count() // BLOCK))
+    members = hashed.mapInArrow(_table_rows(h, where), "part int, payload binary").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # few bytes but much work: small partitions, which Spark must not join
+    probes = asked.repartition(max(1, -(-n // (QUERY_STEP * QUERIES))), "vec_id").mapInArrow(_probe_rows(h, where, blocks), "part int, block int, payload binary")
+    found = members.groupBy("part", "block").cogroup(probes.groupBy("part", "block")).applyInArrow(_scored(k), FOUND)
     # a pair met in several tables is one
     return merged(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)

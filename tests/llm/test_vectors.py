@@ -85,6 +85,21 @@ def test_edges(spark):
     assert got[0, 2] == 64 * 64 * 10**9 and got[20, 0] == 64 * 64 * 3 * 10**12 and got[20, 2] == min(2**63 - 1, 64 * 64 * (3 * 10**21 + 10**9))
 
 
+def test_blocks_bound_the_queries_of_a_task(spark, monkeypatch):
+    d = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    whole = sorted(map(tuple, cross_polytope.nearest(d).collect()))
+    met, scored = [], cross_polytope._probe_rows
+
+    def probe_rows(h, where, blocks):
+        met.append(blocks)
+        return scored(h, where, blocks)
+
+    monkeypatch.setattr(cross_polytope, "_probe_rows", probe_rows)
+    monkeypatch.setattr(cross_polytope, "PART_ROWS", 700)
+    monkeypatch.setattr(cross_polytope, "BLOCK", 4)
+    assert sorted(map(tuple, cross_polytope.nearest(d).collect())) == whole and met == [7]
+
+
 def test_hadamard_is_a_rotation():
     x = np.random.default_rng(0).normal(size=(5, 16))
     y = cross_polytope.hadamard(x)
