@@ -29,10 +29,18 @@ def edit_distance(a: Column, b: Column) -> Column:
 
 
 def within(a: Column, b: Column, most: int) -> Column:
-    """edit_distance where it is at most `most`, else -1; gives up early."""
+    """edit_distance where it is at most `most`, else -1; gives up early.
+
+    Arrays that differ by more units than `most`, in number or in kind, are far apart without being compared.
+    """
     alphabet = F.array_union(a, b)
+    # an edit brings or takes one kind of unit at most on either side
+    kinds = F.greatest(F.size(F.array_except(a, b)), F.size(F.array_except(b, a)))
+    far = (F.abs(F.size(a) - F.size(b)) > most) | (kinds > most)
     single = (F.length(F.array_join(a, "")) == F.size(a)) & (F.length(F.array_join(b, "")) == F.size(b))
-    return F.when(single, F.levenshtein(F.array_join(a, ""), F.array_join(b, ""), most)).otherwise(F.levenshtein(_coded(a, alphabet), _coded(b, alphabet), most))
+    checked = F.when(F.size(alphabet) > MOST_UNITS, F.raise_error(F.lit("too many different units to compare"))).otherwise(alphabet)
+    plain = F.levenshtein(F.array_join(a, ""), F.array_join(b, ""), most)
+    return F.when(far, -1).when(single, plain).otherwise(F.levenshtein(_coded(a, checked), _coded(b, checked), most))
 
 
 def error_rate(distance: Column, ref_size: Column, hyp_size: Column) -> Column:

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import codepoints, devanagari_ratio, is_devanagari, normalize, strip
+from ..shared import written
+from .place import order_places
 from .prefix import fresh, once
+from .skew import lookup
 from .vocab import build_vocab, length_stats, out_of_vocab
 
 # Split hints in the order they are tried, and image suffixes.
@@ -116,9 +119,24 @@ def first_rows(rows: DataFrame, n: int, place: str = "place") -> DataFrame:
     return rows.where(F.col(place) < n)
 
 
-def group_labels(rows: DataFrame, text: str = "text", value: str = "image") -> DataFrame:
-    """A label's rows as a list, in order."""
-    return rows.groupBy(text).agg(F.sort_array(F.collect_list(value)).alias("rows"), F.count("*").alias("n"))
+#: Rows of a label in one value.
+CHUNK = 10_000
+
+
+def group_labels(rows: DataFrame, text: str = "text", value: str = "image", size: int = CHUNK) -> DataFrame:
+    """(text, chunk, rows, n): a label's rows in order, `size` to a chunk; n counts the label's rows.
+
+    A row's place in its label is its place in the order of all less its label's first, so a label on any
+    share of the rows is put together by chunks and held by no task whole.
+    """
+    label, first, chunk = fresh(rows, "label"), fresh(rows, "first"), fresh(rows, "chunk")
+    placed = order_places(rows.select(F.col(text).alias(label), F.col(value).alias("of_row")), label, "of_row")
+    labels = placed.groupBy(label).agg(F.min("place").alias(first), F.count("*").alias("n"))
+    # a null label is one label
+    of = placed.withColumn("key", F.struct(label)).drop(label)
+    known = lookup(of, written(labels.select(F.struct(label).alias("key"), first, "n"), "labels"), ["key"])
+    parts = known.withColumn(chunk, F.floor((F.col("place") - F.col(first)) / size).cast("int"))
+    return parts.groupBy("key", chunk).agg(F.sort_array(F.collect_list("of_row")).alias("rows"), F.first("n").alias("n")).select(F.col("key")[label].alias(text), F.col(chunk).alias("chunk"), "rows", "n")
 
 
 def split_counts(rows: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.dataset import shuffled
-from ..operators.prefix import running
+from ..operators.prefix import fresh, running
 
 # Letters, vowels, vowel signs (the first one none) and conjuncts that units are made of.
 CONSONANTS = "कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसह"
@@ -30,6 +30,16 @@ def units(spark: SparkSession) -> DataFrame:
     return simple.unionByName(product(frame(CONSONANTS, "unit"), signs)).unionByName(product(frame(CONJUNCTS, "unit"), few)).distinct().orderBy("unit")
 
 
+def drawn_units(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """rows with a unit each, drawn by a seeded hash of their key."""
+    listed = units(rows.sparkSession)
+    number, h = fresh(rows, "number"), fresh(rows, "h")
+    # a fixed list
+    numbered = listed.withColumn(number, F.row_number().over(Window.orderBy("unit")) - 1)
+    drawn = rows.withColumn(h, F.conv(F.substring(shuffled(F.col(key), seed), 1, 8), 16, 10).cast("long") % listed.count())
+    return drawn.join(F.broadcast(numbered), F.col(h) == F.col(number)).drop(h, number)
+
+
 def render_plan(items: DataFrame, fonts: DataFrame, repeats: int, seed: int = 11, item: str = "unit") -> DataFrame:
     """(item, repeat, font): each item `repeats` times, each with a font drawn by a seeded hash.
 

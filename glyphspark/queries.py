@@ -617,9 +617,15 @@ def head_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.head(table(spark, sf_dir, "orders").select("o_orderkey"), 300, "o_orderkey")
 
 
-@query("SELECT p_name AS text, list_sort(list(p_partkey)) AS rows, count(*) AS n FROM part GROUP BY p_name")
+@query("WITH o AS (SELECT p_name, p_partkey, (row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1) // 20 AS chunk, count(*) OVER (PARTITION BY p_name) AS n FROM part) SELECT p_name AS text, chunk::INT AS chunk, list(p_partkey ORDER BY p_partkey) AS rows, any_value(n) AS n FROM o GROUP BY p_name, chunk")
 def group_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataset.group_labels(_names(spark, sf_dir), value="p_partkey")
+    return dataset.group_labels(_names(spark, sf_dir), value="p_partkey", size=20)
+
+
+@query("WITH o AS (SELECT source, lang, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 1000 AS chunk, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, chunk::INT AS chunk, list(doc_id ORDER BY doc_id) AS rows, any_value(n) AS n FROM o GROUP BY source, chunk")
+def group_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each source, a thousand to a list."""
+    return dataset.group_labels(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 1_000).select("source", "chunk", "rows", "n")
 
 
 @query("WITH h AS (SELECT c_name || ' ' || repeat(c_mktsegment || chr(9), c_nationkey % 4) AS v FROM customer ORDER BY c_custkey LIMIT 500) SELECT len(list_filter(regexp_split_to_array(v, '\\s+'), lambda x: x <> ''))::INT AS fields, count(*) AS n FROM h GROUP BY 1")
@@ -899,9 +905,11 @@ m(s) AS {_values(synthetic.MATRAS)}, few(s) AS {_values(synthetic.MATRAS[: synth
 units AS (SELECT u AS unit FROM c UNION SELECT u FROM v UNION SELECT u FROM j UNION SELECT u || s FROM c, m UNION SELECT u || s FROM j, few)"""
 
 
-@query(f"WITH {UNITS} SELECT unit FROM units")
+@query(f"""WITH {UNITS}, u AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS i, count(*) OVER () AS n FROM units), d AS (SELECT doc_id, ('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT AS h FROM documents)
+SELECT doc_id, unit FROM d JOIN u ON d.h % u.n = u.i""")
 def synthetic_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic.units(spark)
+    """A seeded unit for each document, as a label drawn in place of its text."""
+    return synthetic.drawn_units(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
 @query(f"""WITH {UNITS}, fonts AS (SELECT list_sort(list(DISTINCT s_name)) AS f FROM supplier)

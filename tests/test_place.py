@@ -84,3 +84,19 @@ def test_first_rows_and_written_tables(spark):
     shared.forget(spark)
     with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|not exist"):
         kept.collect()
+
+
+def test_groups_come_in_chunks(spark):
+    rng = random.Random(2)
+    rows = [("hot" if rng.random() < 0.4 else None if rng.random() < 0.1 else f"l{rng.randrange(30)}", f"i{rng.randrange(400):03d}") for _ in range(900)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "text string, image string, chunk int, n int")
+    got = dataset.group_labels(df, size=50).collect()
+    want = {}
+    for t, i in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        want.setdefault(t, []).append(i)
+    assert all(len(r.rows) <= 50 and r.n == len(want[r.text]) for r in got)
+    for t, images in want.items():
+        own = sorted((r for r in got if r.text == t), key=lambda r: r.chunk)
+        assert [r.chunk for r in own] == list(range(len(own))) and [i for r in own for i in r.rows] == images
+        assert all(len(r.rows) == 50 for r in own[:-1])
+    assert dataset.group_labels(df.limit(0)).count() == 0

@@ -4,6 +4,7 @@ import random
 import re
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from glyphspark.functions import distance, sequences, text
@@ -74,6 +75,17 @@ def test_edit_distance(spark):
     assert {r.i: r.d for r in got}[600] == 1
 
 
+def test_far_apart_needs_no_comparison(spark):
+    many = [f"u{i} " for i in range(9_000)]
+    df = spark.createDataFrame([(many, ["x "]), (many, [*many[:-1], "y "]), (["a ", "b "], ["b ", "a "]), (["a ", "b "], ["c ", "d "]), (["a "] * 3, ["a "] * 6)], "a array<string>, b array<string>")
+    far = df.where(F.size("b") == 1).select(distance.within(F.col("a"), F.col("b"), 2)).first()[0]
+    assert far == -1
+    with pytest.raises(Exception, match="too many different units"):
+        df.where(F.size("b") == 9_000).select(distance.within(F.col("a"), F.col("b"), 2)).collect()
+    assert [r[0] for r in df.where(F.size("a") < 9).select(distance.within(F.col("a"), F.col("b"), 2)).collect()] == [2, 2, -1]
+    assert [r[0] for r in df.where(F.size("a") < 9).select(distance.within(F.col("a"), F.col("b"), 1)).collect()] == [-1, -1, -1]
+
+
 def test_names(spark):
     assert spark.createDataFrame([("कa",)], "t string").select(text.codepoint_names(F.col("t"))).first()[0] == ["U+0915 DEVANAGARI LETTER KA", "U+0061 LATIN SMALL LETTER A"]
 
