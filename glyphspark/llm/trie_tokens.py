@@ -124,13 +124,20 @@ class TrieCounter:
 _COUNTERS: dict[str, TrieCounter] = {}
 
 
+def kept(run_name: str, make) -> TrieCounter:
+    """The worker's counter of that run, made if it has another's or none."""
+    if run_name not in _COUNTERS:
+        _COUNTERS.clear()
+        _COUNTERS[run_name] = make()
+    return _COUNTERS[run_name]
+
+
 def _counting(sent, cache: int, run_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _COUNTERS.get(run_name)
-        if counter is None:
-            counter = TrieCounter(sent.value, cache)
-            _COUNTERS.clear()
-            _COUNTERS[run_name] = counter
+        # this function is sent by value, with copies of what it names; the module is the worker's own
+        from glyphspark.llm import trie_tokens
+
+        counter = trie_tokens.kept(run_name, lambda: TrieCounter(sent.value, cache))
         for batch in (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS)):
             texts = [t.split() if t else [] for t in batch.column(1).to_pylist()]
             counter.insert({w for t in texts for w in t})

@@ -42,6 +42,34 @@ def test_token_counts(spark):
     assert trie_tokens.token_counts(docs(spark, [])).count() == 0
 
 
+def test_a_worker_keeps_its_trie_for_many_tasks(spark, tmp_path):
+    from glyphspark.llm.trie_tokens import TrieCounter
+
+    folder, words = str(tmp_path), "one two three"
+
+    class Noted(TrieCounter):
+        def insert(self, found):
+            import os
+            import uuid
+
+            new = sum(w not in self.terminals for w in found)
+            super().insert(found)
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(f"{os.getpid()} {new}")
+
+    real = trie_tokens.TrieCounter
+    trie_tokens.TrieCounter = Noted
+    try:
+        rows = spark.range(200).select(F.col("id").alias("doc_id"), F.lit(words).alias("text")).repartition(25)
+        assert trie_tokens.token_counts(rows).count() == 200
+    finally:
+        trie_tokens.TrieCounter = real
+    notes = [p.read_text().split() for p in tmp_path.iterdir()]
+    workers = {pid for pid, _ in notes}
+    # each worker walks the three words once, whichever of its tasks comes first
+    assert len(notes) >= 25 > len(workers) and sum(int(n) for _, n in notes) == 3 * len(workers)
+
+
 def test_token_counts_equal_public_unigram_model():
     from tokenizers import Tokenizer, models
 
