@@ -2,7 +2,7 @@
 
 All of it runs in the JVM. NFC has no built-in function: texts that it might change, told by a search,
 go through ICU, which Spark ships; a normal form can't stand inside an aggregate function for that, so
-select it first. Names of code points alone need Python.
+select it first. Names of code points are ICU's too.
 """
 
 from __future__ import annotations
@@ -128,16 +128,10 @@ def codepoints(text: Column, first: int | None = None) -> Column:
 
 
 def codepoint_names(text: Column, first: int = 6) -> Column:
-    """'U+XXXX NAME' of the first code points (names need Python)."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("array<string>")
-    def named(values):
-        import unicodedata
-
-        return values.map(lambda v: None if v is None else [f"U+{ord(c):04X} {unicodedata.name(c, '?')}" for c in v[:first]])
-
-    return named(text)
+    """'U+XXXX NAME' of the first code points, by ICU's names; those without a name get a question mark."""
+    name = lambda c: F.call_function("reflect", F.lit("com.ibm.icu.lang.UCharacter"), F.lit("getName"), F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("int"))
+    chars = F.slice(characters(text), 1, first)
+    return F.zip_with(codepoints(text, first), F.transform(chars, name), lambda point, named: F.concat(point, F.lit(" "), F.when(named == "null", "?").otherwise(named)))
 
 
 def join_words(words: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import edit_distance, error_rate
 from ..functions.text import aksharas
+from ..shared import written
 from .place import zipped
 from .prefix import running
 
@@ -60,6 +61,7 @@ def exact_counts(pairs: DataFrame) -> DataFrame:
 
 def running_metrics(pairs: DataFrame, key: str = "row_id", every: int = 500) -> DataFrame:
     """Accuracy and mean error rate of the first 500, 1000, ... rows in order of key."""
-    m = measured(pairs).select(key, F.col("exact").cast("int").alias("ok"), "aer")
+    # read for the slices' edges, their sums and the rows
+    m = written(measured(pairs).select(key, F.col("exact").cast("int").alias("ok"), "aer"), "measured")
     cumulated = running(m, key, [], {"seen": F.lit(1), "right": F.col("ok"), "errors": F.col("aer")})
     return cumulated.where(F.col("seen") % every == 0).select("seen", (F.col("right") / F.col("seen")).alias("accuracy"), (F.col("errors") / F.col("seen")).alias("mean_aer"))

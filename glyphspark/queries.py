@@ -123,7 +123,9 @@ SCORED = "WITH d AS (SELECT doc_id, quality AS y, floor(n_chars / 100) / 100 AS
 
 
 # text algebra -----------------------------------------------------------------
-@query("SELECT doc_id, length(replace(trim(text, E' \\t\\n\\r\\v\\f'), chr(10), ''))::INT AS n_aksharas, 0::DOUBLE AS ratio, false AS any_devanagari, false AS is_devanagari FROM documents")
+@query(r"""
+WITH t AS (SELECT doc_id, text, trim(text, E' \t\n\r\v\f') AS normal, length(regexp_replace(text, '[^\x{0900}-\x{097F}]', '', 'g')) AS inside, length(regexp_replace(text, '[\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', '', 'g')) AS visible FROM documents)
+SELECT doc_id, length(replace(normal, chr(10), ''))::INT AS n_aksharas, CASE WHEN inside > 0 THEN inside / visible::DOUBLE ELSE 0 END AS ratio, inside > 0 AS any_devanagari, inside > 0 AND inside / visible::DOUBLE >= 0.5 AS is_devanagari FROM t""")
 def akshara_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", text.akshara_count(t).alias("n_aksharas"), text.devanagari_ratio(t).alias("ratio"), text.is_devanagari(t, "any").alias("any_devanagari"), text.is_devanagari(t).alias("is_devanagari"))
@@ -399,26 +401,26 @@ def build_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vocab(spark, sf_dir)
 
 
-@query(VOCAB + ", x AS (SELECT p_partkey, i, coalesce(v.id, 3) AS id FROM part, range(1, 9) r(i) LEFT JOIN v ON v.token = substr(substr(p_name, 1, 4) || p_type, i::INT, 1)) SELECT p_partkey, [1] || list(id ORDER BY i) || [2] AS ids FROM x GROUP BY p_partkey")
+@query(VOCAB + ", t AS (SELECT p_partkey, p_name || p_type AS t FROM part), x AS (SELECT p_partkey, i, coalesce(v.id, 3) AS id FROM t, range(1, 100) r(i) LEFT JOIN v ON v.token = substr(t, i::INT, 1) WHERE i <= length(t)) SELECT p_partkey, [1] || list(id ORDER BY i) || [2] AS ids FROM x GROUP BY p_partkey")
 def encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = vocab.map_literal(vocab.as_map(_vocab(spark, sf_dir)))
     # names' characters are known, types' are capitals
-    return table(spark, sf_dir, "part").select("p_partkey", vocab.encode(F.concat(F.substring("p_name", 1, 4), F.col("p_type")), known, 10).alias("ids"))
+    return table(spark, sf_dir, "part").select("p_partkey", vocab.encode(F.concat("p_name", "p_type"), known, 128).alias("ids"))
 
 
-@query(VOCAB + """, t AS (SELECT p_partkey, substr(p_name, 1, p_partkey % 7 + 1) || 'X' AS t, (row_number() OVER (ORDER BY p_partkey) - 1) // 16 AS batch FROM part),
+@query(VOCAB + """, t AS (SELECT p_partkey, p_name || repeat('X', p_partkey % 7 + 1) AS t, (row_number() OVER (ORDER BY p_partkey) - 1) // 16 AS batch FROM part),
 x AS (SELECT p_partkey, batch, [1] || list_transform(regexp_extract_all(trim(t), '.'), lambda c: coalesce(known[c], 3)) || [2] AS ids FROM t, (SELECT map(list(token), list(id)) AS known FROM v)), y AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS longest FROM x)
 SELECT p_partkey, batch, ids[2:] || list_transform(range(longest - len(ids) + 1), lambda i: -100) AS labels, ids || list_transform(range(longest - len(ids)), lambda i: 0) AS decoder_input_ids FROM y""")
 def label_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = vocab.map_literal(vocab.as_map(_vocab(spark, sf_dir)))
-    text = F.concat(F.expr("substr(p_name, 1, p_partkey % 7 + 1)"), F.lit("X"))
+    text = F.concat("p_name", F.expr("repeat('X', int(p_partkey % 7 + 1))"))
     return batches.collated(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), known, "p_partkey", size=16, shift=True)
 
 
-@query(VOCAB + "SELECT p_partkey, trim(substr(p_name, 1, 8)) AS decoded FROM part")
+@query("SELECT p_partkey, trim(p_name) AS decoded FROM part")
 def decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vocab(spark, sf_dir)
-    ids = _names(spark, sf_dir).select("p_partkey", vocab.encode(F.col("text"), vocab.map_literal(vocab.as_map(v)), 10).alias("ids"))
+    ids = _names(spark, sf_dir).select("p_partkey", vocab.encode(F.col("text"), vocab.map_literal(vocab.as_map(v)), 128).alias("ids"))
     return ids.crossJoin(F.broadcast(vocab.itos_of(v))).select("p_partkey", vocab.decode(F.col("ids"), F.col("itos")).alias("decoded"))
 
 
@@ -680,12 +682,12 @@ def sequence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH p AS (SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN []::DOUBLE[] ELSE list_transform(embedding, lambda v: abs(v::DOUBLE)) END AS p FROM embeddings),
 m AS (SELECT *, CASE WHEN len(p) = 0 THEN 0 ELSE list_sum(p) / len(p) END AS confidence FROM p)
-SELECT vec_id, confidence, confidence < 0.1 AS flagged, coalesce(p[1], 0) AS p1, coalesce(p[4], 0) AS p4, CASE WHEN vec_id % 2 = 0 THEN 1 / 5.0::DOUBLE END AS error_rate, 4 AS character_count FROM m
+SELECT vec_id, confidence, confidence < 0.1 AS flagged, list_transform(range(1, 5), lambda i: coalesce(p[i], 0)) AS probs, CASE WHEN vec_id % 2 = 0 THEN 1 / 5.0::DOUBLE END AS error_rate, 4 AS character_count FROM m
 """)
 def word_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = uncertainty.sequence_features(_predictions(spark, sf_dir)).withColumn("reference", F.when(F.col("vec_id") % 2 == 0, "words"))
     r = uncertainty.word_results(p, 0.1)
-    return r.select("vec_id", "confidence", "flagged", F.get("char_probs", F.lit(0))["prob"].alias("p1"), F.get("char_probs", F.lit(3))["prob"].alias("p4"), "error_rate", "character_count")
+    return r.select("vec_id", "confidence", "flagged", F.transform("char_probs", lambda c: c["prob"]).alias("probs"), "error_rate", "character_count")
 
 
 @query("""
@@ -713,11 +715,10 @@ def long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, found).select("doc_id", "n_chars", "usual")
 
 
-@query("SELECT vec_id, [v for v in embedding[:5]] || list_transform(range(3), lambda i: -100::FLOAT) AS padded, embedding[2:5] AS shifted, list_transform(embedding[:3], lambda v: CASE WHEN v < 0 THEN 0::DOUBLE ELSE v::DOUBLE END) AS unmasked FROM embeddings")
+@query("SELECT vec_id, embedding || list_transform(range(70 - len(embedding)), lambda i: -100::FLOAT) AS padded, embedding[2:] AS shifted, list_transform(embedding, lambda v: CASE WHEN v < 0 THEN 0::DOUBLE ELSE v::DOUBLE END) AS unmasked FROM embeddings")
 def padded_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    five = F.slice("embedding", 1, 5)
-    padded = sequences.pad_to(five, 8).cast("array<float>")
-    return table(spark, sf_dir, "embeddings").select("vec_id", padded.alias("padded"), sequences.shift_left(five).alias("shifted"), sequences.unmask(F.slice("embedding", 1, 3)).alias("unmasked"))
+    padded = sequences.pad_to(F.col("embedding"), 70).cast("array<float>")
+    return table(spark, sf_dir, "embeddings").select("vec_id", padded.alias("padded"), sequences.shift_left(F.col("embedding")).alias("shifted"), sequences.unmask(F.col("embedding")).alias("unmasked"))
 
 
 @query()

@@ -86,6 +86,13 @@ def test_far_apart_needs_no_comparison(spark):
     assert [r[0] for r in df.where(F.size("a") < 9).select(distance.within(F.col("a"), F.col("b"), 1)).collect()] == [-1, -1, -1]
 
 
+def test_names_of_many_kinds(spark):
+    odd = [0x09, 0x20, 0xE9, 0x300, 0x915, 0x94D, 0x2028, 0x4E2D, 0xAC00, 0xD7A3, 0xFFFD, 0x1F600, 0xE000, 0x10FFFF]
+    df = spark.createDataFrame([(i, chr(c)) for i, c in enumerate(odd)] + [(99, None), (98, "")], "i int, t string")
+    got = {r.i: r.n for r in df.select("i", text.codepoint_names(F.col("t")).alias("n")).collect()}
+    assert [got[i] for i in range(len(odd))] == [[f"U+{c:04X} {unicodedata.name(chr(c), '?')}"] for c in odd] and got[99] is None and got[98] == []
+
+
 def test_names(spark):
     assert spark.createDataFrame([("कa",)], "t string").select(text.codepoint_names(F.col("t"))).first()[0] == ["U+0915 DEVANAGARI LETTER KA", "U+0061 LATIN SMALL LETTER A"]
 
