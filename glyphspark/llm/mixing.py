@@ -8,7 +8,8 @@ Fitting. A target of whole passes and a rest: every document is taken once for e
 and the rest is fitted from documents taken once more. Documents are counted by exact length; of
 each length the rest's proportion is taken (so that the mix keeps the source's lengths), longest
 remaining lengths then fill the budget down to WINDOW lengths, and bounded-knapsack dynamic
-programming over the counts left finds the largest sum within what remains. Documents of a length
+programming over the counts left finds the largest sum within what remains; it holds a bit and a
+number for each sum up to WINDOW times the longest length. Documents of a length
 have a seeded order, by a hash of doc_id, then doc_id, then a hash of the text, so reruns agree.
 
 Scale. Rows meet only as counts, summed before their shuffle: by (source, length) for the fit, whose
@@ -25,6 +26,7 @@ rows; other columns are ignored, and carried along by mixed_documents.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,28 +108,37 @@ def fit(lengths: list[int], counts: list[int], budget: int, window: int = WINDOW
         more = min(counts[i] - take[i], (left - reach) // lengths[i])
         take[i] += more
         left -= more * lengths[i]
-    # bounded knapsack on bits: sums reachable within `left`, by items of doubling counts
-    mask, states, items = (1 << left + 1) - 1, [1], []
+    # bounded knapsack on bits: sums reachable within `left`, by items of doubling counts; of each sum the item that first reaches it
+    mask, state, items, first = (1 << left + 1) - 1, 1, [], np.zeros(left + 1, np.int32)
     for i in order:
         spare, k = min(counts[i] - take[i], left // lengths[i]), 1
         while spare > 0:
             k = min(k, spare)
-            grown = (states[-1] | states[-1] << k * lengths[i]) & mask
-            if grown != states[-1]:
-                states.append(grown)
+            new = (state << k * lengths[i]) & mask & ~state
+            if new:
+                first[_ones(new)] = len(items)
                 items.append((i, k))
+                state |= new
             spare -= k
             k *= 2
-        if states[-1] >> left & 1:
+        if state >> left & 1:
             break
-    at = states[-1].bit_length() - 1
-    for state, (i, k) in zip(reversed(states[:-1]), reversed(items), strict=True):
-        if not state >> at & 1:
-            take[i] += k
-            at -= k * lengths[i]
+    at = state.bit_length() - 1
+    while at:  # what an item reaches first it reaches from a sum of items before it
+        i, k = items[first[at]]
+        take[i] += k
+        at -= k * lengths[i]
     return take
 
 
+def _ones(bits: int) -> np.ndarray:
+    """Places of the ones of a big integer."""
+    data = np.frombuffer(bits.to_bytes(bits.bit_length() // 8 + 1, "little"), np.uint8)
+    some = np.flatnonzero(data)
+    row, bit = np.nonzero(np.unpackbits(data[some][:, None], axis=1, bitorder="little"))
+    return some[row] * 8 + bit
+
+
 def _fitted(group: pa.Table) -> pa.Table:
     sizes, counts, target = group.column("size").to_pylist(), group.column("n").to_pylist(), group.column("target")[0].as_py()
     order = sorted(range(len(sizes)), key=sizes.__getitem__)

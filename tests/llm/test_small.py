@@ -184,6 +184,23 @@ def test_fit_is_near_and_within_counts():
         assert budget - got < max(lengths) or got == total
 
 
+def test_fit_with_very_long_texts_is_small_and_near():
+    import tracemalloc
+
+    # even lengths and an odd budget: no sum is exact, so every item is tried
+    rng = random.Random(3)
+    lengths = sorted({2 * rng.randint(1, 200_000) for _ in range(300)} | {400_000})
+    counts = [rng.randint(1, 4) for _ in lengths]
+    tracemalloc.start()
+    take = mixing.fit(lengths, counts, 20_000_001)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    total = sum(n * t for n, t in zip(lengths, take, strict=True))
+    assert total == 20_000_000 and all(0 <= t <= c for t, c in zip(take, counts, strict=True))
+    # some hundred items of 150 kB each would be more
+    assert most < 40_000_000
+
+
 def plain_targets(sizes):
     names = sorted([s for s in sizes if s is not None], key=lambda s: s.encode()) + ([None] if None in sizes else [])
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
