@@ -2,7 +2,7 @@
 
 import pytest
 
-from glyphspark.queries import ORACLES, QUERIES
+from glyphspark.file_queries import ORACLES, QUERIES
 from tests.oracle import compare
 
 D = "/root/testdata/sf0.01"
