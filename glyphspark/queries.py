@@ -721,7 +721,9 @@ def padded_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", padded.alias("padded"), sequences.shift_left(F.col("embedding")).alias("shifted"), sequences.unmask(F.col("embedding")).alias("unmasked"))
 
 
-@query()
+@query("""
+WITH p AS (SELECT vec_id, list_sort(list_transform(embedding, lambda v: abs(v::DOUBLE)), 'DESC')[:4] AS p FROM embeddings)
+SELECT vec_id, 'v4' AS text, [0, 1, 2, 3] AS tokens, p AS token_probs, [0, 0, 0, 0]::DOUBLE[] AS token_entropies, list_transform(range(1, 5), lambda i: p[i] - coalesce(p[i + 1], 0)) AS token_margins, ['v0', 'v1'] AS mc_variants FROM p""")
 def model_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An injected model, here one that reads a vector's largest components."""
 
