@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writ
 as the next stage's docs. All but the last return the columns of documents, whatever these are.
 
 1. quality: documents that the classifier scores below one half go. It learns from labels.
-2. near_duplicates: of each group of near copies (see similar_groups) one text stays, as one row: that of
-   the smallest doc_id. Rows are told apart by text, so that another text of the same doc_id is unaffected.
+2. near_duplicates: of each group of near copies (see similar_groups: SimHash links, checked exactly, then
+   what fingerprints miss) one text stays, as one row: that of the smallest doc_id. Rows are told apart by
+   text, so that another text of the same doc_id is unaffected.
 3. mix: sources meet their target weights; a document taken twice is two rows, one not taken goes.
 4. pack: pieces of documents with their bins. Two rows of equal words, or of one source, never share one.
 

@@ -1,5 +1,9 @@
 """All pairs of texts whose sets of word shingles have a Jaccard similarity of at least a given one, up to links.
 
+Order. SimHash by multi-index hashing (simhash.py) comes first: texts of one fingerprint, and of
+fingerprints linked at 3 or fewer differing bits, are pairs, decided by their whole sets. Only texts
+that these leave apart are pairs of the search below, which finds the similar ones that fingerprints miss.
+
 Sets. Words are those of simhash.py; a set holds 64-bit values of the text's runs of `shingle` words
 (fewer words: the whole sequence), each once: the words' XXH64 values, mixed in order. Texts of the
 same words are one node, whose id is the XXH64 value of these words. Values of 64 bits stand for
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .common import Scratch, mix64, trim
-from .simhash import _with_roots, components
+from .simhash import _with_roots, components, fingerprint, print_links
 
 SEED = 42
 #: Cells of the table of counts, as bits of a value; and those of a block, in which tables are added up.
@@ -126,26 +130,28 @@ class _Cells:
 
 
 def _read(shingle: int):
-    """A row (id, doc_id) for each text; and how many of a task's sets hold a shingle of each cell, by block."""
+    """A row (id, doc_id, fp) for each text, fp once a task; and how many of a task's sets hold a shingle of each cell, by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, seen, of = _Cells(), set(), Hasher()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
-                part, ids = batch.slice(at, ROWS), []
+                part, ids, prints = batch.slice(at, ROWS), [], []
                 for text in part.column(1).to_pylist():
                     words = _words(text)
                     ids.append(_id(words))
+                    prints.append(None)
                     if ids[-1] not in seen:  # copies in one task count once
                         seen.add(ids[-1])
                         cells.add(of.shingles(words, shingle))
+                        prints[-1] = int(np.uint64(fingerprint(text)).astype(np.int64))
                 if len(seen) > SEEN:
                     seen.clear()
                 none = [None] * len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), part.column(0), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=["id", "doc_id", "block", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), part.column(0), pa.array(prints, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=["id", "doc_id", "fp", "block", "counts"])
         some, packed = cells.blocks()
         none = pa.array([None] * len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=["id", "doc_id", "block", "counts"])
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=["id", "doc_id", "fp", "block", "counts"])
         trim()
 
     return run
@@ -328,24 +334,43 @@ def _rest(rooted: DataFrame, t: Fraction) -> DataFrame:
     return met.where(f"ra <> rb and (not out or a < b) and {_can(t, 'na', 'pa', 'nb', 'pb')}").select("a", "b", "na", "nb", "pa", "pb")
 
 
+def _by_print(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs a < b of nodes(id, fp): each text and its fingerprint's first one, and the first ones of linked fingerprints."""
+    one = scratch.keep(nodes.groupBy("fp").agg(F.min("id").alias("least")), "prints")
+    found = scratch.keep(print_links(one), "print_links")
+    own = lambda x: one.select(F.col("fp").alias(x), F.col("least").alias(f"least_{x}"))
+    across = found.join(own("a"), "a").join(own("b"), "b").select("least_a", "least_b")
+    within = nodes.join(one, "fp").where("id <> least").select("id", "least")
+    return across.union(within).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) that roots(node, root) don't join."""
+    named = _with_roots(roots)
+    own = lambda x: named.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    return pairs.join(own("a"), "a", "left").join(own("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+
+
 def similar_nodes(docs: DataFrame, scratch: Scratch, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """nodes(id, first: smallest doc_id) of docs(doc_id, text), and roots(node, root) of those with similar ones."""
+    """nodes(id, first: smallest doc_id, fp: 64 bits as a signed long) of docs(doc_id, text), and roots(node, root) of those with similar ones."""
     t = Fraction(str(similarity))
     if not 0 < t <= 1:
         raise ValueError("similarity is over 0 and at most 1")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    read = scratch.keep(rows.mapInArrow(_read(shingle), "id long, doc_id long, block int, counts binary"), "read")
-    nodes = scratch.keep(read.where("block is null").groupBy("id").agg(F.min("doc_id").alias("first")), "nodes")
+    read = scratch.keep(rows.mapInArrow(_read(shingle), "id long, doc_id long, fp long, block int, counts binary"), "read")
+    nodes = scratch.keep(read.where("block is null").groupBy("id").agg(F.min("doc_id").alias("first"), F.max("fp").alias("fp")), "nodes")
     levels = rarity(read.where("block is not null").select("block", "counts"))
     texts = rows.select("text")
-    dealt = texts.mapInArrow(_entries(levels, shingle, t), "shingle long, pos int, id long, n int").repartition("shingle").sortWithinPartitions("shingle", "pos", "id")
-    shared = scratch.keep(dealt.mapInArrow(_shared, "shingle long, pos int, id long, n int, centre long, n_centre int, pos_centre int"), "shared")
     scratch.drop("read")
 
+    near = components(_decide(_by_print(nodes, scratch), texts, scratch, "near", shingle, t), scratch, "alike")
+
+    dealt = texts.mapInArrow(_entries(levels, shingle, t), "shingle long, pos int, id long, n int").repartition("shingle").sortWithinPartitions("shingle", "pos", "id")
+    shared = scratch.keep(dealt.mapInArrow(_shared, "shingle long, pos int, id long, n int, centre long, n_centre int, pos_centre int"), "shared")
     star = shared.where("id <> centre").where(_can(t, "n", "pos", "n_centre", "pos_centre"))
     pairs = star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    first = _decide(pairs, texts, scratch, "first", shingle, t)
-    roots = components(first, scratch, "joined")
+    first = _decide(_apart(pairs, near), texts, scratch, "first", shingle, t)
+    roots = components(near.toDF("a", "b").unionByName(first), scratch, "joined")
     rooted = shared.join(_with_roots(roots), F.col("id") == F.col("node"), "left").select("shingle", "pos", "n", "id", F.coalesce("root", "id").alias("root"))
     rest = _decide(_reach(_rest(scratch.keep(rooted, "rooted"), t), t), texts, scratch, "rest", shingle, t)
     if rest.isEmpty():

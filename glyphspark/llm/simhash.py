@@ -13,8 +13,9 @@ probed from that side, is enough to meet every neighbour.
 
 near_duplicates() is complete: 3-word shingles, 64 bits, radius 3, two segments, balls of one bit.
 
-similar_groups() joins texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, by
-a search that is complete and decides by the sets themselves (jaccard.py); it uses no fingerprint.
+similar_groups() joins texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+The same fingerprints and links come first, each link checked by the sets themselves; what these
+leave apart goes through a search that is complete at that similarity (jaccard.py).
 
 Links, not pairs, leave a bucket: within one table entry the verified links join members by
 union-find, and only a spanning forest is emitted, so a group of n near copies gives n - 1 links.
@@ -296,6 +297,11 @@ def _with_roots(roots: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select("root").distinct().select(F.col("root").alias("node"), "root"))
 
 
+def print_links(one: DataFrame, radius: int = RADIUS, width: int = WIDTH, size: int = SIZE) -> DataFrame:
+    """Links a < b of distinct fingerprints one(fp, ...), whose closure is that of all within radius."""
+    return links(one.select(F.col("fp").alias("id"), _bytes().alias("index"), _bytes().alias("verify")), radius, width, 64 // width, size)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, width: int = WIDTH, size: int = SIZE, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, fp (64 bits as a signed long), the columns to keep, with size (words) beside them, and component_id for each row of docs(doc_id, text).
 
@@ -307,7 +313,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     prints = scratch.keep(fingerprints(docs, shingle, keep), "fingerprints")
     # one row a fingerprint, copies folded before the shuffle
     one = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    found = scratch.keep(links(one.select(F.col("fp").alias("id"), _bytes().alias("index"), _bytes().alias("verify")), radius, width, 64 // width, size), "links")
+    found = scratch.keep(print_links(one, radius, width, size), "links")
     roots = components(found, scratch)
     members = one.join(_with_roots(roots), F.col("fp") == F.col("node")).select("fp", "first", "root")
     # written, so that the join of a large group can be split

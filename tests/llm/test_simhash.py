@@ -210,3 +210,27 @@ def test_groups_equal_brute_force(spark):
     got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert 12 < len(set(root)) < 200
     assert all(r.component_id == root[r.first] for r in got) and sum(r.kept for r in got) == len(set(root))
+
+
+def test_similar_groups_come_from_fingerprints_checked_by_sets(spark, monkeypatch):
+    rng = random.Random(11)
+    made = lambda n: rng.choices(["v%d" % i for i in range(5000)], k=n)
+    line, rows, linked = " ".join(made(12)), [], []
+    for i in range(60):
+        w = made(300)
+        at = rng.randrange(300)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:at], "changed", *w[at + 1 :]]))]
+        a, b = (plain_print(t) for _, t in rows[-2:])
+        linked += [2 * i] if (a ^ b).bit_count() <= 3 else []
+    # one line over and over, else unrelated: fingerprints link these, their sets don't
+    rows += [(200 + i, " ".join([" ".join(made(6)), *[line] * 60])) for i in range(20)]
+    rows += [(300, "A b"), (301, " a  B")]
+    # the complete search finds no pair here, so that what is joined is joined by fingerprints
+    monkeypatch.setattr("glyphspark.llm.jaccard._can", lambda *_: "false")
+    got = {r.first: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 30 < len(linked) and all(got[d + 1] == d for d in linked)
+    assert all(got[d + 1] == d + 1 for d in range(0, 120, 2) if d not in linked)
+    hot = [(d, t) for d, t in rows if 200 <= d < 220]
+    assert len(set(plain_components([(d, plain_print(t)) for d, t in hot], 3).values())) < 10
+    assert all(jaccard(t, u) < 0.8 for _, t in hot for _, u in hot if t != u) and all(got[d] == d for d, _ in hot)
+    assert got[300] == 300 and 301 not in got
